@@ -28,8 +28,8 @@ def signatures(text: Column, *, chain: int = CHAIN, anchors: tuple[str, ...] | l
 
     Words are runs of letters and digits of the lower-cased text. Where anchors follow each other
     the chain after the run counts once; a chain at the end may be shorter. A text with words but
-    no anchor that a content word follows has one signature, of all it holds; a text without
-    words has that of the whole text; an empty or null text has none.
+    no anchor that a content word follows has the chains from each of its words; a text without
+    words has one signature, of the whole text; an empty or null text has none.
     """
     plain = F.lower(text_or_empty(text))
     alternatives = "|".join(sorted(set(anchors), key=lambda w: (-len(w), w)))
@@ -41,7 +41,10 @@ def signatures(text: Column, *, chain: int = CHAIN, anchors: tuple[str, ...] | l
         return F.transform(at, lambda i: F.hash(F.slice(w, i + 1, chain)))
 
     found = F.array_distinct(F.element_at(F.transform(F.array(words), chains), 1))
-    whole = F.when(plain == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(plain)))
+    every = F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    last = F.greatest(F.size(every) - chain + 1, F.lit(1))
+    all_chains = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.hash(F.slice(every, i, chain))))
+    whole = F.when(plain == "", F.array().cast("array<int>")).when(F.size(every) > 0, all_chains).otherwise(F.array(F.hash(plain)))
     return F.sort_array(F.when(F.size(found) > 0, found).otherwise(whole))
 
 
