@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word is a run of bytes other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,8 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Keep Arrow batches of long texts small in executor memory; a smaller setting stays."""
+def ready(spark: SparkSession, rows: int = 256) -> None:
+    """Ready a session for Python operators: the package is shipped to executors, and Arrow batches
+    of long texts stay small in their memory (a smaller setting stays)."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

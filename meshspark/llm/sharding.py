@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, ready, text_or_empty
 
 #: Low bits of a key come from the id, the others from the text.
 ID_BITS = 20
@@ -38,7 +38,7 @@ def _splitters(keyed: DataFrame, total: int, ranges: int, draws: int) -> np.ndar
 
 def shard(
     docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, ranges_per_shard: int = 64,
-    draws: int = 24, group_part: float = 0.02,
+    draws: int = 24, group_part: float = 0.05,
 ) -> DataFrame:
     """``id, size, text_crc32, shard, slot`` for every row; shards are 0 to ``shards - 1``.
 
@@ -46,6 +46,7 @@ def shard(
     rows are placed like any other; an empty table gives an empty one. Groups of equal texts of up
     to ``group_part`` of a shard stay in one shard. ``slot`` numbers a shard's rows from 0.
     """
+    ready(docs.sparkSession)
     raw = text_or_empty(F.col(text))
     low = F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.lit(1 << ID_BITS))
     key = F.shiftleft(F.shiftright(F.xxhash64(raw), ID_BITS), ID_BITS).bitwiseOR(low)
