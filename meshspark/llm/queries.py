@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, spotsigs, token_counts, token_output
+from . import minhash, mixing, packing, sharding, spotsigs, token_counts, token_output
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op10_sharding)}
 
 ORACLE_SQL = {"op4_mixing": mixing.SQL}

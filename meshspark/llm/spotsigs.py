@@ -33,8 +33,9 @@ def signatures(text: Column, *, chain: int = CHAIN, anchors: tuple[str, ...] | l
     """
     plain = F.lower(text_or_empty(text))
     alternatives = "|".join(sorted(set(anchors), key=lambda w: (-len(w), w)))
-    marked = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}])(?:(?:{alternatives})(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]*)+", _MARK)
-    words = F.split(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{_MARK}]*{_MARK}[^\p{{L}}\p{{N}}{_MARK}]*", f" {_MARK}"), rf"[^\p{{L}}\p{{N}}{_MARK}]+")
+    # no repeated group in these patterns: Java's matcher would recurse once a repetition
+    marked = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}])(?:{alternatives})(?![\p{{L}}\p{{N}}])", _MARK)
+    words = F.split(F.regexp_replace(marked, rf"{_MARK}[^\p{{L}}\p{{N}}]*+", f" {_MARK}"), rf"[^\p{{L}}\p{{N}}{_MARK}]+")
 
     def chains(w: Column) -> Column:
         at = F.filter(F.transform(w, lambda x, i: F.when(x.startswith(_MARK) & (F.length(x) > 1), i)), lambda i: i.isNotNull())
