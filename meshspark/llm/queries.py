@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, sharding, spotsigs, token_counts, token_output
+from . import minhash, mixing, neighbours, packing, sharding, spotsigs, token_counts, token_output
 from .common import table
 
 
@@ -33,11 +33,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op9_neighbours, op10_sharding)}
 
 ORACLE_SQL = {"op4_mixing": mixing.SQL}
