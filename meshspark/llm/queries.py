@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, neighbours, packing, sharding, spotsigs, token_counts, token_output
+from . import language_id, minhash, mixing, neighbours, packing, sharding, spotsigs, token_counts, token_output
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "lang", "confidence", "declared", "n_words", "accepted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op9_neighbours, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op9_neighbours, op10_sharding)}
 
 ORACLE_SQL = {"op4_mixing": mixing.SQL}

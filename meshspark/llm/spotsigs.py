@@ -6,6 +6,8 @@ signature hashes of a text is its fingerprint; likeness is the Jaccard similarit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CHAIN = 3
 _MARK = "\u0001"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signatures(text: Column, *, chain: int = CHAIN, anchors: tuple[str, ...] | list[str] = ANCHORS) -> Column:
     """The sorted distinct 32-bit hashes of the text's signatures.
 
@@ -32,21 +39,21 @@ def signatures(text: Column, *, chain: int = CHAIN, anchors: tuple[str, ...] | l
     words has one signature, of the whole text; an empty or null text has none.
     """
     plain = F.lower(text_or_empty(text))
-    alternatives = "|".join(sorted(set(anchors), key=lambda w: (-len(w), w)))
-    # no repeated group in these patterns: Java's matcher would recurse once a repetition
-    marked = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}])(?:{alternatives})(?![\p{{L}}\p{{N}}])", _MARK)
-    words = F.split(F.regexp_replace(marked, rf"{_MARK}[^\p{{L}}\p{{N}}]*+", f" {_MARK}"), rf"[^\p{{L}}\p{{N}}{_MARK}]+")
+    words = F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    # an anchor becomes a mark on the word after it
+    marked = F.replace(F.array_join(F.transform(words, lambda x: F.when(x.isin(*anchors), F.lit(_MARK)).otherwise(x)), " "), F.lit(f"{_MARK} "), F.lit(_MARK))
 
     def chains(w: Column) -> Column:
-        at = F.filter(F.transform(w, lambda x, i: F.when(x.startswith(_MARK) & (F.length(x) > 1), i)), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.hash(F.slice(w, i + 1, chain)))
-
-    found = F.array_distinct(F.element_at(F.transform(F.array(words), chains), 1))
-    every = F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    last = F.greatest(F.size(every) - chain + 1, F.lit(1))
-    all_chains = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.hash(F.slice(every, i, chain))))
-    whole = F.when(plain == "", F.array().cast("array<int>")).when(F.size(every) > 0, all_chains).otherwise(F.array(F.hash(plain)))
-    return F.sort_array(F.when(F.size(found) > 0, found).otherwise(whole))
+        content = F.transform(w, lambda x: F.ltrim(x, F.lit(_MARK)))
+        at = F.filter(F.transform(w, lambda x, i: F.when(x.startswith(_MARK), i)), lambda i: i.isNotNull())
+        return bound(content, lambda c: F.transform(F.filter(at, lambda i: F.get(c, i) != ""), lambda i: F.hash(F.slice(c, i + 1, chain))))
+
+    def every(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - chain + 1, F.lit(1))), lambda i: F.hash(F.slice(w, i, chain)))
+
+    found = F.array_distinct(bound(F.split(marked, " "), chains))
+    none = F.when(plain == "", F.array().cast("array<int>")).when(F.size(words) > 0, F.array_distinct(every(words))).otherwise(F.array(F.hash(plain)))
+    return F.sort_array(bound(found, lambda f: F.when(F.size(f) > 0, f).otherwise(none)))
 
 
 def as_text(found: Column) -> Column:
