@@ -3,9 +3,8 @@
 Documents of equal shingle sets form a class, and only its least document is compared. Each set
 has ``bands * rows`` minima under universal hashes; sets that agree in a whole band share a
 bucket. A bucket of a few sets gives all its pairs. A large one gives each member paired with its
-least; where that leaves it in several components, the members outside the largest are compared
-by signature with all others, in blocks, and what may be a link is verified, so no link between
-members of a bucket is lost. A link needs ``percent`` of the union to be shared, counted on the
+least; where that leaves the members of such buckets in several components, those outside the
+largest are compared with all others, in blocks, so no link between members of a bucket is lost. A link needs ``percent`` of the union to be shared, counted on the
 full sets. The largest miss of banding is that of a pair just at the limit: (1 - 0.75^4)^32, six
 in a million with the defaults.
 """
@@ -111,33 +110,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int,
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unresolved(large: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, percent: int) -> DataFrame | None:
-    """Pairs of members of large buckets that are in different components and may be linked; None if there are no such buckets."""
-    named = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    named = cut(named)
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x <> y")
-    if open_.isEmpty():
+def _links_between(few: pa.Table, many: pa.Table, k: int, percent: int, least: float) -> pa.Table:
+    """True links between two blocks of members in different components, one for each member of
+    ``few`` and component of ``many``. Pairs whose signatures agree enough are counted exactly:
+    shared shingles are a product of membership matrices, a slice of the shingles at a time."""
+    none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    if not few.num_rows or not many.num_rows:
+        return none
+    sig = [np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(t.num_rows, -1) for t in (few, many)]
+    ids, label, size = ([t[c].to_numpy() for t in (few, many)] for c in ("id", "label", "n"))
+    near = np.stack([(sig[1] == s).mean(axis=1) for s in sig[0]]) >= least
+    near &= label[0][:, None] != label[1][None, :]
+    near &= 100 * np.minimum(size[0][:, None], size[1][None, :]) >= percent * np.maximum(size[0][:, None], size[1][None, :])
+    rows = [np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))]
+    if not len(rows[0]):
+        return none
+    flat, owner = [], []
+    for t, at in zip((few, many), rows, strict=True):
+        sets, n = shingle_sets(t["text"].combine_chunks().take(pa.array(at)), k)
+        flat.append(sets)
+        owner.append(np.repeat(np.arange(len(at)), n))
+    both = np.intersect1d(flat[0], flat[1])
+    shared = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+    for i in range(0, len(both), 8192):
+        part = both[i : i + 8192]
+        member = []
+        for sets, own, at in zip(flat, owner, rows, strict=True):
+            place = np.minimum(np.searchsorted(part, sets), len(part) - 1)
+            hit = part[place] == sets
+            m = np.zeros((len(at), len(part)), np.float32)
+            m[own[hit], place[hit]] = 1
+            member.append(m)
+        shared += member[0] @ member[1].T
+    shared = shared.astype(np.int64)
+    total = size[0][rows[0]][:, None] + size[1][rows[1]][None, :] - shared
+    i, j = np.nonzero(near[np.ix_(*rows)] & (shared > 0) & (100 * shared >= percent * total))
+    i, j = rows[0][i], rows[1][j]
+    _, first = np.unique(np.stack([i, label[1][j]]), axis=1, return_index=True)
+    return pa.table({"u": pa.array(ids[0][i[first]]), "v": pa.array(ids[1][j[first]])})
+
+
+def _unresolved(large: DataFrame, labels: DataFrame, docs: DataFrame, sigs: DataFrame, doc_id: str, text: str, k: int, percent: int, least: float) -> DataFrame | None:
+    """Links among members of large buckets that are not in one component yet; None if there are no
+    such members.
+
+    Large buckets that share members form a group. In each group the members outside its largest
+    component are compared with all members, a block of both at a time; each pair of members is
+    compared once, however many buckets it shares.
+    """
+    star = large.select(F.col("head.id").alias("u"), F.col("id").alias("v"))
+    groups = components(star).withColumnRenamed("component", "grp")
+    named = groups.join(labels, "node", "left").select(F.col("node").alias("id"), "grp", F.coalesce("component", "node").alias("label"))
+    sizes = cut(named.groupBy("grp", "label").agg(F.count("*").alias("c")))
+    major = sizes.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
+    if major.isEmpty():
         return None
-    major = named.join(open_.select("key", "c"), "key").groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("minor"))
-    rows = named.join(major, "key").join(sigs.select("id", "sig"), "id")
-    one = F.struct("id", "label", "n", "sig")
-    deal = lambda size, of: F.pmod(F.xxhash64("id"), F.ceil(of / size))
-    few = rows.where("label <> major").groupBy("key", deal(128, F.col("minor")).alias("part")).agg(F.collect_list(one).alias("few")).drop("part")
-    all_ = rows.groupBy("key", deal(512, F.col("c")).alias("part")).agg(F.collect_list(one).alias("many")).drop("part")
-
-    def run(batches):
-        for x in batches:
-            for few, many in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                sig = np.frombuffer(b"".join(m["sig"] for m in many), "<u2").reshape(len(many), -1)
-                ids, label, n = (np.array([m[c] for m in many], np.int64) for c in ("id", "label", "n"))
-                for m in few:
-                    near = (sig == np.frombuffer(m["sig"], "<u2")).mean(axis=1) >= least
-                    near &= (label != m["label"]) & (100 * np.minimum(n, m["n"]) >= percent * np.maximum(n, m["n"]))
-                    other = ids[near]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, m["id"])), pa.array(np.maximum(other, m["id"]))], ["a", "b"])
-
-    return few.join(all_, "key").select("few", "many").mapInArrow(run, "a long, b long").distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    chosen = named.join(major, "grp").withColumns({"few": F.ceil(F.col("minor") / 64).cast("int"), "many": F.ceil(F.col("c") / 256).cast("int")})
+    texts = texts.join(chosen.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rows = written(chosen.join(sigs, "id").join(texts, "id"), "members")
+    own = ["id", "label", "n", "sig", "text"]
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.where("label <> major").select("grp", part("few").alias("f"), every("many").alias("m"), *own)
+    many = rows.select("grp", part("many").alias("m"), every("few").alias("f"), *own)
+    keys = ["grp", "f", "m"]
+    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(lambda x, y: _links_between(x, y, k, percent, least), "u long, v long")
 
 
 def near_duplicates(
@@ -168,16 +206,13 @@ def near_duplicates(
     star = members.where(F.col("c") > few).select(F.col("head").alias("x"), F.struct("id", "n").alias("y"))
     sized = small.union(star).where((F.col("x.id") != F.col("y.id")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     pairs = sized.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sigs = signed.select("id", "sig").where("id IS NOT NULL AND sig IS NOT NULL").dropDuplicates(["id"])
+    sigs = signed.select("id", "n", "sig").where("id IS NOT NULL AND sig IS NOT NULL").dropDuplicates(["id"])
     tried = cut(_alike(pairs, sigs, least))
     edges = cut(_verified(tried, docs, doc_id, text, k, percent))
     found = components(edges.toDF("u", "v"))
-    more = _unresolved(members.where(F.col("c") > few).select("key", "id", "n"), found, sigs, least, percent)
+    more = _unresolved(members.where(F.col("c") > few), found, docs, sigs, doc_id, text, k, percent, least)
     if more is not None:
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            edges = edges.union(_verified(more, docs, doc_id, text, k, percent))
-            found = components(edges.toDF("u", "v"))
+        found = components(edges.toDF("u", "v").union(more))
     label = found.withColumnRenamed("node", "rep")
     of_class = classes.join(label, "rep", "left").withColumn("whole", F.coalesce("component", "rep")).select("hi", "lo", "whole").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = signed.select("id", "n", "hi", "lo", salt).join(of_class, ["hi", "lo", "salt"], "left").join(found.withColumnRenamed("node", "id"), "id", "left")
