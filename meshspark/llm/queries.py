@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash, mixing, neighbours, packing, sharding, spotsigs, token_counts, token_output
+from . import language_id, lm, minhash, mixing, neighbours, packing, sharding, spotsigs, token_counts, token_output
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op9_neighbours, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op8_lm_scores, op9_neighbours, op10_sharding)}
 
 ORACLE_SQL = {"op4_mixing": mixing.SQL}

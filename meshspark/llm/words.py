@@ -36,14 +36,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in turn, A-Z lower-cased, and the number of words of each row."""
+def word_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words in turn, A-Z lower-cased: 64-bit hashes and the first three bytes (-1 past the
+    end); and the number of words of each row."""
     raw, offsets = utf8(column)
     low = _LOWER[raw]
     inside = ~_SPACE[low]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.empty(0, np.uint64), np.empty((0, 3), np.int64), np.zeros(len(offsets) - 1, np.int64)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]
@@ -54,7 +55,15 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64), dtype=np.uint64)
     sums = np.add.reduceat(_SALT[low[at]] * powers[place], first)
     per_row = np.diff(np.searchsorted(at[first], offsets))
-    return mixed(sums ^ lengths.astype(np.uint64)), per_row
+    start = at[first]
+    heads = np.stack([np.where(lengths > j, low[np.minimum(start + j, len(low) - 1)].astype(np.int64), -1) for j in range(3)], axis=1)
+    return mixed(sums ^ lengths.astype(np.uint64)), heads, per_row
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in turn, A-Z lower-cased, and the number of words of each row."""
+    hashes, _, per_row = word_parts(column)
+    return hashes, per_row
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
