@@ -81,11 +81,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that share ``percent`` of their union, counted on the sets of the whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "candidates")
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
 
@@ -150,7 +147,7 @@ def _links_between(few: pa.Table, many: pa.Table, k: int, percent: int, least: f
     return pa.table({"u": pa.array(ids[0][i[first]]), "v": pa.array(ids[1][j[first]])})
 
 
-def _unresolved(large: DataFrame, labels: DataFrame, docs: DataFrame, sigs: DataFrame, doc_id: str, text: str, k: int, percent: int, least: float) -> DataFrame | None:
+def _unresolved(large: DataFrame, labels: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int, least: float) -> DataFrame | None:
     """Links among members of large buckets that are not in one component yet; None if there are no
     such members.
 
@@ -165,9 +162,7 @@ def _unresolved(large: DataFrame, labels: DataFrame, docs: DataFrame, sigs: Data
     major = sizes.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
     if major.isEmpty():
         return None
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     chosen = named.join(major, "grp").withColumns({"few": F.ceil(F.col("minor") / 64).cast("int"), "many": F.ceil(F.col("c") / 256).cast("int")})
-    texts = texts.join(chosen.select("id"), "id", "left_semi").dropDuplicates(["id"])
     rows = written(chosen.join(sigs, "id").join(texts, "id"), "members")
     own = ["id", "label", "n", "sig", "text"]
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -207,10 +202,12 @@ def near_duplicates(
     sized = small.union(star).where((F.col("x.id") != F.col("y.id")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     pairs = sized.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     sigs = signed.select("id", "n", "sig").where("id IS NOT NULL AND sig IS NOT NULL").dropDuplicates(["id"])
-    tried = cut(_alike(pairs, sigs, least))
-    edges = cut(_verified(tried, docs, doc_id, text, k, percent))
+    # whole texts are shuffled once, for the members of shared buckets only from here on
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = written(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    edges = cut(_verified(_alike(pairs, sigs, least), texts, k, percent))
     found = components(edges.toDF("u", "v"))
-    more = _unresolved(members.where(F.col("c") > few), found, docs, sigs, doc_id, text, k, percent, least)
+    more = _unresolved(members.where(F.col("c") > few), found, texts, sigs, k, percent, least)
     if more is not None:
         found = components(edges.toDF("u", "v").union(more))
     label = found.withColumnRenamed("node", "rep")
