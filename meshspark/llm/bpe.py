@@ -10,14 +10,13 @@ token's string, are encoded as a whole.
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
 _FIRST = "\ud800"  # stands before a text's first piece; no text can hold it
-_ODD = re.compile(r"\s|\x00|<\|endoftext\|>")
+_MARKS = (".", ",", ";", ":")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -93,7 +92,7 @@ class CachedEncoder:
     ``limit`` bounds the pieces that are kept from one call to the next.
     """
 
-    def __init__(self, pretokens, text, limit: int = 400_000) -> None:
+    def __init__(self, pretokens, text, limit: int = 1_000_000) -> None:
         import public_tokenizers
         import regex
 
@@ -106,14 +105,23 @@ class CachedEncoder:
         self.tokens, self.of_token = _Numbers(), _Ragged()
 
     def _learn(self, fresh: list[str]) -> None:
-        bad = np.fromiter((k in ("", _FIRST, "\n") or _ODD.search(k, 1 if k[0] in (_FIRST, "\n") else 0) is not None for k in fresh), bool, len(fresh))
         n = len(self.pieces)
         self.bad = _grown(self.bad, n)
-        self.bad[n - len(fresh) : n] = bad
+        self.bad[n - len(fresh) : n] = False
         tokens: list[str] = []
         counts = np.empty(len(fresh), np.int64)
         for i, k in enumerate(fresh):
-            own = ["!"] if bad[i] else self.split(k[1:] if k[0] == _FIRST else k if k[0] == "\n" else " " + k)
+            if k.isalpha():  # one word, or a word and a mark: most pieces
+                own = [" " + k]
+            elif k[-1:] in _MARKS and k[:-1].isalpha():
+                own = [" " + k[:-1], k[-1]]
+            else:
+                body = k[1:] if k[:1] in (_FIRST, "\n") else k
+                if not body or not body.isprintable() or SPECIAL in body:
+                    self.bad[n - len(fresh) + i] = True
+                    own = ["!"]
+                else:
+                    own = self.split(body if k[0] == _FIRST else k if k[0] == "\n" else " " + k)
             counts[i] = len(own)
             tokens += own
         at, unseen = self.tokens.of(tokens)
@@ -152,7 +160,7 @@ class CachedEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, limit: int = 400_000) -> CachedEncoder:
+def encoder(path: str, limit: int = 1_000_000) -> CachedEncoder:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizers library gives
     them; one a worker process."""
     import os
@@ -165,15 +173,27 @@ def encoder(path: str, limit: int = 400_000) -> CachedEncoder:
     alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x00")
     shown = {b: c for b, c in enumerate(byte_alphabet()) if b and ord(c) != b}
 
-    def pretokens(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        step = 512
-        joined = ["\x00".join(keys[i : i + step]).encode().decode("latin-1").translate(shown) for i in range(0, len(keys), step)]
-        ids, lengths = [], []
+    def encoded(keys: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        joined = ["\x00".join(keys[i : i + 512]) for i in range(0, len(keys), 512)]
+        if plain:
+            joined = [j.replace(" ", shown[32]).replace("\n", shown[10]) for j in joined]
+        else:
+            joined = [j.encode().decode("latin-1").translate(shown) for j in joined]
+        ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for k, e in enumerate(alone.encode_batch(joined, add_special_tokens=False)):
             ids.append(np.array(e.ids, np.uint32))
-            lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=min(step, len(keys) - k * step)))
+            lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=min(512, len(keys) - k * 512)))
         return np.concatenate(ids), np.concatenate(lengths)
 
+    def pretokens(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter(map(str.isascii, keys), bool, len(keys))  # printable, so only blanks and line feeds are shown otherwise
+        both = _Ragged()
+        for kind in (True, False):
+            both.append(*encoded([k for k, p in zip(keys, plain.tolist(), strict=True) if p is kind], kind))
+        at = np.empty(len(keys), np.int64)
+        at[plain], at[~plain] = np.arange(plain.sum()), np.arange(plain.sum(), len(keys))
+        return both.take(at)
+
     def text(t: str) -> np.ndarray:
         return np.array(whole.encode(t, add_special_tokens=False).ids, np.uint32)
 

@@ -80,7 +80,7 @@ class RankMerger:
 
 
 @functools.lru_cache(maxsize=1)
-def counter(path: str, limit: int = 400_000) -> CachedEncoder:
+def counter(path: str, limit: int = 1_000_000) -> CachedEncoder:
     """Counts by :class:`RankMerger` behind the piece cache; its ids mean nothing. A special
     token's string in a text is one token, as the library has it by default."""
     merger = RankMerger(path)

@@ -5,7 +5,8 @@ follow from the lengths. ``blocks`` holds one binary block a row, each readable
 
     magic "TIDB", u16 version, u16 longest code, u32 documents, u32 ids, u64 index of the first
     id, u32 ids between checkpoints; then i64 document ids, u8 null flags, u32 ids per document,
-    u32 bit offsets of every so many ids, and the bits (big-endian words of 32).
+    u16 bits between checkpoints, which stand at every so many ids, and the bits (big-endian words
+    of 32).
 
 Decoding looks up the next ``longest`` bits in one table and runs from all checkpoints of a block
 at once.
@@ -27,8 +28,8 @@ from .common import ready, shared_dir, text_or_empty, written
 
 HEADER = struct.Struct("<4sHHIIQI")
 LONGEST = 18
-BLOCK_IDS = 1 << 15
-EVERY = 128
+BLOCK_IDS = 1 << 16
+EVERY = 64
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -71,10 +72,9 @@ class Code:
         first = np.cumsum(room) - room
         self.words = np.zeros(len(lengths), np.uint64)
         self.words[order] = (first >> (self.longest - bits)).astype(np.uint64)
-        self.symbol = np.zeros(1 << self.longest, np.uint32)
-        self.step = np.ones(1 << self.longest, np.int64)
-        n = int(room.sum())
-        self.symbol[:n], self.step[:n] = np.repeat(order, room), np.repeat(bits, room)
+        # for every value of the next bits: the id and, in the low byte, its length
+        self.found = np.ones(1 << self.longest, np.uint64)
+        self.found[: int(room.sum())] = np.repeat(order << 8 | bits, room).astype(np.uint64)
 
     def encode(self, ids: np.ndarray, every: int = EVERY) -> tuple[np.ndarray, bytes]:
         """Bit offsets of every ``every``-th id, and the bits."""
@@ -96,16 +96,16 @@ class Code:
     def decode(self, n: int, checkpoints: np.ndarray, bits: bytes, every: int) -> np.ndarray:
         if not n:
             return np.empty(0, np.uint32)
-        words = np.concatenate([np.frombuffer(bits, ">u4").astype(np.uint64), np.zeros(2, np.uint64)])
-        at, end = checkpoints.astype(np.int64), len(words) - 2
-        out = np.empty((len(at), every), np.uint32)
-        mask, longest = np.uint64((1 << self.longest) - 1), 64 - self.longest
+        u = np.uint64
+        words = np.concatenate([np.frombuffer(bits, ">u4").astype(u), np.zeros(every * self.longest // 32 + 3, u)])
+        pairs = words[:-1] << u(32) | words[1:]
+        at, out = checkpoints.astype(u), np.empty((every, len(checkpoints)), u)
+        mask, top, five, low = u((1 << self.longest) - 1), u(64 - self.longest), u(5), u(31)
         for k in range(every):
-            w = np.minimum(at >> 5, end)
-            peek = ((words[w] << np.uint64(32) | words[w + 1]) >> (longest - (at & 31)).astype(np.uint64)) & mask
-            out[:, k] = self.symbol[peek]
-            at = at + self.step[peek]
-        return out.reshape(-1)[:n]
+            found = self.found[pairs[at >> five] >> (top - (at & low)) & mask]
+            out[k] = found
+            at += found & u(255)
+        return (out.T.reshape(-1)[:n] >> u(8)).astype(np.uint32)
 
 
 def to_block(code: Code, doc_ids: list, lengths: np.ndarray, ids: np.ndarray, start: int, every: int = EVERY) -> bytes:
@@ -113,7 +113,7 @@ def to_block(code: Code, doc_ids: list, lengths: np.ndarray, ids: np.ndarray, st
     known = np.array([d or 0 for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
     head = HEADER.pack(b"TIDB", 1, code.longest, len(doc_ids), len(ids), start, every)
-    return b"".join([head, known.tobytes(), null.tobytes(), lengths.astype("<u4").tobytes(), points.astype("<u4").tobytes(), bits])
+    return b"".join([head, known.tobytes(), null.tobytes(), lengths.astype("<u4").tobytes(), np.diff(points.astype(np.int64), prepend=0).astype("<u2").tobytes(), bits])
 
 
 def from_block(code: Code, data: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
@@ -125,12 +125,12 @@ def from_block(code: Code, data: bytes) -> tuple[list, np.ndarray, np.ndarray, i
     known = np.frombuffer(data, "<i8", n_docs, at)
     null = np.frombuffer(data, np.uint8, n_docs, at := at + 8 * n_docs)
     lengths = np.frombuffer(data, "<u4", n_docs, at := at + n_docs).astype(np.int64)
-    points = np.frombuffer(data, "<u4", -(-n // every), at := at + 4 * n_docs)
-    ids = code.decode(n, points, data[at + 4 * len(points) :], every)
+    gaps = np.frombuffer(data, "<u2", -(-n // every), at := at + 4 * n_docs)
+    ids = code.decode(n, np.cumsum(gaps, dtype=np.int64), data[at + 2 * len(gaps) :], every)
     return [None if z else d for d, z in zip(known.tolist(), null.tolist(), strict=True)], lengths, ids, start
 
 
-def _id_blocks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, block_ids: int, parts: int) -> DataFrame:
+def _id_blocks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, block_ids: int, parts: int, kind: str) -> DataFrame:
     """Raw ids in ascending order of document id (null last, ties by a hash of the text), in blocks."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(F.col(text)).alias("text")).withColumn("h", F.xxhash64("text"))
     order = [F.col("id").asc_nulls_last(), F.col("h")]
@@ -143,7 +143,7 @@ def _id_blocks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int,
         def out():
             flat = np.concatenate(ids)
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "start": pa.array([start], pa.int64()), "n": pa.array([len(flat)], pa.int64()), "docs": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "ids": pa.array([flat.astype("<u4").tobytes()], pa.binary())}
+                {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "start": pa.array([start], pa.int64()), "n": pa.array([len(flat)], pa.int64()), "docs": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "ids": pa.array([flat.astype(kind).tobytes()], pa.binary())}
             )
 
         for b in batches:
@@ -164,6 +164,12 @@ def _id_blocks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int,
     return placed.mapInArrow(run, "part int, block long, start long, n long, docs array<long>, lengths array<long>, ids binary")
 
 
+def _ids_in(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def write_tokens(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 0, block_ids: int = BLOCK_IDS, every: int = EVERY, parts: int | None = None) -> None:
     """Encode all texts, each ended by ``end_id``, and store them under ``where`` in ascending id order.
 
@@ -174,13 +180,14 @@ def write_tokens(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: s
     spark = docs.sparkSession
     ready(spark)
     path = vocabulary or vocabulary_path()
-    blocks = written(_id_blocks(docs, doc_id, text, path, end_id, block_ids, parts or int(spark.conf.get("spark.sql.shuffle.partitions"))), "ids")
+    kind = "<u2" if _ids_in(path) <= 1 << 16 else "<u4"
+    blocks = written(_id_blocks(docs, doc_id, text, path, end_id, block_ids, parts or int(spark.conf.get("spark.sql.shuffle.partitions")), kind), "ids", compression="lz4")
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
             for x in b.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(own) > len(total):
                     total = np.pad(total, (0, len(own) - len(total)))
                 total[: len(own)] += own
@@ -201,7 +208,7 @@ def write_tokens(docs: DataFrame, where: str, *, doc_id: str = "doc_id", text: s
         for b in batches:
             data = []
             for part, start, docs_, own, raw in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
-                data.append(to_block(code, docs_, np.array(own, np.int64), np.frombuffer(raw.as_buffer(), "<u4"), first[part] + start, every))
+                data.append(to_block(code, docs_, np.array(own, np.int64), np.frombuffer(raw.as_buffer(), kind), first[part] + start, every))
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["data"])
 
     packed = blocks.select("part", "start", "docs", "lengths", "ids").mapInArrow(pack, "data binary")
