@@ -126,14 +126,14 @@ def identify(
     expected = [F.sum(F.when(F.col("n") > 0, raised[k] / whole).otherwise(0.0)).alias(k) for k in LANGUAGES]
     hosts = seen.groupBy("suffix", "host").agg(*expected)
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(k).alias(f"s_{k}") for k in LANGUAGES])
-    every = suffixes.agg(*[F.sum(f"s_{k}").alias(f"g_{k}") for k in LANGUAGES])
+    every = suffixes.agg(*[F.coalesce(F.sum(f"s_{k}"), F.lit(0.0)) for k in LANGUAGES]).first()  # five numbers
     count = lambda p: sum((F.col(f"{p}{k}") for k in LANGUAGES), F.lit(0.0))
     prior = {}
-    for k in LANGUAGES:
-        general = (F.col(f"g_{k}") + 1.0) / (count("g_") + len(LANGUAGES))
+    for k, n in zip(LANGUAGES, every, strict=True):
+        general = F.lit((n + 1.0) / (sum(every) + len(LANGUAGES)))
         middle = (F.col(f"s_{k}") + suffix_weight * general) / (count("s_") + suffix_weight)
         prior[k] = (F.col(k) + host_weight * middle) / (count("") + host_weight)
-    smooth = hosts.join(suffixes, "suffix").crossJoin(F.broadcast(every)).select("suffix", "host", *[F.log(prior[k]).alias(f"p_{k}") for k in LANGUAGES])  # one row on the right
+    smooth = hosts.join(suffixes, "suffix").select("suffix", "host", *[F.log(prior[k]).alias(f"p_{k}") for k in LANGUAGES])
     salted = smooth.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     both = seen.withColumn("salt", F.pmod(F.xxhash64("key", "text_hash"), F.lit(SALTS)).cast("int")).join(salted, ["suffix", "host", "salt"])
     known = F.col("declared").isin(*LANGUAGES[:-1])

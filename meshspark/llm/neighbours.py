@@ -15,6 +15,7 @@ none, as for vectors uniform on a sphere of many dimensions, they grow with the
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,12 +190,12 @@ def search(
     lined = lined.select(F.spark_partition_id().alias("part"), *order, "v").mapInArrow(numbered, f"part int, curve int, id long, ask boolean, v {kind}, local long")
     lined = written(lined, "orderings")
     sums = lined.where("NOT ask").groupBy("curve", "part").agg(F.count("*").alias("n")).toPandas().sort_values(["curve", "part"])
-    start = {}
-    for c, part, n in sums.itertuples(index=False):
-        start.setdefault(c, np.zeros(parts + 1, np.int64))[part + 1] = n
-    offsets = {c: np.cumsum(a) for c, a in start.items()}
-    flat = F.array(*[F.lit(int(x)).cast("long") for c in range(curves) for x in offsets[c][:parts]])
-    ranked = lined.withColumn("place", F.col("local") + F.get(flat, F.col("curve") * parts + F.col("part")))
+    # a row for each curve and partition; a partition without rows of a curve may hold its queries
+    grid = pd.DataFrame([(c, p) for c in range(curves) for p in range(parts)], columns=["curve", "part"]).merge(sums, how="left", on=["curve", "part"])
+    grid["n"] = grid["n"].fillna(0)
+    grid["before"] = grid.groupby("curve")["n"].cumsum() - grid["n"]
+    offsets = spark.createDataFrame([(int(c), int(p), int(x)) for c, p, x in zip(grid["curve"], grid["part"], grid["before"], strict=True)], "curve int, part int, before long")
+    ranked = lined.join(F.broadcast(offsets), ["curve", "part"]).withColumn("place", F.col("local") + F.col("before"))
 
     asked = rows.where(F.col("id") % every == 0).orderBy(pick).limit(measured).toPandas()
     if asked.empty:
