@@ -286,3 +286,23 @@ def gathered(pairs: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFra
 
 def normals_of(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return vertices.join(vertex_normals(vertices, faces), "vid")
+
+
+def nearest_vectors(queries: DataFrame, refs: DataFrame, *, vector: str = "v", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``qid, rid, d2`` of the nearest reference of each query for vectors of any length (``pid``, an
+    array column), by direct differences; ties to the smaller id.
+
+    References up to ``broadcast_rows`` (counted) are broadcast; beyond, blocks of them are: each
+    block's best is kept, so memory stays that of a block.
+    """
+    q = queries.select(F.col("pid").alias("qid"), F.col(vector).alias("qv"))
+    r = refs.select(F.col("pid").alias("rid"), F.col(vector).alias("rv"))
+    n = r.count()
+    blocks = max(1, -(-n // broadcast_rows))
+    d2 = F.aggregate(F.zip_with("qv", "rv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    best = None
+    for k in range(blocks):
+        part = r if blocks == 1 else r.where(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == k)
+        found = q.crossJoin(F.broadcast(part)).select("qid", F.struct(d2.alias("d2"), "rid").alias("m")).groupBy("qid").agg(F.min("m").alias("m"))
+        best = found if best is None else best.union(found)
+    return best.groupBy("qid").agg(F.min("m").alias("m")).select("qid", "m.rid", "m.d2")

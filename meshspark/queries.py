@@ -14,7 +14,7 @@ from .functions import geometry as G
 from .functions.vec import Vec
 from .operators import constraints, crop, guard, locate, metrics, objective, refine, spatial, state, topology
 from .operators.topology import CORNERS
-from .plans import fit
+from .plans import diagnose, fit
 from .plans.evaluate import as_points
 from .sources import fixtures
 
@@ -547,3 +547,67 @@ def grd7_pin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = metrics.new_pairs(metrics.self_intersections(now, f), base)
     return left.agg(F.count("*").alias("n_new_pairs")).crossJoin(pinned.agg(F.count("*").alias("n_pinned")))
 
+
+
+@query("""WITH s AS (SELECT vec_id, embedding FROM embeddings WHERE label < 5 AND vec_id % 4 = 0), t AS (SELECT vec_id, embedding FROM embeddings WHERE label >= 5),
+d AS (SELECT s.vec_id AS qid, t.vec_id AS rid, list_sum(list_transform(list_zip(s.embedding, t.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d2 FROM s, t)
+SELECT qid, rid, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS n FROM d) WHERE n = 1""")
+def jn5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixtures.embeddings(spark, sf_dir)
+    s = e.where("label < 5 AND vec_id % 4 = 0").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("v"))
+    t = e.where("label >= 5").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("v"))
+    return spatial.nearest_vectors(s, t).select("qid", "rid", _r("d2").alias("d2"))
+
+
+@query(f"WITH {_MESH},{_TARGET}, d AS (SELECT a.vid AS v, b.vid AS t, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM mv a, gv b) SELECT v AS vid, round(sqrt(min(d2)), 9) AS error FROM d GROUP BY v")
+def agg6_fit_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, _ = fixtures.height_field(spark, sf_dir, 0)
+    return locate.fit_error(v, as_points(fixtures.height_field(spark, sf_dir, 1)[0])).select("vid", _r("error", 9).alias("error"))
+
+
+@query(f"""WITH {_MESH},{_TARGET}, d AS (SELECT a.vid AS v, b.vid AS t, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM mv a, gv b),
+n AS (SELECT t, v, d2 FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d2, v) AS n FROM d) WHERE n = 1) SELECT mv.vid, round(coalesce(max(sqrt(d2)), 0), 9) AS error FROM mv LEFT JOIN n ON n.v = mv.vid GROUP BY mv.vid""")
+def agg7_coverage_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, _ = fixtures.height_field(spark, sf_dir, 0)
+    return locate.coverage_error(v, as_points(fixtures.height_field(spark, sf_dir, 1)[0])).select("vid", _r("error", 9).alias("error"))
+
+
+@query(f"{_SEG} SELECT w AS t_lo, count(t) FILTER (t >= w) AS n, round(min(t) FILTER (t >= w), 6) AS t_min FROM hits, (VALUES (0.0::DOUBLE), (1e-8::DOUBLE), (1e-6::DOUBLE), (1e-4::DOUBLE)) x(w) GROUP BY w")
+def exp5_crossings_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, _, sheet, segs = _trajectory(spark, sf_dir)
+    return diagnose.crossings_by_window(spatial.segment_hits(segs, *sheet)).withColumn("t_min", _r("t_min"))
+
+
+@query(f"WITH {_MESH} SELECT fid, avg(b) < 0.02 * {TAU} AS plateau, avg(o) > 0.5 AS blocked, max(l)::INT AS last_refine FROM (SELECT fid, vid, (vid % 4)::DOUBLE * 0.0005 AS b, (vid % 3 = 0)::INT AS o, vid % 5 AS l FROM (SELECT fid, unnest([i0, i1, i2]) AS vid FROM mf)) GROUP BY fid")
+def agg9_face_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = fixtures.height_field(spark, sf_dir)
+    s = state.initial_state(v).withColumns({"resid_drop_ema": (F.col("vid") % 4).cast("double") * 0.0005, "optimizable": F.col("vid") % 3 != 0, "last_refine": (F.col("vid") % 5).cast("int")})
+    return state.face_state(s, f, TAU)
+
+
+@query(f"WITH {_MESH}, {_EDGES}, g AS (SELECT vid, CASE WHEN vid % 2 = 0 THEN 1 ELSE 2 + vid END AS gid FROM mv), k AS (SELECT gid, row_number() OVER (ORDER BY gid) - 1 AS g FROM (SELECT DISTINCT gid FROM g)) SELECT e0, e1, a.g AS g0, b.g AS g1 FROM e JOIN g x ON x.vid = e0 JOIN g y ON y.vid = e1 JOIN k a ON a.gid = x.gid JOIN k b ON b.gid = y.gid WHERE a.g <> b.g")
+def msh12_group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = fixtures.height_field(spark, sf_dir)
+    groups = constraints.VertexGroups()
+    groups.add(1, v.where("vid % 2 = 0"))
+    return topology.group_edges(groups.of(v), topology.unique_edges(f))
+
+
+@query(f"{_HITS}, k AS (SELECT fa AS fid FROM hit UNION SELECT fb FROM hit), n AS (SELECT * FROM hit WHERE fa % 2 = 1 OR fb % 2 = 1) SELECT (SELECT count(*) FROM hit) AS total_pairs, (SELECT count(*) FROM k) AS total_faces, (SELECT count(*) FROM n) AS new_pairs, (SELECT count(*) FROM (SELECT fa FROM n UNION SELECT fb FROM n)) AS new_faces")
+def agg14_compared_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = topology.saved(metrics.self_intersections(*fixtures.double_shell(spark, sf_dir)))
+    return metrics.compared_to_baseline(pairs, pairs.where("fa % 2 = 0 AND fb % 2 = 0"))
+
+
+@query()
+def exp5f_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by the interval test and by strict penetration."""
+    return diagnose.predicates(*fixtures.double_shell(spark, sf_dir))
+
+
+@query()
+def src6_surface_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import mesh_files
+
+    m = fixtures.height_field(spark, sf_dir)
+    return mesh_files.sample_points(mesh_files.surface_samples(*m, 2000, 1), *m).select("pid", *[_r(c).alias(c) for c in "xyz"])
