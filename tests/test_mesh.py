@@ -70,7 +70,7 @@ def test_candidates_between_sheets(spark):
         near = pairs_of(spatial.knn_collision_candidates(*m, k=4, margin=0.05))
         assert near and all((a < 2) != (b < 2) for a, b in near)
         assert pairs_of(spatial.collision_candidates(*m, 0.05)) >= near
-        assert (metrics.self_intersections(*m).count() > 0) is hits
+        assert (metrics.self_intersections(*m, predicate="moller").count() > 0) is hits
 
 
 SHEET = [(-1, -1, 0), (1, -1, 0), (-1, 1, 0), (1, 1, 0), (-0.2, -0.2, 1)], [(0, 1, 2), (1, 3, 2)]
@@ -183,7 +183,7 @@ def test_states(spark):
 
 
 def test_series(spark):
-    rows = [("r", i, v) for i, v in enumerate([10, 8, 6, 4, 2, 1, 1, 1, 1, 1, 1, 1])]
+    rows = [("r", i, float(v)) for i, v in enumerate([10, 8, 6, 4, 2, 1, 1, 1, 1, 1, 1, 1])]
     got = state.plateau(spark.createDataFrame(rows, "run_id string, step long, value double"), by=["run_id"], order=["step"]).orderBy("step").collect()
     assert [r.plateaued for r in got] == [False] * 11 + [True]
     log = state.SeriesLog(spark)
