@@ -115,10 +115,10 @@ def with_penetration(df: DataFrame, one: list[Vec], two: list[Vec], out: str = "
     return df.withColumn(out, either).drop(*names)
 
 
-def with_intersection(df: DataFrame, one: list[Vec], two: list[Vec], out: str = "intersects") -> DataFrame:
+def with_intersection(df: DataFrame, one: list[Vec], two: list[Vec], out: str = "intersects", coplanar: bool = True) -> DataFrame:
     """Adds the interval test of two triangles: strict rejection when one lies on a side of the
     other's plane, else overlap of the crossing intervals on the line of both planes; nearly
-    coplanar pairs intersect if their distance is (almost) zero."""
+    coplanar pairs intersect if their distance is (almost) zero (null without ``coplanar``)."""
     df = df.withColumns({**(one[1] - one[0]).cross(one[2] - one[0]).columns("_n1"), **(two[1] - two[0]).cross(two[2] - two[0]).columns("_n2")})
     n1, n2 = Vec.of("_n1"), Vec.of("_n2")
     df = df.withColumns({**{f"_b{i}": n1.dot(two[i] - one[0]) for i in range(3)}, **{f"_a{i}": n2.dot(one[i] - two[0]) for i in range(3)}, **n1.cross(n2).columns("_l")})
@@ -138,7 +138,7 @@ def with_intersection(df: DataFrame, one: list[Vec], two: list[Vec], out: str =
         ends |= {f"_{tag}lo": F.least(*lo), f"_{tag}hi": F.greatest(*hi)}
     df = df.withColumns(ends)
     temps += list(ends)
-    df = with_triangle_distance2(df, one, two, "_td2")
+    df = with_triangle_distance2(df, one, two, "_td2") if coplanar else df.withColumn("_td2", F.lit(None).cast("double"))
     beside = [(F.col(f"_{k}0") > EPS) & (F.col(f"_{k}1") > EPS) & (F.col(f"_{k}2") > EPS) | (F.col(f"_{k}0") < -EPS) & (F.col(f"_{k}1") < -EPS) & (F.col(f"_{k}2") < -EPS) for k in "ab"]
     overlap = F.coalesce(F.greatest(F.col("_alo"), F.col("_blo")) <= F.least(F.col("_ahi"), F.col("_bhi")), F.lit(False)) & F.col("_alo").isNotNull() & F.col("_blo").isNotNull()
     verdict = F.when(line.norm2() < COPLANAR, F.col("_td2") <= COPLANAR).when(beside[0] | beside[1], F.lit(False)).otherwise(overlap)

@@ -90,8 +90,8 @@ def _barrier(rows: DataFrame, gap: Column, margin: Column) -> DataFrame:
 
 def collision_barrier(pairs: DataFrame, vertices: DataFrame, faces: DataFrame, margin: float) -> DataFrame:
     """Squared shortfall of triangle distances under ``margin``, by the number of short pairs."""
-    both = G.with_triangle_distance2(spatial.gathered(pairs, vertices, faces), corners("a_"), corners("b_"))
-    return _barrier(both, F.sqrt(F.col("tri_d2") + 1e-18), F.lit(margin))
+    both = spatial.pair_distances(spatial.gathered(pairs, vertices, faces))
+    return _barrier(both, F.sqrt(F.col("d2") + 1e-18), F.lit(margin))
 
 def sheet_barrier(pairs: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Squared shortfall of the signed separation along ``ux, uy, uz`` under ``margin`` of each pair."""

@@ -265,11 +265,28 @@ def gated_matches(source: DataFrame, target: DataFrame, most: float, cosine: flo
     return found.select(F.col("qid").alias("vid"), F.col("rid").alias("tid"), "d2", keep.cast("double").alias("weight"))
 
 
+def pair_distances(pairs: DataFrame) -> DataFrame:
+    """``fa, fb, d2``: the least of the 6 point-triangle and 9 edge-edge squared distances of each
+    pair, a row for each of them in between, so that the generated code holds one of either kind."""
+    one, two = corners("a_"), corners("b_")
+    key = [F.col("a_fid").alias("fa"), F.col("b_fid").alias("fb")]
+    row = lambda names, vectors: F.struct(*[c for v, n in zip(vectors, names, strict=True) for c in v.named(n)])
+    points = F.array(*[row("pabc", (p, *tri)) for tri, ps in ((two, one), (one, two)) for p in ps])
+    edges = F.array(*[row("pqrs", (one[i], one[(i + 1) % 3], two[j], two[(j + 1) % 3])) for i in range(3) for j in range(3)])
+    near = G.with_closest_on_triangle(pairs.select(*key, F.explode(points).alias("t")).select("fa", "fb", "t.*"), Vec.of("p"), *[Vec.of(k) for k in "abc"]).select("fa", "fb", "d2")
+    apart = pairs.select(*key, F.explode(edges).alias("t")).select("fa", "fb", "t.*")
+    apart = apart.select("fa", "fb", G.segment_distance2(*[Vec.of(k) for k in "pqrs"]).alias("d2"))
+    return near.union(apart).groupBy("fa", "fb").agg(F.min("d2").alias("d2"))
+
+
 def detect(pairs: DataFrame, predicate: str = "penetrate", eps: float = 0.0) -> DataFrame:
     """``fa, fb`` of the candidate rows that pass: ``penetrate`` (strict crossing) or ``moller`` (interval test)."""
     one, two = corners("a_"), corners("b_")
     if predicate != "penetrate":
-        return G.with_intersection(pairs, one, two, "hit").where("hit").select(F.col("a_fid").alias("fa"), F.col("b_fid").alias("fb"))
+        tested = G.with_intersection(pairs, one, two, "hit", coplanar=False)
+        crossing = tested.where("hit").select(F.col("a_fid").alias("fa"), F.col("b_fid").alias("fb"))
+        touching = pair_distances(tested.where("hit IS NULL")).where(F.col("d2") <= G.COPLANAR)
+        return crossing.union(touching.select("fa", "fb"))
     # a row for each edge and the other triangle: the generated code holds one test, not six
     tests = [(edge[i], edge[(i + 1) % 3], *tri) for edge, tri in ((one, two), (two, one)) for i in range(3)]
     names = ("p", "q", "a", "b", "c")
