@@ -184,7 +184,7 @@ def normal_equations_cg(vertices: DataFrame, edges: DataFrame, rhs: DataFrame, w
     return now.select("vid", *[F.col(f"x{c}").alias(c) for c in "xyz"])
 
 
-def nonrigid_icp(source: Mesh, target: DataFrame, *, alphas: tuple[float, ...] = (50.0, 20.0, 5.0, 1.0), inner: int = 2, threshold: float = 0.02) -> DataFrame:
+def nonrigid_fit(source: Mesh, target: DataFrame, *, alphas: tuple[float, ...] = (50.0, 20.0, 5.0, 1.0), inner: int = 2, threshold: float = 0.02) -> DataFrame:
     """Vertices drawn to their matches within ``threshold`` under falling stiffness of neighbouring
     displacements, and at last set onto their matches."""
     v, f = source
@@ -419,7 +419,7 @@ def map_mesh(source: Mesh, target: Mesh, *, nonrigid: bool = True) -> DataFrame:
     t = as_points(target[0])
     m = icp(as_points(source[0]), t)
     v = saved(transformed(source[0].select("vid", "x", "y", "z"), m))
-    return nonrigid_icp((v, source[1]), t) if nonrigid else v
+    return nonrigid_fit((v, source[1]), t) if nonrigid else v
 
 
 def with_normals(mesh: Mesh) -> DataFrame:
