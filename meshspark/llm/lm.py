@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, vocabulary_path
 from .common import ready, text_or_empty, written
-from .words import word_parts
+from .words import mixed, word_parts
 
 WIDTH, STRIDE, DIM = 32, 24, 16
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
@@ -171,6 +171,16 @@ def windows(n: np.ndarray, g: np.ndarray, start_id: int) -> tuple[np.ndarray, np
     return ids, at, scored
 
 
+def chosen_windows(h: np.ndarray, n: np.ndarray, part: int) -> np.ndarray:
+    """Which windows are learnt from if one in ``part`` is: by text and window, wherever the text lies."""
+    count = 1 + np.maximum(n - WIDTH + STRIDE - 1, 0) // STRIDE
+    begin = np.cumsum(n) - n
+    place = np.arange(len(h)) - np.repeat(begin, n)
+    text = np.add.reduceat(mixed(h + place.astype(np.uint64)), begin)
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return mixed(np.repeat(text, count) + nth.astype(np.uint64)) % np.uint64(part) == 0
+
+
 class Tables:
     """What scoring needs of the counts: a bounded number of frequent words, and sums by subword."""
 
@@ -200,7 +210,7 @@ class Tables:
 
 def score(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", language: str | None = "lang", held_out: int = 1, folds: int = 5, languages: int = 6,
-    frequent: int = 1 << 17, vocabulary: str | None = None, rounds: int = 2, window_part: int = 8, rate: float = 0.02,
+    frequent: int = 1 << 17, vocabulary: str | None = None, rounds: int = 2, window_part: int = 1, rate: float = 0.02,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -210,8 +220,8 @@ def score(
     one. ``language`` names the column whose commonest ``languages`` values get a distribution
     (null, rarer and a missing column: one for the rest); the others play no part.
 
-    Counts cover all training tokens. Gradients use one in ``window_part`` windows, by a hash of
-    the text, in ``rounds`` passes; each partition trains from the common start and parameters are
+    Counts and gradients cover all training tokens, the latter in ``rounds`` passes (a
+    ``window_part`` above 1 takes one window in so many, by text and window); each partition trains from the common start and parameters are
     averaged by windows, so the work follows the input. What is broadcast is bounded: ``frequent``
     words, sums by subword, and the model.
     """
@@ -305,7 +315,7 @@ def score(
                     continue
                 h, g, n = tokens(b.column(1), pieces)
                 ids, at, scored = windows(n, g, pieces.start)
-                chosen = np.flatnonzero((h[at[:, 0]] ^ h[at[:, -1]] ^ np.arange(len(at)).astype(np.uint64)) % np.uint64(window_part) == 0)
+                chosen = np.flatnonzero(chosen_windows(h, n, window_part))
                 if len(chosen):
                     event, _ = t.events(h, g)
                     left.append((ids[chosen], t.chance[event[at[chosen]]], scored[chosen]))

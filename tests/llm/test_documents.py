@@ -250,6 +250,20 @@ def test_every_token_is_scored_once():
     assert ((np.arange(lm.WIDTH) >= lm.WIDTH - lm.STRIDE) | (ids[:, :1] == 9999))[scored].all()
 
 
+def test_all_windows_are_learnt_from():
+    import inspect
+
+    import numpy as np
+
+    assert inspect.signature(lm.score).parameters["window_part"].default == 1
+    rng = np.random.default_rng(1)
+    n = np.array([5, 300, 57, 40])
+    h = rng.integers(0, 1 << 62, n.sum()).astype(np.uint64)
+    assert lm.chosen_windows(h, n, 1).all()
+    apart = [lm.chosen_windows(t, np.array([len(t)]), 3) for t in np.split(h, np.cumsum(n)[:-1])]
+    assert (lm.chosen_windows(h, n, 3) == np.concatenate(apart)).all() and len(np.concatenate(apart)) == len(lm.windows(n, h.astype(np.int64), 0)[0])
+
+
 def test_gradient_of_the_gate():
     import numpy as np
 
