@@ -1,20 +1,25 @@
 """Language-model scores from a causal self-attention model trained in numpy on subword ids.
 
-A token is a word or a text's end. Its event is the word itself for the most frequent words, else
-the subword it begins with (the longest piece of the vocabulary of at most three bytes). Counts of
-events by language give one distribution each (smoothed by that of all); causal self-attention
-over the subword ids of the tokens before chooses how to mix them, and a rare word's probability
+A token is a word or a text's end. Causal self-attention reads all subword ids of all tokens
+before and emits a distribution over the next subword: whether it begins a token, then which of
+the subwords that do or do not it is, by a binary code of the vocabulary. A word's probability
+is that of its subwords and of its end. It is mixed with counts, in shares that the same attention
+chooses where the token begins.
+
+A token's event in the counts is the word itself for the most frequent words, else the subword it
+begins with (the longest piece of the vocabulary of at most three bytes). Counts of events by
+language give one distribution each (smoothed by that of all), and a rare word's probability
 is its event's times its share of that event's counts. Unseen words of an event count as one type of it,
-as all unseen words do in the base. So every probability is a product of two normalized ones, and
-all counts are taken over the whole training corpus.
+as all unseen words do in the base. All counts are taken over the whole training corpus.
 
-Long texts are scored in overlapping windows: each token once, with at least ``WIDTH - STRIDE``
-tokens before it where the text has them.
+Long texts are scored in overlapping windows: each subword once, with at least ``WIDTH - STRIDE``
+subwords before it where the text has them.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 
 import numpy as np
@@ -23,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_alphabet, vocabulary_path
+from .bpe import _Numbers, _Ragged, byte_alphabet, encoder, vocabulary_path
 from .common import ready, text_or_empty, written
-from .words import mixed, word_parts
+from .words import mixed, utf8, word_parts
 
 WIDTH, STRIDE, DIM = 32, 24, 16
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
@@ -77,6 +82,98 @@ def tokens(column: pa.Array, pieces: Subwords) -> tuple[np.ndarray, np.ndarray,
     return h, g, n
 
 
+class Coder:
+    """All subword ids of each token; those of words that were seen before are kept, at most ``limit``."""
+
+    def __init__(self, path: str, limit: int = 500_000) -> None:
+        pieces = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        self.alphabet = byte_alphabet()
+        self.of_byte = np.array([pieces[c] for c in self.alphabet], np.uint32)
+        self.end = max(pieces.values()) + 1
+        self.start, self.n = self.end + 1, self.end + 2
+        begins = np.zeros(self.n, bool)
+        begins[[i for p, i in pieces.items() if p[0] == self.alphabet[32]] + [self.end]] = True
+        self.begins, self.codes = begins, Codes(begins[: self.start])
+        self.pretokens, self.limit = encoder(path).pretokens, limit
+        self.words, self.of_word = _Numbers(), _Ragged()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        texts = [" " + w.decode("utf-8", "replace") for w in fresh]
+        plain = np.array([t.isprintable() for t in texts], bool)
+        both, keys = _Ragged(), [t for t, p in zip(texts, plain.tolist(), strict=True) if p]
+        if keys:
+            both.append(*self.pretokens(keys))
+        odd = [self.of_byte[np.frombuffer(b" " + w, np.uint8)] for w, p in zip(fresh, plain.tolist(), strict=True) if not p]
+        if odd:
+            both.append(np.concatenate(odd), np.array([len(o) for o in odd]))
+        at = np.empty(len(fresh), np.int64)
+        at[plain], at[~plain] = np.arange(len(keys)), np.arange(len(keys), len(fresh))
+        self.of_word.append(*both.take(at))
+
+    def __call__(self, column: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in turn and how many each token has; ``n`` tokens a row, the last of them its end."""
+        if len(self.words) > self.limit:
+            self.words, self.of_word = _Numbers(), _Ragged()
+        raw, offsets = utf8(column)
+        data = raw.tobytes()
+        at, fresh = self.words.of(b" ".join(data[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)).lower().split())
+        if fresh:
+            self._learn(fresh)
+        ids, lengths = self.of_word.take(at)
+        size = np.ones(int(n.sum()), np.int64)
+        ends = np.cumsum(n) - 1
+        word = np.ones(len(size), bool)
+        word[ends] = False
+        size[word] = lengths
+        out = np.full(int(size.sum()), self.end, np.int64)
+        out[np.repeat(word, size)] = ids
+        return out, size
+
+
+@functools.lru_cache(maxsize=1)
+def coder(path: str) -> Coder:
+    return Coder(path)
+
+
+class Codes:
+    """Binary codes of subwords: node 0 tells those that begin a token from the others, below it each
+    kind has its Huffman tree, for chances that fall with the place in the vocabulary."""
+
+    def __init__(self, begins: np.ndarray) -> None:
+        node, codes = 1, [[] for _ in begins]
+        for kind in (True, False):
+            members = np.flatnonzero(begins == kind).tolist()
+            # the end of a text is last in the vocabulary but common
+            heap = [(1 / (20 + (i if i < len(begins) - 1 else 0)), i) for i in members]
+            heapq.heapify(heap)
+            up: dict[int, tuple[int, int]] = {}
+            top = len(begins)
+            while len(heap) > 1:
+                (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+                up[i], up[j] = (top, 1), (top, -1)
+                heapq.heappush(heap, (a + b, top))
+                top += 1
+            for i in members:
+                x = i
+                while x in up:
+                    x, sign = up[x]
+                    codes[i].append((node + x - len(begins), sign))
+            node += max(0, len(members) - 1)
+        self.nodes = node
+        self.length = np.array([len(c) for c in codes], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        flat = np.array([x for c in codes for x in c], np.int64).reshape(-1, 2)
+        self.node, self.sign = flat[:, 0], flat[:, 1].astype(np.float32)
+        self.kind = np.where(begins, 1, -1).astype(np.float32)
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each id in turn: its row, nodes and signs below node 0."""
+        length = self.length[ids]
+        row = np.repeat(np.arange(len(ids)), length)
+        at = np.repeat(self.first[ids] - (np.cumsum(length) - length), length) + np.arange(len(row))
+        return row, self.node[at], self.sign[at]
+
+
 class Gate:
     """One layer of causal self-attention over subword ids; its output mixes the distributions."""
 
@@ -99,8 +196,8 @@ class Gate:
             at += size
         return self
 
-    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log weights (windows, WIDTH, outputs); position t sees the ids up to t, which are of tokens before it."""
+    def hidden(self, ids: np.ndarray) -> tuple:
+        """What position t knows of the ids up to t, which are of subwords before the one it scores."""
         p = self.p
         x = p["emb"][ids] + p["pos"]
         q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
@@ -110,34 +207,102 @@ class Gate:
         s -= s.max(axis=2, keepdims=True)
         a = np.exp(s, out=s)
         a /= a.sum(axis=2, keepdims=True)
-        h = a @ v + x
+        return x, q, k, v, a, a @ v + x
+
+    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Log weights (windows, WIDTH, outputs)."""
+        p, known = self.p, self.hidden(ids)
+        h = known[-1]
         z = h @ p["wo"] + p["bias"]
         z -= z.max(axis=2, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=2, keepdims=True)), (x, q, k, v, a, h)
+        return z - np.log(np.exp(z).sum(axis=2, keepdims=True)), known
 
     def gradient(self, ids: np.ndarray, chances: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean log probability of the counted tokens, given each distribution's chance of them."""
-        p = self.p
-        logw, (x, q, k, v, a, h) = self.forward(ids)
+        logw, known = self.forward(ids)
+        grad, dh = self._weights(logw, known, chances, counted)
+        grad |= self._attention(ids, known, dh)
+        rows, values = grad["emb"]
+        grad["emb"] = np.zeros_like(self.p["emb"])
+        grad["emb"][rows] = values
+        return grad
+
+    def _weights(self, logw: np.ndarray, known: tuple, chances: np.ndarray, counted: np.ndarray) -> tuple[dict, np.ndarray]:
+        h = known[-1]
         w = np.exp(logw)
         post = w * chances
         post /= post.sum(axis=2, keepdims=True) + 1e-30
         dz = (post - w) * (counted[..., None] / max(1, counted.sum())).astype(np.float32)
-        dh = dz @ p["wo"].T
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        return {"wo": flat(h).T @ flat(dz), "bias": flat(dz).sum(axis=0)}, dz @ self.p["wo"].T
+
+    def _attention(self, ids: np.ndarray, known: tuple, dh: np.ndarray) -> dict:
+        """Gradients below what the positions know; that of embeddings as rows and their values."""
+        p, (x, q, k, v, a, _) = self.p, known
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
         ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(DIM))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        emb = np.zeros_like(p["emb"])
         order = np.argsort(ids.reshape(-1), kind="stable")
         own = ids.reshape(-1)[order]
         first = np.flatnonzero(np.diff(own, prepend=-1))
-        emb[own[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
-        return {
-            "emb": emb, "pos": dx.sum(axis=0), "wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv), "wo": flat(h).T @ flat(dz), "bias": flat(dz).sum(axis=0),
-        }
+        emb = own[first], np.add.reduceat(flat(dx)[order], first, axis=0)
+        return {"emb": emb, "pos": dx.sum(axis=0), "wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
+
+
+def _log_sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
+
+
+class Model(Gate):
+    """A gate whose attention also emits a distribution over the next subword."""
+
+    NAMES = (*Gate.NAMES, "node", "lean")
+
+    def __init__(self, made: Coder, outputs: int, seed: int = 5) -> None:
+        super().__init__(made.n, outputs, seed)
+        self.codes = made.codes
+        self.p |= {"node": np.zeros((self.codes.nodes, DIM), np.float32), "lean": np.zeros(self.codes.nodes, np.float32)}
+
+    def emit(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Log chances of the subwords ``ids`` among their kind, and of their kind, by what is known (n, DIM)."""
+        row, node, sign = self.codes.paths(ids)
+        own = sign * (np.einsum("ij,ij->i", h[row], self.p["node"][node]) + self.p["lean"][node])
+        kind = self.codes.kind[ids]
+        root = kind * (h @ self.p["node"][0] + self.p["lean"][0])
+        logs = np.bincount(row, _log_sigmoid(own), len(ids))
+        return logs, _log_sigmoid(root), (row, node, sign, own, kind, root)
+
+    def learn(self, ids: np.ndarray, pieces: np.ndarray, scored: np.ndarray, chances: np.ndarray, starts: np.ndarray, size: np.ndarray) -> dict:
+        """Gradient of the mean log chances of the scored subwords, and of the mixtures of tokens.
+        ``chances`` are those by counts where a token ``starts``, ``size`` its subwords; a token
+        that a window cuts off tells nothing about the mixture."""
+        logw, known = self.forward(ids)
+        flat = known[-1].reshape(-1, DIM)
+        logs, roots, (row, node, sign, own, kind, root) = self.emit(flat, pieces.reshape(-1))
+        upto = [np.concatenate([np.zeros((len(ids), 1)), np.cumsum(x.reshape(ids.shape), axis=1)], axis=1) for x in (logs, roots)]
+        at = np.arange(WIDTH)
+        last = np.minimum(at + size, WIDTH)  # one past the token's subwords
+        to_next = pieces != len(self.codes.length) - 1  # a text's end ends itself
+        whole = starts & scored & (at + size + to_next <= WIDTH)
+        take = lambda x, j: np.take_along_axis(x, np.minimum(j, WIDTH), axis=1)
+        word = take(upto[0], last) - upto[0][:, :-1] + np.where(to_next, take(upto[1], last + 1) - upto[1][:, 1:], 0)
+        chances = np.concatenate([chances, np.exp(np.minimum(word, 0))[..., None].astype(np.float32)], axis=2)
+        grad, dh = self._weights(logw, known, chances, whole)
+        weight = (scored.reshape(-1) / max(1, scored.sum())).astype(np.float32)
+        up = weight[row] * sign / (1 + np.exp(own))
+        top = weight * kind / (1 + np.exp(root))
+        dflat = np.outer(top, self.p["node"][0])
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        dflat[row[begin]] += np.add.reduceat(up[:, None] * self.p["node"][node], begin, axis=0)
+        order = np.argsort(node, kind="stable")
+        first = np.flatnonzero(np.diff(node[order], prepend=-1))
+        rows = np.concatenate([[0], node[order][first]])
+        grad["node"] = rows, np.concatenate([(top @ flat)[None], np.add.reduceat((up[:, None] * flat[row])[order], first, axis=0)])
+        grad["lean"] = rows, np.concatenate([[top.sum()], np.add.reduceat(up[order], first)])
+        return grad | self._attention(ids, known, dh + dflat.reshape(dh.shape))
 
 
 class Ascent:
@@ -151,10 +316,13 @@ class Ascent:
     def step(self, grad: dict[str, np.ndarray]) -> None:
         self.t += 1
         for n, g in grad.items():
-            self.m[n] += np.float32(0.1) * (g - self.m[n])
-            self.v[n] += np.float32(0.02) * (g * g - self.v[n])
-            up = self.m[n] / (1 - 0.9**self.t) / (np.sqrt(self.v[n] / (1 - 0.98**self.t)) + 1e-8)
-            self.gate.p[n] += (self.rate * up).astype(np.float32)
+            at, g = g if isinstance(g, tuple) else (slice(None), g)  # rows that a step leaves out keep their state
+            m, v = self.m[n][at], self.v[n][at]
+            m = m + np.float32(0.1) * (g - m)
+            v = v + np.float32(0.02) * (g * g - v)
+            self.m[n][at], self.v[n][at] = m, v
+            up = m / (1 - 0.9**self.t) / (np.sqrt(v / (1 - 0.98**self.t)) + 1e-8)
+            self.gate.p[n][at] += (self.rate * up).astype(np.float32)
 
 
 def windows(n: np.ndarray, g: np.ndarray, start_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +365,14 @@ class Tables:
         by = (events + smooth * share[:, None]) / (events.sum(axis=0) + smooth)
         self.chance = np.column_stack([by, share]).astype(np.float32)
         self.rare_mass = np.log10(rare_mass)
+        self.rare_share = (1 / (rare_words + 1)).astype(np.float32)  # of a rare word in its event, where gradients need one
         self.base = np.log10(total + 0.5 * (distinct + 1))
 
+    def chances(self, event: np.ndarray) -> np.ndarray:
+        """Chances of tokens by each count, of a rare word by a mean share of its event."""
+        share = np.concatenate([np.ones(len(self.top), np.float32), self.rare_share])
+        return self.chance[event] * share[event][..., None]
+
     def events(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Event of each token, and whether it is a frequent word."""
         if not len(self.top):
@@ -293,32 +467,34 @@ def score(
     tables = Tables(top["h"].to_numpy(np.int64).view(np.uint64), top[columns].to_numpy(np.float64), rare, rare_words, once, int(total), int(distinct))
     shared = spark.sparkContext.broadcast(tables)
 
-    gate = Gate(n_pieces, slots + 1)
+    gate = Model(coder(path), slots + 2)
     for _ in range(rounds if total else 0):
         start = spark.sparkContext.broadcast(gate.vector())
 
         def train(batches, start=start):
-            pieces, t = subwords(path), shared.value
-            own = Gate(pieces.n, slots + 1).load(start.value)
+            heads, pieces, t = subwords(path), coder(path), shared.value
+            own = Model(pieces, slots + 2).load(start.value)
             up, seen = Ascent(own, rate), 0
             left: list[tuple] = []
 
             def learn(chunks):
-                ids, chance, counted = (np.concatenate(x) for x in zip(*chunks, strict=True))
-                for i in range(0, len(ids), TRAIN_BATCH):
-                    end = i + TRAIN_BATCH
-                    up.step(own.gradient(ids[i:end], chance[i:end], counted[i:end]))
-                return len(ids)
+                all_ = [np.concatenate(x) for x in zip(*chunks, strict=True)]
+                for i in range(0, len(all_[0]), TRAIN_BATCH):
+                    up.step(own.learn(*[x[i : i + TRAIN_BATCH] for x in all_]))
+                return len(all_[0])
 
             for b in batches:
                 if not b.num_rows:
                     continue
-                h, g, n = tokens(b.column(1), pieces)
-                ids, at, scored = windows(n, g, pieces.start)
-                chosen = np.flatnonzero(chosen_windows(h, n, window_part))
+                h, g, n = tokens(b.column(1), heads)
+                flat, size = pieces(b.column(1), n)
+                per_text = np.add.reduceat(size, np.cumsum(n) - n)
+                ids, at, scored = windows(per_text, flat, pieces.start)
+                chosen = np.flatnonzero(chosen_windows(flat.astype(np.uint64), per_text, window_part))
                 if len(chosen):
                     event, _ = t.events(h, g)
-                    left.append((ids[chosen], t.chance[event[at[chosen]]], scored[chosen]))
+                    token = np.repeat(np.arange(len(h)), size)[at[chosen]]
+                    left.append((ids[chosen], flat[at[chosen]], scored[chosen], t.chances(event[token]), pieces.begins[flat[at[chosen]]], size[token]))
                     if sum(len(x[0]) for x in left) >= BATCH:
                         seen += learn(left)
                         left = []
@@ -332,47 +508,65 @@ def score(
             mean = sum(np.frombuffer(m, "<f4").astype(np.float64) * w for m, w in zip(pdf["model"], n, strict=True)) / n.sum()
             return pd.DataFrame({"model": [mean.astype("<f4").tobytes()], "n": [int(n.sum())]})
 
-        models = training.mapInArrow(train, "model binary, n long").withColumn("part", F.pmod(F.xxhash64("model"), F.lit(16)))
-        found = models.groupBy("part").applyInPandas(merge, "model binary, n long").toPandas()  # 16 rows at most
+        models = training.mapInArrow(train, "model binary, n long")
+        for parts in (256, 16):  # a task holds few models at once
+            models = models.groupBy(F.pmod(F.xxhash64("model"), F.lit(parts)).alias("part")).applyInPandas(merge, "model binary, n long")
+        found = models.toPandas()  # 16 rows at most
         if len(found):
             gate.load(np.frombuffer(merge(found)["model"][0], "<f4"))
     final = spark.sparkContext.broadcast(gate.vector())
 
     def rate_texts(batches):
-        pieces, t = subwords(path), shared.value
-        model = Gate(pieces.n, slots + 1).load(final.value)
+        heads, pieces, t = subwords(path), coder(path), shared.value
+        model = Model(pieces, slots + 2).load(final.value)
         unseen = np.log10(t.unseen).astype(np.float32)
         for b in batches:
             if not b.num_rows:
                 continue
-            h, g, n = tokens(b.column(3), pieces)
+            h, g, n = tokens(b.column(3), heads)
             event, known = t.events(h, g)
-            ids, at, scored = windows(n, g, pieces.start)
-            logp = np.zeros(len(h))
+            flat, size = pieces(b.column(3), n)
+            first = np.cumsum(size) - size
+            token = np.repeat(np.arange(len(h)), size)
+            ids, at, scored = windows(np.add.reduceat(size, np.cumsum(n) - n), flat, pieces.start)
+            by_counts, by_model = np.zeros(len(h)), np.zeros(len(h))
+            logs, roots = np.zeros(len(flat)), np.zeros(len(flat))
             for i in range(0, len(ids), BATCH):
-                logw, _ = model.forward(ids[i : i + BATCH])
+                logw, seen = model.forward(ids[i : i + BATCH])
                 own, ok = at[i : i + BATCH], scored[i : i + BATCH]
                 own = own[ok]
-                logp[own] = np.log10((np.exp(logw[ok]) * t.chance[event[own]]).sum(axis=1, dtype=np.float64))
+                logs[own], roots[own], _ = model.emit(seen[-1][ok], flat[own])
+                begins = pieces.begins[flat[own]]
+                w, own = logw[ok][begins], token[own[begins]]
+                by_counts[own] = np.log10((np.exp(w[:, :-1]) * t.chance[event[own]]).sum(axis=1, dtype=np.float64))
+                by_model[own] = w[:, -1]
+            # a word ends where the next subword begins a token; a text's end ends itself
+            upto = np.concatenate([[0], np.cumsum(roots)])
+            closed = np.where(h == END, 0, upto[np.minimum(first + size + 1, len(flat))] - upto[first + 1])
+            by_model = (by_model + np.add.reduceat(logs, first) + closed) / np.log(10)
             begin = np.cumsum(n) - n
             rare = ~known
             base = np.zeros(len(h))
             base[known] = np.log10(t.words[event[known]] + 0.5)
-            mass = np.zeros(len(h))
-            mass[rare] = t.rare_mass[g[rare]]
+            both = np.logaddexp(by_counts * np.log(10), by_model * np.log(10)) / np.log(10)
+            both[rare] = 0
+            # of a rare word the mixture waits for its count
+            a, z = (by_counts[rare] - t.rare_mass[g[rare]]).astype(np.float32), np.maximum(by_model[rare], -1e6).astype(np.float32)
             n_rare = np.add.reduceat(rare.astype(np.int64), begin)
             offsets = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(base, begin) - n * t.base), pa.array(np.add.reduceat(logp - mass, begin)), pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(unseen[g[rare]])], ["h", "u"]))],
+                [b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(base, begin) - n * t.base), pa.array(np.add.reduceat(both, begin)), pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(unseen[g[rare]]), pa.array(a), pa.array(z)], ["h", "u", "a", "z"]))],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rated = written(numbered.mapInArrow(rate_texts, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h:long,u:float>>"), "rated")
+    rated = written(numbered.mapInArrow(rate_texts, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h:long,u:float,a:float,z:float>>"), "rated")
     counts = words.select("h", "c")
     each = rated.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "h", "left")
     known, half = F.log10(F.col("c") + 0.5), float(np.log10(0.5))
-    sums = each.groupBy("row").agg(F.sum(F.coalesce(known, F.lit(half))).alias("base_logs"), F.sum(F.coalesce(known, F.col("u").cast("double"))).alias("logs"), F.count("c").alias("seen"))
+    counts_say, model_says = F.col("a").cast("double") + F.coalesce(known, F.col("u").cast("double")), F.col("z").cast("double")
+    mixture = F.greatest(counts_say, model_says) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(counts_say - model_says)))
+    sums = each.groupBy("row").agg(F.sum(F.coalesce(known, F.lit(half))).alias("base_logs"), F.sum(mixture).alias("logs"), F.count("c").alias("seen"))
     out = rated.drop("rare").join(sums, "row", "left")
     zero = F.lit(0.0)
     return out.select(

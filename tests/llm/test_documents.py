@@ -241,6 +241,60 @@ def test_lm_learns_what_context_tells(spark):
     assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.2
 
 
+def test_lm_predicts_words_from_context(spark):
+    """One language, so no table of counts tells more than another: only the words before tell the next."""
+    cycle = ["remembering", "rememberable", "unremembered", "forgettable", "forgetting", "unforgotten"]
+    rows = [(i, " ".join(cycle[(i + j) % 6] for j in range(60)), "xy") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    out = lm.score(d, rounds=8).where("held_out").collect()
+    assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.3
+
+
+def test_all_subwords_of_words():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = lm.vocabulary_path()
+    made, own = lm.coder(path), Tokenizer.from_file(path)
+    texts = ["The Unrememberingly \u00e9t\u00e9 \x01b", "", None, "zz\tunrememberingly"]
+    ids, size = made(pa.array(texts), np.array([5, 1, 1, 3]))
+    want = [own.encode(" " + w, add_special_tokens=False).ids for w in ("the", "unrememberingly", "\u00e9t\u00e9")]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])][:3] == want and len(want[1]) > 1
+    assert size.sum() == len(ids) and (ids == made.end).sum() == 4 and made.begins[ids].sum() == 10
+
+
+def test_gradient_of_the_model_and_its_whole_chance():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    made = type("Made", (), {"n": 14, "codes": lm.Codes(np.arange(13) % 3 == 0)})
+    model = lm.Model(made, 3)
+    model.p = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in model.p.items()}
+    h = rng.standard_normal((1, lm.DIM)).repeat(13, axis=0)
+    logs, kinds, _ = model.emit(h, np.arange(13))
+    assert abs(np.exp(logs + kinds).sum() - 1) < 1e-6
+    ids, pieces, scored = rng.integers(0, 14, (4, lm.WIDTH)), rng.integers(0, 13, (4, lm.WIDTH)), rng.random((4, lm.WIDTH)) < 0.7
+    grad = model.learn(ids, pieces, scored, rng.random((4, lm.WIDTH, 2)), np.zeros_like(scored), np.ones_like(pieces))
+
+    def value():
+        logs, kinds, _ = model.emit(model.hidden(ids)[-1].reshape(-1, lm.DIM), pieces.reshape(-1))
+        return (logs + kinds)[scored.reshape(-1)].mean()
+
+    for name in ("emb", "pos", "wq", "wk", "wv", "node", "lean"):
+        whole = np.zeros_like(model.p[name])
+        at, values = grad[name] if isinstance(grad[name], tuple) else (slice(None), grad[name])
+        whole[at] = values
+        place = tuple(rng.integers(0, s) for s in whole.shape)
+        keep = model.p[name][place]
+        model.p[name][place] = keep + 1e-4
+        up = value()
+        model.p[name][place] = keep - 1e-4
+        down = value()
+        model.p[name][place] = keep
+        assert abs((up - down) / 2e-4 - whole[place]) < 1e-5 + 1e-3 * abs(whole[place])
+
+
 def test_every_token_is_scored_once():
     import numpy as np
 
