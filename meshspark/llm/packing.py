@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program.
 
 The program has a column for each pattern of lengths that fits a sequence and a row for each
-length. It is solved over the histogram of lengths by multiplicative weights: prices of lengths
-rise while their share of pieces left is above the mean and fall below it, a knapsack by dynamic
-programming prices the patterns, and the best of them are taken some number of times. What is
-left after rounding is placed by best fit, again by counts of equal lengths, so the plan's cost
+length. Its fractional solution is found over the whole histogram of lengths by multiplicative
+weights: prices of lengths that are held too rarely rise, times of patterns that are worth more
+than a sequence rise, and a knapsack by dynamic programming adds the best patterns at the prices.
+The times are rounded down. What is left is placed by patterns that are taken at once, as long as
+they are nearly full, and by best fit, again by counts of equal lengths, so the plan's cost
 depends on the sequence length and not on the number of pieces.
 """
 
@@ -49,8 +50,61 @@ def _pattern(first: int, used: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def plan(counts: np.ndarray, room: int, *, rounds: int = 240, columns: int = 24, step: float = 0.25, rate: float = 0.5) -> Plan:
-    """Patterns of lengths and how often to use each; together they hold ``counts[l]`` pieces of each length ``l``."""
+def covering(counts: np.ndarray, room: int, *, rounds: int = 120, columns: int = 24, inner: int = 40, rate: float = 0.05) -> list[tuple[list[int], float]]:
+    """Patterns and fractional times that nearly solve: fewest sequences that hold ``counts[l]`` of each length ``l``."""
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return []
+    want = counts[lengths].astype(float)
+    place = np.zeros(room + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    # one pattern of each length alone, so that each can be held
+    shapes = {(int(v),) * int(room // v): k for k, v in enumerate(lengths)}
+    times = want / (room // lengths)
+    prices = lengths / room
+    total, weighed = np.zeros(0), 0.0
+    for turn in range(rounds):
+        best, used = _knapsack(prices, lengths, room)
+        for first in lengths[np.argsort(-(prices + best[room - lengths]), kind="stable")[:columns]].tolist():
+            shapes.setdefault(tuple(sorted(_pattern(first, used, room), reverse=True)), len(shapes))
+        rows = place[np.concatenate([np.array(p) for p in shapes])]
+        sizes = np.array([len(p) for p in shapes])
+        first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        fresh = [want[place[np.array(p)]].min() for p in list(shapes)[len(times) :]]
+        times = np.concatenate([times, np.array(fresh) * 1e-2])
+        total = np.concatenate([total, np.zeros(len(times) - len(total))])
+        for _ in range(inner if turn + 1 < rounds else 20 * inner):
+            held = np.bincount(rows, times[of], len(lengths))
+            prices = prices * np.clip(want / np.maximum(held, 1e-9), 0.1, 10.0) ** rate
+            worth = np.add.reduceat(prices[rows], first)
+            times = np.maximum(times * np.clip(worth, 0.1, 10.0) ** rate, 1e-9)
+            if turn >= rounds // 2:
+                total, weighed = total + times, weighed + 1
+    return list(zip(map(list, shapes), (total / weighed).tolist(), strict=True))
+
+
+def plan(counts: np.ndarray, room: int, **options) -> Plan:
+    """Patterns of lengths and how often to use each; together they hold ``counts[l]`` pieces of each length ``l``.
+
+    The program is left out where a plan of patterns taken at once is within a thousandth of the
+    pieces' total length, which no plan can beat."""
+    number = lambda p: sum(t for _, t in p)
+    simple = min(at_once(counts, room, **options), best_fit(counts, room), key=number)
+    if number(simple) <= 1.001 * -(-int((counts * np.arange(room + 1)).sum()) // room):
+        return simple
+    left = counts.astype(np.int64).copy()
+    made: Plan = []
+    for shape, times in sorted(covering(left, room), key=lambda c: -c[1]):
+        sizes, often = np.unique(shape, return_counts=True)
+        use = min(int(times + 1e-3), int((left[sizes] // often).min()))
+        if use:
+            left[sizes] -= often * use
+            made.append((shape, use))
+    return min(simple, made + best_fit(left, room), made + at_once(left, room, **options), key=number)
+
+
+def at_once(counts: np.ndarray, room: int, *, rounds: int = 240, columns: int = 24, step: float = 0.25, rate: float = 0.5) -> Plan:
+    """A plan of nearly full patterns, each taken as it is found, and best fit of the rest."""
     left = counts.astype(np.int64).copy()
     made: Plan = []
     if left[room]:

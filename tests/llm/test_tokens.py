@@ -99,6 +99,20 @@ def test_plan_holds_all_pieces(seed):
     assert sum(t for _, t in made) <= bound * 1.02 + 1
 
 
+@pytest.mark.parametrize("k,lengths,best", [(100, {1034: 6, 532: 6, 522: 6, 492: 12}, 9), (100_000, {1034: 6, 532: 6, 522: 6, 492: 12}, 9), (1000, {900: 6, 700: 6, 610: 6}, 7)])
+def test_plan_of_few_lengths_and_large_counts(k, lengths, best):
+    counts = np.zeros(2049, np.int64)
+    for length, n in lengths.items():
+        counts[length] = n * k
+    made = packing.plan(counts, 2048)
+    used = np.zeros(2049, np.int64)
+    for shape, times in made:
+        assert sum(shape) <= 2048
+        np.add.at(used, shape, times)
+    assert (used == counts).all()
+    assert sum(t for _, t in made) <= best * k * 1.02 + 1
+
+
 def check_packed(got, texts, room):
     whole = {r[0]: ids_of(r[1]) + [0] for r in texts}
     by_doc, by_sequence = {}, {}
