@@ -14,6 +14,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "lang", "confidence", "declared", "n_words", "accepted")
 
 
+def op1_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages, where markup, address suffix and host in levels are evidence too."""
+    found = language_id.identify_pages(table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "lang", "confidence", "declared", "n_words", "accepted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op8_lm_scores, op9_neighbours, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op1_language_id_pages, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op8_lm_scores, op9_neighbours, op10_sharding)}
 
 ORACLE_SQL = {"op4_mixing": mixing.SQL}

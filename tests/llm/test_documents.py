@@ -205,6 +205,21 @@ def test_host_priors_decide_short_texts(spark):
     assert got[100] == "es" and got[101] == "en"
 
 
+def test_language_of_the_pages_table(spark, tmp_path):
+    """The query judges every page; markup, suffix and the levels of hosts decide where texts do not."""
+    from meshspark.llm.queries import QUERIES
+
+    rows = [(i, f"http://h{i % 2}.example.fr/{i}", f"<html><body>{'le chat et la souris dans les' if i % 2 else 'le la les de des du et'}</body></html>") for i in range(60)]
+    rows += [(100 + i, f"http://h{i % 2}.example.com/{i}", "<html><body>the cat and the dog of it is</body></html>") for i in range(60)]
+    # one rare word: its host's suffix, its host and its markup tell
+    rows += [(200, "http://new.example.fr/", "<html><body>zapato</body></html>"), (201, "http://new.example.com/", "<html><body>zapato</body></html>"), (202, "http://new.example.com/", '<html lang="es"><body>el zapato</body></html>'), (203, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op1_language_id_pages"](spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert [got[i].lang for i in (200, 201, 202, 203)] == ["fr", "en", "es", "und"] and got[202].declared == "es"
+    assert all(got[i].lang == "fr" for i in range(60)) and all(got[100 + i].lang == "en" for i in range(60))
+
+
 def test_language_of_documents(docs, clashing, none, texts):
     got = {r.key: r.accepted for r in language_id.identify_documents(docs).collect()}
     assert all(got[i] for i in range(90)) and not any(got[i] for i in (96, 97, 98))
