@@ -559,6 +559,16 @@ def jn5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_vectors(s, t).select("qid", "rid", _r("d2").alias("d2"))
 
 
+@query("""WITH s AS (SELECT vec_id, embedding FROM embeddings WHERE label < 5), t AS (SELECT vec_id, embedding FROM embeddings WHERE label >= 5),
+d AS (SELECT s.vec_id AS qid, t.vec_id AS rid, list_sum(list_transform(list_zip(s.embedding, t.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d2 FROM s, t)
+SELECT qid, rid, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS n FROM d) WHERE n = 1""")
+def jn5_nearest_vectors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixtures.embeddings(spark, sf_dir)
+    s = e.where("label < 5").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("v"))
+    t = e.where("label >= 5").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("v"))
+    return spatial.nearest_vectors(s, t).select("qid", "rid", _r("d2").alias("d2"))
+
+
 @query(f"WITH {_MESH},{_TARGET}, d AS (SELECT a.vid AS v, b.vid AS t, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM mv a, gv b) SELECT v AS vid, round(sqrt(min(d2)), 9) AS error FROM d GROUP BY v")
 def agg6_fit_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _ = fixtures.height_field(spark, sf_dir, 0)
