@@ -509,9 +509,9 @@ def score(
             return pd.DataFrame({"model": [mean.astype("<f4").tobytes()], "n": [int(n.sum())]})
 
         models = training.mapInArrow(train, "model binary, n long")
-        for parts in (256, 16):  # a task holds few models at once
+        for parts in (256, 16, 1):  # a task holds few models at once, the driver one
             models = models.groupBy(F.pmod(F.xxhash64("model"), F.lit(parts)).alias("part")).applyInPandas(merge, "model binary, n long")
-        found = models.toPandas()  # 16 rows at most
+        found = models.toPandas()  # one row at most
         if len(found):
             gate.load(np.frombuffer(merge(found)["model"][0], "<f4"))
     final = spark.sparkContext.broadcast(gate.vector())
