@@ -139,13 +139,13 @@ def search(
     nearest others found, by inner product of the original vectors.
 
     Null, zero and non-finite vectors, null ids and vectors of another length than most take no
-    part; rows that repeat an id are one candidate; equal vectors tie to the smaller id; an empty
+    part; rows that repeat an id are one candidate, with the least of their vectors; equal vectors tie to the smaller id; an empty
     table gives an empty one. The curves are fitted on ``fit_rows`` rows at most and the window on
     ``measured`` queries at most, chosen by a hash of the id; all rows are ordered and searched.
     """
     spark = vectors.sparkSession
     ready(spark, 2048)
-    rows = written(usable(vectors, vec_id, vector).dropDuplicates(["id"]), "vectors")
+    rows = written(usable(vectors, vec_id, vector).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kinds = {f.name: f.dataType for f in rows.schema}
     total, norm = rows.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
@@ -213,11 +213,12 @@ def search(
     data = ranked.where("NOT ask").select("curve", F.floor(F.col("place") / block).alias("block"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(crowd - 1))).alias("part"))
     reach = F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block), F.floor(F.least(F.col("place") + window, F.lit(total - 1)) / block))
     asks = ranked.where("ask").select("curve", F.explode(reach).alias("block"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(crowd)).cast("int").alias("part"))
+    asks = asks.toDF(*[f"ask_{c}" for c in asks.columns])  # a cogroup needs sides without common columns
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if left.num_rows and right.num_rows:
-            x, ids, q, own = _matrix(left["v"]), left["id"].to_numpy(), _matrix(right["v"]), right["id"].to_numpy()
+            x, ids, q, own = _matrix(left["v"]), left["id"].to_numpy(), _matrix(right["ask_v"]), right["ask_id"].to_numpy()
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ x.T
                 for j in range(len(rough)):
@@ -227,7 +228,7 @@ def search(
         return pa.table([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
     keys = ["curve", "block", "part"]
-    met = data.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = data.groupBy(*keys).cogroup(asks.groupBy(*[f"ask_{c}" for c in keys])).applyInArrow(meet, "query_id long, vec_id long, score double")
     merged = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", nth.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
