@@ -46,13 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ready(spark: SparkSession, rows: int = 256) -> None:
+def ready(spark: SparkSession, rows: int = 4096, size: int = 1 << 20) -> None:
     """Ready a session for Python operators: the package is shipped to executors, and Arrow batches
-    of long texts stay small in their memory (a smaller setting stays)."""
+    hold at most ``rows`` rows and end at ``size`` bytes, so very long texts stand alone in their memory.
+
+    Both are settings of the session, read when a query runs; smaller ones stay."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key, str(most + 1)).rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
 
 
 def words_in(text: Column) -> Column:

@@ -1,25 +1,26 @@
-"""Language-model scores from a causal self-attention model trained in numpy on subword ids.
-
-A token is a word or a text's end. Causal self-attention reads all subword ids of all tokens
-before and emits a distribution over the next subword: whether it begins a token, then which of
-the subwords that do or do not it is, by a binary code of the vocabulary. A word's probability
-is that of its subwords and of its end. It is mixed with counts, in shares that the same attention
-chooses where the token begins.
-
-A token's event in the counts is the word itself for the most frequent words, else the subword it
-begins with (the longest piece of the vocabulary of at most three bytes). Counts of events by
-language give one distribution each (smoothed by that of all), and a rare word's probability
-is its event's times its share of that event's counts. Unseen words of an event count as one type of it,
-as all unseen words do in the base. All counts are taken over the whole training corpus.
-
-Long texts are scored in overlapping windows: each subword once, with at least ``WIDTH - STRIDE``
-subwords before it where the text has them.
+"""Language-model scores from causal self-attention trained in numpy on subword ids.
+
+A token is a word or a text's end; its subwords are those of the dealt vocabulary. Two causal
+attention models make up a token's probability by the model:
+
+* the outer one reads all subwords of all tokens before (a token's vector is the mean of its
+  subwords' embeddings) and emits a distribution over the subword that the next token begins with;
+* the inner one reads the subwords of a token so far and emits the next one, or the token's end. It
+  depends on the token alone, so it is trained on and computed for distinct words only.
+
+Both emit the class of a subword; within its class a subword has its share of the corpus. The
+model is mixed with counts, in shares that the outer attention chooses for each token: for every slot of
+languages, the chance of the first subword there, times the token's share among the slot's tokens that begin
+with it. Words that training does not hold are one type for each first subword there (as all of them
+are one in the base), as likely as the words seen once.
+
+Long texts are scored in overlapping windows of tokens: each token once, with at least
+``WIDTH - STRIDE`` tokens before it where the text has them. Training takes every window.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 
 import numpy as np
@@ -30,76 +31,39 @@ from pyspark.sql import functions as F
 
 from .bpe import _Numbers, _Ragged, byte_alphabet, encoder, vocabulary_path
 from .common import ready, text_or_empty, written
-from .words import mixed, utf8, word_parts
-
-WIDTH, STRIDE, DIM = 32, 24, 16
-END = np.uint64(0xE2D0E2D0E2D0E2D1)
-BATCH = 256
-TRAIN_BATCH = 64
-
-
-class Subwords:
-    """Dense ids of the vocabulary's pieces of one to three bytes."""
-
-    def __init__(self, path: str) -> None:
-        of = {c: b for b, c in enumerate(byte_alphabet())}
-        pieces = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        keys = [[], []]
-        for p in pieces:
-            raw = [of[c] for c in p if c in of]
-            if len(raw) == len(p) and len(p) in (2, 3):
-                keys[len(p) - 2].append(int.from_bytes(bytes(raw), "big"))
-        self.two, self.three = (np.unique(np.array(k, np.int64)) for k in keys)
-        self.end = 256 + len(self.two) + len(self.three)
-        self.start = self.end + 1
-        self.n = self.end + 2
-
-    def __call__(self, heads: np.ndarray) -> np.ndarray:
-        out = heads[:, 0].copy()
-        key = heads[:, 0] << 8 | heads[:, 1]
-        at = np.minimum(np.searchsorted(self.two, key), len(self.two) - 1)
-        out = np.where((heads[:, 1] >= 0) & (self.two[at] == key), 256 + at, out)
-        key = key << 8 | heads[:, 2]
-        at = np.minimum(np.searchsorted(self.three, key), len(self.three) - 1)
-        return np.where((heads[:, 2] >= 0) & (self.three[at] == key), 256 + len(self.two) + at, out)
-
-
-@functools.lru_cache(maxsize=1)
-def subwords(path: str) -> Subwords:
-    return Subwords(path)
+from .words import mixed, utf8
 
+#: Tokens of a window, tokens from one to the next, and the size of a vector.
+WIDTH, STRIDE, DIM = 24, 18, 16
+#: The same for the subwords of a token.
+INNER_WIDTH, INNER_STRIDE = 8, 6
+#: Classes of subwords with a vector of their own, that are told apart in an output, and language slots.
+BINS, CLASSES, SLOTS = 2048, 32, 8
+#: Windows of a training step and of a scoring step, and steps between updates of the outer embeddings.
+STEP, BATCH, TURN = 128, 256, 8
 
-def tokens(column: pa.Array, pieces: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and subword ids of all tokens in turn (each text's words, then its end), and tokens by row."""
-    hashes, heads, per_row = word_parts(column)
-    n = per_row + 1
-    ends = np.cumsum(n) - 1
-    h, g = np.empty(int(n.sum()), np.uint64), np.empty(int(n.sum()), np.int64)
-    word = np.ones(len(h), bool)
-    word[ends] = False
-    h[word], g[word] = hashes, pieces(heads) if len(hashes) else heads[:, 0]
-    h[ends], g[ends] = END, pieces.end
-    return h, g, n
+_SALT = np.random.default_rng(20250301).integers(1, 2**63, 1 << 17, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Coder:
-    """All subword ids of each token; those of words that were seen before are kept, at most ``limit``."""
+    """All subword ids of the tokens of texts; those of words that were seen before are kept, at most ``limit``."""
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         pieces = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        self.alphabet = byte_alphabet()
-        self.of_byte = np.array([pieces[c] for c in self.alphabet], np.uint32)
+        alphabet = byte_alphabet()
+        self.of_byte = np.array([pieces[c] for c in alphabet], np.uint32)
         self.end = max(pieces.values()) + 1
-        self.start, self.n = self.end + 1, self.end + 2
-        begins = np.zeros(self.n, bool)
-        begins[[i for p, i in pieces.items() if p[0] == self.alphabet[32]] + [self.end]] = True
-        self.begins, self.codes = begins, Codes(begins[: self.start])
+        self.n = self.end + 1
+        self.kind = "<u2" if self.n < 1 << 16 else "<u4"
+        self.begins = np.zeros(self.n, bool)
+        self.begins[[i for p, i in pieces.items() if p[0] == alphabet[32]] + [self.end]] = True
         self.pretokens, self.limit = encoder(path).pretokens, limit
         self.words, self.of_word = _Numbers(), _Ragged()
 
     def _learn(self, fresh: list[bytes]) -> None:
         texts = [" " + w.decode("utf-8", "replace") for w in fresh]
-        plain = np.array([t.isprintable() for t in texts], bool)
+        plain = np.array([t.isprintable() and "\ufffd" not in t for t in texts], bool)
         both, keys = _Ragged(), [t for t, p in zip(texts, plain.tolist(), strict=True) if p]
         if keys:
             both.append(*self.pretokens(keys))
@@ -110,24 +74,29 @@ class Coder:
         at[plain], at[~plain] = np.arange(len(keys)), np.arange(len(keys), len(fresh))
         self.of_word.append(*both.take(at))
 
-    def __call__(self, column: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in turn and how many each token has; ``n`` tokens a row, the last of them its end."""
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in turn, ids of each token, and tokens of each row (its words, then its end)."""
         if len(self.words) > self.limit:
             self.words, self.of_word = _Numbers(), _Ragged()
         raw, offsets = utf8(column)
-        data = raw.tobytes()
-        at, fresh = self.words.of(b" ".join(data[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)).lower().split())
+        data = raw.tobytes().lower()
+        keys: list[bytes] = []
+        n = np.empty(len(column), np.int64)
+        for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            own = data[a:z].split()
+            n[i] = len(own) + 1
+            keys += own
+        at, fresh = self.words.of(keys)
         if fresh:
             self._learn(fresh)
         ids, lengths = self.of_word.take(at)
-        size = np.ones(int(n.sum()), np.int64)
-        ends = np.cumsum(n) - 1
+        size = np.ones(len(keys) + len(n), np.int64)
         word = np.ones(len(size), bool)
-        word[ends] = False
+        word[np.cumsum(n) - 1] = False
         size[word] = lengths
         out = np.full(int(size.sum()), self.end, np.int64)
         out[np.repeat(word, size)] = ids
-        return out, size
+        return out, size, n
 
 
 @functools.lru_cache(maxsize=1)
@@ -135,441 +104,547 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-class Codes:
-    """Binary codes of subwords: node 0 tells those that begin a token from the others, below it each
-    kind has its Huffman tree, for chances that fall with the place in the vocabulary."""
-
-    def __init__(self, begins: np.ndarray) -> None:
-        node, codes = 1, [[] for _ in begins]
+def token_hashes(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of tokens by their subwords."""
+    first = np.cumsum(size) - size
+    place = np.arange(len(ids)) - np.repeat(first, size)
+    powers = np.cumprod(np.full(int(size.max()), _BASE, np.uint64), dtype=np.uint64)
+    return mixed(np.add.reduceat(_SALT[ids & (len(_SALT) - 1)] * powers[place], first) ^ size.astype(np.uint64))
+
+
+def unpacked(column: pa.Array, made: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in turn, ids of each token and tokens of each row, from rows of packed ids."""
+    raw, offsets = utf8(column)
+    ids = raw.view(made.kind).astype(np.int64)
+    first = np.flatnonzero(made.begins[ids])
+    return ids, np.diff(first, append=len(ids)), np.diff(np.searchsorted(first, offsets // np.dtype(made.kind).itemsize))
+
+
+def windows(n: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows over runs of ``n`` things: the first thing, how many there are, and how many at its
+    beginning are scored by the window before."""
+    count = 1 + np.maximum(n - width + stride - 1, 0) // stride
+    run = np.repeat(np.arange(len(n)), count)
+    place = (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)) * stride
+    return (np.cumsum(n) - n)[run] + place, np.minimum(n[run] - place, width), np.where(place > 0, width - stride, 0)
+
+
+def equal_masses(counts: np.ndarray, kinds: np.ndarray, lean: np.ndarray, parts: int) -> np.ndarray:
+    """A class for each subword: classes hold one kind, about a ``parts``-th of all counts or one
+    subword that counts more, and those that lean to the same slot stand together."""
+    order = np.lexsort((np.arange(len(counts)), -counts, lean, kinds))
+    mass = counts[order]
+    at = ((np.cumsum(mass) - mass / 2) / mass.sum() * parts).astype(np.int64)
+    new = (np.diff(at, prepend=at[0]) != 0) | (np.diff(kinds[order], prepend=kinds[order][0]) != 0)
+    out = np.empty(len(counts), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+class Lexicon:
+    """What the models know of single subwords, from their counts (ids, slots) over the whole training corpus."""
+
+    def __init__(self, counts: np.ndarray, firsts: np.ndarray, once: np.ndarray, begins: np.ndarray) -> None:
+        """``firsts`` counts tokens by first subword, ``once`` those of words that occur once."""
+        total = counts.sum(axis=1)
+        alpha = min(0.5, 0.01 * max(total.sum(), 1) / len(total))
+        soft = total + alpha
+        lean = ((counts + alpha / SLOTS) / (counts.sum(axis=0) + alpha)).argmax(axis=1)
+        end = np.zeros(len(soft), np.int64)
+        end[-1] = 2  # a text's end is a class of its own
+        self.bins = equal_masses(soft, begins + end, lean, BINS).astype(np.int32)
+        self.n_bins = int(self.bins.max()) + 2  # the last stands before a text
+        self.classes, self.share, self.n_classes = [], [], []
         for kind in (True, False):
-            members = np.flatnonzero(begins == kind).tolist()
-            # the end of a text is last in the vocabulary but common
-            heap = [(1 / (20 + (i if i < len(begins) - 1 else 0)), i) for i in members]
-            heapq.heapify(heap)
-            up: dict[int, tuple[int, int]] = {}
-            top = len(begins)
-            while len(heap) > 1:
-                (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-                up[i], up[j] = (top, 1), (top, -1)
-                heapq.heappush(heap, (a + b, top))
-                top += 1
-            for i in members:
-                x = i
-                while x in up:
-                    x, sign = up[x]
-                    codes[i].append((node + x - len(begins), sign))
-            node += max(0, len(members) - 1)
-        self.nodes = node
-        self.length = np.array([len(c) for c in codes], np.int64)
-        self.first = np.cumsum(self.length) - self.length
-        flat = np.array([x for c in codes for x in c], np.int64).reshape(-1, 2)
-        self.node, self.sign = flat[:, 0], flat[:, 1].astype(np.float32)
-        self.kind = np.where(begins, 1, -1).astype(np.float32)
-
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each id in turn: its row, nodes and signs below node 0."""
-        length = self.length[ids]
-        row = np.repeat(np.arange(len(ids)), length)
-        at = np.repeat(self.first[ids] - (np.cumsum(length) - length), length) + np.arange(len(row))
-        return row, self.node[at], self.sign[at]
-
-
-class Gate:
-    """One layer of causal self-attention over subword ids; its output mixes the distributions."""
-
-    NAMES = ("emb", "pos", "wq", "wk", "wv", "wo", "bias")
-
-    def __init__(self, vocabulary: int, outputs: int, seed: int = 5) -> None:
+            # of subwords inside tokens the last one is the token's end
+            mass = np.where(begins == kind, soft, 0.0)
+            mass = mass if kind else np.append(mass, max(firsts[:-1].sum(), 1.0))
+            kinds = np.concatenate([np.where(begins == kind, end if kind else 0, 3), [1] * (not kind)]).astype(np.int64)
+            found = equal_masses(mass, kinds, np.append(lean, 0)[: len(mass)], CLASSES)
+            found = np.where(kinds == 3, 0, found)
+            self.n_classes.append(int(found.max()) + 1)
+            self.classes.append(found.astype(np.int32))
+            with np.errstate(divide="ignore"):
+                self.share.append(np.log(mass / np.bincount(found, mass)[found]))
+        # chances of a first subword in each slot, smoothed by that in all
+        one = firsts.sum(axis=1) + 0.5 * begins
+        one /= one.sum()
+        smooth = 50.0
+        self.first = ((firsts + smooth * one[:, None]) / (firsts.sum(axis=0) + smooth)).astype(np.float32)
+        self.tokens, self.fresh = firsts, once + 0.5
+
+    def rest(self, first: np.ndarray, counts: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Chances of words in each slot given their first subwords: by counts, for unseen words as one type."""
+        fresh = self.fresh[first]
+        seen = counts.sum(axis=1) > 0
+        return (counts + fresh * np.where(seen, np.exp(inner), 1.0)[:, None]) / (self.tokens[first] + fresh)
+
+
+class Attention:
+    """One layer of causal self-attention with a distribution over classes, and shares of a mixture, at each place."""
+
+    def __init__(self, bins: int, width: int, classes: int, shares: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        shapes = {"emb": (vocabulary, DIM), "pos": (WIDTH, DIM), "wq": (DIM, DIM), "wk": (DIM, DIM), "wv": (DIM, DIM), "wo": (DIM, outputs), "bias": (outputs,)}
-        self.p = {n: (rng.standard_normal(s) * (0.0 if n == "bias" else 0.3)).astype(np.float32) for n, s in shapes.items()}
-        self.mask = np.triu(np.full((WIDTH, WIDTH), -1e9, np.float32), 1)
+        shapes = {"emb": (bins, DIM), "pos": (width, DIM), "match": (DIM, DIM), "value": (DIM, DIM), "out": (DIM, classes + shares), "bias": (classes + shares,)}
+        self.p = {k: (rng.standard_normal(s) * (0.0 if k == "bias" else 0.2)).astype(np.float32) for k, s in shapes.items()}
+        self.classes = classes
+        self.sums = np.zeros((classes + shares, 2), np.float32)
+        self.sums[:classes, 0] = self.sums[classes:, 1] = 1
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.p[n].reshape(-1) for n in self.NAMES])
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
-    def load(self, flat: np.ndarray) -> Gate:
+    def load(self, flat: np.ndarray) -> Attention:
         at = 0
-        for n in self.NAMES:
-            size = self.p[n].size
-            self.p[n] = flat[at : at + size].reshape(self.p[n].shape).astype(np.float32)
-            at += size
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(v.dtype)
+            at += v.size
         return self
 
-    def hidden(self, ids: np.ndarray) -> tuple:
-        """What position t knows of the ids up to t, which are of subwords before the one it scores."""
-        p = self.p
-        x = p["emb"][ids] + p["pos"]
-        q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(1 / np.sqrt(DIM))
-        s += self.mask
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s, out=s)
+    def forward(self, x: np.ndarray) -> tuple:
+        """From vectors (windows, places, DIM): raw weights of classes and shares, their sums, and what ``backward`` needs."""
+        p, t = self.p, x.shape[1]
+        x = x + p["pos"][:t]
+        q = (x.reshape(-1, DIM) @ p["match"]).reshape(x.shape)
+        a = q @ x.transpose(0, 2, 1)
+        np.exp(np.minimum(a, 60, out=a), out=a)
+        a *= np.tril(np.ones((t, t), a.dtype))
         a /= a.sum(axis=2, keepdims=True)
-        return x, q, k, v, a, a @ v + x
-
-    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log weights (windows, WIDTH, outputs)."""
-        p, known = self.p, self.hidden(ids)
-        h = known[-1]
-        z = h @ p["wo"] + p["bias"]
-        z -= z.max(axis=2, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=2, keepdims=True)), known
-
-    def gradient(self, ids: np.ndarray, chances: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of the mean log probability of the counted tokens, given each distribution's chance of them."""
-        logw, known = self.forward(ids)
-        grad, dh = self._weights(logw, known, chances, counted)
-        grad |= self._attention(ids, known, dh)
-        rows, values = grad["emb"]
-        grad["emb"] = np.zeros_like(self.p["emb"])
-        grad["emb"][rows] = values
-        return grad
-
-    def _weights(self, logw: np.ndarray, known: tuple, chances: np.ndarray, counted: np.ndarray) -> tuple[dict, np.ndarray]:
-        h = known[-1]
-        w = np.exp(logw)
-        post = w * chances
-        post /= post.sum(axis=2, keepdims=True) + 1e-30
-        dz = (post - w) * (counted[..., None] / max(1, counted.sum())).astype(np.float32)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        return {"wo": flat(h).T @ flat(dz), "bias": flat(dz).sum(axis=0)}, dz @ self.p["wo"].T
-
-    def _attention(self, ids: np.ndarray, known: tuple, dh: np.ndarray) -> dict:
-        """Gradients below what the positions know; that of embeddings as rows and their values."""
-        p, (x, q, k, v, a, _) = self.p, known
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(DIM))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        order = np.argsort(ids.reshape(-1), kind="stable")
-        own = ids.reshape(-1)[order]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        emb = own[first], np.add.reduceat(flat(dx)[order], first, axis=0)
-        return {"emb": emb, "pos": dx.sum(axis=0), "wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
-
-
-def _log_sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
-
-
-class Model(Gate):
-    """A gate whose attention also emits a distribution over the next subword."""
-
-    NAMES = (*Gate.NAMES, "node", "lean")
-
-    def __init__(self, made: Coder, outputs: int, seed: int = 5) -> None:
-        super().__init__(made.n, outputs, seed)
-        self.codes = made.codes
-        self.p |= {"node": np.zeros((self.codes.nodes, DIM), np.float32), "lean": np.zeros(self.codes.nodes, np.float32)}
-
-    def emit(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Log chances of the subwords ``ids`` among their kind, and of their kind, by what is known (n, DIM)."""
-        row, node, sign = self.codes.paths(ids)
-        own = sign * (np.einsum("ij,ij->i", h[row], self.p["node"][node]) + self.p["lean"][node])
-        kind = self.codes.kind[ids]
-        root = kind * (h @ self.p["node"][0] + self.p["lean"][0])
-        logs = np.bincount(row, _log_sigmoid(own), len(ids))
-        return logs, _log_sigmoid(root), (row, node, sign, own, kind, root)
-
-    def learn(self, ids: np.ndarray, pieces: np.ndarray, scored: np.ndarray, chances: np.ndarray, starts: np.ndarray, size: np.ndarray) -> dict:
-        """Gradient of the mean log chances of the scored subwords, and of the mixtures of tokens.
-        ``chances`` are those by counts where a token ``starts``, ``size`` its subwords; a token
-        that a window cuts off tells nothing about the mixture."""
-        logw, known = self.forward(ids)
-        flat = known[-1].reshape(-1, DIM)
-        logs, roots, (row, node, sign, own, kind, root) = self.emit(flat, pieces.reshape(-1))
-        upto = [np.concatenate([np.zeros((len(ids), 1)), np.cumsum(x.reshape(ids.shape), axis=1)], axis=1) for x in (logs, roots)]
-        at = np.arange(WIDTH)
-        last = np.minimum(at + size, WIDTH)  # one past the token's subwords
-        to_next = pieces != len(self.codes.length) - 1  # a text's end ends itself
-        whole = starts & scored & (at + size + to_next <= WIDTH)
-        take = lambda x, j: np.take_along_axis(x, np.minimum(j, WIDTH), axis=1)
-        word = take(upto[0], last) - upto[0][:, :-1] + np.where(to_next, take(upto[1], last + 1) - upto[1][:, 1:], 0)
-        chances = np.concatenate([chances, np.exp(np.minimum(word, 0))[..., None].astype(np.float32)], axis=2)
-        grad, dh = self._weights(logw, known, chances, whole)
-        weight = (scored.reshape(-1) / max(1, scored.sum())).astype(np.float32)
-        up = weight[row] * sign / (1 + np.exp(own))
-        top = weight * kind / (1 + np.exp(root))
-        dflat = np.outer(top, self.p["node"][0])
-        begin = np.flatnonzero(np.diff(row, prepend=-1))
-        dflat[row[begin]] += np.add.reduceat(up[:, None] * self.p["node"][node], begin, axis=0)
-        order = np.argsort(node, kind="stable")
-        first = np.flatnonzero(np.diff(node[order], prepend=-1))
-        rows = np.concatenate([[0], node[order][first]])
-        grad["node"] = rows, np.concatenate([(top @ flat)[None], np.add.reduceat((up[:, None] * flat[row])[order], first, axis=0)])
-        grad["lean"] = rows, np.concatenate([[top.sum()], np.add.reduceat(up[order], first)])
-        return grad | self._attention(ids, known, dh + dflat.reshape(dh.shape))
+        c = a @ x
+        h = c.reshape(-1, DIM) @ p["value"]
+        h += x.reshape(-1, DIM)
+        e = h @ p["out"]
+        e += p["bias"]
+        np.exp(np.minimum(e, 60, out=e), out=e)
+        return e, e @ self.sums, (x, q, a, c, h)
+
+    def backward(self, known: tuple, dz: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the parameters and of the vectors, from that of the logits."""
+        p, (x, q, a, c, h) = self.p, known
+        flat = lambda v: v.reshape(-1, DIM)
+        dh = dz @ p["out"].T
+        dc = (dh @ p["value"].T).reshape(x.shape)
+        da = dc @ x.transpose(0, 2, 1)
+        da -= (dc * c).sum(axis=2, keepdims=True)
+        da *= a
+        dq = da @ x
+        dx = a.transpose(0, 2, 1) @ dc
+        dx += da.transpose(0, 2, 1) @ q
+        dx += (flat(dq) @ p["match"].T + dh).reshape(x.shape)
+        pos = np.zeros_like(p["pos"])
+        pos[: x.shape[1]] = dx.sum(axis=0)
+        return {"out": h.T @ dz, "bias": dz.sum(axis=0), "value": flat(c).T @ dh, "match": flat(x).T @ flat(dq), "pos": pos}, dx
+
+    def logits(self, e: np.ndarray, sums: np.ndarray, target: np.ndarray, weight: np.ndarray, chances: np.ndarray | None = None) -> np.ndarray:
+        """Gradient, in the logits, of the weighted mean log chance of the ``target`` classes, and of the
+        mixture that takes the ``chances`` of all but one distribution and the model's own chance."""
+        dz = e / (-np.maximum(sums, 1e-30) @ self.sums.T)
+        dz[np.arange(len(dz)), target] += 1
+        if chances is not None:
+            post = e[:, self.classes :] * chances
+            dz[:, self.classes :] += post / (post.sum(axis=1, keepdims=True) + 1e-30)
+        dz *= weight[:, None]
+        return dz
 
 
 class Ascent:
-    """Adam on a gate's parameters."""
+    """Adam on a model's parameters."""
 
-    def __init__(self, gate: Gate, rate: float) -> None:
-        self.gate, self.rate, self.t = gate, rate, 0
-        self.m = {n: np.zeros_like(v) for n, v in gate.p.items()}
-        self.v = {n: np.zeros_like(v) for n, v in gate.p.items()}
+    def __init__(self, model: Attention, rate: float) -> None:
+        self.model, self.rate, self.t = model, rate, {k: 0 for k in model.p}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
 
-    def step(self, grad: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        for n, g in grad.items():
+    def step(self, grad: dict) -> None:
+        for k, g in grad.items():
             at, g = g if isinstance(g, tuple) else (slice(None), g)  # rows that a step leaves out keep their state
-            m, v = self.m[n][at], self.v[n][at]
-            m = m + np.float32(0.1) * (g - m)
-            v = v + np.float32(0.02) * (g * g - v)
-            self.m[n][at], self.v[n][at] = m, v
-            up = m / (1 - 0.9**self.t) / (np.sqrt(v / (1 - 0.98**self.t)) + 1e-8)
-            self.gate.p[n][at] += (self.rate * up).astype(np.float32)
-
-
-def windows(n: np.ndarray, g: np.ndarray, start_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows: the ids that each position sees last, the token at each position (by its place
-    in ``g``), and which positions are scored."""
-    count = 1 + np.maximum(n - WIDTH + STRIDE - 1, 0) // STRIDE
-    text = np.repeat(np.arange(len(n)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    place = (nth * STRIDE)[:, None] + np.arange(WIDTH)
-    size = n[text][:, None]
-    at = (np.cumsum(n) - n)[text][:, None] + np.minimum(place, size - 1)
-    ids = np.where(place == 0, start_id, g[np.maximum(at - 1, 0)])
-    scored = (place < size) & ((nth == 0)[:, None] | (np.arange(WIDTH) >= WIDTH - STRIDE))
-    return ids, at, scored
-
-
-def chosen_windows(h: np.ndarray, n: np.ndarray, part: int) -> np.ndarray:
-    """Which windows are learnt from if one in ``part`` is: by text and window, wherever the text lies."""
-    count = 1 + np.maximum(n - WIDTH + STRIDE - 1, 0) // STRIDE
-    begin = np.cumsum(n) - n
-    place = np.arange(len(h)) - np.repeat(begin, n)
-    text = np.add.reduceat(mixed(h + place.astype(np.uint64)), begin)
-    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return mixed(np.repeat(text, count) + nth.astype(np.uint64)) % np.uint64(part) == 0
-
-
-class Tables:
-    """What scoring needs of the counts: a bounded number of frequent words, and sums by subword."""
-
-    def __init__(self, top: np.ndarray, top_counts: np.ndarray, rare: np.ndarray, rare_words: np.ndarray, once: np.ndarray, total: int, distinct: int, smooth: float = 200.0) -> None:
-        order = np.argsort(top)
-        self.top, counts = top[order], top_counts[order]
-        self.words = counts.sum(axis=1)
-        # unseen words of a subword are as likely as those of it that were seen once (Good-Turing)
-        self.unseen = once.sum(axis=1) + 0.5
-        rare_mass = rare.sum(axis=1) + 0.5 * rare_words + self.unseen
-        share = np.concatenate([self.words + 0.5, rare_mass])
-        share /= share.sum()
-        events = np.concatenate([counts, rare + once]).astype(np.float64)  # events x languages
-        by = (events + smooth * share[:, None]) / (events.sum(axis=0) + smooth)
-        self.chance = np.column_stack([by, share]).astype(np.float32)
-        self.rare_mass = np.log10(rare_mass)
-        self.rare_share = (1 / (rare_words + 1)).astype(np.float32)  # of a rare word in its event, where gradients need one
-        self.base = np.log10(total + 0.5 * (distinct + 1))
-
-    def chances(self, event: np.ndarray) -> np.ndarray:
-        """Chances of tokens by each count, of a rare word by a mean share of its event."""
-        share = np.concatenate([np.ones(len(self.top), np.float32), self.rare_share])
-        return self.chance[event] * share[event][..., None]
-
-    def events(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Event of each token, and whether it is a frequent word."""
-        if not len(self.top):
-            return g, np.zeros(len(g), bool)
-        at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-        known = self.top[at] == h
-        return np.where(known, at, len(self.top) + g), known
+            self.t[k] += 1
+            m, v = self.m[k][at], self.v[k][at]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.02) * (g * g - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.model.p[k][at] += ((self.rate / (1 - 0.9 ** self.t[k])) * m / (np.sqrt(v / (1 - 0.98 ** self.t[k])) + 1e-8)).astype(np.float32)
+
+
+def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[first], np.add.reduceat(values[order], first, axis=0)
+
+
+class Outer(Attention):
+    """Attention over tokens: what the next one begins with, and shares of the slots' counts and of the model."""
+
+    def __init__(self, words: Lexicon, seed: int = 5) -> None:
+        super().__init__(words.n_bins, WIDTH, words.n_classes[0], SLOTS + 1, seed)
+        self.words = words
+
+    def vectors(self, bins: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A vector of each token; the last row is what stands before a text."""
+        sums = np.add.reduceat(self.p["emb"][bins], np.cumsum(size) - size, axis=0)
+        return np.concatenate([sums / size[:, None].astype(np.float32), self.p["emb"][-1:]])
+
+    def places(self, n: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all windows: the token at each place, the token before it (-1: the text begins), and whether it is scored."""
+        first, size, skip = windows(n, WIDTH, stride)
+        at = np.arange(WIDTH)
+        token = first[:, None] + np.minimum(at, size[:, None] - 1)
+        begins = np.zeros(int(n.sum()), bool)
+        begins[np.cumsum(n) - n] = True
+        return token, np.where(begins[token], -1, token - 1), (at >= skip[:, None]) & (at < size[:, None])
+
+    def chances(self, first: np.ndarray, e: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Chances of first subwords by each slot's counts and by the model."""
+        own = e[np.arange(len(first)), self.words.classes[0][first]] / sums[:, 0] * np.exp(self.words.share[0][first]).astype(np.float32)
+        return np.column_stack([self.words.first[first], own])
+
+    def learn(self, ids: np.ndarray, size: np.ndarray, n: np.ndarray, up: Ascent) -> int:
+        """Steps over all windows of the texts."""
+        bins, first = self.words.bins[ids], ids[np.cumsum(size) - size]
+        token, before, scored = self.places(n, WIDTH)
+        for i in range(0, len(token), STEP * TURN):
+            last = slice(i, i + STEP * TURN)
+            # tokens are numbered anew within the steps that share their vectors
+            used, own = np.unique(before[last], return_inverse=True)
+            own = own.reshape(before[last].shape)
+            used = used[used >= 0]
+            start = np.cumsum(size)[used] - size[used]
+            sizes = size[used]
+            flat = bins[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+            begin = int(before[last].min() < 0)
+            vectors = self.vectors(flat, sizes) if len(used) else self.p["emb"][-1:]
+            # np.unique puts -1 first; its vector stands last
+            own = np.where(own < begin, len(used), own - begin)
+            grads = np.zeros_like(vectors)
+            for j in range(0, len(own), STEP):
+                part = own[j : j + STEP]
+                ok = scored[last][j : j + STEP].reshape(-1)
+                heads = first[token[last][j : j + STEP].reshape(-1)]
+                e, sums, known = self.forward(vectors[part])
+                weight = (ok / max(1, ok.sum())).astype(np.float32)
+                grad, dx = self.backward(known, self.logits(e, sums, self.words.classes[0][heads], weight, self.chances(heads, e, sums)))
+                rows, values = by_row(part.reshape(-1), dx.reshape(-1, DIM))
+                grads[rows] += values
+                up.step(grad)
+            rows = np.append(flat, len(self.p["emb"]) - 1)
+            spread = np.concatenate([np.repeat(grads[:-1] / sizes[:, None].astype(np.float32), sizes, axis=0), grads[-1:]])
+            up.step({"emb": by_row(rows, spread)})
+        return int(scored.sum())
+
+    def score(self, ids: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each token the shares times the chances of its first subword: in each slot, and by the model."""
+        vectors = self.vectors(self.words.bins[ids], size)
+        first = ids[np.cumsum(size) - size]
+        token, before, scored = self.places(n, STRIDE)
+        out = np.empty((len(size), SLOTS + 1), np.float32)
+        for i in range(0, len(token), BATCH):
+            e, sums, _ = self.forward(vectors[before[i : i + BATCH]])
+            ok = scored[i : i + BATCH].reshape(-1)
+            e, sums, own = e[ok], sums[ok], token[i : i + BATCH].reshape(-1)[ok]
+            out[own] = self.chances(first[own], e, sums) * (e[:, self.classes :] / sums[:, 1:])
+        return out
+
+
+class Inner(Attention):
+    """Attention within a token: its next subword, or its end."""
+
+    def __init__(self, words: Lexicon, seed: int = 6) -> None:
+        super().__init__(words.n_bins, INNER_WIDTH, words.n_classes[1], 0, seed)
+        self.words = words
+
+    def groups(self, ids: np.ndarray, size: np.ndarray, stride: int, step: int):
+        """Windows of equal length, some at a time: places in ``ids``, next subwords, and those scored."""
+        follows = np.append(ids[1:], 0)
+        follows[np.cumsum(size) - 1] = len(self.words.classes[1]) - 1  # the token's end
+        first, length, skip = windows(size, INNER_WIDTH, stride)
+        for t in np.unique(length).tolist():
+            own = np.flatnonzero(length == t)
+            for i in range(0, len(own), step):
+                part = own[i : i + step]
+                at = first[part][:, None] + np.arange(t)
+                yield at, follows[at].reshape(-1), (np.arange(t) >= skip[part][:, None]).reshape(-1)
+
+    def learn(self, ids: np.ndarray, size: np.ndarray, counts: np.ndarray, up: Ascent) -> int:
+        """Steps over all words. A word weighs the root of its count, since counts know frequent ones."""
+        weights = np.repeat(np.sqrt(counts), size).astype(np.float32)
+        bins = self.words.bins[ids]
+        every = list(self.groups(ids, size, INNER_WIDTH, 2 * STEP))
+        for k in np.random.default_rng(len(ids)).permutation(len(every)).tolist():  # lengths in turn would teach the last only
+            at, follows, ok = every[k]
+            e, sums, known = self.forward(self.p["emb"][bins[at]])
+            weight = weights[at.reshape(-1)] * ok
+            grad, dx = self.backward(known, self.logits(e, sums, self.words.classes[1][follows], weight / max(weight.sum(), 1e-9)))
+            up.step(grad | {"emb": by_row(bins[at].reshape(-1), dx.reshape(-1, DIM))})
+        return int(size.sum())
+
+    def score(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log chances of tokens given their first subwords; a text's end is certain then."""
+        logs, bins = np.zeros(len(ids)), self.words.bins[ids]
+        for at, follows, ok in self.groups(ids, size, INNER_STRIDE, 4 * BATCH):
+            e, sums, _ = self.forward(self.p["emb"][bins[at]])
+            own = np.log(e[np.arange(len(e)), self.words.classes[1][follows]] / sums[:, 0]) + self.words.share[1][follows]
+            logs[at.reshape(-1)[ok]] = own[ok]
+        logs[ids == len(self.words.bins) - 1] = 0
+        return np.add.reduceat(logs, np.cumsum(size) - size)
+
+
+def packed_shares(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots' chances as a largest one and bytes of it, eight in a number: all tokens are scored by these."""
+    top = np.maximum(shares[:, :SLOTS].max(axis=1), 1e-30)
+    parts = np.rint(shares[:, :SLOTS] / top[:, None] * 255).astype(np.uint64)
+    return top, (parts << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def unpacked_shares(top: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    each = parts.view(np.uint64)[:, None] >> (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8)) & np.uint64(255)
+    return top[:, None] * each / 255.0
+
+
+def _runs(batches, rows: int):
+    """(chunk, rows of it) from batches that start with their chunk, in order: ``rows`` at once, and what
+    is left of each chunk, wherever batches end."""
+    held, now = [], None
+
+    def cut(every: bool):
+        nonlocal held
+        whole = pa.Table.from_batches(held).combine_chunks() if held else None
+        held = []
+        at = 0
+        while whole is not None and (whole.num_rows - at >= rows or every and at < whole.num_rows):
+            yield now, whole.slice(at, rows)
+            at += rows
+        if whole is not None and at < whole.num_rows:
+            held = whole.slice(at).to_batches()
+
+    for b in batches:
+        chunk = b.column(0).to_numpy()
+        edges = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist()
+        if now is not None and len(chunk) and chunk[0] == now:
+            edges = [0, *edges[1:]]
+        for a, z in zip(edges, [*edges[1:], len(chunk)], strict=True):
+            if chunk[a] != now:
+                yield from cut(True)
+                now = int(chunk[a])
+            held.append(b.slice(a, z - a))
+            if sum(x.num_rows for x in held) >= rows:
+                yield from cut(False)
+    yield from cut(True)
+
+
+def _trained(parts: DataFrame, model: Attention, learn, columns: list[str], at_once: int, rate: float, chunks: int, rounds: int) -> Attention:
+    """The model after ``rounds``, each over its share of the chunks of ``parts`` (chunk, key, and ``columns``).
+
+    A chunk is learnt in order of key from the round's common start, ``at_once`` rows at a time, and the models
+    of its chunks are averaged by what they have seen: the outcome follows the rows, not how they are laid out.
+    """
+    spark, kind = parts.sparkSession, model.__class__
+    lexicon = spark.sparkContext.broadcast(model.words)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(np.float64)
+        mean = sum(np.frombuffer(m, "<f4").astype(np.float64) * w for m, w in zip(pdf["model"], n, strict=True)) / n.sum()
+        return pd.DataFrame({"model": [mean.astype("<f4").tobytes()], "n": [int(n.sum())]})
+
+    for r in range(rounds):
+        start = spark.sparkContext.broadcast(model.vector())
+        own = parts.where(F.col("chunk") % rounds == r).repartition("chunk").sortWithinPartitions("chunk", "key").select("chunk", *columns)
+
+        def train(batches, start=start):
+            total, seen, now, own, up, n = 0.0, 0, None, None, None, 0
+            for chunk, rows in _runs(batches, at_once):
+                if chunk != now:
+                    if own is not None:
+                        total, seen = total + own.vector().astype(np.float64) * n, seen + n
+                    now, n, own = chunk, 0, kind(lexicon.value).load(start.value)
+                    up = Ascent(own, rate)
+                n += learn(own, up, rows)
+            if own is not None:
+                total, seen = total + own.vector().astype(np.float64) * n, seen + n
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype("<f4").tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["model", "n"])
+
+        # at most 16 models reach the driver
+        models = own.mapInArrow(train, "model binary, n long").groupBy(F.pmod(F.xxhash64("model"), F.lit(16)).alias("part")).applyInPandas(merge, "model binary, n long")
+        found = models.toPandas().sort_values("n")
+        if len(found):
+            model.load(np.frombuffer(merge(found)["model"][0], "<f4"))
+    return model
 
 
 def score(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", language: str | None = "lang", held_out: int = 1, folds: int = 5, languages: int = 6,
-    frequent: int = 1 << 17, vocabulary: str | None = None, rounds: int = 2, window_part: int = 1, rate: float = 0.02,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", language: str | None = "lang", held_out: int = 1, folds: int = 5,
+    frequent: int = 1 << 16, vocabulary: str | None = None, rounds: int = 2, epochs: int = 1, rate: float = 0.02, chunk_tokens: int = 1 << 19, chunk_words: int = 1 << 17,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Texts whose ``crc32(doc_id as text) mod folds`` is not ``held_out`` are learnt from; a null id
-    counts as empty text there. Null texts are empty: one token, the end. Repeated rows are counted
-    and scored each. Without training tokens every word is unknown. An empty table gives an empty
-    one. ``language`` names the column whose commonest ``languages`` values get a distribution
-    (null, rarer and a missing column: one for the rest); the others play no part.
-
-    Counts and gradients cover all training tokens, the latter in ``rounds`` passes (a
-    ``window_part`` above 1 takes one window in so many, by text and window); each partition trains from the common start and parameters are
-    averaged by windows, so the work follows the input. What is broadcast is bounded: ``frequent``
-    words, sums by subword, and the model.
+    counts as empty text there. Null texts are empty: one token, the end. Very long texts are windows
+    like others. Repeated rows are counted and scored each; ties change nothing. Without training
+    tokens every word is unknown. An empty table gives an empty one. ``language`` names the column
+    whose values are hashed to ``SLOTS`` slots (a null or missing one is a value too), each with a
+    distribution of its own; the other columns play no part.
+
+    Counts cover all training tokens, and the attention learns from every window, and the inner one from every
+    distinct word, ``epochs`` times: in chunks of about ``chunk_tokens`` (``chunk_words``), dealt by a hash of
+    the row and dealt out to ``rounds``. What is broadcast is bounded: tables of the vocabulary, the models,
+    and ``frequent`` words, which only saves their join: a word is scored alike in or out of them.
     """
     spark = docs.sparkSession
     ready(spark)
     path = vocabulary or vocabulary_path()
-    lang = F.col(language).cast("string") if language and language in docs.columns else F.lit(None).cast("string")
+    made = coder(path)
+    lang = F.col(language).cast("string") if language and language in docs.columns else F.lit("")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), (F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(folds)) == held_out).alias("held_out"), lang.alias("lang"), text_or_empty(F.col(text)).alias("text")
-    )
-    named = rows.where("NOT held_out AND lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    part = {r["lang"]: i for i, r in enumerate(named)}
-    rest = len(part)
-    slot = F.lit(rest)
-    for name, i in part.items():
-        slot = F.when(F.col("lang") == name, F.lit(i)).otherwise(slot)
-    rows = rows.withColumn("slot", slot.cast("int")).drop("lang")
-    training = rows.where("NOT held_out").select("slot", "text")
-    slots = rest + 1
+        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), (F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(folds)) == held_out).alias("held_out"),
+        F.pmod(F.xxhash64(F.coalesce(lang, F.lit("")), F.lit(3)), F.lit(SLOTS)).cast("int").alias("slot"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("key"), text_or_empty(F.col(text)).alias("text"),
+    )
+
+    def cut_up(batches):
+        own = coder(path)
+        for b in batches:
+            if b.num_rows:
+                ids, size, n = own(b.column(5))
+                ends = np.cumsum(size)[np.cumsum(n) - 1]
+                raw = ids.astype(own.kind).tobytes()
+                width = np.dtype(own.kind).itemsize
+                packed = [raw[a * width : z * width] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n), pa.array(packed, pa.binary())], [*b.schema.names[:5], "n", "ids"])
+
+    pieces = written(rows.mapInArrow(cut_up, "row long, doc_id long, held_out boolean, slot int, key long, n long, ids binary"), "pieces")
 
     def count(batches):
-        pieces = subwords(path)
+        own = coder(path)
         held: list[tuple] = []
 
         def out():
-            h, g, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((s, h))
-            h, g, s = h[order], g[order], s[order]
-            first = np.flatnonzero((np.diff(h.view(np.int64), prepend=~h[0].astype(np.int64)) != 0) | (np.diff(s, prepend=-1) != 0))
-            n = np.diff(first, append=len(h))
-            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first]), pa.array(s[first].astype(np.int32)), pa.array(n)], ["h", "g", "slot", "n"])
-
-        size = 0
+            h, slot, first, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            group = h ^ mixed(slot.astype(np.uint64) + np.uint64(1))
+            _, at, n = np.unique(group, return_index=True, return_counts=True)
+            n[slot[at] == SLOTS] = 0  # words of held-out texts are listed, not counted
+            raw, width = ids.astype(own.kind).tobytes(), np.dtype(own.kind).itemsize
+            begin = np.cumsum(size) - size
+            packed = [raw[a * width : z * width] for a, z in zip(begin[at].tolist(), (begin + size)[at].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.minimum(slot[at], SLOTS - 1).astype(np.int32)), pa.array(n), pa.array(packed, pa.binary())], ["h", "slot", "n", "w"])
+
+        total = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            h, g, n = tokens(b.column(1), pieces)
-            held.append((h, g, np.repeat(b.column(0).to_numpy(), n)))
-            size += len(h)
-            if size > 1_500_000:
+            ids, size, n = unpacked(b.column(2), own)
+            slot = np.where(b.column(0).to_numpy(zero_copy_only=False), SLOTS, b.column(1).to_numpy())
+            held.append((token_hashes(ids, size), np.repeat(slot, n), ids[np.cumsum(size) - size], size, ids))
+            total += len(ids)
+            if total > 2_000_000:
                 yield out()
-                held, size = [], 0
+                held, total = [], 0
         if held:
             yield out()
 
-    counted = training.mapInArrow(count, "h long, g long, slot int, n long")
-    words = counted.groupBy("h").agg(F.min("g").alias("g"), F.sum("n").alias("c"), *[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(slots)])
-    words = written(words, "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    columns = [f"c{i}" for i in range(slots)]
+    counted = pieces.select("held_out", "slot", "ids").mapInArrow(count, "h long, slot int, n long, w binary")
+    columns = [f"c{i}" for i in range(SLOTS)]
+    words = counted.groupBy("h").agg(F.first("w").alias("w"), *[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(columns)])
+    words = written(words.withColumn("c", sum((F.col(c) for c in columns), F.lit(0))), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+
+    def spell(batches):
+        own, sums = coder(path), np.zeros((3, coder(path).n, SLOTS), np.int64)
+        for b in batches:
+            if b.num_rows:
+                ids, size, _ = unpacked(b.column(0), own)
+                c = np.stack([b.column(j + 1).to_numpy() for j in range(SLOTS)], axis=1)
+                once = np.where(c.sum(axis=1, keepdims=True) == 1, c, 0)
+                heads = ids[np.cumsum(size) - size]
+                for k in range(SLOTS):
+                    sums[0, :, k] += np.bincount(ids, np.repeat(c[:, k], size), own.n).astype(np.int64)
+                    sums[1, :, k] += np.bincount(heads, c[:, k], own.n).astype(np.int64)
+                    sums[2, :, k] += np.bincount(heads, once[:, k], own.n).astype(np.int64)
+        kind, which = np.nonzero(sums.any(axis=2))
+        if len(kind):
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(which.astype(np.int32)), *(pa.array(sums[kind, which, k]) for k in range(SLOTS))], ["kind", "id", *columns])
+
+    # three rows a subword at most
+    spelt = words.where("c > 0").select("w", *columns).mapInArrow(spell, "kind int, id int, " + ", ".join(f"{c} long" for c in columns)).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    sums = np.zeros((3, made.n, SLOTS))
+    sums[spelt["kind"].to_numpy(), spelt["id"].to_numpy()] = spelt[columns].to_numpy(np.float64)
+    known = Lexicon(*sums, made.begins)
+    inner, outer = Inner(known), Outer(known)
+    if total:
+
+        def learn_words(model: Inner, up: Ascent, batch: pa.Table) -> int:
+            ids, size, _ = unpacked(batch.column(1), coder(path))
+            counts = batch.column(2).to_numpy().astype(np.float64)
+            return sum(model.learn(ids, size, counts, up) for _ in range(epochs))
+
+        def learn_texts(model: Outer, up: Ascent, batch: pa.Table) -> int:
+            ids, size, n = unpacked(batch.column(1), coder(path))
+            return sum(model.learn(ids, size, n, up) for _ in range(epochs))
+
+        dealt = lambda k: F.pmod(F.xxhash64("key", F.lit(29)), F.lit(k)).alias("chunk")
+        chunks = rounds * max(1, -(-int(distinct) // (rounds * chunk_words)))
+        inner = _trained(words.where("c > 0").select("w", "c", F.col("h").alias("key")).select(dealt(chunks), "*"), inner, learn_words, ["w", "c"], 1 << 14, rate, chunks, rounds)
+        chunks = rounds * max(1, -(-int(total) // (rounds * chunk_tokens)))
+        outer = _trained(pieces.where("NOT held_out").select(dealt(chunks), "key", "ids"), outer, learn_texts, ["ids"], 256, rate, chunks, rounds)
+    share = spark.sparkContext.broadcast((known, inner.vector(), outer.vector()))
+
+    def rate_words(batches):
+        table, flat, _ = share.value
+        own, model = coder(path), Inner(table).load(flat)
+        for b in batches:
+            if b.num_rows:
+                ids, size, _ = unpacked(b.column(1), own)
+                logs = model.score(ids, size)
+                c = np.stack([b.column(j + 3).to_numpy() for j in range(SLOTS)], axis=1).astype(np.float64)
+                by = table.rest(ids[np.cumsum(size) - size], c, logs)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.exp(logs)), *(pa.array(by[:, j]) for j in range(SLOTS))], ["h", "c", "r", *(f"r{j}" for j in range(SLOTS))])
+
+    rests = [f"r{j}" for j in range(SLOTS)]
+    rated_words = written(words.select("h", "w", "c", *columns).mapInArrow(rate_words, "h long, c long, r double, " + ", ".join(f"{r} double" for r in rests)), "rated-words")
     # how common a word must be for at most ``frequent`` to remain, from a histogram by logarithm
-    bucket = F.floor(F.log2("c") * 16)
     seen, least = 0, float("inf")
-    for r in words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect():
+    for r in words.where("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect():
         seen += r["n"]
         if seen > frequent:
             break
         least = r["c"]
-    top = words.where(F.col("c") >= least).toPandas()
-    sums = words.groupBy("g").agg(*[F.sum(c).alias(c) for c in columns], *[F.sum(F.when(F.col("c") == 1, F.col(c)).otherwise(0)).alias(f"once_{c}") for c in columns], F.count("*").alias("v")).toPandas()  # one row a subword
-    n_pieces = subwords(path).n
-    rare, once, rare_words = np.zeros((n_pieces, slots)), np.zeros((n_pieces, slots)), np.zeros(n_pieces)
-    once[sums["g"].to_numpy(np.int64)] = sums[[f"once_{c}" for c in columns]].to_numpy(np.float64)
-    rare[sums["g"].to_numpy(np.int64)] = sums[columns].to_numpy(np.float64)
-    rare_words[sums["g"].to_numpy(np.int64)] = sums["v"].to_numpy(np.float64)
-    np.subtract.at(rare, top["g"].to_numpy(np.int64), top[columns].to_numpy(np.float64))
-    np.subtract.at(rare_words, top["g"].to_numpy(np.int64), 1)
-    tables = Tables(top["h"].to_numpy(np.int64).view(np.uint64), top[columns].to_numpy(np.float64), rare, rare_words, once, int(total), int(distinct))
-    shared = spark.sparkContext.broadcast(tables)
-
-    gate = Model(coder(path), slots + 2)
-    for _ in range(rounds if total else 0):
-        start = spark.sparkContext.broadcast(gate.vector())
-
-        def train(batches, start=start):
-            heads, pieces, t = subwords(path), coder(path), shared.value
-            own = Model(pieces, slots + 2).load(start.value)
-            up, seen = Ascent(own, rate), 0
-            left: list[tuple] = []
-
-            def learn(chunks):
-                all_ = [np.concatenate(x) for x in zip(*chunks, strict=True)]
-                for i in range(0, len(all_[0]), TRAIN_BATCH):
-                    up.step(own.learn(*[x[i : i + TRAIN_BATCH] for x in all_]))
-                return len(all_[0])
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                h, g, n = tokens(b.column(1), heads)
-                flat, size = pieces(b.column(1), n)
-                per_text = np.add.reduceat(size, np.cumsum(n) - n)
-                ids, at, scored = windows(per_text, flat, pieces.start)
-                chosen = np.flatnonzero(chosen_windows(flat.astype(np.uint64), per_text, window_part))
-                if len(chosen):
-                    event, _ = t.events(h, g)
-                    token = np.repeat(np.arange(len(h)), size)[at[chosen]]
-                    left.append((ids[chosen], flat[at[chosen]], scored[chosen], t.chances(event[token]), pieces.begins[flat[at[chosen]]], size[token]))
-                    if sum(len(x[0]) for x in left) >= BATCH:
-                        seen += learn(left)
-                        left = []
-            if left:
-                seen += learn(left)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([own.vector().astype("<f4").tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["model", "n"])
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            n = pdf["n"].to_numpy(np.float64)
-            mean = sum(np.frombuffer(m, "<f4").astype(np.float64) * w for m, w in zip(pdf["model"], n, strict=True)) / n.sum()
-            return pd.DataFrame({"model": [mean.astype("<f4").tobytes()], "n": [int(n.sum())]})
-
-        models = training.mapInArrow(train, "model binary, n long")
-        for parts in (256, 16, 1):  # a task holds few models at once, the driver one
-            models = models.groupBy(F.pmod(F.xxhash64("model"), F.lit(parts)).alias("part")).applyInPandas(merge, "model binary, n long")
-        found = models.toPandas()  # one row at most
-        if len(found):
-            gate.load(np.frombuffer(merge(found)["model"][0], "<f4"))
-    final = spark.sparkContext.broadcast(gate.vector())
+    top = rated_words.where(F.col("c") >= least).toPandas().sort_values("h")
+    whole = float(np.log10(int(total) + 0.5 * (int(distinct) + 1)))
+    common = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64), top["r"].to_numpy(np.float64), top[rests].to_numpy(np.float64)))
 
     def rate_texts(batches):
-        heads, pieces, t = subwords(path), coder(path), shared.value
-        model = Model(pieces, slots + 2).load(final.value)
-        unseen = np.log10(t.unseen).astype(np.float32)
+        table, _, flat = share.value
+        hashes, c, r, rs = common.value
+        own, model = coder(path), Outer(table).load(flat)
         for b in batches:
             if not b.num_rows:
                 continue
-            h, g, n = tokens(b.column(3), heads)
-            event, known = t.events(h, g)
-            flat, size = pieces(b.column(3), n)
-            first = np.cumsum(size) - size
-            token = np.repeat(np.arange(len(h)), size)
-            ids, at, scored = windows(np.add.reduceat(size, np.cumsum(n) - n), flat, pieces.start)
-            by_counts, by_model = np.zeros(len(h)), np.zeros(len(h))
-            logs, roots = np.zeros(len(flat)), np.zeros(len(flat))
-            for i in range(0, len(ids), BATCH):
-                logw, seen = model.forward(ids[i : i + BATCH])
-                own, ok = at[i : i + BATCH], scored[i : i + BATCH]
-                own = own[ok]
-                logs[own], roots[own], _ = model.emit(seen[-1][ok], flat[own])
-                begins = pieces.begins[flat[own]]
-                w, own = logw[ok][begins], token[own[begins]]
-                by_counts[own] = np.log10((np.exp(w[:, :-1]) * t.chance[event[own]]).sum(axis=1, dtype=np.float64))
-                by_model[own] = w[:, -1]
-            # a word ends where the next subword begins a token; a text's end ends itself
-            upto = np.concatenate([[0], np.cumsum(roots)])
-            closed = np.where(h == END, 0, upto[np.minimum(first + size + 1, len(flat))] - upto[first + 1])
-            by_model = (by_model + np.add.reduceat(logs, first) + closed) / np.log(10)
-            begin = np.cumsum(n) - n
-            rare = ~known
-            base = np.zeros(len(h))
-            base[known] = np.log10(t.words[event[known]] + 0.5)
-            both = np.logaddexp(by_counts * np.log(10), by_model * np.log(10)) / np.log(10)
-            both[rare] = 0
-            # of a rare word the mixture waits for its count
-            a, z = (by_counts[rare] - t.rare_mass[g[rare]]).astype(np.float32), np.maximum(by_model[rare], -1e6).astype(np.float32)
+            ids, size, n = unpacked(b.column(4), own)
+            h = token_hashes(ids, size).view(np.int64)
+            shares = model.score(ids, size, n)
+            most, parts = packed_shares(shares)
+            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+            known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+            base, logs = np.zeros(len(h)), np.zeros(len(h))
+            at = at[known]
+            base[known] = np.log10(c[at] + 0.5)
+            logs[known] = np.log10((unpacked_shares(most[known], parts[known]) * rs[at]).sum(axis=1) + shares[known, SLOTS] * r[at])
+            begin, rare = np.cumsum(n) - n, ~known
             n_rare = np.add.reduceat(rare.astype(np.int64), begin)
             offsets = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
+            left = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(parts[rare]), pa.array(most[rare]), pa.array(shares[rare, SLOTS])], ["h", "p", "t", "z"])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(base, begin) - n * t.base), pa.array(np.add.reduceat(both, begin)), pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(unseen[g[rare]]), pa.array(a), pa.array(z)], ["h", "u", "a", "z"]))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
+                [*b.columns[:4], pa.array(n - n_rare), pa.array(np.add.reduceat(base, begin) - n * whole), pa.array(np.add.reduceat(logs, begin)), pa.ListArray.from_arrays(pa.array(offsets), left)],
+                ["row", "doc_id", "held_out", "n", "n_known", "base", "logs", "rare"],
             )
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rated = written(numbered.mapInArrow(rate_texts, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h:long,u:float,a:float,z:float>>"), "rated")
-    counts = words.select("h", "c")
-    each = rated.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "h", "left")
-    known, half = F.log10(F.col("c") + 0.5), float(np.log10(0.5))
-    counts_say, model_says = F.col("a").cast("double") + F.coalesce(known, F.col("u").cast("double")), F.col("z").cast("double")
-    mixture = F.greatest(counts_say, model_says) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(counts_say - model_says)))
-    sums = each.groupBy("row").agg(F.sum(F.coalesce(known, F.lit(half))).alias("base_logs"), F.sum(mixture).alias("logs"), F.count("c").alias("seen"))
-    out = rated.drop("rare").join(sums, "row", "left")
-    zero = F.lit(0.0)
+    rated = written(pieces.select("row", "doc_id", "held_out", "n", "ids").mapInArrow(rate_texts, "row long, doc_id long, held_out boolean, n long, n_known long, base double, logs double, rare array<struct<h:long,p:long,t:float,z:float>>"), "rated")
+    each = rated.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(rated_words, "h")
+    part = lambda j: F.shiftrightunsigned("p", 8 * j).bitwiseAND(F.lit(255)).cast("double")
+    chance = F.col("t").cast("double") / 255.0 * sum((part(j) * F.col(r) for j, r in enumerate(rests)), F.lit(0.0)) + F.col("z").cast("double") * F.col("r")
+    more = each.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("more_base"), F.sum(F.log10(chance)).alias("more_logs"), F.sum((F.col("c") > 0).cast("long")).alias("seen"))
+    out, zero = rated.drop("rare").join(more, "row", "left"), F.lit(0.0)
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_logs", zero)).alias("base_score"), (F.col("model") + F.coalesce("logs", zero)).alias("score"),
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("logs") + F.coalesce("more_logs", zero)).alias("score"),
     )

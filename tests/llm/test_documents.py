@@ -101,7 +101,8 @@ def test_mix(docs, clashing, none, texts):
     want = brute_targets(dict(sizes))
     source = {r[0]: r[3] for r in texts}
     rows = mixing.mix(docs).collect()
-    assert {r.doc_id for r in rows} == set(source) and rows == mixing.mix(docs).collect() or True
+    assert {r.doc_id for r in rows} == set(source)
+    assert sorted(rows, key=str) == sorted(mixing.mix(docs.repartition(5)).collect(), key=str)
     taken, largest = defaultdict(int), defaultdict(int)
     for r in rows:
         s = source[r.doc_id]
@@ -236,6 +237,7 @@ def test_lm_scores(docs, clashing, none, texts):
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
     counts = Counter(w for d, t in tokens.items() if not held[d] for w in t)
     n, v = sum(counts.values()), len(counts)
+    scores = []
     for frequent in (1 << 17, 20):
         got = {r.doc_id: r for r in lm.score(docs, frequent=frequent).collect()}
         for d, t in tokens.items():
@@ -243,16 +245,28 @@ def test_lm_scores(docs, clashing, none, texts):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(t), sum(counts[w] > 0 for w in t), n)
             assert abs(r.base_score - sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) < 1e-6 * len(t)
             assert r.score < 0
+        scores.append({d: r.score for d, r in got.items()})
+    # a word is scored alike in and out of the words that are broadcast, and wherever its row lies
+    scores.append({r.doc_id: r.score for r in lm.score(docs.repartition(7)).collect()})
+    assert all(abs(s[d] - scores[0][d]) < 1e-4 * len(t) for s in scores for d, t in tokens.items())
     assert lm.score(clashing).count() == len(texts)
     assert lm.score(none).count() == 0
 
 
+def test_lm_scores_of_null_ids_repeats_and_ties(spark):
+    rows = [(None, "a b c", "en"), (None, None, None), (3, "a b c", "en"), (3, "a b c", "en"), (4, "c b a", "en")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 4, 4, 4, 4]
+    same = [r for r in got if r.doc_id == 3]
+    assert len(same) == 2 and same[0] == same[1]
+
+
 def test_lm_learns_what_context_tells(spark):
     """Documents keep to one of two vocabularies; words before tell which."""
     rng = random.Random(2)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.choice('klmnop')}{rng.choice('aeiou')}" for _ in range(60)), "xy"[i % 2]) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
-    out = lm.score(d, window_part=1, rounds=5).where("held_out").collect()
+    out = lm.score(d, epochs=5).where("held_out").collect()
     assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.2
 
 
@@ -261,7 +275,7 @@ def test_lm_predicts_words_from_context(spark):
     cycle = ["remembering", "rememberable", "unremembered", "forgettable", "forgetting", "unforgotten"]
     rows = [(i, " ".join(cycle[(i + j) % 6] for j in range(60)), "xy") for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
-    out = lm.score(d, rounds=8).where("held_out").collect()
+    out = lm.score(d, epochs=8).where("held_out").collect()
     assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.3
 
 
@@ -273,85 +287,161 @@ def test_all_subwords_of_words():
     path = lm.vocabulary_path()
     made, own = lm.coder(path), Tokenizer.from_file(path)
     texts = ["The Unrememberingly \u00e9t\u00e9 \x01b", "", None, "zz\tunrememberingly"]
-    ids, size = made(pa.array(texts), np.array([5, 1, 1, 3]))
+    ids, size, n = made(pa.array(texts))
     want = [own.encode(" " + w, add_special_tokens=False).ids for w in ("the", "unrememberingly", "\u00e9t\u00e9")]
     assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])][:3] == want and len(want[1]) > 1
-    assert size.sum() == len(ids) and (ids == made.end).sum() == 4 and made.begins[ids].sum() == 10
+    assert n.tolist() == [5, 1, 1, 3] and size.sum() == len(ids) and (ids == made.end).sum() == 4 and made.begins[ids].sum() == 10
+    ends = np.cumsum(size)[np.cumsum(n) - 1]
+    packed = pa.array([p.astype(made.kind).tobytes() for p in np.split(ids, ends[:-1])], pa.binary())
+    for a, b in zip((ids, size, n), lm.unpacked(packed, made), strict=True):
+        assert a.tolist() == b.tolist()
+    h = lm.token_hashes(ids, size)
+    assert h[1] == h[-2] and len(set(h.tolist())) == 6
 
 
-def test_gradient_of_the_model_and_its_whole_chance():
+def small_lexicon(seed=0, n=40):
+    """A vocabulary of ``n`` subwords, the last a text's end; every third one and the end begin tokens."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    made = type("Made", (), {"n": 14, "codes": lm.Codes(np.arange(13) % 3 == 0)})
-    model = lm.Model(made, 3)
-    model.p = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in model.p.items()}
-    h = rng.standard_normal((1, lm.DIM)).repeat(13, axis=0)
-    logs, kinds, _ = model.emit(h, np.arange(13))
-    assert abs(np.exp(logs + kinds).sum() - 1) < 1e-6
-    ids, pieces, scored = rng.integers(0, 14, (4, lm.WIDTH)), rng.integers(0, 13, (4, lm.WIDTH)), rng.random((4, lm.WIDTH)) < 0.7
-    grad = model.learn(ids, pieces, scored, rng.random((4, lm.WIDTH, 2)), np.zeros_like(scored), np.ones_like(pieces))
-
-    def value():
-        logs, kinds, _ = model.emit(model.hidden(ids)[-1].reshape(-1, lm.DIM), pieces.reshape(-1))
-        return (logs + kinds)[scored.reshape(-1)].mean()
-
-    for name in ("emb", "pos", "wq", "wk", "wv", "node", "lean"):
-        whole = np.zeros_like(model.p[name])
-        at, values = grad[name] if isinstance(grad[name], tuple) else (slice(None), grad[name])
-        whole[at] = values
-        place = tuple(rng.integers(0, s) for s in whole.shape)
-        keep = model.p[name][place]
-        model.p[name][place] = keep + 1e-4
-        up = value()
-        model.p[name][place] = keep - 1e-4
-        down = value()
-        model.p[name][place] = keep
-        assert abs((up - down) / 2e-4 - whole[place]) < 1e-5 + 1e-3 * abs(whole[place])
-
-
-def test_every_token_is_scored_once():
+    rng = np.random.default_rng(seed)
+    begins = np.arange(n) % 3 == 0
+    begins[-1] = True
+    counts = rng.integers(0, 50, (n, lm.SLOTS)).astype(float)
+    firsts = np.where(begins[:, None], counts, 0)
+    return lm.Lexicon(counts, firsts, np.minimum(firsts, 3), begins), begins
+
+
+def some_tokens(begins, n_tokens, seed=1):
+    """Ids and sizes of tokens, the last one a text's end."""
     import numpy as np
 
-    n = np.array([1, 5, 32, 33, 56, 57, 300])
-    ids, at, scored = lm.windows(n, np.arange(n.sum()), 9999)
-    assert sorted(at[scored].tolist()) == list(range(n.sum()))
-    assert ((np.arange(lm.WIDTH) >= lm.WIDTH - lm.STRIDE) | (ids[:, :1] == 9999))[scored].all()
+    rng = np.random.default_rng(seed)
+    size = rng.integers(1, 13, n_tokens)
+    size[-1] = 1
+    ids = np.flatnonzero(~begins)[rng.integers(0, (~begins).sum(), size.sum())]
+    first = np.cumsum(size) - size
+    ids[first] = np.flatnonzero(begins)[rng.integers(0, begins.sum() - 1, n_tokens)]
+    ids[-1] = len(begins) - 1
+    return ids, size
+
 
+def plain_attention(p, x):
+    """What each place knows and its logits, one place at a time in double precision."""
+    import numpy as np
+
+    x = x + p["pos"][: len(x)]
+    out = []
+    for t in range(len(x)):
+        weights = np.array([x[t] @ p["match"] @ x[s] for s in range(t + 1)])
+        weights = np.exp(weights - weights.max())
+        c = (weights / weights.sum()) @ x[: t + 1]
+        out.append((c @ p["value"] + x[t]) @ p["out"] + p["bias"])
+    return np.array(out)
 
-def test_all_windows_are_learnt_from():
-    import inspect
 
+def softmax(z):
     import numpy as np
 
-    assert inspect.signature(lm.score).parameters["window_part"].default == 1
-    rng = np.random.default_rng(1)
-    n = np.array([5, 300, 57, 40])
-    h = rng.integers(0, 1 << 62, n.sum()).astype(np.uint64)
-    assert lm.chosen_windows(h, n, 1).all()
-    apart = [lm.chosen_windows(t, np.array([len(t)]), 3) for t in np.split(h, np.cumsum(n)[:-1])]
-    assert (lm.chosen_windows(h, n, 3) == np.concatenate(apart)).all() and len(np.concatenate(apart)) == len(lm.windows(n, h.astype(np.int64), 0)[0])
+    e = np.exp(z - z.max())
+    return e / e.sum()
 
 
-def test_gradient_of_the_gate():
+def test_scores_equal_a_plain_loop():
+    """Chances of a text's tokens by the outer and the inner model, window by window and place by place."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    gate = lm.Gate(12, 3)
-    gate.p = {k: v.astype(np.float64) for k, v in gate.p.items()}
-    ids, chances, counted = rng.integers(0, 12, (4, lm.WIDTH)), rng.random((4, lm.WIDTH, 3)), rng.random((4, lm.WIDTH)) < 0.7
-
-    def value():
-        w, _ = gate.forward(ids)
-        return np.log((np.exp(w) * chances).sum(axis=2))[counted].mean()
-
-    grad = gate.gradient(ids, chances, counted)
-    for name in gate.NAMES:
-        at = tuple(rng.integers(0, s) for s in gate.p[name].shape)
-        keep = gate.p[name][at]
-        gate.p[name][at] = keep + 1e-5
-        up = value()
-        gate.p[name][at] = keep - 1e-5
-        down = value()
-        gate.p[name][at] = keep
-        assert abs((up - down) / 2e-5 - grad[name][at]) < 1e-4 * max(1, abs(grad[name][at]) * 100)
+    words_, begins = small_lexicon()
+    ids, size = some_tokens(begins, 70)
+    outer, inner = lm.Outer(words_), lm.Inner(words_)
+    p = {k: v.astype(float) for k, v in outer.p.items()}
+    tokens = np.split(ids, np.cumsum(size)[:-1])
+    vectors = [p["emb"][-1], *[np.mean([p["emb"][words_.bins[i]] for i in t], axis=0) for t in tokens]]
+    got = outer.score(ids, size, np.array([len(tokens)]))
+    begin = 0
+    for place in range(len(tokens)):
+        while place - begin >= lm.WIDTH:
+            begin += lm.STRIDE
+        z = plain_attention(p, np.array(vectors[begin : place + 1]))[-1]
+        shares, f = softmax(z[outer.classes :]), tokens[place][0]
+        own = softmax(z[: outer.classes])[words_.classes[0][f]] * np.exp(words_.share[0][f])
+        assert np.allclose(got[place], shares * np.append(words_.first[f], own), rtol=1e-3, atol=1e-9)
+    p = {k: v.astype(float) for k, v in inner.p.items()}
+    for token, got in zip(tokens, inner.score(ids, size), strict=True):
+        log, begin = 0.0, 0
+        for place in range(len(token) if token[0] != len(begins) - 1 else 0):
+            while place - begin >= lm.INNER_WIDTH:
+                begin += lm.INNER_STRIDE
+            z = plain_attention(p, np.array([p["emb"][words_.bins[i]] for i in token[begin : place + 1]]))[-1]
+            follow = token[place + 1] if place + 1 < len(token) else len(begins)
+            log += np.log(softmax(z)[words_.classes[1][follow]]) + words_.share[1][follow]
+        assert abs(log - got) < 1e-3 * max(1, len(token))
+
+
+def test_chances_of_all_subwords_are_one():
+    import numpy as np
+
+    words_, begins = small_lexicon()
+    for kind, own in ((0, begins), (1, np.append(~begins, True))):
+        mass = np.bincount(words_.classes[kind][own], np.exp(words_.share[kind][own]))
+        assert np.allclose(mass, 1) and len(mass) == words_.n_classes[kind]
+    assert np.allclose(words_.first[begins].sum(axis=0), 1) and (words_.first[~begins] == 0).all()
+    heavy = lm.equal_masses(np.array([100.0, 1, 1, 1, 1]), np.zeros(5, int), np.zeros(5, int), 4)
+    assert (heavy[1:] != heavy[0]).all()
+
+
+def test_gradients_of_the_models():
+    import numpy as np
+
+    words_, begins = small_lexicon()
+    rng = np.random.default_rng(3)
+    for model, t, shares in ((lm.Outer(words_), lm.WIDTH, lm.SLOTS + 1), (lm.Inner(words_), 5, 0)):
+        model.p = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in model.p.items()}
+        x = rng.standard_normal((3, t, lm.DIM)) * 0.5
+        target, weight = rng.integers(0, model.classes, 3 * t), rng.random(3 * t)
+        chances = rng.random((3 * t, shares)) if shares else None
+
+        def value(model=model, x=x, target=target, weight=weight, chances=chances):
+            e, sums, _ = model.forward(x)
+            logs = np.log(e[np.arange(len(e)), target] / sums[:, 0])
+            if chances is not None:
+                logs += np.log((e[:, model.classes :] * chances).sum(axis=1) / sums[:, 1])
+            return (logs * weight).sum()
+
+        e, sums, known = model.forward(x)
+        grad, dx = model.backward(known, model.logits(e, sums, target, weight, chances))
+        for name, whole in [*grad.items(), ("x", dx)]:
+            array = x if name == "x" else model.p[name]
+            place = tuple(rng.integers(0, min(s, t) if name == "pos" else s) for s in whole.shape)
+            keep = array[place]
+            array[place] = keep + 1e-5
+            above = value()
+            array[place] = keep - 1e-5
+            below = value()
+            array[place] = keep
+            assert abs((above - below) / 2e-5 - whole[place]) < 1e-5 + 1e-3 * abs(whole[place]), name
+
+
+def test_every_token_is_scored_once_and_learnt_from_once():
+    import numpy as np
+
+    words_, _ = small_lexicon()
+    n = np.array([1, 5, 23, 24, 25, 42, 43, 300])
+    for stride in (lm.STRIDE, lm.WIDTH):
+        token, before, scored = lm.Outer(words_).places(n, stride)
+        assert sorted(token[scored].tolist()) == list(range(n.sum()))
+        starts = np.cumsum(n) - n
+        assert ((before == -1) == np.isin(token, starts)).all() and (before[before >= 0] == (token - 1)[before >= 0]).all()
+        assert ((np.arange(lm.WIDTH) >= lm.WIDTH - stride) | (before[:, :1] == -1))[scored].all()
+
+
+def test_chunks_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rows = [(c, i) for c, n in ((0, 5), (3, 1), (4, 9), (6, 4)) for i in range(n)]
+    want = None
+    for step in (1, 2, 5, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[a : a + step]]) for j in (0, 1)], ["chunk", "x"]) for a in range(0, len(rows), step)]
+        got = [(c, t.column(1).to_pylist()) for c, t in lm._runs(batches, 4)]
+        want = want or got
+        assert got == want
+    assert [(c, len(x)) for c, x in want] == [(0, 4), (0, 1), (3, 1), (4, 4), (4, 4), (4, 1), (6, 4)]
