@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _Numbers, _Ragged, byte_alphabet, encoder, vocabulary_path
+from .bpe import _MARKS, _Numbers, _Ragged, _sums, byte_alphabet, encoder, vocabulary_path
 from .common import ready, text_or_empty, written
 from .words import mixed, utf8
 
@@ -58,26 +58,48 @@ class Coder:
         self.kind = "<u2" if self.n < 1 << 16 else "<u4"
         self.begins = np.zeros(self.n, bool)
         self.begins[[i for p, i in pieces.items() if p[0] == alphabet[32]] + [self.end]] = True
-        self.pretokens, self.limit = encoder(path).pretokens, limit
+        whole = encoder(path)
+        self.pretokens, self.split, self.limit = whole.pretokens, whole.split, limit
+        self.reset()
+
+    def reset(self) -> None:
         self.words, self.of_word = _Numbers(), _Ragged()
+        self.parts, self.of_part = _Numbers(), _Ragged()
 
     def _learn(self, fresh: list[bytes]) -> None:
-        texts = [" " + w.decode("utf-8", "replace") for w in fresh]
-        plain = np.array([t.isprintable() and "\ufffd" not in t for t in texts], bool)
-        both, keys = _Ragged(), [t for t, p in zip(texts, plain.tolist(), strict=True) if p]
-        if keys:
-            both.append(*self.pretokens(keys))
-        odd = [self.of_byte[np.frombuffer(b" " + w, np.uint8)] for w, p in zip(fresh, plain.tolist(), strict=True) if not p]
+        """Words as the tokenizer has them after a space; those that it might not give back are bytes."""
+        keys: list[str] = []
+        counts, odd = np.ones(len(fresh), np.int64), {}
+        for i, raw in enumerate(fresh):
+            w = raw.decode("utf-8", "replace")
+            if w.isalpha():  # most words
+                keys.append(" " + w)
+            elif w[-1] in _MARKS and w[:-1].isalpha():
+                keys += (" " + w[:-1], w[-1])
+                counts[i] = 2
+            elif w.isprintable() and "\ufffd" not in w:
+                own = self.split(" " + w)
+                keys += own
+                counts[i] = len(own)
+            else:
+                odd[i] = self.of_byte[np.frombuffer(b" " + raw, np.uint8)]
+                keys.append("!")
+        at, unseen = self.parts.of(keys)
+        if unseen:
+            self.of_part.append(*self.pretokens(unseen))
+        ids, lengths = self.of_part.take(at)
+        lengths = _sums(lengths, counts)
         if odd:
-            both.append(np.concatenate(odd), np.array([len(o) for o in odd]))
-        at = np.empty(len(fresh), np.int64)
-        at[plain], at[~plain] = np.arange(len(keys)), np.arange(len(keys), len(fresh))
-        self.of_word.append(*both.take(at))
+            runs = np.split(ids, np.cumsum(lengths)[:-1])
+            for i, own in odd.items():
+                runs[i], lengths[i] = own, len(own)
+            ids = np.concatenate(runs)
+        self.of_word.append(ids, lengths)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids in turn, ids of each token, and tokens of each row (its words, then its end)."""
         if len(self.words) > self.limit:
-            self.words, self.of_word = _Numbers(), _Ragged()
+            self.reset()
         raw, offsets = utf8(column)
         data = raw.tobytes().lower()
         keys: list[bytes] = []
@@ -247,6 +269,12 @@ class Attention:
         return dz
 
 
+    def by_bin(self, bins: np.ndarray, dx: np.ndarray) -> np.ndarray:
+        """Gradient of the embeddings from that of vectors of these classes."""
+        bins, dx = bins.reshape(-1), np.ascontiguousarray(dx.reshape(-1, DIM).T)
+        return np.stack([np.bincount(bins, d, len(self.p["emb"])) for d in dx], axis=1).astype(dx.dtype)
+
+
 class Ascent:
     """Adam on a model's parameters."""
 
@@ -256,21 +284,11 @@ class Ascent:
 
     def step(self, grad: dict) -> None:
         for k, g in grad.items():
-            at, g = g if isinstance(g, tuple) else (slice(None), g)  # rows that a step leaves out keep their state
             self.t[k] += 1
-            m, v = self.m[k][at], self.v[k][at]
+            m, v = self.m[k], self.v[k]
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.02) * (g * g - v)
-            self.m[k][at], self.v[k][at] = m, v
-            self.model.p[k][at] += ((self.rate / (1 - 0.9 ** self.t[k])) * m / (np.sqrt(v / (1 - 0.98 ** self.t[k])) + 1e-8)).astype(np.float32)
-
-
-def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.diff(own, prepend=-1))
-    return own[first], np.add.reduceat(values[order], first, axis=0)
+            self.model.p[k] += ((self.rate / (1 - 0.9 ** self.t[k])) * m / (np.sqrt(v / (1 - 0.98 ** self.t[k])) + 1e-8)).astype(np.float32)
 
 
 class Outer(Attention):
@@ -282,8 +300,15 @@ class Outer(Attention):
 
     def vectors(self, bins: np.ndarray, size: np.ndarray) -> np.ndarray:
         """A vector of each token; the last row is what stands before a text."""
-        sums = np.add.reduceat(self.p["emb"][bins], np.cumsum(size) - size, axis=0)
-        return np.concatenate([sums / size[:, None].astype(np.float32), self.p["emb"][-1:]])
+        emb, first = self.p["emb"], np.cumsum(size) - size
+        out = np.empty((len(size) + 1, DIM), emb.dtype)
+        out[:-1], out[-1] = emb[bins[first]], emb[-1]
+        left = np.flatnonzero(size > 1)
+        for k in range(1, int(size.max(initial=0))):  # the next subword of all tokens that have one
+            left = left[size[left] > k]
+            out[left] += emb[bins[first[left] + k]]
+        out[:-1] /= size[:, None]
+        return out
 
     def places(self, n: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all windows: the token at each place, the token before it (-1: the text begins), and whether it is scored."""
@@ -301,35 +326,31 @@ class Outer(Attention):
 
     def learn(self, ids: np.ndarray, size: np.ndarray, n: np.ndarray, up: Ascent) -> int:
         """Steps over all windows of the texts."""
-        bins, first = self.words.bins[ids], ids[np.cumsum(size) - size]
+        bins, start = self.words.bins[ids], np.cumsum(size) - size
+        first = ids[start]
         token, before, scored = self.places(n, WIDTH)
         for i in range(0, len(token), STEP * TURN):
-            last = slice(i, i + STEP * TURN)
-            # tokens are numbered anew within the steps that share their vectors
-            used, own = np.unique(before[last], return_inverse=True)
-            own = own.reshape(before[last].shape)
-            used = used[used >= 0]
-            start = np.cumsum(size)[used] - size[used]
-            sizes = size[used]
-            flat = bins[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-            begin = int(before[last].min() < 0)
-            vectors = self.vectors(flat, sizes) if len(used) else self.p["emb"][-1:]
-            # np.unique puts -1 first; its vector stands last
-            own = np.where(own < begin, len(used), own - begin)
+            # steps that share their vectors: tokens follow each other, and each is before one place only
+            before_, token_, scored_ = (v[i : i + STEP * TURN] for v in (before, token, scored))
+            low, high = int(token_[0, 0]) - 1, int(token_.max())
+            low = max(low, 0)
+            sizes, flat = size[low:high], bins[start[low] : start[high]]
+            vectors = self.vectors(flat, sizes)
             grads = np.zeros_like(vectors)
-            for j in range(0, len(own), STEP):
-                part = own[j : j + STEP]
-                ok = scored[last][j : j + STEP].reshape(-1)
-                heads = first[token[last][j : j + STEP].reshape(-1)]
-                e, sums, known = self.forward(vectors[part])
-                weight = (ok / max(1, ok.sum())).astype(np.float32)
+            for j in range(0, len(token_), STEP):
+                part, ok = before_[j : j + STEP], scored_[j : j + STEP]
+                own = np.where(part < 0, len(sizes), part - low)
+                heads = first[token_[j : j + STEP].reshape(-1)]
+                e, sums, known = self.forward(vectors[own])
+                weight = (ok.reshape(-1) / max(1, ok.sum())).astype(e.dtype)
                 grad, dx = self.backward(known, self.logits(e, sums, self.words.classes[0][heads], weight, self.chances(heads, e, sums)))
-                rows, values = by_row(part.reshape(-1), dx.reshape(-1, DIM))
-                grads[rows] += values
+                begins = part < 0
+                grads[-1] += dx[begins].sum(axis=0)
+                inside = ok & ~begins
+                grads[own[inside]] = dx[inside]
                 up.step(grad)
-            rows = np.append(flat, len(self.p["emb"]) - 1)
-            spread = np.concatenate([np.repeat(grads[:-1] / sizes[:, None].astype(np.float32), sizes, axis=0), grads[-1:]])
-            up.step({"emb": by_row(rows, spread)})
+            spread = np.repeat(grads[:-1] / sizes[:, None].astype(grads.dtype), sizes, axis=0)
+            up.step({"emb": self.by_bin(np.append(flat, self.words.n_bins - 1), np.concatenate([spread, grads[-1:]]))})
         return int(scored.sum())
 
     def score(self, ids: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -375,7 +396,7 @@ class Inner(Attention):
             e, sums, known = self.forward(self.p["emb"][bins[at]])
             weight = weights[at.reshape(-1)] * ok
             grad, dx = self.backward(known, self.logits(e, sums, self.words.classes[1][follows], weight / max(weight.sum(), 1e-9)))
-            up.step(grad | {"emb": by_row(bins[at].reshape(-1), dx.reshape(-1, DIM))})
+            up.step(grad | {"emb": self.by_bin(bins[at], dx)})
         return int(size.sum())
 
     def score(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -389,16 +410,15 @@ class Inner(Attention):
         return np.add.reduceat(logs, np.cumsum(size) - size)
 
 
-def packed_shares(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slots' chances as a largest one and bytes of it, eight in a number: all tokens are scored by these."""
-    top = np.maximum(shares[:, :SLOTS].max(axis=1), 1e-30)
-    parts = np.rint(shares[:, :SLOTS] / top[:, None] * 255).astype(np.uint64)
-    return top, (parts << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
+def rounded(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots' chances as a largest one and 255ths of it: all tokens are scored by these."""
+    top = np.maximum(shares[:, :SLOTS].max(axis=1), np.float32(1e-30))
+    return top, np.rint(shares[:, :SLOTS] * (255 / top)[:, None])
 
 
-def unpacked_shares(top: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    each = parts.view(np.uint64)[:, None] >> (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8)) & np.uint64(255)
-    return top[:, None] * each / 255.0
+def packed(parts: np.ndarray) -> np.ndarray:
+    """Eight 255ths in a number."""
+    return (parts.astype(np.uint64) << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _runs(batches, rows: int):
@@ -474,7 +494,7 @@ def _trained(parts: DataFrame, model: Attention, learn, columns: list[str], at_o
 
 def score(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", language: str | None = "lang", held_out: int = 1, folds: int = 5,
-    frequent: int = 1 << 16, vocabulary: str | None = None, rounds: int = 2, epochs: int = 1, rate: float = 0.02, chunk_tokens: int = 1 << 19, chunk_words: int = 1 << 17,
+    frequent: int = 1 << 18, vocabulary: str | None = None, rounds: int = 2, epochs: int = 1, rate: float = 0.02, chunk_tokens: int = 1 << 19, chunk_words: int = 1 << 17,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -509,8 +529,8 @@ def score(
                 ends = np.cumsum(size)[np.cumsum(n) - 1]
                 raw = ids.astype(own.kind).tobytes()
                 width = np.dtype(own.kind).itemsize
-                packed = [raw[a * width : z * width] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n), pa.array(packed, pa.binary())], [*b.schema.names[:5], "n", "ids"])
+                packed_ids = [raw[a * width : z * width] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n), pa.array(packed_ids, pa.binary())], [*b.schema.names[:5], "n", "ids"])
 
     pieces = written(rows.mapInArrow(cut_up, "row long, doc_id long, held_out boolean, slot int, key long, n long, ids binary"), "pieces")
 
@@ -519,32 +539,31 @@ def score(
         held: list[tuple] = []
 
         def out():
-            h, slot, first, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            group = h ^ mixed(slot.astype(np.uint64) + np.uint64(1))
-            _, at, n = np.unique(group, return_index=True, return_counts=True)
+            h, slot, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, n = np.unique(h ^ mixed(slot.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
             n[slot[at] == SLOTS] = 0  # words of held-out texts are listed, not counted
-            raw, width = ids.astype(own.kind).tobytes(), np.dtype(own.kind).itemsize
-            begin = np.cumsum(size) - size
-            packed = [raw[a * width : z * width] for a, z in zip(begin[at].tolist(), (begin + size)[at].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.minimum(slot[at], SLOTS - 1).astype(np.int32)), pa.array(n), pa.array(packed, pa.binary())], ["h", "slot", "n", "w"])
+            raw, width = ids.tobytes(), ids.dtype.itemsize
+            last = np.cumsum(size, dtype=np.int64)[at]
+            spelt = [raw[a * width : z * width] for a, z in zip((last - size[at]).tolist(), last.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(spelt, pa.binary()), pa.array(np.minimum(slot[at], SLOTS - 1).astype(np.int32)), pa.array(n)], ["w", "slot", "n"])
 
         total = 0
         for b in batches:
             if not b.num_rows:
                 continue
             ids, size, n = unpacked(b.column(2), own)
-            slot = np.where(b.column(0).to_numpy(zero_copy_only=False), SLOTS, b.column(1).to_numpy())
-            held.append((token_hashes(ids, size), np.repeat(slot, n), ids[np.cumsum(size) - size], size, ids))
+            slot = np.where(b.column(0).to_numpy(zero_copy_only=False), SLOTS, b.column(1).to_numpy()).astype(np.int8)
+            held.append((token_hashes(ids, size), np.repeat(slot, n), size.astype(np.int32), ids.astype(own.kind)))
             total += len(ids)
-            if total > 2_000_000:
+            if total > 8_000_000:
                 yield out()
                 held, total = [], 0
         if held:
             yield out()
 
-    counted = pieces.select("held_out", "slot", "ids").mapInArrow(count, "h long, slot int, n long, w binary")
+    counted = pieces.select("held_out", "slot", "ids").mapInArrow(count, "w binary, slot int, n long")
     columns = [f"c{i}" for i in range(SLOTS)]
-    words = counted.groupBy("h").agg(F.first("w").alias("w"), *[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(columns)])
+    words = counted.groupBy("w").agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(columns)])
     words = written(words.withColumn("c", sum((F.col(c) for c in columns), F.lit(0))), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
 
@@ -583,7 +602,7 @@ def score(
 
         dealt = lambda k: F.pmod(F.xxhash64("key", F.lit(29)), F.lit(k)).alias("chunk")
         chunks = rounds * max(1, -(-int(distinct) // (rounds * chunk_words)))
-        inner = _trained(words.where("c > 0").select("w", "c", F.col("h").alias("key")).select(dealt(chunks), "*"), inner, learn_words, ["w", "c"], 1 << 14, rate, chunks, rounds)
+        inner = _trained(words.where("c > 0").select("w", "c", F.xxhash64("w").alias("key")).select(dealt(chunks), "*"), inner, learn_words, ["w", "c"], 1 << 14, rate, chunks, rounds)
         chunks = rounds * max(1, -(-int(total) // (rounds * chunk_tokens)))
         outer = _trained(pieces.where("NOT held_out").select(dealt(chunks), "key", "ids"), outer, learn_texts, ["ids"], 256, rate, chunks, rounds)
     share = spark.sparkContext.broadcast((known, inner.vector(), outer.vector()))
@@ -593,14 +612,14 @@ def score(
         own, model = coder(path), Inner(table).load(flat)
         for b in batches:
             if b.num_rows:
-                ids, size, _ = unpacked(b.column(1), own)
+                ids, size, _ = unpacked(b.column(0), own)
                 logs = model.score(ids, size)
-                c = np.stack([b.column(j + 3).to_numpy() for j in range(SLOTS)], axis=1).astype(np.float64)
+                c = np.stack([b.column(j + 2).to_numpy() for j in range(SLOTS)], axis=1).astype(np.float64)
                 by = table.rest(ids[np.cumsum(size) - size], c, logs)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.exp(logs)), *(pa.array(by[:, j]) for j in range(SLOTS))], ["h", "c", "r", *(f"r{j}" for j in range(SLOTS))])
+                yield pa.RecordBatch.from_arrays([pa.array(token_hashes(ids, size).view(np.int64)), b.column(1), pa.array(np.exp(logs)), *(pa.array(by[:, j]) for j in range(SLOTS))], ["h", "c", "r", *(f"r{j}" for j in range(SLOTS))])
 
     rests = [f"r{j}" for j in range(SLOTS)]
-    rated_words = written(words.select("h", "w", "c", *columns).mapInArrow(rate_words, "h long, c long, r double, " + ", ".join(f"{r} double" for r in rests)), "rated-words")
+    rated_words = written(words.select("w", "c", *columns).mapInArrow(rate_words, "h long, c long, r double, " + ", ".join(f"{r} double" for r in rests)), "rated-words")
     # how common a word must be for at most ``frequent`` to remain, from a histogram by logarithm
     seen, least = 0, float("inf")
     for r in words.where("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect():
@@ -610,7 +629,7 @@ def score(
         least = r["c"]
     top = rated_words.where(F.col("c") >= least).toPandas().sort_values("h")
     whole = float(np.log10(int(total) + 0.5 * (int(distinct) + 1)))
-    common = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64), top["r"].to_numpy(np.float64), top[rests].to_numpy(np.float64)))
+    common = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64), top["r"].to_numpy(np.float32), top[rests].to_numpy(np.float32)))
 
     def rate_texts(batches):
         table, _, flat = share.value
@@ -622,17 +641,17 @@ def score(
             ids, size, n = unpacked(b.column(4), own)
             h = token_hashes(ids, size).view(np.int64)
             shares = model.score(ids, size, n)
-            most, parts = packed_shares(shares)
+            most, parts = rounded(shares)
             at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
             known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
             base, logs = np.zeros(len(h)), np.zeros(len(h))
             at = at[known]
             base[known] = np.log10(c[at] + 0.5)
-            logs[known] = np.log10((unpacked_shares(most[known], parts[known]) * rs[at]).sum(axis=1) + shares[known, SLOTS] * r[at])
+            logs[known] = np.log10(np.einsum("ij,ij->i", parts[known], rs[at]) * (most[known] / np.float32(255)) + shares[known, SLOTS] * r[at])
             begin, rare = np.cumsum(n) - n, ~known
             n_rare = np.add.reduceat(rare.astype(np.int64), begin)
             offsets = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
-            left = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(parts[rare]), pa.array(most[rare]), pa.array(shares[rare, SLOTS])], ["h", "p", "t", "z"])
+            left = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(packed(parts[rare])), pa.array(most[rare]), pa.array(shares[rare, SLOTS])], ["h", "p", "t", "z"])
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array(n - n_rare), pa.array(np.add.reduceat(base, begin) - n * whole), pa.array(np.add.reduceat(logs, begin)), pa.ListArray.from_arrays(pa.array(offsets), left)],
                 ["row", "doc_id", "held_out", "n", "n_known", "base", "logs", "rare"],
