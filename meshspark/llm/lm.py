@@ -58,8 +58,7 @@ class Coder:
         self.kind = "<u2" if self.n < 1 << 16 else "<u4"
         self.begins = np.zeros(self.n, bool)
         self.begins[[i for p, i in pieces.items() if p[0] == alphabet[32]] + [self.end]] = True
-        whole = encoder(path)
-        self.pretokens, self.split, self.limit = whole.pretokens, whole.split, limit
+        self.path, self.limit = path, limit
         self.reset()
 
     def reset(self) -> None:
@@ -68,6 +67,7 @@ class Coder:
 
     def _learn(self, fresh: list[bytes]) -> None:
         """Words as the tokenizer has them after a space; those that it might not give back are bytes."""
+        whole = encoder(self.path)  # read where new words come up, not where ids are read back
         keys: list[str] = []
         counts, odd = np.ones(len(fresh), np.int64), {}
         for i, raw in enumerate(fresh):
@@ -78,7 +78,7 @@ class Coder:
                 keys += (" " + w[:-1], w[-1])
                 counts[i] = 2
             elif w.isprintable() and "\ufffd" not in w:
-                own = self.split(" " + w)
+                own = whole.split(" " + w)
                 keys += own
                 counts[i] = len(own)
             else:
@@ -86,7 +86,7 @@ class Coder:
                 keys.append("!")
         at, unseen = self.parts.of(keys)
         if unseen:
-            self.of_part.append(*self.pretokens(unseen))
+            self.of_part.append(*whole.pretokens(unseen))
         ids, lengths = self.of_part.take(at)
         lengths = _sums(lengths, counts)
         if odd:
@@ -494,7 +494,7 @@ def _trained(parts: DataFrame, model: Attention, learn, columns: list[str], at_o
 
 def score(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", language: str | None = "lang", held_out: int = 1, folds: int = 5,
-    frequent: int = 1 << 18, vocabulary: str | None = None, rounds: int = 2, epochs: int = 1, rate: float = 0.02, chunk_tokens: int = 1 << 19, chunk_words: int = 1 << 17,
+    frequent: int = 1 << 17, vocabulary: str | None = None, rounds: int = 2, epochs: int = 1, rate: float = 0.02, chunk_tokens: int = 1 << 19, chunk_words: int = 1 << 17,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -627,7 +627,7 @@ def score(
         if seen > frequent:
             break
         least = r["c"]
-    top = rated_words.where(F.col("c") >= least).toPandas().sort_values("h")
+    top = rated_words.where(F.col("c") >= least).select("h", "c", *[F.col(r).cast("float").alias(r) for r in ["r", *rests]]).toPandas().sort_values("h")
     whole = float(np.log10(int(total) + 0.5 * (int(distinct) + 1)))
     common = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64), top["r"].to_numpy(np.float32), top[rests].to_numpy(np.float32)))
 
