@@ -23,7 +23,7 @@ def _children(code: int) -> list[tuple[int, int, int]]:
     whole = ({0, 1, 2} - set(split)).pop()  # the edge that stays; the corner across it is cut off
     a, b, tip = whole, (whole + 1) % 3, (whole + 2) % 3
     on_b, on_a = 3 + b, 3 + tip  # midpoints of edges (b, tip) and (tip, a)
-    return [(tip, on_a, on_b), (a, b, on_b), (a, on_b, on_a)]
+    return [(on_b, tip, on_a), (b, on_b, on_a), (b, on_a, a)]
 
 
 def subdivide(vertices: DataFrame, faces: DataFrame, marked: DataFrame, attributes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -13,29 +13,83 @@ from ..functions import geometry as G
 from ..functions.vec import Vec
 from .topology import CORNERS, corners, saved, shares_vertex, triangles, vertex_normals
 
-CELL = ("cell_x", "cell_y", "cell_z")
+CELL = ("level", "cell_x", "cell_y", "cell_z")
 #: Reference rows up to which nearest rows are found by broadcasting all of them.
 BROADCAST_ROWS = 20_000
 
 
-def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
-    return df.agg(F.percentile(column, q)).first()[0]
+def exact_quantile(df: DataFrame, column: str, q: float, at_once: int = 1 << 16) -> float | None:
+    """The quantile of a column, between the two values around its rank; null for no values.
 
-
-def cell_size(boxes: DataFrame, quantile: float = 0.9, factor: float = 1.0) -> float:
+    Both are bracketed by approximate quantiles, and the bracket narrows until at most ``at_once``
+    of its values, or equal ones only, remain: they are counted by value, whatever the table's size.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low, high = int(at), min(int(at) + 1, n - 1)  # ranks from 0
+    below, inside = 0, n
+    while inside > at_once and lo < hi:
+        part = rows.where((F.col("v") >= lo) & (F.col("v") <= hi))
+        around = [max(0.0, (low - below) / inside - 0.002), min(1.0, (high - below + 1) / inside + 0.002)]
+        a, z = part.agg(F.percentile_approx("v", around, 2000)).first()[0]
+        less, upto = part.agg(F.sum((F.col("v") < a).cast("long")), F.sum((F.col("v") <= z).cast("long"))).first()
+        if below + less > low or below + upto <= high:  # the approximation missed: it can't be narrowed this way
+            break
+        if (a, z) == (lo, hi):
+            break
+        below, inside, lo, hi = below + less, upto - less, a, z
+    seen, found = below, []
+    counts = rows.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.count("*").alias("c")).orderBy("v")
+    for r in counts.toLocalIterator():
+        seen += r["c"]
+        if not found and seen > low:
+            found.append(r["v"])
+        if seen > high:
+            return found[0] + (at - low) * (r["v"] - found[0])
+    return found[0]
+
+
+def about_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The quantile within a thousandth of the ranks, from sketches that merge: for sizes of cells,
+    which decide how much is compared and not what is found."""
+    return df.agg(F.percentile_approx(column, q, 1000)).first()[0]
+
+
+def cell_size(boxes: DataFrame, quantile: float = 0.9, factor: float = 1.0, exact: bool = False) -> float:
     """The quantile of positive box extents times ``factor``; 1.0 if there is none, 1e-9 at least."""
     extent = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"])
-    found = exact_quantile(boxes.select(extent.alias("e")).where("e > 0"), "e", quantile)
+    found = (exact_quantile if exact else about_quantile)(boxes.select(extent.alias("e")).where("e > 0"), "e", quantile)
     return max(found * factor, 1e-9) if found is not None else 1.0
 
 
-def in_cells(boxes: DataFrame, cell: float) -> DataFrame:
-    """A row for each cell that a box touches; ``gx, gy, gz`` is its lowest cell."""
-    first = {f"g{c}": F.floor(F.col(f"lo{c}") / cell) for c in "xyz"}
-    out = boxes.withColumns(first)
+#: Cells of a level are so many times as large as those of the level before; a box is of the first level
+#: where it touches at most so many cells.
+LEVEL, MOST_CELLS = 4, 512
+
+
+def _own_level(cell: float):
+    spans = [F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"]
+    touched = lambda k: (F.floor(spans[0] / (cell * LEVEL**k)) + 2) * (F.floor(spans[1] / (cell * LEVEL**k)) + 2) * (F.floor(spans[2] / (cell * LEVEL**k)) + 2)
+    return F.coalesce(*[F.when(touched(k) <= MOST_CELLS, F.lit(k)) for k in range(24)], F.lit(24))
+
+
+def levels(boxes: DataFrame, cell: float) -> list[int]:
+    """The levels that boxes are of: a few dozen at most, whatever the number of boxes."""
+    return sorted(r[0] for r in boxes.select(_own_level(cell).alias("l")).distinct().collect())
+
+
+def in_cells(boxes: DataFrame, cell: float, known: list[int]) -> DataFrame:
+    """A row for each cell that a box touches, on its own level and the ``known`` coarser ones: at most
+    ``MOST_CELLS`` a level, however large the box. ``gx, gy, gz`` is its lowest cell there, ``own`` its level."""
+    out = boxes.withColumn("own", _own_level(cell)).withColumn("level", F.explode(F.array(*[F.lit(k) for k in known])))
+    out = out.where(F.col("level") >= F.col("own")).withColumn("size", cell * F.pow(F.lit(float(LEVEL)), F.col("level")))
+    out = out.withColumns({f"g{c}": F.floor(F.col(f"lo{c}") / F.col("size")) for c in "xyz"})
     for c in "xyz":
-        out = out.withColumn(f"cell_{c}", F.explode(F.sequence(F.col(f"g{c}"), F.floor(F.col(f"hi{c}") / cell))))
-    return out
+        out = out.withColumn(f"cell_{c}", F.explode(F.sequence(F.col(f"g{c}"), F.floor(F.col(f"hi{c}") / F.col("size")))))
+    return out.drop("size")
 
 
 def _side(df: DataFrame, tag: str, keep: tuple[str, ...] = CELL) -> DataFrame:
@@ -43,14 +97,16 @@ def _side(df: DataFrame, tag: str, keep: tuple[str, ...] = CELL) -> DataFrame:
 
 
 def overlapping(one: DataFrame, two: DataFrame, cell: float) -> DataFrame:
-    """Pairs of rows with overlapping boxes, columns prefixed ``a_`` and ``b_``."""
-    a, b = _side(in_cells(one, cell), "a_"), _side(in_cells(two, cell), "b_")
+    """Pairs of rows with overlapping boxes, columns prefixed ``a_`` and ``b_``. They meet on the coarser
+    level of both, so a box that is far larger than a cell has few rows."""
+    known = sorted({*levels(one, cell), *([] if two is one else levels(two, cell))}) or [0]
+    a, b = _side(in_cells(one, cell, known), "a_"), _side(in_cells(two, cell, known), "b_")
     met = a.join(b, list(CELL))
-    low = F.lit(True)
+    low = F.col("level") == F.greatest("a_own", "b_own")
     for c in "xyz":
         low = low & (F.col(f"cell_{c}") == F.greatest(f"a_g{c}", f"b_g{c}"))
     lo_a, hi_a, lo_b, hi_b = Vec.of("a_lo"), Vec.of("a_hi"), Vec.of("b_lo"), Vec.of("b_hi")
-    return met.where(low & G.boxes_overlap(lo_a, hi_a, lo_b, hi_b)).drop(*CELL, *[f"{t}_g{c}" for t in "ab" for c in "xyz"])
+    return met.where(low & G.boxes_overlap(lo_a, hi_a, lo_b, hi_b)).drop(*CELL, "a_own", "b_own", *[f"{t}_g{c}" for t in "ab" for c in "xyz"])
 
 
 def triangle_boxes(tri: DataFrame, inflate: float = 0.0) -> DataFrame:
@@ -82,11 +138,20 @@ def collision_candidates(vertices: DataFrame, faces: DataFrame, margin: float =
     return (out if max_pairs is None else out.orderBy("d", "fa", "fb").limit(max_pairs)).select("fa", "fb")
 
 
+def _occupied_cell(refs: DataFrame, span: float, n: int, k: int) -> float:
+    """The edge of cells that hold about ``2k`` references each where there are any, as counted: points on
+    a surface or a curve fill few of the cells of their box, and their cells must be smaller."""
+    sizes = [span / 2**j for j in range(2, 21)]
+    key = lambda s: F.xxhash64(*[F.floor(F.col(f"r{c}") / s) for c in "xyz"])
+    filled = refs.agg(*[F.approx_count_distinct(key(s), 0.05).alias(f"n{j}") for j, s in enumerate(sizes)]).first()
+    return next((s for s, cells in zip(sizes, filled, strict=True) if n <= 2 * k * cells), sizes[-1])
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, *, query_id: str = "pid", ref_id: str = "pid", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``qid, rid, d2, nth``: the ``k`` nearest reference points of each query, ties to the smaller id.
 
     Up to ``broadcast_rows`` references (counted) are broadcast. Beyond that queries meet the
-    references of their own and the 26 neighbouring cells; a result is certain once its distance
+    references of their own and the 26 neighbouring cells, of a size at which cells hold few of them; a result is certain once its distance
     is within one cell, and queries that are not certain try again with cells twice as large, so
     after as many rounds as doublings span the cloud all are exact.
     """
@@ -103,14 +168,14 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, *, query_id: str =
             return least.select("qid", "m.rid", "m.d2", F.lit(1).alias("nth"))
         return met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("qid", "rid", "d2", "nth")
     span = max(b - a for a, b in zip(lo, hi, strict=True)) or 1.0
-    size = max(span * (8.0 * k / n) ** (1 / 3), span * 1e-6)
+    size = _occupied_cell(r, span, n, k)
     done, left = None, saved(q)
     while True:
         at = lambda p: [F.floor(F.col(f"{p}{c}") / size).alias(f"cell_{c}") for c in "xyz"]  # noqa: B023, E731
         near = left.select("*", *at("q"))
         for c in "xyz":
             near = near.withColumn(f"cell_{c}", F.explode(F.array(F.col(f"cell_{c}") - 1, F.col(f"cell_{c}"), F.col(f"cell_{c}") + 1)))
-        met = near.join(r.select("*", *at("r")), list(CELL)).withColumn("d2", d2)
+        met = near.join(r.select("*", *at("r")), ["cell_x", "cell_y", "cell_z"]).withColumn("d2", d2)
         found = met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("qid", "rid", "d2", "nth")
         every = size > 2 * span
         sure = found if every else found.groupBy("qid").agg(F.count("*").alias("c"), F.max("d2").alias("far")).where((F.col("c") == k) & (F.col("far") <= size * size)).join(found, "qid").select("qid", "rid", "d2", "nth")
@@ -156,7 +221,7 @@ def closest_on_mesh(queries: DataFrame, vertices: DataFrame, faces: DataFrame, *
         reach = q.join(bound, "qid")
         boxes = triangle_boxes(tri)
         around = reach.withColumns({f"{s}{k}": F.col(f"p{k}") + (F.col("radius") * (1 if s == "hi" else -1)) for s in ("lo", "hi") for k in "xyz"})
-        size = max(cell_size(boxes), 2 * (exact_quantile(bound, "radius", 0.9) or 0.0))
+        size = max(cell_size(boxes), 2 * (about_quantile(bound, "radius", 0.9) or 0.0))
         met = overlapping(around, boxes, size)
         met = met.select(F.col("a_qid").alias("qid"), *[F.col(f"a_p{k}").alias(f"p{k}") for k in "xyz"], *[F.col(f"b_{n}").alias(n) for n in tri.columns])
     met = G.with_closest_on_triangle(met, p, a, b, c)

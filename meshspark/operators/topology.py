@@ -11,6 +11,8 @@ from ..functions import geometry as G
 from ..functions.vec import Vec
 
 CORNERS = ("i0", "i1", "i2")
+#: Places that a row which many others join is sent to.
+SALTS = 16
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -136,8 +138,12 @@ def min_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         least = near.join(now, near["v"] == now["node"]).groupBy("u").agg(F.min("label").alias("l"))
         hooked = now.join(least, now["node"] == least["u"], "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"), F.col("label").alias("old"))
         hooked = saved(hooked)
-        roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = saved(hooked.join(roots, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
+        # a label may stand for most nodes: only labels that move on are joined, and each is sent to SALTS places
+        used = hooked.select("label").distinct()
+        up = hooked.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("up")).join(used, "label", "left_semi")
+        up = up.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = hooked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        after = saved(salted.join(up, ["label", "salt"], "left").select("node", F.coalesce("up", "label").alias("label"), "old"))
         changed = not after.where("label <> old").isEmpty()
         now = after.select("node", "label")
         if not changed:

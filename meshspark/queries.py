@@ -362,7 +362,7 @@ def flt7_advancing_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MESH}, {_tri('tri', 'mv', 'mf')}, x AS (SELECT greatest(greatest(ax,bx,cx)-least(ax,bx,cx), greatest(ay,\"by\",cy)-least(ay,\"by\",cy), greatest(az,bz,cz)-least(az,bz,cz)) AS e FROM tri) SELECT round(greatest(quantile_cont(e, 0.9), 1e-9), 9) AS cell FROM x WHERE e > 0")
 def srt2_cell_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = spatial.triangle_boxes(topology.triangles(*fixtures.height_field(spark, sf_dir)))
-    return spark.createDataFrame([(spatial.cell_size(boxes),)], "cell double").select(_r("cell", 9).alias("cell"))
+    return spark.createDataFrame([(spatial.cell_size(boxes, exact=True),)], "cell double").select(_r("cell", 9).alias("cell"))
 
 
 _INSIDE = " AND ".join(f"{k}.x BETWEEN 0.2 AND 0.7 AND {k}.y BETWEEN 0.2 AND 0.7" for k in "abc")

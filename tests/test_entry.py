@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from meshspark import queries
+from meshspark import queries, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
