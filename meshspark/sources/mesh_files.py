@@ -12,9 +12,14 @@ from ..operators.topology import CORNERS, corners, dense_rank_ids, saved, triang
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``at, value`` of a text file: where each line stands, in order. Files are read by Spark only."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    """``at, value`` of a text file's lines: ``at`` ascends from 0 without gaps. Files are read by Spark
+    only, in splits; a line stands by its split's place in the file and its own in the split."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.rtrim("value", F.lit("\r")).alias("value"))
+    rows = saved(rows)
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    # a row for each split of the file
+    before = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("nth") - F.col("first")).alias("at"), "value")
 
 
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
@@ -29,9 +34,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Lines ``v x y z`` and ``f a b c`` (1-based, ``a/b/c`` allowed, polygons as fans); others are ignored."""
     rows = lines(spark, path).withColumn("w", F.split(F.trim("value"), r"\s+"))
-    v = _numbered(rows.where((F.get("w", F.lit(0)) == "v") & (F.size("w") >= 4)).select("at", *[F.get("w", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")]), "vid")
+    v = _numbered(rows.where((F.get("w", F.lit(0)) == "v") & (F.size("w") >= 4)).select("at", *[F.get("w", F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate("xyz")]), "vid")
     f = rows.where((F.get("w", F.lit(0)) == "f") & (F.size("w") >= 4))
-    f = f.select("at", F.transform(F.slice("w", 2, 1 << 20), lambda x: F.substring_index(x, "/", 1).cast("long") - 1).alias("i"))
+    f = f.select("at", F.transform(F.slice("w", 2, 1 << 20), lambda x: F.substring_index(x, "/", 1).try_cast("long") - 1).alias("i"))
     f = f.select("at", "i", F.explode(F.sequence(F.lit(1), F.size("i") - 2)).alias("k"))
     f = f.select((F.col("at") * (1 << 20) + F.col("k")).alias("at"), F.get("i", F.lit(0)).alias("i0"), F.get("i", F.col("k")).alias("i1"), F.get("i", F.col("k") + 1).alias("i2"))
     return v.select("vid", "x", "y", "z"), _numbered(f, "fid").select("fid", *CORNERS)
@@ -66,13 +71,13 @@ def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         start += count
     names = [n for n, _ in head["props"]["vertex"]]
     v = tables["vertex"].where(F.size("w") >= len(names))
-    at = lambda n: F.get("w", F.lit(names.index(n))).cast("double")
+    at = lambda n: F.get("w", F.lit(names.index(n))).try_cast("double")
     v = v.select(F.col("id").cast("long").alias("vid"), *[at(c).alias(c) for c in "xyz"], *[at(n).alias(f"vertex_{n}") for n in names if n not in "xyz"])
     if "face" not in tables:
         return v, spark.createDataFrame([], "fid long, i0 long, i1 long, i2 long")
     props = [n for n, is_list in head["props"]["face"] if not is_list]
-    n = F.get("w", F.lit(0)).cast("int")
-    f = tables["face"].where(F.size("w") >= 1 + n + len(props)).select(F.col("id").cast("long").alias("fid"), *[F.get("w", F.lit(i + 1)).cast("long").alias(c) for i, c in enumerate(CORNERS)], *[F.get("w", 1 + n + i).cast("double").alias(f"face_{p}") for i, p in enumerate(props)])
+    n = F.get("w", F.lit(0)).try_cast("int")
+    f = tables["face"].where(F.size("w") >= 1 + n + len(props)).select(F.col("id").cast("long").alias("fid"), *[F.get("w", F.lit(i + 1)).try_cast("long").alias(c) for i, c in enumerate(CORNERS)], *[F.get("w", 1 + n + i).try_cast("double").alias(f"face_{p}") for i, p in enumerate(props)])
     return v, f
 
 

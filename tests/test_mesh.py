@@ -71,6 +71,11 @@ def test_candidates_between_sheets(spark):
         assert near and all((a < 2) != (b < 2) for a, b in near)
         assert pairs_of(spatial.collision_candidates(*m, 0.05)) >= near
         assert (metrics.self_intersections(*m, predicate="moller").count() > 0) is hits
+        # the default is strict: where the sheets cross, every edge meets the other sheet on one of its edges
+        assert metrics.self_intersections(*m).count() == 0
+    shifted = [(*p, 0) for p in QUAD] + [(x + 0.13, y + 0.07, h) for (x, y), h in zip(QUAD, (-0.01, 0.01, -0.01, 0.01), strict=True)]
+    crossing = pairs_of(metrics.self_intersections(*mesh(spark, shifted, [(0, 1, 2), (1, 3, 2), (4, 5, 6), (5, 7, 6)])))
+    assert crossing and all(a < 2 <= b for a, b in crossing)
 
 
 SHEET = [(-1, -1, 0), (1, -1, 0), (-1, 1, 0), (1, 1, 0), (-0.2, -0.2, 1)], [(0, 1, 2), (1, 3, 2)]
