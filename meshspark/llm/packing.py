@@ -1,12 +1,13 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program.
 
 The program has a column for each pattern of lengths that fits a sequence and a row for each
-length. Its fractional solution is found over the whole histogram of lengths by multiplicative
-weights: prices of lengths that are held too rarely rise, times of patterns that are worth more
-than a sequence rise, and a knapsack by dynamic programming adds the best patterns at the prices.
-The times are rounded down. What is left is placed by patterns that are taken at once, as long as
-they are nearly full, and by best fit, again by counts of equal lengths, so the plan's cost
-depends on the sequence length and not on the number of pieces.
+length. It starts from the patterns of best fit and from prices by volume; a knapsack by dynamic
+programming tells how far the prices are from a lower bound that holds, and adds the best patterns;
+multiplicative weights move the prices of lengths that are held too rarely and the times of patterns
+that are worth more than a sequence, and the times of the rounds are averaged. It ends when the times
+are within ``gap`` of the bound. They are rounded down, and what is left is placed by best fit.
+All counts are by length, so the plan's cost depends on the sequence length and not on the
+number of pieces.
 """
 
 from __future__ import annotations
@@ -50,61 +51,60 @@ def _pattern(first: int, used: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def covering(counts: np.ndarray, room: int, *, rounds: int = 120, columns: int = 24, inner: int = 40, rate: float = 0.05) -> list[tuple[list[int], float]]:
-    """Patterns and fractional times that nearly solve: fewest sequences that hold ``counts[l]`` of each length ``l``."""
-    lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return []
-    want = counts[lengths].astype(float)
-    place = np.zeros(room + 1, np.int64)
-    place[lengths] = np.arange(len(lengths))
-    # one pattern of each length alone, so that each can be held
-    shapes = {(int(v),) * int(room // v): k for k, v in enumerate(lengths)}
-    times = want / (room // lengths)
-    prices = lengths / room
-    total, weighed = np.zeros(0), 0.0
-    for turn in range(rounds):
-        best, used = _knapsack(prices, lengths, room)
-        for first in lengths[np.argsort(-(prices + best[room - lengths]), kind="stable")[:columns]].tolist():
-            shapes.setdefault(tuple(sorted(_pattern(first, used, room), reverse=True)), len(shapes))
-        rows = place[np.concatenate([np.array(p) for p in shapes])]
+class Program:
+    """The covering program of ``counts[l]`` pieces of each length ``l`` and what is known of its value:
+    ``lower`` bounds it for sure, ``value`` is that of the best ``times`` of ``shapes``."""
+
+    def __init__(self, counts: np.ndarray, room: int, start: Plan) -> None:
+        self.room, self.lengths = room, np.flatnonzero(counts)
+        self.want = counts[self.lengths].astype(float)
+        self.place = np.zeros(room + 1, np.int64)
+        self.place[self.lengths] = np.arange(len(self.lengths))
+        self.shapes: dict[tuple, int] = {}
+        first: dict[int, float] = {}
+        for shape, times in start:
+            k = self.shapes.setdefault(tuple(sorted(shape, reverse=True)), len(self.shapes))
+            first[k] = first.get(k, 0.0) + times
+        for v in self.lengths.tolist():  # so that each length can be held
+            self.shapes.setdefault((v,) * int(room // v), len(self.shapes))
+        self.alone = np.array([self.shapes[(v,) * int(room // v)] for v in self.lengths.tolist()], np.int64)
+        self.times = np.array([first.get(k, 0.0) for k in range(len(self.shapes))])
+        self.value, self.lower = float(self.times.sum()), 0.0
+        if self.shapes:
+            self.index()
+
+    def index(self) -> None:
+        """Rows of the columns' entries in turn, and where each column begins."""
+        shapes = list(self.shapes)
         sizes = np.array([len(p) for p in shapes])
-        first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-        fresh = [want[place[np.array(p)]].min() for p in list(shapes)[len(times) :]]
-        times = np.concatenate([times, np.array(fresh) * 1e-2])
-        total = np.concatenate([total, np.zeros(len(times) - len(total))])
-        for _ in range(inner if turn + 1 < rounds else 20 * inner):
-            held = np.bincount(rows, times[of], len(lengths))
-            prices = prices * np.clip(want / np.maximum(held, 1e-9), 0.1, 10.0) ** rate
-            worth = np.add.reduceat(prices[rows], first)
-            times = np.maximum(times * np.clip(worth, 0.1, 10.0) ** rate, 1e-9)
-            if turn >= rounds // 2:
-                total, weighed = total + times, weighed + 1
-    return list(zip(map(list, shapes), (total / weighed).tolist(), strict=True))
-
-
-def plan(counts: np.ndarray, room: int, **options) -> Plan:
-    """Patterns of lengths and how often to use each; together they hold ``counts[l]`` pieces of each length ``l``.
-
-    The program is left out where a plan of patterns taken at once is within a thousandth of the
-    pieces' total length, which no plan can beat."""
-    number = lambda p: sum(t for _, t in p)
-    simple = min(at_once(counts, room, **options), best_fit(counts, room), key=number)
-    if number(simple) <= 1.001 * -(-int((counts * np.arange(room + 1)).sum()) // room):
-        return simple
-    left = counts.astype(np.int64).copy()
-    made: Plan = []
-    for shape, times in sorted(covering(left, room), key=lambda c: -c[1]):
-        sizes, often = np.unique(shape, return_counts=True)
-        use = min(int(times + 1e-3), int((left[sizes] // often).min()))
-        if use:
-            left[sizes] -= often * use
-            made.append((shape, use))
-    return min(simple, made + best_fit(left, room), made + at_once(left, room, **options), key=number)
-
-
-def at_once(counts: np.ndarray, room: int, *, rounds: int = 240, columns: int = 24, step: float = 0.25, rate: float = 0.5) -> Plan:
-    """A plan of nearly full patterns, each taken as it is found, and best fit of the rest."""
+        self.rows = self.place[np.concatenate([np.array(p) for p in shapes])]
+        self.first, self.of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(shapes)), sizes)
+
+    def price(self, prices: np.ndarray, columns: int) -> None:
+        """The bound of these prices, and the best patterns at them as columns."""
+        best, used = _knapsack(prices, self.lengths, self.room)
+        # no pattern is worth more than best[room], so prices divided by that are a solution of the dual
+        self.lower = max(self.lower, float(self.want @ prices) / best[self.room])
+        for head in self.lengths[np.argsort(-(prices + best[self.room - self.lengths]), kind="stable")[:columns]].tolist():
+            self.shapes.setdefault(tuple(sorted(_pattern(head, used, self.room), reverse=True)), len(self.shapes))
+        self.times = np.concatenate([self.times, np.zeros(len(self.shapes) - len(self.times))])
+        self.index()
+
+    def held(self, times: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, times[self.of], len(self.lengths))
+
+    def offer(self, times: np.ndarray) -> None:
+        """Takes ``times``, with what they lack held by sequences of one length, if that is the least so far."""
+        short = np.maximum(self.want - self.held(times), 0)
+        times = times.copy()
+        np.add.at(times, self.alone, short / (self.room // self.lengths))
+        if times.sum() < self.value:
+            self.value, self.times = float(times.sum()), times
+
+
+def at_once(counts: np.ndarray, room: int, *, rounds: int = 120, columns: int = 24, step: float = 0.4, rate: float = 0.5) -> Plan:
+    """A plan of nearly full patterns, each taken as the knapsack finds it, and best fit of the rest: where
+    best fit alone is not within the gap, its patterns are columns that the program begins with."""
     left = counts.astype(np.int64).copy()
     made: Plan = []
     if left[room]:
@@ -114,7 +114,7 @@ def at_once(counts: np.ndarray, room: int, *, rounds: int = 240, columns: int =
     weight = np.zeros(room + 1)
     for _ in range(rounds):
         lengths = np.flatnonzero(left)
-        if len(lengths) < 8 or left.sum() < 256:
+        if not len(lengths):
             break
         share = left[lengths] / want[lengths]
         mean = float((left[lengths] * lengths).sum() / (want[lengths] * lengths).sum())
@@ -137,6 +137,51 @@ def at_once(counts: np.ndarray, room: int, *, rounds: int = 240, columns: int =
     return made + best_fit(left, room)
 
 
+def covering(counts: np.ndarray, room: int, *, start: Plan | None = None, gap: float = 1e-3, rounds: int = 60, columns: int = 32, inner: int = 60, rate: float = 0.05) -> Program:
+    """The program solved until its value is within ``gap`` of its bound, or for ``rounds``."""
+    if start is None:
+        start = best_fit(counts, room)
+        if sum(t for _, t in start) > (1 + gap) * int((counts * np.arange(room + 1)).sum()) / room + 1:
+            start = min(start, at_once(counts, room), key=lambda p: sum(t for _, t in p))
+    solved = Program(counts, room, start)
+    if not len(solved.lengths):
+        return solved
+    prices, times, total, weighed = solved.lengths / room, np.zeros(0), np.zeros(0), 0
+    for turn in range(rounds):
+        solved.price(prices, columns)
+        if solved.value <= (1 + gap) * solved.lower or solved.value < solved.lower + 1:
+            break
+        # a column begins with a hundredth of the sequences that its scarcest length could fill
+        fresh = np.minimum.reduceat(solved.want[solved.rows], solved.first)[len(times) :] * 1e-2
+        times = np.concatenate([times, fresh])
+        total = np.concatenate([total, np.zeros(len(times) - len(total))])
+        for _ in range(inner if turn + 1 < rounds else 10 * inner):
+            held = solved.held(times)
+            prices = prices * np.clip(solved.want / np.maximum(held, 1e-9), 0.1, 10.0) ** rate
+            worth = np.add.reduceat(prices[solved.rows], solved.first)
+            times = np.maximum(times * np.clip(worth, 0.1, 10.0) ** rate, 1e-9)
+            total, weighed = total + times, weighed + 1
+        solved.offer(total / weighed)
+        solved.offer(times)
+        if turn & (turn + 1) == 0:  # the average forgets what came before it doubled
+            total, weighed = np.zeros(len(times)), 0
+    return solved
+
+
+def plan(counts: np.ndarray, room: int, **options) -> Plan:
+    """Patterns of lengths and how often to use each; together they hold ``counts[l]`` pieces of each length ``l``."""
+    solved = covering(counts, room, **options)
+    left = counts.astype(np.int64).copy()
+    made: Plan = []
+    for shape, times in sorted(zip(solved.shapes, solved.times.tolist(), strict=True), key=lambda c: -c[1]):
+        sizes, often = np.unique(shape, return_counts=True)
+        use = min(int(times + 1e-6), int((left[sizes] // often).min()))
+        if use > 0:
+            left[sizes] -= often * use
+            made.append((list(shape), use))
+    return made + best_fit(left, room)
+
+
 def best_fit(left: np.ndarray, room: int) -> Plan:
     """Best fit in descending order of length, by groups of equal sequences."""
     open_: dict[int, list[tuple[list[int], int]]] = {}

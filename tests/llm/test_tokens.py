@@ -99,6 +99,37 @@ def test_plan_holds_all_pieces(seed):
     assert sum(t for _, t in made) <= bound * 1.02 + 1
 
 
+def test_program_is_bounded_from_below_and_beats_best_fit():
+    """The bound is under the least number of sequences, found by trying all, and the gap closes where best fit is far off."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        pieces = sorted(rng.integers(3, 12, 9).tolist(), reverse=True)
+        counts = np.bincount(pieces, minlength=17)
+
+        def least(left, spaces):
+            if not left:
+                return len(spaces)
+            tried, best = set(), 99
+            for i, space in enumerate(spaces):
+                if space >= left[0] and space not in tried:
+                    tried.add(space)
+                    best = min(best, least(left[1:], [*spaces[:i], space - left[0], *spaces[i + 1 :]]))
+            return min(best, least(left[1:], [*spaces, 16 - left[0]])) if len(spaces) < 7 else best
+
+        solved, made = packing.covering(counts, 16), packing.plan(counts, 16)
+        assert solved.lower <= least(pieces, []) + 1e-6 and solved.lower <= solved.value + 1e-6
+        assert (solved.held(solved.times) >= solved.want - 1e-6).all()
+        assert sum(t for _, t in made) >= solved.lower - 1e-6
+    counts = np.zeros(2049, np.int64)
+    counts[[1034, 532, 522, 492]] = [6000, 6000, 6000, 12000]
+    solved = packing.covering(counts, 2048)
+    alone = sum(t for _, t in packing.best_fit(counts, 2048))
+    assert alone > 1.2 * solved.value and solved.value <= 1.001 * solved.lower
+    assert sum(t for _, t in packing.plan(counts, 2048)) <= 1.001 * solved.lower + 1
+    # without the knapsack's plan to begin with, the weights alone come near
+    assert packing.covering(counts, 2048, start=packing.best_fit(counts, 2048)).value < 0.9 * alone
+
+
 @pytest.mark.parametrize("k,lengths,best", [(100, {1034: 6, 532: 6, 522: 6, 492: 12}, 9), (100_000, {1034: 6, 532: 6, 522: 6, 492: 12}, 9), (1000, {900: 6, 700: 6, 610: 6}, 7)])
 def test_plan_of_few_lengths_and_large_counts(k, lengths, best):
     counts = np.zeros(2049, np.int64)
