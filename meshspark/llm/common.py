@@ -46,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, salts: int = 32) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key), where a key may hold a large part of ``left``.
+
+    Keys with a thousandth of the ``rows`` of left or more (a thousand such keys at most, which are broadcast) are sent to
+    ``salts`` places, by the column ``by``; all others go where they would."""
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(rows // 1000, 100)).select(key, F.lit(salts).alias("_salts"))
+    hot = F.broadcast(hot)
+    one = left.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    two = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return one.join(two, [key, "_salt"]).drop("_salt")
+
+
 def ready(spark: SparkSession, rows: int = 4096, size: int = 1 << 20) -> None:
     """Ready a session for Python operators: the package is shipped to executors, and Arrow batches
     hold at most ``rows`` rows and end at ``size`` bytes, so very long texts stand alone in their memory.

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node links its larger neighbours to the least of its neighbours and itself."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every node links its larger neighbours to the least of its neighbours and itself. A node that a
+    large part of the ``n`` edges meet is dealt with in several places."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v")
+    return spread_join(both.where("v > u"), least, "u", "v", n).select(F.col("m").alias("u"), "v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its smaller neighbours and itself to the least of them. ``u < v`` in edges."""
     least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    across = edges.join(least, "v").where("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b"))
+    across = spread_join(edges, least, "v", "u", n).where("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b"))
     return across.union(least.select(F.col("m").alias("a"), F.col("v").alias("b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -30,13 +31,14 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """
     now = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     now = cut(now)
-    mark = None
+    mark, n = None, now.count()
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        # large stars have as many edges at most, small stars as many and the nodes
+        now = cut(_small_star(cut(_large_star(now, n).distinct()), n).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, n = seen, seen[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))

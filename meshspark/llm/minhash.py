@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, written
+from .common import cut, ready, spread_join, written
 from .components import components
 from .words import mixed, shingle_sets
 
@@ -66,11 +66,12 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, k: int, bands: int,
     return source.mapInArrow(run, "id long, n long, hi long, lo long, bands array<long>, sig binary")
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in ``least`` of their places or more."""
+def _alike(pairs: DataFrame, sigs: DataFrame, least: float, n: int) -> DataFrame:
+    """Pairs whose signatures agree in ``least`` of their places or more; the least member of a large
+    bucket is in many of the ``n`` pairs."""
     one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb")
+    both = spread_join(pairs.join(two, "b"), one, "a", "b", n).select("a", "b", "sa", "sb")
 
     def run(batches):
         for x in batches:
@@ -81,10 +82,10 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """The pairs that share ``percent`` of their union, counted on the sets of the whole texts."""
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
+    both = spread_join(pairs.join(two, "b"), one, "a", "b", n).select("a", "b", "ta", "tb")
 
     def run(batches):
         for x in batches:
@@ -179,7 +180,7 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     ``least`` is the agreement of signatures under which a pair is not verified: with 128 minima
-    more than four standard deviations under 0.75. Null and empty texts and texts without words
+    more than four standard deviations under 0.75. Very long texts count with all their shingles. Null and empty texts and texts without words
     have no shingles and are linked with nothing; rows with a null id are kept, linked with
     nothing, and have a null component; repeated rows share a component (all are ``kept`` alike);
     an empty table gives an empty one; other columns play no part.
@@ -205,7 +206,9 @@ def near_duplicates(
     # whole texts are shuffled once, for the members of shared buckets only from here on
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = written(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    edges = cut(_verified(_alike(pairs, sigs, least), texts, k, percent))
+    pairs = cut(pairs)
+    close = cut(_alike(pairs, sigs, least, pairs.count()))
+    edges = cut(_verified(close, texts, k, percent, close.count()))
     found = components(edges.toDF("u", "v"))
     more = _unresolved(members.where(F.col("c") > few), found, texts, sigs, k, percent, least)
     if more is not None:
