@@ -76,15 +76,19 @@ SELECT key AS qid, round(CASE WHEN w > 0.5 THEN -sqrt(d2) ELSE sqrt(d2) END, 6)
 
 _WD, _WU, _WV, _WT = _cross_row("r.p#", "r.q#", "tri")
 _NRM = _cross(_minus(_v('"b#"'), _v("a#")), _minus(_v("c#"), _v("a#")))
-_WALL = f"""WITH {_SHELL}, ee AS (SELECT DISTINCT least(u,w) AS e0, greatest(u,w) AS e1 FROM (SELECT i0 AS u, i1 AS w FROM f UNION ALL SELECT i1, i2 FROM f UNION ALL SELECT i2, i0 FROM f)),
+def _wall(most: float) -> str:
+    return f"""WITH {_SHELL}, ee AS (SELECT DISTINCT least(u,w) AS e0, greatest(u,w) AS e1 FROM (SELECT i0 AS u, i1 AS w FROM f UNION ALL SELECT i1, i2 FROM f UNION ALL SELECT i2, i0 FROM f)),
 eps AS (SELECT 0.05::DOUBLE*quantile_cont(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 0.5) AS e FROM ee JOIN v a ON a.vid = e0 JOIN v b ON b.vid = e1),
 nn AS (SELECT fid, (ax+"bx"+cx)/3.0 AS mx, (ay+"by"+cy)/3.0 AS my, (az+"bz"+cz)/3.0 AS mz, {', '.join(f'{_NRM[c]} AS n{c}' for c in 'xyz')} FROM tri),
 un AS (SELECT fid, mx, my, mz, {', '.join(f'n{c}/(sqrt(nx*nx+ny*ny+nz*nz)+1e-20) AS n{c}' for c in 'xyz')} FROM nn),
-r AS (SELECT fid AS face, side, {', '.join(f'm{c}+n{c}*side*e AS p{c}, m{c}+n{c}*side*(e+0.5) AS q{c}' for c in 'xyz')} FROM un, eps, (SELECT unnest([1.0::DOUBLE, -1.0]) AS side)),
-wh AS (SELECT face, side, tri.fid, {_WT}*0.5 AS thickness FROM r JOIN tri ON tri.fid <> face AND {' AND '.join(f'least(p{c},q{c}) <= greatest(a{c},"b{c}",c{c}) AND greatest(p{c},q{c}) >= least(a{c},"b{c}",c{c})' for c in 'xyz')}
+r AS (SELECT fid AS face, side, {', '.join(f'm{c}+n{c}*side*e AS p{c}, m{c}+n{c}*side*(e+{most}) AS q{c}' for c in 'xyz')} FROM un, eps, (SELECT unnest([1.0::DOUBLE, -1.0]) AS side)),
+wh AS (SELECT face, side, tri.fid, {_WT}*{most} AS thickness FROM r JOIN tri ON tri.fid <> face AND {' AND '.join(f'least(p{c},q{c}) <= greatest(a{c},"b{c}",c{c}) AND greatest(p{c},q{c}) >= least(a{c},"b{c}",c{c})' for c in 'xyz')}
  WHERE abs({_WD}) >= 1e-9 AND {_WU} >= -1e-9 AND {_WV} >= -1e-9 AND {_WU}+{_WV} <= 1+1e-9 AND {_WT} BETWEEN -1e-9 AND 1+1e-9),
-wall AS (SELECT face AS fid, arg_min(side, thickness) AS side, arg_min(fid, thickness) AS partner, min(thickness) AS thickness FROM wh WHERE thickness < 0.5 GROUP BY face)"""
-ORACLE_SQL["jn9_wall_thickness"] = f"{_WALL} SELECT fid, side, partner, round(thickness,6) AS thickness FROM wall"
+wall AS (SELECT face AS fid, arg_min(side, thickness) AS side, arg_min(fid, thickness) AS partner, min(thickness) AS thickness FROM wh WHERE thickness < {most} GROUP BY face)"""
+
+
+_WALL = _wall(0.1)
+ORACLE_SQL["jn9_wall_thickness"] = f"{_wall(0.5)} SELECT fid, side, partner, round(thickness,6) AS thickness FROM wall"
 
 
 def _two(spark: SparkSession, sf_dir: str):
@@ -97,19 +101,19 @@ def _two(spark: SparkSession, sf_dir: str):
 
 @query(f"{_WALL}, pr AS (SELECT DISTINCT least(fid,partner) AS fa, greatest(fid,partner) AS fb FROM wall) SELECT fa, fb FROM pr JOIN f a ON a.fid = fa JOIN f b ON b.fid = fb WHERE NOT {_LINKED}")
 def jn9_wall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.wall_pairs(*fixtures.double_shell(spark, sf_dir), 0.5)
+    return spatial.wall_pairs(*fixtures.double_shell(spark, sf_dir), 0.1)
 
 
 @query(f"{_WALL} SELECT f.fid, round(least(coalesce(thickness, 9.0), 9.0),6) AS thickness, coalesce(side, 0.0) AS side FROM f LEFT JOIN wall ON wall.fid = f.fid")
 def jn9_face_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spatial.face_thickness(*fixtures.double_shell(spark, sf_dir), 0.5)
+    found = spatial.face_thickness(*fixtures.double_shell(spark, sf_dir), 0.1)
     return found.select("fid", _r(F.least("thickness", F.lit(9.0))).alias("thickness"), "side")
 
 
 @query(f"""{_WALL}, ev AS (SELECT unnest([i0,i1,i2]) AS vid, f.fid FROM f), vs AS (SELECT ev.vid, min(thickness) AS t, sum(nx*coalesce(side,0)) AS sx, sum(ny*coalesce(side,0)) AS sy, sum(nz*coalesce(side,0)) AS sz FROM ev LEFT JOIN wall ON wall.fid = ev.fid JOIN un ON un.fid = ev.fid GROUP BY ev.vid)
 SELECT v.vid, round(coalesce(t, 9.0),6) AS thickness, round(coalesce(sx/(sqrt(sx*sx+sy*sy+sz*sz)+1e-20),0),5) AS dx, round(coalesce(sz/(sqrt(sx*sx+sy*sy+sz*sz)+1e-20),0),5) AS dz FROM v LEFT JOIN vs ON vs.vid = v.vid""")
 def agg8_vertex_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spatial.vertex_thickness(*fixtures.double_shell(spark, sf_dir), 0.5)
+    found = spatial.vertex_thickness(*fixtures.double_shell(spark, sf_dir), 0.1)
     return found.select("vid", _r(F.least("thickness", F.lit(9.0))).alias("thickness"), _r("dx", 5).alias("dx"), _r("dz", 5).alias("dz"))
 
 
@@ -455,7 +459,7 @@ def con9_sheet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_WALL}, pr AS (SELECT DISTINCT least(fid,partner) AS fa, greatest(fid,partner) AS fb FROM wall), ax AS (SELECT a.fid AS fa, b.fid AS fb, {', '.join(f'-({_CG[c]}) AS d{c}' for c in 'xyz')} FROM pr JOIN tri a ON a.fid = fa JOIN tri b ON b.fid = fb WHERE NOT {_LINKED})
 SELECT fa, fb, round(dz/(sqrt(dx*dx+dy*dy+dz*dz)+1e-20),6) AS uz, round(greatest(least(0.02::DOUBLE, 0.9*sqrt(dx*dx+dy*dy+dz*dz)),0),9) AS margin FROM ax""")
 def con10_sheet_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraints.sheet_constraints(*fixtures.double_shell(spark, sf_dir), 0.5, 0.02).select("fa", "fb", _r("uz").alias("uz"), _r("margin", 9).alias("margin"))
+    return constraints.sheet_constraints(*fixtures.double_shell(spark, sf_dir), 0.1, 0.02).select("fa", "fb", _r("uz").alias("uz"), _r("margin", 9).alias("margin"))
 
 
 @query("SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings WHERE label < 5 UNION ALL SELECT vec_id, embedding[1]::DOUBLE FROM embeddings WHERE label < 2")
