@@ -2,6 +2,12 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns what its
 stage keeps, in the columns of documents (the last one: packed pieces).
+
+Rows with null ids, null sources or null languages are judged by their other columns. Null and empty
+texts and texts without words are rejected by the first stage; very long texts are read whole.
+Repeated rows share a fate: copies of a text under several ids leave the least id, and rows that repeat one
+id stay together. Ties go to the smaller id. An empty table passes through empty; columns of other
+names are carried along.
 """
 
 from __future__ import annotations

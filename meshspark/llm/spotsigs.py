@@ -102,15 +102,18 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - part), F.substring(following, F.lit(1), part))
 
 
-def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranges: int = 256, fine: int = 16) -> DataFrame:
+def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranges: int = 256, range_bytes: int = 1 << 26) -> DataFrame:
     """``id, text, found, next_text, next_found``: each document beside the next by ascending id
     (null ids last, ties by a hash of the text; the first follows the last).
 
-    Ids are dealt to ranges between approximate quantiles, so texts are shuffled once. The first
+    Ids are dealt to ``ranges`` between approximate quantiles, each cut into equal spans until one holds
+    about ``range_bytes`` of text, so texts are shuffled once and no range grows with the table. The first
     document of each range also goes to the range before, where it ends the order.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(F.col(text)).alias("text"))
-    cuts = sorted(set(docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / ranges for i in range(ranges + 1)], 20 * ranges)).first()[0] or []))
+    found = rows.agg(F.percentile_approx("id", [i / ranges for i in range(ranges + 1)], 20 * ranges), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    cuts = sorted(set(found[0] or []))
+    fine = max(16, -(-found[1] // (ranges * range_bytes)))
     h = F.xxhash64("text")
     if cuts:
         edges = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
@@ -125,7 +128,7 @@ def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ra
     rows = rows.withColumn("h", h).withColumn("bucket", place)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     heads = rows.groupBy("bucket").agg(first.alias("head"))
-    # at most (ranges + 2) * fine + 1024 rows, whatever the input
+    # a row for each range that has documents
     order = Window.orderBy("bucket")
     last = F.max("bucket").over(Window.partitionBy())
     heads = heads.select(F.coalesce(F.lag("bucket").over(order), last).alias("before"), F.col("head.id").alias("head_id"), F.col("head.h").alias("head_h"))
@@ -145,8 +148,9 @@ def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ra
 def fingerprint_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with likenesses.
 
-    Null texts are empty. A single document is its own next. Repeated rows each give a row.
-    An empty table gives none; other columns play no part.
+    Null texts are empty; very long texts are fingerprinted whole. A single document is its own next.
+    Repeated rows each give a row, and rows of one id stand in the order of a hash of their texts; null
+    ids come last. An empty table gives none; other columns play no part.
     """
     rows = with_next(docs, doc_id=doc_id, text=text).withColumn("changed", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("changed_found", signatures(F.col("changed")))
