@@ -229,6 +229,113 @@ def test_language_of_documents(docs, clashing, none, texts):
     assert language_id.identify_documents(none).count() == 0
 
 
+def test_language_equals_a_plain_loop(docs, texts):
+    """All columns, by loops over rows: chances of characters, host priors in levels, observations, posterior."""
+    import math
+
+    names = language_id.LANGUAGES
+    runs, most = ({k: defaultdict(float) for k in names[:-1]} for _ in range(2))
+
+    def kind(c):
+        return 0 if not c.isalpha() or ord(c) > 0xFFFF else ord(c) - 96 if "a" <= c <= "z" else ord(c) - 0xDF + 27 if 0xDF <= ord(c) <= 0xFF else 60 if ord(c) < 0x250 else 61
+
+    def triples(text):
+        line = [0, 0, *map(kind, text.lower()), 0]
+        return [(line[i], line[i + 1], line[i + 2]) for i in range(len(line) - 2)]
+
+    for _, t, lang, _, _ in texts:
+        if lang in runs:
+            own = defaultdict(int)
+            for g in triples(t or ""):
+                own[g] += 1
+            for g, n in own.items():
+                if g[1:] != (0, 0):
+                    weight = round(16 * math.log2(1 + n)) / 16
+                    runs[lang][g] += weight
+                    most[lang][g] = max(most[lang][g], weight)
+    for k, v in runs.items():
+        for g in v:
+            v[g] -= most[k][g]
+    sums = {k: [defaultdict(float) for _ in range(4)] for k in runs}
+    for k, v in runs.items():
+        for (a, b, c), n in v.items():
+            for table, at in zip(sums[k], ((), (b,), (a, b), (c,)), strict=True):
+                table[at] += n
+        sums[k].append(defaultdict(float))
+        for (_, b, c), n in v.items():
+            sums[k][4][(b, c)] += n
+
+    def gain(k, g):
+        a, b, c = g
+        if b == c == 0:
+            return 0.0
+        base = 1 / 6 if c == 0 else 1 / 36
+        every, by_b, by_ab, only_c, bc = sums[k]
+        p = (only_c[(c,)] + 20000 * base) / (every[()] + 20000)
+        p = (bc[(b, c)] + 64 * p) / (by_b[(b,)] + 64)
+        n = sum(r[2] == k for r in texts)
+        return math.log(0.8 * (runs[k][g] + 64 * p) / (by_ab[(a, b)] + 64) / base + 0.2) * n / (n + 500)
+
+    seen = []
+    for d, t, lang, source, _ in texts:
+        words_only, n = language_id.text_evidence([t or ""])
+        marks = sum(map((t or "").lower().count, "".join(language_id.LETTERS.values())))
+        temper = 40 / (40 + n[0] + marks)
+        chars = [0.3 * sum(gain(k, g) for g in triples(t or "")) * temper * bool(n[0]) for k in runs]
+        seen.append((d, [x + y for x, y in zip(words_only[0], [*chars, 0.0], strict=True)], n[0], lang, source or ""))
+    hosts, every = defaultdict(lambda: [0.0] * 5), [0.0] * 5
+    for _, ll, n, _, host in seen:
+        if n:
+            top = max(ll)
+            raised = [math.exp(x - top) for x in ll]
+            for j, x in enumerate(raised):
+                hosts[host][j] += x / sum(raised)
+                every[j] += x / sum(raised)
+    want = {}
+    for d, ll, n, lang, host in seen:
+        q = []
+        for j, k in enumerate(names):
+            middle = (every[j] + 50 * (every[j] + 1) / (sum(every) + 5)) / (sum(every) + 50)  # no host has a suffix: one group
+            prior = (hosts[host][j] + 20 * middle) / (sum(hosts[host]) + 20)
+            said = 1.0 if lang is None else (0.125 if lang in runs else 0.5) if k == "und" else 0.9 if lang == k else 0.025
+            q.append(ll[j] + math.log(prior) + math.log(said))
+        share = 1 / sum(math.exp(x - max(q)) for x in q)
+        best = names[q.index(max(q))] if n else "und"
+        want[d] = (best, share, lang, n, best != "und" and share >= 0.5)
+    got = {r.key: r for r in language_id.identify_documents(docs).collect()}
+    assert set(got) == set(want)
+    for d, (best, share, lang, n, accepted) in want.items():
+        r = got[d]
+        assert (r.lang, r.declared, r.n_words, r.accepted) == (best, lang, n, accepted) and r.confidence == pytest.approx(share, rel=1e-4), d
+
+
+def test_characters_tell_texts_without_common_words(spark):
+    """Rows of made-up words, declared by some: the others are told from letters alone, those of no language are not."""
+    rng = random.Random(9)
+    parts = {"en": ["th", "er", "ing", "wh", "sh", "ed"], "de": ["sch", "ung", "pf", "ich", "keit", "tz"], "fr": ["eau", "ou", "ai", "oi", "eux", "que"]}
+    line = lambda own: " | ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(60))
+    rows = [(i, line(parts[k]), k, None) for k, at in (("en", 0), ("de", 200), ("fr", 400)) for i in range(at, at + 150)]
+    rows += [(i, line(parts[k]), None, None) for k, at in (("en", 1000), ("de", 1200), ("fr", 1400)) for i in range(at, at + 20)]
+    rows += [(2000, line(["xq", "vj", "kz", "wx"]), None, None), (2001, None, "en", None), (2001, None, "en", None), (None, line(parts["de"]), None, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.key: r.lang for r in language_id.identify_documents(data).collect()}
+    assert [got[i] for i in (*range(1000, 1020), *range(1200, 1220), *range(1400, 1420))] == ["en"] * 20 + ["de"] * 20 + ["fr"] * 20
+    assert got[2000] == "und" and got[2001] == "und" and got[None] == "de"
+    few = {r.key: r.lang for r in language_id.identify_documents(data, fit_rows=300).collect()}
+    assert sum(few[k] == got[k] for k in got) >= 0.95 * len(got)
+    nobody = language_id.identify_documents(data.withColumn("lang", data.lang.substr(9, 1))).collect()
+    assert len(nobody) == len(rows) and {r.lang for r in nobody if r.key == 2001} == {"und"}
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7])
+def test_blocks_of_a_text_hold_the_same_runs(step, monkeypatch):
+    for text in ("", "a", "ab", "the été der 漢字 x😀y", "abc" * 5):
+        whole = [int(x) for b in language_id.grams(text) for x in b]
+        with monkeypatch.context() as m:
+            m.setattr(language_id, "STEP", step)
+            assert [int(x) for b in language_id.grams(text) for x in b] == whole and len(whole) == len(text) + 1
+
+
 def test_lm_scores(docs, clashing, none, texts):
     import math
     from collections import Counter
