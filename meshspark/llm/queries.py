@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lexical, lm, minhash, mixing, neighbours, packing, sharding, spelling, spotsigs, token_counts, token_output
+from . import language_id, lexical, lm, minhash, mixing, neighbours, packing, sharding, spelling, spotsigs, token_counts, token_output, warc
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op1_language_id_pages, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op8_lm_scores, op9_neighbours, op10_sharding, op11_spelling_variants, op12_ranked_search)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
-ORACLE_SQL = {"op4_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op12_ranked_search": lexical.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op1_language_id_pages, op2_token_counts, op3_near_duplicates, op4_mixing, op5_token_output, op6_packing, op7_fingerprints, op8_lm_scores, op9_neighbours, op10_sharding, op11_spelling_variants, op12_ranked_search, op13_warc)}
+
+ORACLE_SQL = {"op4_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op12_ranked_search": lexical.SQL, "op13_warc": warc.SQL}

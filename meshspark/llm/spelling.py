@@ -101,26 +101,32 @@ def _by_length(words: list[str]):
         yield at, _letters([raw[i] for i in at])
 
 
-def neighbourhood(letters: np.ndarray, alphabet: np.ndarray):
-    """The distinct neighbours of words of one length, as ``(kind, hashes, wanted)``: arrays over word, place
-    and (but for deletions) letter of the alphabet. ``wanted`` marks one of each set of equal candidates:
-    a letter is deleted or inserted only where the letter before is another one."""
+def neighbourhood(letters: np.ndarray, alphabet: np.ndarray, most: int = 1 << 20):
+    """The distinct neighbours of words of one length, as ``(kind, first place, hashes, wanted)``: arrays over word,
+    place (from the first one on) and, but for deletions, letter of the alphabet, of about ``most`` numbers, so
+    very long words take no more memory. ``wanted`` marks one of each set of equal candidates: a letter is deleted or
+    inserted only where the letter before is another one."""
     k, n = letters.shape
     power = _weights(n + 1)
-    own = _LETTER[letters] * power[np.arange(n - 1, -1, -1)]
+    own = _LETTER[letters] * power[n - 1 :: -1][:n]
     before = np.zeros((k, n + 1), np.uint64)
     np.cumsum(own, axis=1, dtype=np.uint64, out=before[:, 1:])
     whole = before[:, -1:]
     new = _LETTER[alphabet]
-    repeats = np.zeros((k, n), bool)
-    repeats[:, 1:] = letters[:, 1:] == letters[:, :-1]
-    yield "deletion", before[:, :-1] * np.uint64(_INVERSE) + whole - before[:, 1:], ~repeats
-    at = power[np.arange(n - 1, -1, -1)]
-    yield "replacement", (whole - own)[:, :, None] + at[None, :, None] * new[None, None, :], letters[:, :, None] != alphabet
-    at = power[np.arange(n, -1, -1)]
-    same = np.zeros((k, n + 1, len(alphabet)), bool)
-    same[:, 1:] = letters[:, :, None] == alphabet
-    yield "insertion", (before * np.uint64(_BASE) + whole - before)[:, :, None] + at[None, :, None] * new[None, None, :], ~same
+    same = np.zeros((k, n + 1), bool)  # as the letter before
+    same[:, 1:n] = letters[:, 1:] == letters[:, :-1]
+    step = max(1, most // max(k * len(alphabet), 1))
+    for a in range(0, n + 1, step):
+        b = min(a + step, n)
+        yield "deletion", a, before[:, a:b] * np.uint64(_INVERSE) + whole - before[:, a + 1 : b + 1], ~same[:, a:b]
+        at = power[n - 1 - np.arange(a, b)]
+        yield "replacement", a, (whole - own[:, a:b])[:, :, None] + at[None, :, None] * new[None, None, :], letters[:, a:b, None] != alphabet
+        b = min(a + step, n + 1)
+        at = power[n - np.arange(a, b)]
+        other = np.ones((k, b - a, len(alphabet)), bool)
+        first = max(a, 1)
+        other[:, first - a :] = letters[:, first - 1 : b - 1, None] != alphabet
+        yield "insertion", a, (before[:, a:b] * np.uint64(_BASE) + whole - before[:, a:b])[:, :, None] + at[None, :, None] * new[None, None, :], other
 
 
 def _candidate(word: bytes, kind: str, at: int, letter: int) -> str:
@@ -174,14 +180,14 @@ def near_words(words: DataFrame, *, block: int = 256) -> DataFrame:
                 raw = [w.encode("latin-1") for w in names]
                 who, candidates = [], []
                 for rows, letters in _by_length(names):
-                    for kind, hashes, wanted in neighbourhood(letters, alphabet):
+                    for kind, start, hashes, wanted in neighbourhood(letters, alphabet):
                         hit = np.nonzero(wanted)
                         one, two = _places(hashes[hit], bits)
                         first = np.flatnonzero(known(one))
                         first = first[known(two[first])]
                         hit = [x[first] for x in hit]
                         letter = alphabet[hit[2]] if len(hit) > 2 else np.zeros(len(first), np.uint8)
-                        for i, place, c in zip(rows[hit[0]].tolist(), hit[1].tolist(), letter.tolist(), strict=True):
+                        for i, place, c in zip(rows[hit[0]].tolist(), (hit[1] + start).tolist(), letter.tolist(), strict=True):
                             who.append(names[i])
                             candidates.append(_candidate(raw[i], kind, place, c))
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(candidates, pa.string())], ["word", "near"])
