@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.vec import Vec
 from .topology import CORNERS, corners, saved, shares_vertex, triangles, vertex_normals
+from .winding import winding_numbers
 
 CELL = ("level", "cell_x", "cell_y", "cell_z")
 #: Reference rows up to which nearest rows are found by broadcasting all of them.
 BROADCAST_ROWS = 20_000
+#: Point-triangle tests up to which closest points are found by all of them.
+BROADCAST_TESTS = 1_000_000
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, at_once: int = 1 << 16) -> float | None:
@@ -207,22 +210,27 @@ def closest_on_mesh(queries: DataFrame, vertices: DataFrame, faces: DataFrame, *
     """``qid, fid, d2, cp_x.., n_x..``: the exact closest surface point, its face (ties to the
     smaller id) and the face's normal.
 
-    Up to ``broadcast_rows`` faces (counted) are broadcast. Otherwise the distance to the nearest
-    vertex bounds the search: queries become boxes of that radius and meet the faces' boxes.
+    Up to ``broadcast_rows`` faces are broadcast, if that makes ``BROADCAST_TESTS`` tests at most (both are counted).
+    Otherwise the distance to the nearest vertex bounds the search: queries become boxes of that radius and meet the
+    faces' boxes, and a face whose box is farther off than the radius is not tested.
     """
     tri = triangles(vertices, faces)
     p, (a, b, c) = Vec.of("p"), corners()
     q = queries.select(F.col(query_id).alias("qid"), *[F.col(k).alias(f"p{k}") for k in "xyz"])
-    if tri.count() <= broadcast_rows:
+    n = tri.count()
+    if n <= broadcast_rows and n * q.count() <= BROADCAST_TESTS:
         met = q.crossJoin(F.broadcast(tri))
     else:
+        tri = saved(tri)
         used = vertices.join(faces.select(F.explode(F.array(*CORNERS)).alias("vid")).distinct(), "vid", "left_semi")
-        bound = nearest(queries, used, query_id=query_id, ref_id="vid").select("qid", F.sqrt("d2").alias("radius"))
-        reach = q.join(bound, "qid")
+        bound = nearest(queries, used, query_id=query_id, ref_id="vid", broadcast_rows=broadcast_rows).select("qid", F.sqrt("d2").alias("radius"))
+        reach = saved(q.join(bound, "qid"))
         boxes = triangle_boxes(tri)
         around = reach.withColumns({f"{s}{k}": F.col(f"p{k}") + (F.col("radius") * (1 if s == "hi" else -1)) for s in ("lo", "hi") for k in "xyz"})
-        size = max(cell_size(boxes), 2 * (about_quantile(bound, "radius", 0.9) or 0.0))
+        size = max(cell_size(boxes), 2 * (about_quantile(reach, "radius", 0.9) or 0.0))
         met = overlapping(around, boxes, size)
+        beyond = [F.greatest(F.col(f"b_lo{k}") - F.col(f"a_p{k}"), F.col(f"a_p{k}") - F.col(f"b_hi{k}"), F.lit(0.0)) for k in "xyz"]
+        met = met.where(sum(d * d for d in beyond) <= F.col("a_radius") * F.col("a_radius") * (1 + 1e-9))
         met = met.select(F.col("a_qid").alias("qid"), *[F.col(f"a_p{k}").alias(f"p{k}") for k in "xyz"], *[F.col(f"b_{n}").alias(n) for n in tri.columns])
     met = G.with_closest_on_triangle(met, p, a, b, c)
     met = met.withColumns(G.face_normal(a, b, c).columns("n_"))
@@ -232,13 +240,10 @@ def closest_on_mesh(queries: DataFrame, vertices: DataFrame, faces: DataFrame, *
 
 
 def signed_distance(queries: DataFrame, vertices: DataFrame, faces: DataFrame, *, query_id: str = "vid") -> DataFrame:
-    """``qid, distance``: negative inside, by the generalized winding number over all faces."""
+    """``qid, distance``: negative inside, by the generalized winding number."""
     d = closest_on_mesh(queries, vertices, faces, query_id=query_id).select("qid", F.sqrt("d2").alias("d"))
-    q = queries.select(F.col(query_id).alias("qid"), *[F.col(k).alias(f"p{k}") for k in "xyz"])
-    tri = triangles(vertices, faces)
-    # the winding number is a sum over every face; faces stream past blocks of queries
-    wind = q.crossJoin(tri).groupBy("qid").agg((F.sum(G.solid_angle(Vec.of("p"), *corners())) / (4 * 3.141592653589793)).alias("w"))
-    return d.join(wind, "qid").select("qid", F.when(F.col("w") > 0.5, -F.col("d")).otherwise(F.col("d")).alias("distance"), F.col("w").alias("winding"))
+    wind = winding_numbers(queries, vertices, faces, query_id=query_id)
+    return d.join(wind, "qid").select("qid", F.when(F.col("winding") > 0.5, -F.col("d")).otherwise(F.col("d")).alias("distance"), "winding")
 
 
 def segment_candidates(segs: DataFrame, vertices: DataFrame, faces: DataFrame, inflate: float = 0.0, cell: float | None = None, scope: DataFrame | None = None) -> DataFrame:

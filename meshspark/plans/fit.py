@@ -20,6 +20,7 @@ from ..operators.refine import subdivide
 from ..operators.topology import both_ways, face_adjacency, saved, unique_edges, vertex_degrees, vertex_normals
 from ..session import ship
 from .evaluate import Mesh, as_points, evaluate_meshes
+from .nonrigid import OptimalStep
 
 
 def transformed(points: DataFrame, m: np.ndarray) -> DataFrame:
@@ -157,53 +158,6 @@ def self_aware_step(vertices: DataFrame, faces: DataFrame, target: Mesh, *, clea
     return out.join(alpha.select("vid", "alpha"), "vid", "left").select("vid", "x", "y", "z", F.coalesce("alpha", F.lit(1.0)).alias("alpha"))
 
 
-def normal_equations_cg(vertices: DataFrame, edges: DataFrame, rhs: DataFrame, weights: DataFrame, stiffness: float, *, rounds: int = 50, tol: float = 1e-8) -> DataFrame:
-    """Solves ``(W + stiffness * L) x = rhs`` (L: the edges' graph Laplacian, W: ``weight`` by vertex)
-    for three right sides at once by conjugate gradients; a product is a join and a sum."""
-    near = saved(both_ways(edges, "e0", "e1"))
-    deg = saved(vertex_degrees(vertices, edges).join(weights, "vid", "left").select("vid", "degree", F.coalesce("weight", F.lit(0.0)).alias("weight")))
-
-    def product(p: DataFrame) -> DataFrame:
-        sums = near.join(p, near["v"] == p["vid"]).groupBy(F.col("u").alias("vid")).agg(*[F.sum(f"p{c}").alias(f"n{c}") for c in "xyz"])
-        return p.join(deg, "vid").join(sums, "vid", "left").select("vid", *[((F.col("weight") + stiffness * F.col("degree")) * F.col(f"p{c}") - stiffness * F.coalesce(f"n{c}", F.lit(0.0))).alias(f"q{c}") for c in "xyz"])
-
-    dots = lambda df, a, b: np.array([v or 0.0 for v in df.agg(*[F.sum(F.col(f"{a}{c}") * F.col(f"{b}{c}")) for c in "xyz"]).first()])
-    now = saved(rhs.select("vid", *[F.lit(0.0).alias(f"x{c}") for c in "xyz"], *[F.col(c).alias(f"r{c}") for c in "xyz"], *[F.col(c).alias(f"p{c}") for c in "xyz"]))
-    rr = first = dots(now, "r", "r")
-    for _ in range(rounds):
-        if (rr <= tol * tol * np.maximum(first, 1e-30)).all():
-            break
-        both = saved(now.join(product(now.select("vid", "px", "py", "pz")), "vid"))
-        pq = dots(both, "p", "q")
-        a = np.where(pq > 0, rr / np.where(pq > 0, pq, 1), 0.0)
-        both = saved(both.select("vid", *[(F.col(f"x{c}") + float(a[i]) * F.col(f"p{c}")).alias(f"x{c}") for i, c in enumerate("xyz")], *[(F.col(f"r{c}") - float(a[i]) * F.col(f"q{c}")).alias(f"r{c}") for i, c in enumerate("xyz")], "px", "py", "pz"))
-        after = dots(both, "r", "r")
-        b = np.where(rr > 0, after / np.where(rr > 0, rr, 1), 0.0)
-        now = saved(both.select("vid", "xx", "xy", "xz", "rx", "ry", "rz", *[(F.col(f"r{c}") + float(b[i]) * F.col(f"p{c}")).alias(f"p{c}") for i, c in enumerate("xyz")]))
-        rr = after
-    return now.select("vid", *[F.col(f"x{c}").alias(c) for c in "xyz"])
-
-
-def nonrigid_fit(source: Mesh, target: DataFrame, *, alphas: tuple[float, ...] = (50.0, 20.0, 5.0, 1.0), inner: int = 2, threshold: float = 0.02) -> DataFrame:
-    """Vertices drawn to their matches within ``threshold`` under falling stiffness of neighbouring
-    displacements, and at last set onto their matches."""
-    v, f = source
-    edges = saved(unique_edges(f))
-    now = saved(v.select("vid", "x", "y", "z"))
-    hits = None
-    for stiffness in alphas:
-        for _ in range(inner):
-            m = objective.matched(as_points(now), target).where(F.col("d2") < threshold * threshold)
-            hits = saved(m.select(F.col("qid").alias("vid"), *Vec.of("q").named("q")))
-            off = v.select("vid", *Vec.of().named("p")).join(hits, "vid", "left")
-            rhs = off.select("vid", *[F.coalesce(F.col(f"q{c}") - F.col(f"p{c}"), F.lit(0.0)).alias(c) for c in "xyz"])
-            d = normal_equations_cg(v, edges, rhs, hits.select("vid", F.lit(1.0).alias("weight")), stiffness / 50.0, rounds=25, tol=1e-6)
-            now = saved(v.select("vid", *Vec.of().named("p")).join(d, "vid").select("vid", *[(F.col(f"p{c}") + F.col(c)).alias(c) for c in "xyz"]))
-    if hits is None:
-        return now
-    return now.join(hits, "vid", "left").select("vid", *[F.coalesce(f"q{c}", c).alias(c) for c in "xyz"])
-
-
 @dataclass
 class FitConfig:
     """Settings of :class:`ProjectionFit` and :class:`ClampedFit`; ``*_tau`` are in units of L/2048."""
@@ -414,12 +368,12 @@ def map_groups(source: Mesh, target: DataFrame, vertex_groups: DataFrame, group_
     return groups
 
 
-def map_mesh(source: Mesh, target: Mesh, *, nonrigid: bool = True) -> DataFrame:
-    """Source vertices after rigid alignment and, if asked, the non-rigid fit to the target's vertices."""
+def map_mesh(source: Mesh, target: Mesh, *, nonrigid: bool = True, **options) -> DataFrame:
+    """Source vertices after rigid alignment and, if asked, the optimal-step fit to the target's vertices."""
     t = as_points(target[0])
     m = icp(as_points(source[0]), t)
     v = saved(transformed(source[0].select("vid", "x", "y", "z"), m))
-    return nonrigid_fit((v, source[1]), t) if nonrigid else v
+    return OptimalStep(**options).fit((v, source[1]), t)[0] if nonrigid else v
 
 
 def with_normals(mesh: Mesh) -> DataFrame:
