@@ -17,8 +17,8 @@ from .winding import winding_numbers
 CELL = ("level", "cell_x", "cell_y", "cell_z")
 #: Reference rows up to which nearest rows are found by broadcasting all of them.
 BROADCAST_ROWS = 20_000
-#: Point-triangle tests up to which closest points are found by all of them.
-BROADCAST_TESTS = 1_000_000
+#: Point-triangle tests, and distances of points, up to which all of them are made.
+BROADCAST_TESTS, BROADCAST_DISTANCES = 1_000_000, 100_000_000
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, at_once: int = 1 << 16) -> float | None:
@@ -153,8 +153,8 @@ def _occupied_cell(refs: DataFrame, span: float, n: int, k: int) -> float:
 def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, *, query_id: str = "pid", ref_id: str = "pid", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``qid, rid, d2, nth``: the ``k`` nearest reference points of each query, ties to the smaller id.
 
-    Up to ``broadcast_rows`` references (counted) are broadcast. Beyond that queries meet the
-    references of their own and the 26 neighbouring cells, of a size at which cells hold few of them; a result is certain once its distance
+    Up to ``broadcast_rows`` references are broadcast, if that makes ``BROADCAST_DISTANCES`` distances at most (both are
+    counted). Beyond that queries meet the references of their own and the 26 neighbouring cells, of a size at which cells hold few of them; a result is certain once its distance
     is within one cell, and queries that are not certain try again with cells twice as large, so
     after as many rounds as doublings span the cloud all are exact.
     """
@@ -164,7 +164,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, *, query_id: str =
     best = Window.partitionBy("qid").orderBy("d2", "rid")
     stats = r.agg(F.count("*"), *[F.min(f"r{c}") for c in "xyz"], *[F.max(f"r{c}") for c in "xyz"]).first()
     n, lo, hi = stats[0], stats[1:4], stats[4:7]
-    if n <= broadcast_rows:
+    if n <= broadcast_rows and (not n or n * q.count() <= BROADCAST_DISTANCES):
         met = q.crossJoin(F.broadcast(r)).withColumn("d2", d2)
         if k == 1:
             least = met.groupBy("qid").agg(F.min(F.struct("d2", "rid")).alias("m"))

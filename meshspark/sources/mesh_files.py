@@ -1,4 +1,4 @@
-"""Mesh files: OBJ and ASCII PLY in and out, and deterministic surface samples."""
+"""Mesh files: OBJ and PLY in and out, GLB in, and deterministic surface samples."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import Vec
 from ..operators.topology import CORNERS, corners, dense_rank_ids, saved, triangles
+from .binary_mesh import ply_head, read_binary_ply, read_glb
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -81,12 +82,26 @@ def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return v, f
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """Vertices and faces of an OBJ or ASCII PLY file, or of a folder with Parquet tables; None if it is missing."""
+    """Vertices and faces of an OBJ, PLY (ASCII or binary) or GLB file, or of a folder with Parquet tables; None if it is missing."""
     if not exists(spark, path):
         return None
+    if path.endswith(".glb"):
+        return read_glb(spark, qualified(spark, path))
     if path.endswith(".ply"):
-        return read_ply(spark, path)
+        binary = not is_folder(spark, path) and (ply_head(qualified(spark, path))["format"] or "").startswith("binary")
+        return read_binary_ply(spark, qualified(spark, path)) if binary else read_ply(spark, path)
     if path.endswith(".obj"):
         return read_obj(spark, path)
     return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/faces")
