@@ -108,6 +108,7 @@ class SeriesLog:
         self.spark, self.path, self.run_id, self.mute = spark, path, run_id, mute
         self.steps: dict[str, int] = {}
         self.rows: list[tuple] = []
+        self.tables: list[DataFrame] = []
 
     def is_valid(self) -> bool:
         return self.path is not None
@@ -116,7 +117,7 @@ class SeriesLog:
         self.path = path
 
     def reset(self) -> None:
-        self.path, self.steps, self.rows = None, {}, []
+        self.path, self.steps, self.rows, self.tables = None, {}, [], []
 
     def step(self, name: str) -> int:
         return self.steps.setdefault(name, 0)
@@ -134,10 +135,30 @@ class SeriesLog:
         if not self.mute:
             self.rows.append((self.run_id, name, int(step), float(value)))
 
+    def extend(self, rows: DataFrame, order: list[str]) -> None:
+        """Adds a table of ``name, value``, each name's rows in the given order from its step on. Steps are counted over
+        ranges of the order, so that no series is sorted in one task; the driver learns each name's count."""
+        from .topology import saved
+
+        ranged = saved(rows.repartitionByRange("name", *order).withColumn("_part", F.spark_partition_id()))
+        parts = ranged.groupBy("name", "_part").agg(F.count("*").alias("n"))
+        before = parts.select("name", "_part", F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        counts = {name: n for name, n in parts.groupBy("name").agg(F.sum("n")).collect()}
+        first = self.spark.createDataFrame([(name, self.step(name)) for name in counts], "name string, first long")
+        for name, n in counts.items():
+            self.steps[name] += n
+        if not self.mute:
+            nth = F.row_number().over(Window.partitionBy("name", "_part").orderBy(*order)) - 1
+            out = ranged.withColumn("nth", nth).join(F.broadcast(before), ["name", "_part"]).join(F.broadcast(first), "name")
+            self.tables.append(out.select(F.lit(self.run_id).alias("run_id"), "name", (F.col("first") + F.col("before") + F.col("nth")).cast("long").alias("step"), F.col("value").cast("double").alias("value")))
+
     def table(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, "run_id string, name string, step long, value double")
+        out = self.spark.createDataFrame(self.rows, "run_id string, name string, step long, value double")
+        for more in self.tables:
+            out = more.unionByName(out)
+        return out
 
     def flush(self) -> None:
-        if self.path and self.rows:
+        if self.path and (self.rows or self.tables):
             self.table().write.mode("append").partitionBy("run_id").parquet(self.path)
-            self.rows = []
+            self.rows, self.tables = [], []

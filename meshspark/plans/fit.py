@@ -380,77 +380,6 @@ def with_normals(mesh: Mesh) -> DataFrame:
     return as_points(mesh[0]).join(vertex_normals(*mesh).withColumnRenamed("vid", "pid"), "pid")
 
 
-class AdamFit(Fit):
-    """A displacement field by AdamW (with the largest second moment) on matched distances and an
-    edge term: bursts of ``inner`` steps on fixed matches until the fit error is flat, then refinement.
-    Moments are columns of the vertices. With a guard a burst that makes new crossings is taken back there."""
-
-    inner: int = 10
-    outer: int = 6
-    lr: float = 1e-3
-    laplacian: float = 30.0
-    decay: float = 0.0
-    mask_tau: float = 64.0
-    betas: tuple[float, float] = (0.9, 0.999)
-
-    def setup(self) -> None:
-        super().setup()
-        self.reset_moments()
-
-    def reset_moments(self) -> None:
-        zero = [F.lit(0.0).alias(f"{m}{c}") for m in ("m", "v", "w") for c in "xyz"]
-        self.moments, self.step_count = saved(self.now.select("vid", *zero)), 0
-
-    def burst(self) -> float:
-        most = self.mask_tau * self.tau
-        hits = saved(objective.matched(as_points(self.now), as_points(self.goal[0])).where(F.col("d2") < most * most).select(F.col("qid").alias("vid"), *Vec.of("q").named("q"), "d2"))
-        n, mean = hits.agg(F.count("*"), F.avg(F.sqrt("d2"))).first()
-        b1, b2 = self.betas
-        for _ in range(self.inner):
-            self.step_count += 1
-            d = self.now.join(self.rest.select("vid", *Vec.of().named("r")), "vid").select("vid", *[(F.col(k) - F.col(f"r{k}")).alias(k) for k in "xyz"])
-            rows = self.now.join(hits, "vid", "left").join(objective.edge_laplacian_gradient(d, self.edges), "vid").join(self.moments, "vid")
-            pull = {c: F.coalesce(F.col(c) - F.col(f"q{c}"), F.lit(0.0)) * (2.0 / max(n, 1)) + self.laplacian * F.col(f"g{c}") for c in "xyz"}
-            rows = rows.withColumns({f"u{c}": pull[c] for c in "xyz"})
-            rows = rows.withColumns({f"m{c}": b1 * F.col(f"m{c}") + (1 - b1) * F.col(f"u{c}") for c in "xyz"} | {f"v{c}": b2 * F.col(f"v{c}") + (1 - b2) * F.col(f"u{c}") * F.col(f"u{c}") for c in "xyz"})
-            rows = rows.withColumns({f"w{c}": F.greatest(f"w{c}", f"v{c}") for c in "xyz"})
-            k1, k2 = 1 - b1**self.step_count, 1 - b2**self.step_count
-            moved = {c: F.col(c) * (1 - self.lr * self.decay) - self.lr * (F.col(f"m{c}") / k1) / (F.sqrt(F.col(f"w{c}") / k2) + 1e-8) for c in "xyz"}
-            rows = saved(rows.select("vid", *[moved[c].alias(c) for c in "xyz"], *[f"{m}{c}" for m in ("m", "v", "w") for c in "xyz"]))
-            self.now, self.moments = rows.select("vid", "x", "y", "z"), rows.drop("x", "y", "z")
-        return mean or 0.0
-
-    def guard_burst(self, before: DataFrame) -> None:
-        """Sets vertices on new crossings back to where the burst began, and their moments to zero."""
-        fresh = saved(metrics.new_pairs(metrics.self_intersections(self.now, self.faces), self.baseline))
-        if fresh.isEmpty():
-            return
-        bad = metrics.pair_faces(fresh).join(self.faces, "fid").select(F.explode(F.array("i0", "i1", "i2")).alias("vid")).distinct()
-        bad = saved(bad)
-        self.now = saved(self.now.join(bad, "vid", "left_anti").unionByName(before.join(bad, "vid", "left_semi").select("vid", "x", "y", "z")))
-        zero = [F.lit(0.0).alias(c) for c in self.moments.columns if c != "vid"]
-        self.moments = saved(self.moments.join(bad, "vid", "left_anti").unionByName(bad.select("vid", *zero)))
-
-    def fit(self) -> None:
-        c = self.config
-        for level in range(c.levels + 1):
-            means: list[float] = []
-            for _ in range(self.outer):
-                before = self.now
-                means.append(self.burst())
-                if c.guard:
-                    self.guard_burst(before)
-                self.history.append({"level": level, "iter": len(means), "mean_distance": means[-1]})
-                w = c.window
-                if len(means) >= 2 * w and (sum(means[-2 * w : -w]) - sum(means[-w:])) / (abs(sum(means[-2 * w : -w])) + 1e-12) < c.rel_tol:
-                    break
-            if level < c.levels:
-                if not self.refine("error", mult=c.refine_mult, quantile=c.refine_quantile):
-                    break
-                self.reset_moments()
-        self.gate()
-
-
 class GroupMapper:
     """Builds and runs the affine mapping of vertex groups onto a target, with landmarks."""
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.topology import unique_edges
+from .functions import geometry as G
+from .functions.vec import Vec
+from .operators import gradients, spatial
+from .operators.topology import corners, triangles, unique_edges
 from .plans import nonrigid
 from .plans.evaluate import as_points
-from .queries import _EDGES, _MESH, _r, query
+from .queries import _EDGES, _LINKED, _MESH, _SHELL, _TARGET, _r, query
+from .queries_more import _NEARBOX
 from .sources import fixtures
 
 _ALPHA, _GAMMA = 2.0, 0.5
@@ -42,3 +46,82 @@ def opt2_optimal_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = nonrigid.OptimalStep(alphas=(20.0, 5.0), inner=1, threshold=0.3, rounds=16, tol=1e-3)
     out, _ = step.fit(fixtures.height_field(spark, sf_dir, 0), as_points(fixtures.height_field(spark, sf_dir, 1)[0]))
     return out.select("vid", *[_r(c, 3).alias(c) for c in "xyz"])
+
+
+# gradients of loss terms -------------------------------------------------------------------------
+
+
+def _rounded(parts: DataFrame) -> DataFrame:
+    """Sums by vertex; rounding to nine digits gives no minus zero."""
+    return gradients.total(parts).select("vid", *[(_r(f"g{c}", 9) + 0.0).alias(f"g{c}") for c in "xyz"])
+
+
+_ROUND = "SELECT vid, round(sum(gx), 9) + 0.0 AS gx, round(sum(gy), 9) + 0.0 AS gy, round(sum(gz), 9) + 0.0 AS gz"
+
+
+@query(f"""WITH {_MESH}, {_TARGET}, n AS (SELECT count(*) AS n FROM mv),
+m AS (SELECT a.vid, a.z - b.z AS off, a.z AS u0, a.x AS u1, sqrt(a.z*a.z + a.x*a.x + 1) AS l, n FROM mv a JOIN gv b ON a.vid = b.vid, n WHERE b.z > 0)
+SELECT vid, round(3.0::DOUBLE/n * (off*(1/l)) * (u0/l), 9) + 0.0 AS gx, round(3.0::DOUBLE/n * (off*(1/l)) * (u1/l), 9) + 0.0 AS gy, round(4.0::DOUBLE/n * off + 3.0::DOUBLE/n * (off*(1/l)) * (1/l), 9) + 0.0 AS gz FROM m""")
+def opt9_data_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to points and planes of another height field, over its hills only."""
+    v, _ = fixtures.height_field(spark, sf_dir, 0)
+    q, _ = fixtures.height_field(spark, sf_dir, 1)
+    both = q.select("vid", (F.col("z") > 0).cast("double").alias("weight"), *Vec.of().named("q")).join(v, "vid")
+    normal = Vec(F.col("z"), F.col("x"), F.lit(1.0))
+    matches = both.select("vid", "weight", "qx", "qy", "qz", *(normal / normal.norm()).named("n"))
+    return _rounded(gradients.data(v, matches, v.count(), fit=2.0, plane=1.5))
+
+
+@query(f"""WITH {_MESH}, {_TARGET}, {_EDGES}, n AS (SELECT count(*) AS n FROM e), d AS (SELECT a.vid, b.z AS x, a.z * b.z AS y, a.z AS z FROM mv a JOIN gv b ON a.vid = b.vid),
+l AS (SELECT e0 AS u, e1 AS v FROM e UNION ALL SELECT e1, e0 FROM e),
+p AS (SELECT l.u AS vid, 6.0::DOUBLE/n*(a.x-b.x) AS gx, 6.0::DOUBLE/n*(a.y-b.y) AS gy, 6.0::DOUBLE/n*(a.z-b.z) AS gz FROM l JOIN d a ON a.vid = l.u JOIN d b ON b.vid = l.v, n)
+{_ROUND} FROM p GROUP BY vid""")
+def opt9_laplacian_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = fixtures.height_field(spark, sf_dir, 0)
+    other = fixtures.height_field(spark, sf_dir, 1)[0].select("vid", F.col("z").alias("h"))
+    d = v.join(other, "vid").select("vid", F.col("h").alias("x"), (F.col("z") * F.col("h")).alias("y"), "z")
+    edges = unique_edges(f)
+    return _rounded(gradients.edge_laplacian(d, edges, edges.count(), 3.0))
+
+
+@query(f"""WITH {_SHELL}, pr AS (SELECT a.i0 AS a0, a.i1 AS a1, a.i2 AS a2, b.i0 AS b0, b.i1 AS b1, b.i2 AS b2, 0.3::DOUBLE - (0.6*((b.ay+b."by"+b.cy)/3.0 - (a.ay+a."by"+a.cy)/3.0) + 0.8*((b.az+b.bz+b.cz)/3.0 - (a.az+a.bz+a.cz)/3.0)) AS short
+ FROM tri a JOIN tri b ON a.fid < b.fid AND {_NEARBOX} WHERE NOT {_LINKED}),
+n AS (SELECT count(*) AS n FROM pr WHERE short > 0), g AS (SELECT *, short * 2.0/3.0 / n AS g FROM pr, n WHERE short > 0),
+p AS (SELECT unnest([a0, a1, a2, b0, b1, b2]) AS vid, unnest([g, g, g, -g, -g, -g]) AS g FROM g)
+SELECT vid, 0.0::DOUBLE AS gx, round(sum(0.6*g), 9) + 0.0 AS gy, round(sum(0.8*g), 9) + 0.0 AS gz FROM p GROUP BY vid""")
+def opt9_sheet_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of two crossing sheets kept apart along a slanted axis."""
+    v, f = fixtures.double_shell(spark, sf_dir)
+    pairs = spatial.collision_candidates(v, f, 0.02).withColumns({"ux": F.lit(0.0), "uy": F.lit(0.6), "uz": F.lit(0.8), "margin": F.lit(0.3)})
+    return _rounded(gradients.sheet(pairs, v, f))
+
+
+_K = {"x": '((b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y))', "y": '((b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z))', "z": '((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x))'}
+_CORNERS = "a.x AS a0, a.y AS a1, a.z AS a2, b.x AS b0, b.y AS b1, b.z AS b2, c.x AS c0, c.y AS c1, c.z AS c2"
+
+
+def _normals(name: str, v: str, f: str) -> str:
+    return f"{name} AS (SELECT fid, i0, i1, i2, {_CORNERS}, {', '.join(f'{k} AS k{c}' for c, k in _K.items())} FROM {f} JOIN {v} a ON a.vid = i0 JOIN {v} b ON b.vid = i1 JOIN {v} c ON c.vid = i2)"
+
+
+@query(f"""WITH {_MESH}, {_TARGET}, n AS (SELECT count(*) AS n FROM mf), {_normals('one', 'mv', 'mf')}, {_normals('two', 'gv', 'gf')},
+r AS (SELECT one.*, sqrt(one.kx*one.kx+one.ky*one.ky+one.kz*one.kz) AS l, sqrt(two.kx*two.kx+two.ky*two.ky+two.kz*two.kz) AS l2, two.kx AS rx, two.ky AS ry, two.kz AS rz FROM one JOIN two ON one.fid = two.fid),
+s AS (SELECT *, kx/l AS nx, ky/l AS ny, kz/l AS nz, rx/l2 AS ux, ry/l2 AS uy, rz/l2 AS uz FROM r),
+t AS (SELECT *, nx*ux+ny*uy+nz*uz AS d FROM s),
+sh AS (SELECT *, greatest(0.9::DOUBLE - d, 0)/l AS turn, greatest(0.9::DOUBLE*l2 - l, 0)/(l2*l2) AS small FROM t),
+h AS (SELECT sh.*, -4.0::DOUBLE/n*((ux-nx*d)*turn + nx*small) AS hx, -4.0::DOUBLE/n*((uy-ny*d)*turn + ny*small) AS hy, -4.0::DOUBLE/n*((uz-nz*d)*turn + nz*small) AS hz FROM sh, n WHERE turn > 0 OR small > 0),
+g AS (SELECT i0, i1, i2, (c1-a1)*hz-(c2-a2)*hy AS px, (c2-a2)*hx-(c0-a0)*hz AS py, (c0-a0)*hy-(c1-a1)*hx AS pz, hy*(b2-a2)-hz*(b1-a1) AS qx, hz*(b0-a0)-hx*(b2-a2) AS qy, hx*(b1-a1)-hy*(b0-a0) AS qz FROM h),
+p AS (SELECT unnest([i0,i1,i2]) AS vid, unnest([-px-qx, px, qx]) AS gx, unnest([-py-qy, py, qy]) AS gy, unnest([-pz-qz, pz, qz]) AS gz FROM g)
+{_ROUND} FROM p GROUP BY vid""")
+def opt9_inversion_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of one height field held against the normals and areas of another."""
+    v, f = fixtures.height_field(spark, sf_dir, 0)
+    reference = triangles(*fixtures.height_field(spark, sf_dir, 1)).select("fid", *G.face_normal(*corners()).named("n"), G.doubled_area(*corners()).alias("area2"))
+    return _rounded(gradients.inversion(v, f, reference, f.count(), flip=0.9, part=0.9, weight=2.0))
+
+
+@query()
+def opt9_collision_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the barrier between two crossing sheets; tests compare with slopes of the loss."""
+    v, f = fixtures.double_shell(spark, sf_dir)
+    return _rounded(gradients.collision(spatial.collision_candidates(v, f, 0.02), v, f, 0.02))

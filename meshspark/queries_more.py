@@ -87,7 +87,7 @@ wh AS (SELECT face, side, tri.fid, {_WT}*{most} AS thickness FROM r JOIN tri ON
 wall AS (SELECT face AS fid, arg_min(side, thickness) AS side, arg_min(fid, thickness) AS partner, min(thickness) AS thickness FROM wh WHERE thickness < {most} GROUP BY face)"""
 
 
-_WALL = _wall(0.1)
+_WALL = _wall(0.5)
 ORACLE_SQL["jn9_wall_thickness"] = f"{_wall(0.5)} SELECT fid, side, partner, round(thickness,6) AS thickness FROM wall"
 
 
@@ -101,19 +101,19 @@ def _two(spark: SparkSession, sf_dir: str):
 
 @query(f"{_WALL}, pr AS (SELECT DISTINCT least(fid,partner) AS fa, greatest(fid,partner) AS fb FROM wall) SELECT fa, fb FROM pr JOIN f a ON a.fid = fa JOIN f b ON b.fid = fb WHERE NOT {_LINKED}")
 def jn9_wall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.wall_pairs(*fixtures.double_shell(spark, sf_dir), 0.1)
+    return spatial.wall_pairs(*fixtures.double_shell(spark, sf_dir), 0.5)
 
 
 @query(f"{_WALL} SELECT f.fid, round(least(coalesce(thickness, 9.0), 9.0),6) AS thickness, coalesce(side, 0.0) AS side FROM f LEFT JOIN wall ON wall.fid = f.fid")
 def jn9_face_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spatial.face_thickness(*fixtures.double_shell(spark, sf_dir), 0.1)
+    found = spatial.face_thickness(*fixtures.double_shell(spark, sf_dir), 0.5)
     return found.select("fid", _r(F.least("thickness", F.lit(9.0))).alias("thickness"), "side")
 
 
 @query(f"""{_WALL}, ev AS (SELECT unnest([i0,i1,i2]) AS vid, f.fid FROM f), vs AS (SELECT ev.vid, min(thickness) AS t, sum(nx*coalesce(side,0)) AS sx, sum(ny*coalesce(side,0)) AS sy, sum(nz*coalesce(side,0)) AS sz FROM ev LEFT JOIN wall ON wall.fid = ev.fid JOIN un ON un.fid = ev.fid GROUP BY ev.vid)
 SELECT v.vid, round(coalesce(t, 9.0),6) AS thickness, round(coalesce(sx/(sqrt(sx*sx+sy*sy+sz*sz)+1e-20),0),5) AS dx, round(coalesce(sz/(sqrt(sx*sx+sy*sy+sz*sz)+1e-20),0),5) AS dz FROM v LEFT JOIN vs ON vs.vid = v.vid""")
 def agg8_vertex_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spatial.vertex_thickness(*fixtures.double_shell(spark, sf_dir), 0.1)
+    found = spatial.vertex_thickness(*fixtures.double_shell(spark, sf_dir), 0.5)
     return found.select("vid", _r(F.least("thickness", F.lit(9.0))).alias("thickness"), _r("dx", 5).alias("dx"), _r("dz", 5).alias("dz"))
 
 
@@ -459,7 +459,7 @@ def con9_sheet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_WALL}, pr AS (SELECT DISTINCT least(fid,partner) AS fa, greatest(fid,partner) AS fb FROM wall), ax AS (SELECT a.fid AS fa, b.fid AS fb, {', '.join(f'-({_CG[c]}) AS d{c}' for c in 'xyz')} FROM pr JOIN tri a ON a.fid = fa JOIN tri b ON b.fid = fb WHERE NOT {_LINKED})
 SELECT fa, fb, round(dz/(sqrt(dx*dx+dy*dy+dz*dz)+1e-20),6) AS uz, round(greatest(least(0.02::DOUBLE, 0.9*sqrt(dx*dx+dy*dy+dz*dz)),0),9) AS margin FROM ax""")
 def con10_sheet_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraints.sheet_constraints(*fixtures.double_shell(spark, sf_dir), 0.1, 0.02).select("fa", "fb", _r("uz").alias("uz"), _r("margin", 9).alias("margin"))
+    return constraints.sheet_constraints(*fixtures.double_shell(spark, sf_dir), 0.5, 0.02).select("fa", "fb", _r("uz").alias("uz"), _r("margin", 9).alias("margin"))
 
 
 @query("SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings WHERE label < 5 UNION ALL SELECT vec_id, embedding[1]::DOUBLE FROM embeddings WHERE label < 2")
@@ -505,17 +505,19 @@ def exp5b_centroid_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[_r(c, 9).alias(c) for c in ("mean", "median", "close")])
 
 
-@query("SELECT * FROM (VALUES ('run', 'loss', 0::BIGINT, 3.5::DOUBLE), ('run', 'loss', 1, 2.5), ('run', 'f1', 0, 0.25), ('run', 'f1', 7, 0.5), ('run', 'loss', 5, 1.5)) t(run_id, name, step, value)")
+@query("""WITH e AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step FROM events),
+n AS (SELECT name, count(*) AS n, max(value) AS top FROM e GROUP BY name)
+SELECT 'run' AS run_id, name, step, value FROM e UNION ALL SELECT 'run', name, n + 3, top FROM n""")
 def snk5_series_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with steps that count by name, are set, or are given; a muted log holds none."""
+    """The values of events as series that count by name, then for each name a step that is set and its largest value; a muted log holds none."""
+    events = fixtures.history(spark, sf_dir).withColumnRenamed("run_id", "name")
     log, mute = state.SeriesLog(spark), state.SeriesLog(spark, mute=True)
-    for x in (3.5, 2.5):
-        log.add("loss", x)
-        mute.add("loss", x)
-    log.add("f1", 0.25)
-    log.add("f1", 0.5, 7)
-    log.set_step("loss", log.step("loss") + 3)
-    log.add("loss", 1.5)
+    for each in (log, mute):
+        each.extend(events, ["ts", "event_id"])
+    for name, top in events.groupBy("name").agg(F.max("value")).collect():  # a row a name
+        log.set_step(name, log.step(name) + 3)
+        log.add(name, top)
+        mute.add(name, top)
     return log.table().unionByName(mute.table())
 
 
