@@ -246,6 +246,28 @@ def signed_distance(queries: DataFrame, vertices: DataFrame, faces: DataFrame, *
     return d.join(wind, "qid").select("qid", F.when(F.col("winding") > 0.5, -F.col("d")).otherwise(F.col("d")).alias("distance"), "winding")
 
 
+def _segments_in_cells(segs: DataFrame, cell: float, known: list[int], inflate: float) -> DataFrame:
+    """A row for each cell that a segment (p, q) passes, on its own level and the ``known`` coarser ones: x cells first, then the
+    y cells of the part of the segment within each, then the z cells of that part, so a slanted segment has as many rows as cells
+    along it and not those of its box."""
+    p, q = Vec.of("p"), Vec.of("q")
+    spans = [F.abs(getattr(q, c) - getattr(p, c)) for c in "xyz"]
+    along = lambda k: sum((F.floor(s / (cell * LEVEL**k)) for s in spans), F.lit(3))
+    own = F.coalesce(*[F.when(along(k) <= MOST_CELLS, F.lit(k)) for k in range(24)], F.lit(24))
+    own = F.coalesce(*[F.when(own <= k, F.lit(k)) for k in known], F.lit(max(known)))  # a level that the others have too
+    out = segs.withColumn("own", own).withColumn("level", F.explode(F.array(*[F.lit(k) for k in known])))
+    out = out.where("level >= own").withColumns({"size": cell * F.pow(F.lit(float(LEVEL)), F.col("level")), "t0": F.lit(0.0), "t1": F.lit(1.0)})
+    for c in "xyz":
+        a, d = F.col(f"p{c}"), F.col(f"q{c}") - F.col(f"p{c}")
+        slack = F.col("size") * 1e-9 + inflate
+        ends = [a + d * F.col("t0"), a + d * F.col("t1")]
+        out = out.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor((F.least(*ends) - slack) / F.col("size")), F.floor((F.greatest(*ends) + slack) / F.col("size")))))
+        sides = [(F.col(f"cell_{c}") * F.col("size") - slack - a) / d, ((F.col(f"cell_{c}") + 1) * F.col("size") + slack - a) / d]
+        flat = F.abs(d) < 1e-300
+        out = out.withColumns({"t0": F.when(flat, F.col("t0")).otherwise(F.greatest(F.col("t0"), F.least(*sides))), "t1": F.when(flat, F.col("t1")).otherwise(F.least(F.col("t1"), F.greatest(*sides)))}).where("t0 <= t1")
+    return out.drop("size", "t0", "t1")
+
+
 def segment_candidates(segs: DataFrame, vertices: DataFrame, faces: DataFrame, inflate: float = 0.0, cell: float | None = None, scope: DataFrame | None = None) -> DataFrame:
     """Segments beside the faces whose boxes they meet, without faces at the segment's own vertex."""
     chosen = faces if scope is None else faces.join(scope.toDF("fid"), "fid", "left_semi")
@@ -259,9 +281,21 @@ def segment_candidates(segs: DataFrame, vertices: DataFrame, faces: DataFrame, i
 
 def segment_hits(segs: DataFrame, vertices: DataFrame, faces: DataFrame, *, inflate: float = 0.0, cell: float | None = None, scope: DataFrame | None = None, eps: float = 1e-9, t_lo: float = 0.0, t_hi: float = 1.0) -> DataFrame:
     """``sid, fid, t`` of every crossing."""
-    met = segment_candidates(segs, vertices, faces, inflate, cell, scope)
+    chosen = faces if scope is None else faces.join(scope.toDF("fid"), "fid", "left_semi")
+    boxes = saved(triangle_boxes(triangles(vertices, chosen), inflate))
+    size = cell or cell_size(boxes)
+    known = levels(boxes, size)
+    if not known:
+        return segs.select("sid", F.lit(None).cast("long").alias("fid"), F.lit(None).cast("double").alias("t")).limit(0)
+    a = _segments_in_cells(segs, size, known, inflate)
+    a = a.select(*CELL, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in CELL])
+    b = _side(in_cells(boxes, size, known).drop("gx", "gy", "gz"), "b_")
+    met = a.join(b, list(CELL)).where(F.col("level") == F.greatest("a_own", "b_own"))
+    owner = F.col("a_owner_vid")
+    met = met.where((owner != F.col("b_i0")) & (owner != F.col("b_i1")) & (owner != F.col("b_i2")) | owner.isNull())
     met = G.with_pierce(met, Vec.of("a_p"), Vec.of("a_q"), *corners("b_"), out="hit", t="t", eps=eps, t_lo=t_lo, t_hi=t_hi)
-    return met.where("hit").select(F.col("a_sid").alias("sid"), F.col("b_fid").alias("fid"), "t")
+    # a segment and a face may meet in several cells; only their hits are made distinct
+    return met.where("hit").select(F.col("a_sid").alias("sid"), F.col("b_fid").alias("fid"), "t").dropDuplicates(["sid", "fid"])
 
 
 def crossing_segments(segs: DataFrame, vertices: DataFrame, faces: DataFrame, **options) -> DataFrame:
