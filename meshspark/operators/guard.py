@@ -143,6 +143,22 @@ def resolve_trajectory(ref: DataFrame, proposed: DataFrame, faces: DataFrame, *,
     return now
 
 
+def settled(ref: DataFrame, before: DataFrame, proposed: DataFrame, faces: DataFrame, *, least: float = 0.0, rounds: int = 3, bisect: int = 7) -> tuple[DataFrame, int]:
+    """Positions whose movers (farther than ``least`` from ``before``) are taken back on their ways from ``ref`` until none crosses the
+    mesh as it then stands, or for ``rounds``; and how often one was."""
+    now, taken = saved(proposed.select("vid", "x", "y", "z")), 0
+    was = before.select("vid", *Vec.of().named("p"))
+    for _ in range(rounds):
+        movers = now.join(was, "vid").where((Vec.of() - Vec.of("p")).norm() > least).select("vid")
+        back = saved(largest_safe(ref.join(movers, "vid", "left_semi"), now, now, faces, bisect=bisect).where("alpha < 1"))
+        n = back.count()
+        if not n:
+            break
+        taken += n
+        now = saved(at_fraction(ref, now, back))
+    return now, taken
+
+
 def smooth(displacement: DataFrame, edges: DataFrame, weight: float = 0.5) -> DataFrame:
     """Displacements moved by ``weight`` towards the mean of their neighbours'."""
     near = both_ways(edges, "e0", "e1")

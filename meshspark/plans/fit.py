@@ -164,7 +164,14 @@ class FitConfig:
 
     step_tau: float = 1.0
     max_sweeps: int = 24
+    least_tau: float = 0.02
+    wall_tau: float = 30.0
+    wall_part: float = 0.5
+    gap_tau: float = 0.5
+    guard_rounds: int = 3
+    bisect: int = 7
     smooth: float = 0.0
+    smooth_rounds: int = 1
     window: int = 3
     rel_tol: float = 0.05
     patience: int = 2
@@ -245,30 +252,66 @@ class Fit:
         raise NotImplementedError
 
 
-class ProjectionFit(Fit):
-    """Sweeps of capped closest-point projection until the mean distance no longer falls, then
-    refinement; a last gate pins what would cross to rest."""
+def wall_caps(vertices: DataFrame, faces: DataFrame, *, step: float, most: float, part: float, gap: float) -> DataFrame:
+    """``vid, cap, allowance, dx, dy, dz``: how far a vertex may go at once (``step``, or a part of its wall's thickness),
+    and in all towards the wall's other side: half of what is left of the thickness when both sides keep ``gap`` between them."""
+    t = F.col("thickness")
+    rows = spatial.vertex_thickness(vertices, faces, most)
+    return rows.select("vid", F.least(F.lit(float(step)), part * t).alias("cap"), F.greatest((t - gap) * 0.5, F.lit(0.0)).alias("allowance"), "dx", "dy", "dz")
 
-    def sweep(self) -> float:
-        c = self.config
-        goal = saved(projected(self.now, self.goal, c.step_tau * self.tau))
-        mean = goal.agg(F.avg("distance")).first()[0] or 0.0
-        moved = goal.select("vid", "x", "y", "z")
-        if c.smooth:
+
+def capped_projection(vertices: DataFrame, rest: DataFrame, target: Mesh, caps: DataFrame) -> DataFrame:
+    """``vid, x, y, z, distance``: vertices moved towards their closest target point within their :func:`wall_caps`; what
+    they go from rest towards their wall's other side stays within the allowance."""
+    near = spatial.closest_on_mesh(vertices, *target).withColumnRenamed("qid", "vid")
+    rows = vertices.select("vid", *Vec.of().named("p")).join(near, "vid").join(rest.select("vid", *Vec.of().named("r")), "vid").join(caps, "vid")
+    moved = Vec.of("p") + G.clamp_norm(Vec.of("cp_") - Vec.of("p"), F.col("cap"))
+    rows = rows.select("vid", *moved.named("m"), *[f"{k}{c}" for k in "rd" for c in "xyz"], "allowance", F.sqrt("d2").alias("distance"))
+    return rows.select("vid", *G.inward_cap(Vec.of("m"), Vec.of("r"), Vec.of("d"), F.col("allowance")).named(), "distance")
+
+
+class ProjectionFit(Fit):
+    """Sweeps of closest-point projection, capped by walls, until the mean distance no longer falls or nothing moves, then
+    refinement; a last gate pins what would cross to rest.
+
+    Walls are measured at rest, once a level. Movers are taken back along their way from rest until none crosses the mesh as it
+    then stands, so two sides of a wall that move at once cannot pass each other.
+    """
+
+    def caps(self) -> DataFrame:
+        c, tau = self.config, self.tau
+        return saved(wall_caps(self.rest, self.faces, step=c.step_tau * tau, most=c.wall_tau * tau, part=c.wall_part, gap=c.gap_tau * tau))
+
+    def sweep(self, caps: DataFrame) -> dict:
+        """Moves all vertices once; means and counts of the sweep, lengths in tau."""
+        c, before = self.config, self.now
+        least = c.least_tau * self.tau
+        goal = saved(capped_projection(before, self.rest, self.goal, caps))
+        moved, clamped = goal.select("vid", "x", "y", "z"), 0
+        if c.guard:
+            moved, clamped = guard.settled(self.rest, before, moved, self.faces, least=least, rounds=c.guard_rounds, bisect=c.bisect)
+        for _ in range(c.smooth_rounds if c.smooth else 0):
             d = moved.join(self.rest.select("vid", *Vec.of().named("r")), "vid").select("vid", *[(F.col(k) - F.col(f"r{k}")).alias(k) for k in "xyz"])
             d = guard.smooth(d, self.edges, c.smooth)
             moved = d.join(self.rest.select("vid", *Vec.of().named("r")), "vid").select("vid", *[(F.col(k) + F.col(f"r{k}")).alias(k) for k in "xyz"])
-        self.now = guard.resolve_trajectory(self.rest, moved, self.faces, rounds=2) if c.guard else saved(moved)
-        return mean
+        self.now = saved(moved)
+        went = self.now.select("vid", *Vec.of().named("q")).join(before.select("vid", *Vec.of().named("p")), "vid").join(goal.select("vid", "distance"), "vid")
+        m = (Vec.of("q") - Vec.of("p")).norm()
+        mean, far, moving, off = went.agg(F.avg(m), F.max(m), F.sum((m > least).cast("long")), F.avg("distance")).first()
+        return {"mean_move": (mean or 0.0) / self.tau, "max_move": (far or 0.0) / self.tau, "moving": moving or 0, "clamped": clamped, "mean_distance": (off or 0.0) / self.tau}
 
     def fit(self) -> None:
         c = self.config
         for level in range(c.levels + 1):
             means: list[float] = []
             flats = 0
+            caps = self.caps()
             for _ in range(c.max_sweeps):
-                means.append(self.sweep())
-                self.history.append({"level": level, "iter": len(means), "mean_distance": means[-1]})
+                row = self.sweep(caps)
+                means.append(row["mean_distance"])
+                self.history.append({"level": level, "iter": len(means), **row})
+                if not row["moving"]:
+                    break
                 w = c.window
                 if len(means) >= 2 * w:
                     old, new = sum(means[-2 * w : -w]) / w, sum(means[-w:]) / w

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.vec import Vec
-from .operators import gradients, spatial
+from .operators import gradients, guard, spatial
 from .operators.topology import corners, triangles, unique_edges
-from .plans import nonrigid
+from .plans import fit, nonrigid
 from .plans.evaluate import as_points
 from .queries import _EDGES, _LINKED, _MESH, _SHELL, _TARGET, _r, query
-from .queries_more import _NEARBOX
+from .queries_more import _G, _NEARBOX, _WALL, _closest
 from .sources import fixtures
 
 _ALPHA, _GAMMA = 2.0, 0.5
@@ -125,3 +125,38 @@ def opt9_collision_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the barrier between two crossing sheets; tests compare with slopes of the loss."""
     v, f = fixtures.double_shell(spark, sf_dir)
     return _rounded(gradients.collision(spatial.collision_candidates(v, f, 0.02), v, f, 0.02))
+
+
+# projection within walls -------------------------------------------------------------------------
+
+_CAPS = f"""{_WALL}, ev AS (SELECT unnest([i0,i1,i2]) AS vid, f.fid FROM f),
+vs AS (SELECT ev.vid, min(thickness) AS t, {', '.join(f'sum(n{c}*coalesce(side,0)) AS s{c}' for c in 'xyz')} FROM ev LEFT JOIN wall ON wall.fid = ev.fid JOIN un ON un.fid = ev.fid GROUP BY ev.vid),
+cap AS (SELECT v.vid, least(0.05::DOUBLE, 0.5*coalesce(t, 'inf'::DOUBLE)) AS cap, greatest(0.5*(coalesce(t, 'inf'::DOUBLE) - 0.02), 0) AS allowance, {', '.join(f'coalesce(s{c}/(sqrt(sx*sx+sy*sy+sz*sz)+1e-20), 0) AS d{c}' for c in 'xyz')} FROM v LEFT JOIN vs ON vs.vid = v.vid)"""
+_LIMITS = {"step": 0.05, "most": 0.5, "part": 0.5, "gap": 0.02}
+
+
+@query(f"{_CAPS} SELECT vid, round(cap, 6) AS cap, round(least(allowance, 9.0), 6) AS allowance FROM cap")
+def opt7_wall_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caps = fit.wall_caps(*fixtures.double_shell(spark, sf_dir), **_LIMITS)
+    return caps.select("vid", _r("cap").alias("cap"), _r(F.least("allowance", F.lit(9.0))).alias("allowance"))
+
+
+@query(f"""{_CAPS}, {_TARGET}, {_G}, now AS (SELECT vid, x, y, z + 0.03::DOUBLE AS z FROM v), {_closest('cl', 'now', 'vid', 'gt')},
+mo AS (SELECT now.vid, {', '.join(f'now.{c} + (cp{c}-now.{c})*least(cap/(sqrt(d2)+1e-20), 1) AS m{c}, v.{c} AS r{c}, d{c}' for c in 'xyz')}, allowance, sqrt(d2) AS distance FROM now JOIN cl ON key = now.vid JOIN v ON v.vid = now.vid JOIN cap ON cap.vid = now.vid),
+ex AS (SELECT *, greatest((mx-rx)*dx+(my-ry)*dy+(mz-rz)*dz - allowance, 0) AS e FROM mo)
+SELECT vid, {', '.join(f'round(m{c} - d{c}*e, 5) + 0.0 AS {c}' for c in 'xyz')}, round(distance, 6) AS distance FROM ex""")
+def opt7_capped_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crossing sheets, raised from rest, drawn to a third within the caps of their walls."""
+    v, f = fixtures.double_shell(spark, sf_dir)
+    now = v.select("vid", "x", "y", (F.col("z") + 0.03).alias("z"))
+    out = fit.capped_projection(now, v, fixtures.height_field(spark, sf_dir, 1), fit.wall_caps(v, f, **_LIMITS))
+    return out.select("vid", *[(_r(c, 5) + 0.0).alias(c) for c in "xyz"], _r("distance").alias("distance"))
+
+
+@query()
+def opt7_settled_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves from one height field to another beside a third, taken back until they cross nothing; tests hold laws of it."""
+    (v, f), (t, _) = fixtures.height_field(spark, sf_dir, 0), fixtures.height_field(spark, sf_dir, 1)
+    near = t.join(v.select("vid", F.col("z").alias("from")), "vid").select("vid", "x", "y", (F.col("from") + 0.2 * (F.col("z") - F.col("from"))).alias("z"))
+    now, _ = guard.settled(v, v, near, f, rounds=3)
+    return now.select("vid", *[_r(c).alias(c) for c in "xyz"])
