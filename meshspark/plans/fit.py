@@ -19,6 +19,7 @@ from ..operators import guard, locate, metrics, objective, spatial, state
 from ..operators.refine import subdivide
 from ..operators.topology import both_ways, face_adjacency, saved, unique_edges, vertex_degrees, vertex_normals
 from ..session import ship
+from .affine import AffineMapper
 from .evaluate import Mesh, as_points, evaluate_meshes
 from .nonrigid import OptimalStep
 
@@ -387,30 +388,6 @@ class RelaxedFit(Fit):
                 self.refine("mean")
 
 
-def map_groups(source: Mesh, target: DataFrame, vertex_groups: DataFrame, group_edges: DataFrame, *, rounds: int = 20, lr: float = 0.2, stiffness: float = 1.0, most: float | None = 0.04) -> DataFrame:
-    """``g, r, t``: affine maps of vertex groups by gradient steps of the mean squared distance to
-    matched targets and of differences between neighbouring groups."""
-    from ..operators.constraints import deform, identity_groups
-
-    groups = saved(identity_groups(vertex_groups.select("g").distinct()))
-    links = saved(both_ways(group_edges, "g0", "g1").distinct())
-    for _ in range(rounds):
-        now = deform(source[0], vertex_groups, groups)
-        m = objective.matched(as_points(now), target)
-        if most is not None:
-            m = m.where(F.col("d2") < most * most)
-        at = source[0].select("vid", *Vec.of().named("s")).join(vertex_groups, "vid")
-        e = Vec.of("p") - Vec.of("q")
-        each = m.withColumnRenamed("qid", "vid").join(at, "vid")
-        grad = each.groupBy("g").agg(F.array(*[F.avg(getattr(e, a) * F.col(f"s{b}")) for a in "xyz" for b in "xyz"]).alias("gr"), F.array(*[F.avg(getattr(e, a)) for a in "xyz"]).alias("gt"))
-        other = groups.toDF("v", "r1", "t1")
-        elements = lambda n, k: F.array(*[F.avg(F.get(n, F.lit(i))) for i in range(k)])
-        near = links.join(other, "v").groupBy(F.col("u").alias("g")).agg(elements("r1", 9).alias("mr"), elements("t1", 3).alias("mt"))
-        step = lambda x, g, mean: F.zip_with(F.zip_with(x, F.coalesce(g, F.transform(x, lambda _: F.lit(0.0))), lambda a, b: a - lr * b), F.coalesce(mean, x), lambda a, b: a - lr * stiffness * (a - b))
-        groups = saved(groups.join(grad, "g", "left").join(near, "g", "left").select("g", step(F.col("r"), F.col("gr"), F.col("mr")).alias("r"), step(F.col("t"), F.col("gt"), F.col("mt")).alias("t")))
-    return groups
-
-
 def map_mesh(source: Mesh, target: Mesh, *, nonrigid: bool = True, **options) -> DataFrame:
     """Source vertices after rigid alignment and, if asked, the optimal-step fit to the target's vertices."""
     t = as_points(target[0])
@@ -424,13 +401,24 @@ def with_normals(mesh: Mesh) -> DataFrame:
 
 
 class GroupMapper:
-    """Builds and runs the affine mapping of vertex groups onto a target, with landmarks."""
+    """Builds and runs the affine mapping of vertex groups onto target points and target vertices, with landmarks."""
 
-    def __init__(self, source: Mesh, target: DataFrame) -> None:
-        from ..operators.constraints import FixedVertices, VertexGroups
+    def __init__(self, source: Mesh, target: DataFrame | None = None) -> None:
+        from ..operators.constraints import FixedVertices, TargetPoints, TargetVertices, VertexGroups
 
-        self.source, self.target = source, target
-        self.groups, self.fixed = VertexGroups(), FixedVertices()
+        self.source = source
+        self.points, self.targets, self.groups, self.fixed = TargetPoints(), TargetVertices(), VertexGroups(), FixedVertices()
+        if target is not None:
+            self.points.add(target)
+        self.log: list[dict] = []
+
+    def add_points(self, rows: DataFrame) -> GroupMapper:
+        self.points.add(rows)
+        return self
+
+    def add_targets(self, rows: DataFrame) -> GroupMapper:
+        self.targets.add(rows)
+        return self
 
     def add_group(self, group_id: int, vids: DataFrame) -> GroupMapper:
         self.groups.add(group_id, vids)
@@ -440,19 +428,19 @@ class GroupMapper:
         self.fixed.add(rows)
         return self
 
-    def map(self, *, rigid: bool = True, **options) -> DataFrame:
-        """``vid, x, y, z`` of the deformed source."""
-        from ..operators.constraints import deform, snap_landmarks
-        from ..operators.topology import dense_rank_ids, group_edges
+    def map(self, *, rigid: bool = True, **settings) -> DataFrame:
+        """``vid, x, y, z`` of the deformed source; settings are those of :class:`AffineMapper`."""
+        from ..operators.constraints import deform
+        from ..operators.topology import dense_rank_ids
 
         v, f = self.source
-        if rigid:
-            v = saved(transformed(v.select("vid", "x", "y", "z"), icp(as_points(v), self.target)))
+        points = self.points.get()
+        if points is not None:
+            points = dense_rank_ids(points.distinct(), ["x", "y", "z"], "pid")
+        if rigid and points is not None:
+            v = saved(transformed(v.select("vid", "x", "y", "z"), icp(as_points(v), points)))
         of = self.groups.of(v)
         dense = dense_rank_ids(of.select("group_id").distinct(), ["group_id"], "g")
         vertex_groups = saved(of.join(dense, "group_id").select("vid", "g"))
-        links = group_edges(of, unique_edges(f)).select("g0", "g1").distinct()
-        params = map_groups((v, f), self.target, vertex_groups, links, **options)
-        if self.fixed.is_valid():
-            params = snap_landmarks(v, vertex_groups, params, self.fixed.get())
+        params = AffineMapper(**settings).run((v, f), vertex_groups, points=points, targets=self.targets.get(), fixed=self.fixed.get(), log=self.log)
         return deform(v, vertex_groups, params)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.vec import Vec
-from .operators import gradients, guard, spatial
-from .operators.topology import corners, triangles, unique_edges
-from .plans import fit, nonrigid
+from .operators import constraints, gradients, guard, spatial
+from .operators.topology import corners, directed_laplacian, triangles, unique_edges
+from .plans import affine, fit, nonrigid
 from .plans.evaluate import as_points
 from .queries import _EDGES, _LINKED, _MESH, _SHELL, _TARGET, _r, query
-from .queries_more import _G, _NEARBOX, _WALL, _closest
+from .queries_more import _G, _NEARBOX, _POSED, _TURN, _WALL, _closest, _posed
 from .sources import fixtures
 
 _ALPHA, _GAMMA = 2.0, 0.5
@@ -160,3 +160,53 @@ def opt7_settled_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = t.join(v.select("vid", F.col("z").alias("from")), "vid").select("vid", "x", "y", (F.col("from") + 0.2 * (F.col("z") - F.col("from"))).alias("z"))
     now, _ = guard.settled(v, v, near, f, rounds=3)
     return now.select("vid", *[_r(c).alias(c) for c in "xyz"])
+
+
+# affine maps of groups ---------------------------------------------------------------------------
+
+_CHAIN = ", ".join([f"round(sum(d{a}*s{b}), 5) + 0.0 AS r{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz")] + [f"round(sum(d{a}), 5) + 0.0 AS t{i}" for i, a in enumerate("xyz")])
+
+
+def _twelve(rows: DataFrame) -> DataFrame:
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)] + [f"t{i}" for i in range(3)]
+    return rows.select("g", *[(_r(F.get("d", F.lit(i)), 5) + 0.0).alias(n) for i, n in enumerate(names)])
+
+
+@query(f"""WITH {_MESH}, {_TARGET}, {_POSED}, d AS (SELECT vid, 2.0*(po.x-g.x) AS dx, 2.0*(po.y-g.y) AS dy, 2.0*(po.z-g.z) AS dz, m.x AS sx, m.y AS sy, m.z AS sz FROM po JOIN gv g USING (vid) JOIN mv m USING (vid)
+ WHERE (po.x-g.x)*(po.x-g.x)+(po.y-g.y)*(po.y-g.y)+(po.z-g.z)*(po.z-g.z) < 16.0) SELECT vid % 7 AS g, {_CHAIN} FROM d GROUP BY vid % 7""")
+def opt16_distance_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of squared distances within reach to another height field, by the parameters of seven groups."""
+    v, of, groups = _posed(spark, sf_dir)
+    matches = fixtures.height_field(spark, sf_dir, 1)[0].select("vid", *Vec.of().named("q"))
+    return _twelve(affine.to_groups(affine.distance_gradient(constraints.deform(v, of, groups), matches, 4.0, 1.0), v, of))
+
+
+@query(f"""WITH {_MESH}, {_EDGES}, l AS (SELECT e0 % 7 AS u, e1 % 7 AS v FROM e WHERE e0 % 7 <> e1 % 7 UNION ALL SELECT e1 % 7, e0 % 7 FROM e WHERE e0 % 7 <> e1 % 7),
+x AS (SELECT g, list_concat(CASE WHEN g % 2 = 1 THEN {list(_TURN)}::DOUBLE[] ELSE [1,0,0,0,1,0,0,0,1]::DOUBLE[] END, [g, g*0.5, 0.25]::DOUBLE[]) AS x FROM range(7) t(g))
+SELECT u AS g, {', '.join(f'round(sum(3.0*(a.x[{i + 1}]-b.x[{i + 1}])), 5) + 0.0 AS {n}' for i, n in enumerate([f'r{i}{j}' for i in range(3) for j in range(3)] + ['t0', 't1', 't2']))} FROM l JOIN x a ON a.g = u JOIN x b ON b.g = v GROUP BY u""")
+def opt16_stiffness_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one and a half times the squared differences of seven groups' parameters over the edges between them."""
+    _, f = fixtures.height_field(spark, sf_dir)
+    _, of, groups = _posed(spark, sf_dir)
+    return _twelve(affine.stiffness_gradient(groups.select("g", F.concat("r", "t").alias("x")), affine.group_links(of, unique_edges(f)), 1.5))
+
+
+@query(f"""WITH {_MESH}, {_TARGET}, dn AS (SELECT vid, m.z AS x, m.z*g.z AS y, g.z AS z FROM mv m JOIN gv g USING (vid)), ld AS (SELECT i0 AS u, i1 AS w FROM mf UNION ALL SELECT i1, i2 FROM mf UNION ALL SELECT i2, i0 FROM mf UNION ALL SELECT i0, i2 FROM mf UNION ALL SELECT i1, i0 FROM mf),
+lp AS (SELECT u, {', '.join(f'sum(a.{c}-b.{c}) AS r{c}' for c in 'xyz')} FROM ld JOIN dn a ON a.vid = u JOIN dn b ON b.vid = w GROUP BY u), n AS (SELECT count(*) AS n FROM mv),
+p AS (SELECT ld.u AS vid, {', '.join(f'r{c} AS g{c}' for c in 'xyz')} FROM ld JOIN lp ON lp.u = ld.u UNION ALL SELECT w, {', '.join(f'-r{c}' for c in 'xyz')} FROM ld JOIN lp ON lp.u = ld.u)
+SELECT vid, {', '.join(f'round(sum(4.0*g{c})/(3.0*n), 9) + 0.0 AS g{c}' for c in 'xyz')} FROM p, n GROUP BY vid, n""")
+def opt16_laplacian_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of twice the mean squared change of the directed Laplacian, where vertices go by their heights on two fields."""
+    v, f = fixtures.height_field(spark, sf_dir, 0)
+    other = fixtures.height_field(spark, sf_dir, 1)[0].select("vid", F.col("z").alias("h"))
+    moved = v.join(other, "vid").select("vid", (F.col("x") + F.col("z")).alias("x"), (F.col("y") + F.col("z") * F.col("h")).alias("y"), (F.col("z") + F.col("h")).alias("z"))
+    return _rounded(affine.laplacian_gradient(moved, f, directed_laplacian(v, f), v.count(), 2.0))
+
+
+@query()
+def opt16_affine_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A height field in seven groups drawn to another, a few steps; tests compare the steps with a loop."""
+    v, of, _ = _posed(spark, sf_dir)
+    mapper = affine.AffineMapper(inner=3, outer=2, first_inner=2, milestones=(0,), stiffness=(1.0, 0.5), most=1.0, lr=0.01)
+    params = mapper.run((v, fixtures.height_field(spark, sf_dir)[1]), of, points=as_points(fixtures.height_field(spark, sf_dir, 1)[0]))
+    return constraints.deform(v, of, params).select("vid", *[_r(c, 4).alias(c) for c in "xyz"])
