@@ -107,10 +107,13 @@ def sag_ladder(errors: DataFrame, tau: float, steps: tuple[int, ...] = (1, 2, 3,
 
 
 def localize(vertices: DataFrame, faces: DataFrame, targets: DataFrame, target_mesh: tuple[DataFrame, DataFrame] | None, adjacency: DataFrame, tau: float, criterion: str = "error", **options) -> DataFrame:
-    """Faces (fid) by criterion: ``mean``, ``ratio``, ``sag`` (of the surface), ``plateau`` or ``error``."""
+    """Faces (fid) by criterion: ``mean``, ``ratio``, ``sag`` (of the surface), ``plateau`` or ``error``. Components of fewer than
+    ``at_least`` faces go and the rest grows by ``rings``; by the surface that is 1 and 0 if not given."""
     if criterion in ("mean", "ratio", "sag"):
+        at_least, rings = options.pop("at_least", 1), options.pop("rings", 0)
         errors = centroid_errors(vertices, faces, *target_mesh)
-        return {"mean": above_mean, "ratio": ratio_sagging, "sag": sagging}[criterion](errors, tau, **options).select("fid")
+        found = {"mean": above_mean, "ratio": ratio_sagging, "sag": sagging}[criterion](errors, tau, **options)
+        return cleaned(found.select("fid"), adjacency, at_least, rings)
     return (plateau_region if criterion == "plateau" else high_error_region)(vertices, faces, targets, adjacency, tau=tau, **options)
 
 

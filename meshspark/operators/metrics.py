@@ -52,10 +52,13 @@ def evaluate_boxes(source: DataFrame, target: DataFrame, boxes: list[dict], tau:
     return out
 
 
-def self_intersections(vertices: DataFrame, faces: DataFrame, *, predicate: str = "penetrate", inflate: float = 0.0, cell: float | None = None, query: DataFrame | None = None, exclude_ring: int = 1, adjacency: DataFrame | None = None) -> DataFrame:
-    """``fa < fb`` of all crossing face pairs; with ``query`` (fid) those with at least one face in it."""
+def self_intersections(vertices: DataFrame, faces: DataFrame, *, predicate: str = "penetrate", inflate: float = 0.0, cell: float | None = None, query: DataFrame | None = None, among: bool = False, exclude_ring: int = 1, adjacency: DataFrame | None = None) -> DataFrame:
+    """``fa < fb`` of all crossing face pairs; with ``query`` (fid) those with at least one face in it, or ``among`` its faces
+    only: what such a scan costs follows the query and not the mesh. An empty query has none."""
     from .topology import face_adjacency, within_hops
 
+    if among and query is not None:
+        faces, query = faces.join(query.toDF("fid").distinct(), "fid", "left_semi"), None
     found = spatial.detect(spatial.face_pairs(vertices, faces, inflate, cell, query), predicate)
     if exclude_ring > 1:
         found = within_hops(found, adjacency if adjacency is not None else face_adjacency(faces), exclude_ring)

@@ -53,14 +53,33 @@ def next_state(state: DataFrame, moves: DataFrame, tau: float, *, error_tau: flo
     return both.select("vid", (F.col("optimizable") & (count < patience)).alias("optimizable"), count.cast("int").alias("blocked_count"), F.coalesce("resid", "resid_prev").alias("resid_prev"), F.coalesce(drop, F.col("resid_drop_ema")).alias("resid_drop_ema"), "last_refine")
 
 
+#: What stands for a residual without history in attributes that are averaged, and from where on an average has none.
+NO_HISTORY, NONE_FROM = 1e30, 1e29
+
+
+def state_attributes(state: DataFrame) -> DataFrame:
+    """The state as numbers that midpoints can average: ``vid`` and five doubles."""
+    prev = F.when(F.col("resid_prev") < float("inf"), F.col("resid_prev")).otherwise(NO_HISTORY)
+    return state.select("vid", *[F.col(c).cast("double").alias(c) for c in ("optimizable", "blocked_count")], prev.alias("resid_prev"), "resid_drop_ema", F.col("last_refine").cast("double").alias("last_refine"))
+
+
+def restored_state(attributes: DataFrame, originals: DataFrame) -> DataFrame:
+    """The state of averaged attributes. An original vertex (``vid``) is as it was; a new one is optimizable if any parent was.
+    Counts are rounded (halves to even) and 0 where optimizable; the last refinement is rounded up."""
+    old = originals.select("vid", F.lit(True).alias("_old"))
+    rows = attributes.join(old, "vid", "left")
+    open_ = F.col("optimizable") > F.when(F.col("_old"), 0.5).otherwise(1e-6)
+    prev = F.when(F.col("resid_prev") >= NONE_FROM, float("inf")).otherwise(F.col("resid_prev"))
+    return rows.select("vid", open_.alias("optimizable"), F.when(open_, F.lit(0)).otherwise(F.bround("blocked_count")).cast("int").alias("blocked_count"), prev.alias("resid_prev"), "resid_drop_ema", F.ceil(F.col("last_refine") - 1e-6).cast("int").alias("last_refine"))
+
+
 def midpoint_state(state: DataFrame, ends: DataFrame) -> DataFrame:
-    """States of midpoints ``vid`` between ``e0`` and ``e1``: optimizable if either end is; the count
-    is the rounded mean, 0 if optimizable; the last refinement is the mean rounded up."""
-    side = lambda e, p: state.select(F.col("vid").alias(e), *[F.col(c).alias(f"{p}{c}") for c in state.columns if c != "vid"])
+    """States of midpoints ``vid`` between ``e0`` and ``e1``: :func:`restored_state` of the ends' averages."""
+    held = state_attributes(state)
+    side = lambda e, p: held.select(F.col("vid").alias(e), *[F.col(c).alias(f"{p}{c}") for c in held.columns if c != "vid"])
     both = ends.join(side("e0", "u_"), "e0").join(side("e1", "v_"), "e1")
-    open_ = F.col("u_optimizable") | F.col("v_optimizable")
-    mean = lambda c: (F.col(f"u_{c}") + F.col(f"v_{c}")) / 2.0
-    return both.select("vid", open_.alias("optimizable"), F.when(open_, F.lit(0)).otherwise(F.round(mean("blocked_count"))).cast("int").alias("blocked_count"), mean("resid_prev").alias("resid_prev"), mean("resid_drop_ema").alias("resid_drop_ema"), F.ceil(mean("last_refine")).cast("int").alias("last_refine"))
+    blended = both.select("vid", *[((F.col(f"u_{c}") + F.col(f"v_{c}")) / 2.0).alias(c) for c in held.columns if c != "vid"])
+    return restored_state(blended, blended.select("vid").limit(0))
 
 
 def face_state(state: DataFrame, faces: DataFrame, tau: float, drop_tau: float = 0.02, blocked: float = 0.5) -> DataFrame:

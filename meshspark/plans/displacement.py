@@ -159,6 +159,12 @@ class DisplacementFit(Fit):
         kept = self.sheets.join(new.select("fa", "fb"), ["fa", "fb"], "left_anti")
         self.sheets = saved(constraints.capped_append(kept, new.select(*kept.columns), self.sheet_cap))
 
+    def report(self) -> dict:
+        """Of ways from rest that cross the fitted mesh; those are what decides here."""
+        segs = metrics.trajectories(self.rest, self.now)
+        ways = metrics.trajectory_report(spatial.segment_hits(segs, self.now, self.faces)).first().asDict()
+        return super().report() | ways
+
     def cycle(self, level: int) -> None:
         """Bursts until the data term is flat, or ``outer`` of them. Ends on a state without new crossings."""
         c, safe = self.config, self.state

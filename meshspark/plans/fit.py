@@ -6,7 +6,7 @@ for the rigid fit the 3x3 moments of the matches).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from ..operators import guard, locate, metrics, objective, spatial, state
 from ..operators.refine import subdivide
 from ..operators.topology import both_ways, face_adjacency, saved, unique_edges, vertex_degrees, vertex_normals
 from ..session import ship
+from ..sources import mesh_files
 from .affine import AffineMapper
 from .evaluate import Mesh, as_points, evaluate_meshes
 from .nonrigid import OptimalStep
@@ -199,6 +200,7 @@ class Fit:
     target: Mesh
     config: FitConfig = field(default_factory=FitConfig)
     history: list[dict] = field(default_factory=list)
+    refinements: list[dict] = field(default_factory=list)
 
     def setup(self) -> None:
         self.center, self.scale, self.length = metrics.frame(self.target[0])
@@ -226,6 +228,7 @@ class Fit:
         """Splits the faces that the criterion finds, with rest positions carried along; their number."""
         region = saved(locate.localize(self.now, self.faces, as_points(self.goal[0]), self.goal, self.adjacency, self.tau, criterion, **options))
         n = region.count()
+        self.refinements.append({"criterion": criterion, "marked": n, "faces": self.faces.count()})
         if n:
             both = self.now.join(self.rest.select("vid", *Vec.of().named("r")), "vid")
             v, f = subdivide(both, self.faces, region, ("rx", "ry", "rz"))
@@ -249,6 +252,25 @@ class Fit:
         kept = fitted["chamfer_l1"] <= baseline["chamfer_l1"]
         return (self.result() if kept else start), {"fitted": fitted, "baseline": baseline, "kept": "fitted" if kept else "baseline"}
 
+    def report(self) -> dict:
+        """Counts of the fitted mesh's new crossings, and whether it is ``clean``."""
+        baseline = self.baseline if self.baseline is not None else metrics.self_intersections(self.rest, self.faces)
+        fresh = saved(metrics.new_pairs(metrics.self_intersections(self.now, self.faces), baseline))
+        n = fresh.count()
+        return {"new_pairs": n, "new_faces": metrics.pair_faces(fresh).count(), "clean": n == 0}
+
+    def save(self, path: str, record: dict | None = None) -> str:
+        """Writes the run's folder; the path of the fitted mesh, whose name tells whether its report is clean. Beside it are the
+        mesh at rest, of the same faces, and records: the report, the metrics given, settings, history and refinements."""
+        spark, report = self.now.sparkSession, self.report()
+        out = f"{path}/{'fitted_mesh' if report['clean'] else 'fitted_mesh_unverified'}.ply"
+        mesh_files.write_mesh(*self.result(), out, overwrite=True)
+        start = self.rest.select("vid", *G.from_frame(Vec.of(), self.center, self.scale).named())
+        mesh_files.write_mesh(start, self.faces, f"{path}/trajectory_reference_mesh.ply", overwrite=True)
+        records = {"trajectory_report": report, "config": asdict(self.config), "history": self.history, "refine_log": self.refinements}
+        mesh_files.write_bundle(path, {}, records | ({"metrics": record} if record is not None else {}), spark)
+        return out
+
     def fit(self) -> None:
         raise NotImplementedError
 

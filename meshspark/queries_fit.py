@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions.vec import Vec
-from .operators import constraints, gradients, guard, spatial
-from .operators.topology import corners, directed_laplacian, triangles, unique_edges
+from .operators import constraints, gradients, guard, locate, metrics, refine, spatial, state
+from .operators.topology import corners, directed_laplacian, face_adjacency, triangles, unique_edges
 from .plans import affine, fit, nonrigid
 from .plans.evaluate import as_points
-from .queries import _EDGES, _LINKED, _MESH, _SHELL, _TARGET, _r, query
-from .queries_more import _G, _NEARBOX, _POSED, _TURN, _WALL, _closest, _posed
-from .sources import fixtures
+from .queries import _ADJ, _EDGES, _HITS, _LINKED, _MESH, _SHELL, _TARGET, _r, query
+from .queries_more import _CE, _G, _NEARBOX, _POSED, _TURN, _WALL, _closest, _posed
+from .sources import fixtures, mesh_files
 
 _ALPHA, _GAMMA = 2.0, 0.5
 
@@ -210,3 +210,53 @@ def opt16_affine_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapper = affine.AffineMapper(inner=3, outer=2, first_inner=2, milestones=(0,), stiffness=(1.0, 0.5), most=1.0, lr=0.01)
     params = mapper.run((v, fixtures.height_field(spark, sf_dir)[1]), of, points=as_points(fixtures.height_field(spark, sf_dir, 1)[0]))
     return constraints.deform(v, of, params).select("vid", *[_r(c, 4).alias(c) for c in "xyz"])
+
+
+# samples, states and options of scans ------------------------------------------------------------
+
+
+@query()
+def src5_poisson_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred samples of a height field apart from each other; tests compare with a loop."""
+    out, _ = mesh_files.poisson_samples(*fixtures.height_field(spark, sf_dir), 200, halvings=3)
+    return out.select("pid", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query(f"""WITH {_MESH}, {_EDGES}, st AS (SELECT vid, (vid % 3 <> 0)::INT::DOUBLE AS o, (vid % 4)::DOUBLE AS b, CASE WHEN vid % 6 = 1 THEN 1e30::DOUBLE ELSE abs(z) END AS p, z*0.5 AS m, (vid % 5)::DOUBLE AS l FROM mv),
+s AS (SELECT DISTINCT e0, e1 FROM fe WHERE fid % 3 = 0), m AS (SELECT e0, e1, (SELECT max(vid) FROM mv) + row_number() OVER (ORDER BY e0, e1) AS mid FROM s),
+a AS (SELECT vid, o > 0.5 AS o, b, p, m, l FROM st UNION ALL SELECT mid, (x.o+y.o)/2 > 1e-6, (x.b+y.b)/2, (x.p+y.p)/2, (x.m+y.m)/2, (x.l+y.l)/2 FROM m JOIN st x ON x.vid = e0 JOIN st y ON y.vid = e1)
+SELECT vid, o AS optimizable, CASE WHEN o THEN 0 ELSE round_even(b, 0)::INT END AS blocked_count, p >= 1e29 AS no_history, CASE WHEN p >= 1e29 THEN 0 ELSE round(p, 9) END AS resid_prev, round(m, 9) + 0.0 AS resid_drop_ema, ceil(l - 1e-6)::INT AS last_refine FROM a""")
+def sta3b_restored_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States carried through a subdivision as averaged attributes."""
+    v, f = fixtures.height_field(spark, sf_dir)
+    prev = F.when(F.col("vid") % 6 == 1, float("inf")).otherwise(F.abs("z"))
+    held = v.select("vid", (F.col("vid") % 3 != 0).alias("optimizable"), (F.col("vid") % 4).cast("int").alias("blocked_count"), prev.alias("resid_prev"), (F.col("z") * 0.5).alias("resid_drop_ema"), (F.col("vid") % 5).cast("int").alias("last_refine"))
+    names = tuple(c for c in held.columns if c != "vid")
+    nv, _ = refine.subdivide(v.join(state.state_attributes(held), "vid"), f, f.where("fid % 3 = 0").select("fid"), names)
+    out = state.restored_state(nv.select("vid", *names), v)
+    none = F.col("resid_prev") == float("inf")
+    return out.select("vid", "optimizable", "blocked_count", none.alias("no_history"), F.when(none, 0.0).otherwise(_r("resid_prev", 9)).alias("resid_prev"), (_r("resid_drop_ema", 9) + 0.0).alias("resid_drop_ema"), "last_refine")
+
+
+@query(f"{_HITS} SELECT fa, fb FROM hit WHERE fa % 3 <> 1 AND fb % 3 <> 1")
+def msh10_crossings_among(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings among the faces of a query."""
+    v, f = fixtures.double_shell(spark, sf_dir)
+    return metrics.self_intersections(v, f, query=f.where("fid % 3 <> 1").select("fid"), among=True)
+
+
+@query(f"WITH {_CE}, {_EDGES}, {_ADJ}, k AS (SELECT fid FROM ce WHERE middle > 1.5 * (SELECT avg(middle) FROM ce)) SELECT fid FROM k UNION SELECT fb FROM adj JOIN k ON fid = fa UNION SELECT fa FROM adj JOIN k ON fid = fb")
+def loc5_grown_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces farther off than one and a half times the mean, and a ring around them."""
+    (v, f), target = fixtures.height_field(spark, sf_dir, 0), fixtures.height_field(spark, sf_dir, 1)
+    return locate.localize(v, f, as_points(target[0]), target, face_adjacency(f), 0.005, "mean", mult=1.5, rings=1)
+
+
+@query(f"""WITH {_SHELL}, pr AS (SELECT a.fid AS fa, b.fid AS fb, {' + '.join(f'((a.a{c}+a."b{c}"+a.c{c})/3.0-(b.a{c}+b."b{c}"+b.c{c})/3.0)^2' for c in 'xyz')} AS d FROM tri a JOIN tri b ON a.fid < b.fid AND {_NEARBOX} WHERE NOT {_LINKED})
+SELECT count(*) AS n_pairs, round(max(d), 9) AS farthest FROM (SELECT d FROM pr ORDER BY d, fa, fb LIMIT 500)""")
+def con11_capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five hundred closest of the pairs that a collision barrier would hold: their number and the largest squared distance."""
+    v, f = fixtures.double_shell(spark, sf_dir)
+    both = spatial.gathered(spatial.collision_candidates(v, f, 0.02, max_pairs=500), v, f)
+    d = (G.centroid(*corners("a_")) - G.centroid(*corners("b_"))).norm2()
+    return both.agg(F.count("*").alias("n_pairs"), _r(F.max(d), 9).alias("farthest"))

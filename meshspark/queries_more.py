@@ -228,7 +228,7 @@ def msh9_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_MESH}, {_EDGES}, st AS (SELECT vid, vid % 3 <> 0 AS o, vid % 4 AS b, abs(z) AS p, abs(z)*0.5 AS m, vid % 5 AS l FROM mv)
-SELECT e0 * 100000 + e1 AS vid, a.o OR c.o AS optimizable, CASE WHEN a.o OR c.o THEN 0 ELSE round((a.b+c.b)/2.0)::INT END AS blocked_count, round((a.p+c.p)/2,9) AS resid_prev, round((a.m+c.m)/2,9) AS resid_drop_ema, ceil((a.l+c.l)/2.0)::INT AS last_refine FROM e JOIN st a ON a.vid = e0 JOIN st c ON c.vid = e1""")
+SELECT e0 * 100000 + e1 AS vid, a.o OR c.o AS optimizable, CASE WHEN a.o OR c.o THEN 0 ELSE round_even((a.b+c.b)/2.0, 0)::INT END AS blocked_count, round((a.p+c.p)/2,9) AS resid_prev, round((a.m+c.m)/2,9) AS resid_drop_ema, ceil((a.l+c.l)/2.0)::INT AS last_refine FROM e JOIN st a ON a.vid = e0 JOIN st c ON c.vid = e1""")
 def sta3_midpoint_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = fixtures.height_field(spark, sf_dir)
     held = v.select("vid", (F.col("vid") % 3 != 0).alias("optimizable"), (F.col("vid") % 4).cast("int").alias("blocked_count"), F.abs("z").alias("resid_prev"), (F.abs("z") * 0.5).alias("resid_drop_ema"), (F.col("vid") % 5).cast("int").alias("last_refine"))

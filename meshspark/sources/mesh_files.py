@@ -193,3 +193,49 @@ def thinned(points: DataFrame, radius: float) -> DataFrame:
     return points.join(one.select("pid"), "pid", "left_semi").join(beaten, "pid", "left_anti")
 
 
+def first_come(points: DataFrame, near: DataFrame, radius: float) -> DataFrame:
+    """``pid`` of the points that stay where, in order of ``rank``, each takes the place of all later ones within ``radius``.
+    ``near`` are pairs ``u, v, d2`` with u's rank the lower. A point whose lower neighbours are all gone stays, and its
+    neighbours go; that is one round, and a few rounds by the logarithm of the points decide all."""
+    pairs = saved(near.where(F.col("d2") < radius * radius).select("u", "v"))
+    kept = points.select("pid").join(pairs.select(F.col("v").alias("pid")), "pid", "left_anti")
+    while not pairs.isEmpty():
+        waiting = pairs.select(F.col("v").alias("u")).distinct()
+        first = saved(pairs.select("u").distinct().join(waiting, "u", "left_anti"))
+        gone = saved(pairs.join(first, "u", "left_semi").select("v").distinct())
+        left = saved(pairs.join(first, "u", "left_anti").join(gone, "v", "left_anti").join(gone.withColumnRenamed("v", "u"), "u", "left_anti"))
+        # points that no pair holds back any more
+        free = pairs.select(F.col("v").alias("pid")).distinct().join(gone.withColumnRenamed("v", "pid"), "pid", "left_anti").join(left.select(F.col("v").alias("pid")), "pid", "left_anti")
+        kept, pairs = saved(kept.unionByName(free)), left
+    return kept
+
+
+def poisson_samples(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 0, *, over: int = 5, halvings: int = 5) -> tuple[DataFrame, float]:
+    """``pid, x, y, z, nx, ny, nz`` of ``n`` samples no two of which are closer than the radius, and that radius.
+
+    ``over`` times as many uniform samples take places in the order of a hash. The radius is the largest, to so many halvings
+    of that of the densest packing of ``n`` discs in the area, that leaves ``n`` of them; those of the lowest ranks stay.
+    Samples are evenly dense, so a point meets a bounded number of others within it.
+    """
+    a, b, c = corners()
+    area = triangles(vertices, faces).agg(F.sum((b - a).cross(c - a).norm() / 2.0)).first()[0] or 0.0
+    drawn = sample_points(surface_samples(vertices, faces, over * n, seed), vertices, faces)
+    points = saved(dense_rank_ids(drawn.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(3), "pid")), ["_h", "pid"], "rank").drop("_h", "pid").withColumnRenamed("rank", "pid"))
+    most = (2.0 * area / (3.0**0.5 * max(n, 1))) ** 0.5
+    if most == 0.0 or n < 1:
+        return points.where(F.col("pid") < n).select("pid", "x", "y", "z", "nx", "ny", "nz"), 0.0
+    cells = [F.floor(F.col(c) / most).alias(f"c{c}") for c in "xyz"]
+    own = points.select(F.col("pid").alias("v"), *Vec.of().named("q"), *cells)
+    other = points.select(F.col("pid").alias("u"), *Vec.of().named("p"), *cells)
+    for c in "xyz":
+        other = other.withColumn(f"c{c}", F.explode(F.array(F.col(f"c{c}") - 1, F.col(f"c{c}"), F.col(f"c{c}") + 1)))
+    near = other.join(own, ["cx", "cy", "cz"]).where("u < v").select("u", "v", (Vec.of("p") - Vec.of("q")).norm2().alias("d2"))
+    near = saved(near.where(F.col("d2") < most * most))
+    radius, kept = 0.0, points.select("pid")
+    for k in range(1, halvings + 1):
+        wider = radius + most / 2.0**k
+        found = first_come(points, near, wider)
+        if found.count() >= n:
+            radius, kept = wider, found
+    out = dense_rank_ids(points.join(kept, "pid", "left_semi").withColumnRenamed("pid", "_at"), ["_at"], "pid")
+    return out.where(F.col("pid") < n).select("pid", "x", "y", "z", "nx", "ny", "nz"), radius
