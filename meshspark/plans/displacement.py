@@ -45,6 +45,7 @@ class DisplacementFit(Fit):
     check_every: int = 5
     collision_weight: float = 0.0
     collision_tau: float = 0.5
+    collision_cap: int | None = None
     sheet_weight: float = 0.0
     sheet_tau: float = 0.5
     wall_tau: float = 4.0
@@ -76,8 +77,8 @@ class DisplacementFit(Fit):
         self.refresh()
 
     def refresh(self) -> None:
-        """Candidate pairs of the collision barrier, from where the mesh is."""
-        self.pairs = saved(spatial.collision_candidates(self.positions(), self.faces, self.collision_tau * self.tau)) if self.collision_weight else None
+        """Candidate pairs of the collision barrier, from where the mesh is; with a cap the closest ones. Sheets keep their axes from rest."""
+        self.pairs = saved(spatial.collision_candidates(self.positions(), self.faces, self.collision_tau * self.tau, max_pairs=self.collision_cap)) if self.collision_weight else None
 
     def positions(self, state: DataFrame | None = None) -> DataFrame:
         both = self.rest.select("vid", *Vec.of().named("r")).join((self.state if state is None else state).select("vid", "dx", "dy", "dz"), "vid")
