@@ -49,6 +49,48 @@ def penetrating(eps: float = 0.0):
     return run
 
 
+def _plus(a, b):
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+
+
+def _times(a, k):
+    return a[0] * k, a[1] * k, a[2] * k
+
+
+def closest_on_triangle(p, a, b, c):
+    """As :func:`geometry.with_closest_on_triangle`: the point and its squared distance."""
+    ab, ac = _minus(b, a), _minus(c, a)
+    pa_, pb, pc = _minus(p, a), _minus(p, b), _minus(p, c)
+    d1, d2, d3, d4, d5, d6 = _dot(ab, pa_), _dot(ac, pa_), _dot(ab, pb), _dot(ac, pb), _dot(ab, pc), _dot(ac, pc)
+    vc, vb, va = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
+    total = va + vb + vc + EPS
+    on_ab = _plus(a, _times(ab, d1 / (d1 - d3 + EPS)))
+    on_ac = _plus(a, _times(ac, d2 / (d2 - d6 + EPS)))
+    on_bc = _plus(b, _times(_minus(c, b), (d4 - d3) / ((d4 - d3) + (d5 - d6) + EPS)))
+    face = _plus(_plus(a, _times(ab, vb / total)), _times(ac, vc / total))
+    where = [(d1 <= 0) & (d2 <= 0), (d3 >= 0) & (d4 <= d3), (vc <= 0) & (d1 >= 0) & (d3 <= 0), (d6 >= 0) & (d5 <= d6), (vb <= 0) & (d2 >= 0) & (d6 <= 0), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)]
+    at = tuple(np.select(where, [a[i], b[i], on_ab[i], c[i], on_ac[i], on_bc[i]], face[i]) for i in range(3))
+    gap = _minus(p, at)
+    return at, _dot(gap, gap)
+
+
+def closest():
+    """Of queries ``qid, p`` beside triangles ``fid, a, b, c``: ``qid, fid, d2``, the closest point and the triangle's normal."""
+
+    def run(batches):
+        for rows in batches:
+            p, a, b, c = (tuple(rows.column(f"{k}{x}").to_numpy(zero_copy_only=False) for x in "xyz") for k in "pabc")
+            with np.errstate(all="ignore"):
+                at, d2 = closest_on_triangle(p, a, b, c)
+                n = _cross(_minus(b, a), _minus(c, a))
+                length = np.sqrt(_dot(n, n)) + 1e-20
+            found = [d2, *at, *[k / length for k in n]]
+            names = ["qid", "fid", "d2", *[f"{k}_{x}" for k in ("cp", "n") for x in "xyz"]]
+            yield pa.RecordBatch.from_arrays([rows.column("qid"), rows.column("fid"), *[pa.array(k) for k in found]], names)
+
+    return run
+
+
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     whole = vectors.combine_chunks()
     return whole.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(whole), -1)

@@ -28,3 +28,14 @@ def test_cells_of_steep_faces_hold_no_more_of_them_on_finer_grids(spark):
         held = spatial.in_cells(boxes, size, spatial.levels(boxes, size)).groupBy(*spatial.CELL).count()
         most.append(held.agg(F.sum(F.col("count") * F.col("count"))).first()[0] / (2 * (w - 1) ** 2))  # pairs that meet, a face
     assert most[1] <= 1.5 * most[0], most
+
+
+def test_nearest_vectors_by_blocks_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    q, r = rng.normal(size=(50, 6)), rng.normal(size=(70, 6))
+    r[40] = r[11]  # a tie goes to the smaller id
+    q[5] = r[11]
+    table = lambda rows: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "pid long, v array<double>")
+    got = {x.qid: (x.rid, round(x.d2, 9)) for x in spatial.nearest_vectors(table(q), table(r), block=16).collect()}
+    d = ((q[:, None] - r[None]) ** 2).sum(-1)
+    assert got == {i: (int(k.argmin()), round(float(k.min()), 9)) for i, k in enumerate(d)} and got[5][0] == 11
