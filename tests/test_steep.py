@@ -39,3 +39,13 @@ def test_nearest_vectors_by_blocks_are_those_of_all_pairs(spark):
     got = {x.qid: (x.rid, round(x.d2, 9)) for x in spatial.nearest_vectors(table(q), table(r), block=16).collect()}
     d = ((q[:, None] - r[None]) ** 2).sum(-1)
     assert got == {i: (int(k.argmin()), round(float(k.min()), 9)) for i, k in enumerate(d)} and got[5][0] == 11
+
+
+def test_rays_in_stretches_find_the_first_walls_of_whole_rays(spark, monkeypatch):
+    m = steep(spark, 8, tall=0.1)
+    parts, whole = [], spatial._pierced
+    monkeypatch.setattr(spatial, "_pierced", lambda *a, part=(0.0, 1.0), **o: parts.append(part) or whole(*a, part=part, **o))
+    got = {r.fid: (r.side, r.partner, round(r.thickness, 9)) for r in spatial.wall_hits(*m, 3.0).collect()}
+    assert len(parts) > 1
+    monkeypatch.setattr(spatial, "_pierced", lambda *a, part=(0.0, 1.0), **o: whole(*a, **o))
+    assert got == {r.fid: (r.side, r.partner, round(r.thickness, 9)) for r in spatial.wall_hits(*m, 3.0).collect()}
