@@ -30,15 +30,18 @@ def cells(vertices: DataFrame, faces: DataFrame, *, leaf: int = 32) -> tuple[Dat
     and ``cell, n, o.., p.., q..`` (a triangle of the fan, counted ``n`` times). ``leaf``: faces of a finest cell, about."""
     tri = saved(triangles(vertices, faces))
     mid = G.centroid(*corners())
-    ends = tri.agg(F.count("*"), *[f(getattr(mid, c)) for c in "xyz" for f in (F.min, F.max)]).first()
+    lo, hi = G.box(*corners())
+    ends = tri.agg(F.count("*"), *[f(getattr(mid, c)) for c in "xyz" for f in (F.min, F.max)], *[F.avg(getattr(hi, c) - getattr(lo, c)) for c in "xyz"]).first()
     n, low = ends[0], [ends[1 + 2 * i] or 0.0 for i in range(3)]
     size = max([(ends[2 + 2 * i] or 0.0) - (ends[1 + 2 * i] or 0.0) for i in range(3)] + [1e-300])
     depth = min(max(0, math.ceil(math.log(max(n, 1) / leaf, 4))), 20)  # a surface meets about four of a cell's eight parts
     parts = 1 << depth
     # a cell's number is its place on each axis, of 21 bits each
     at = [F.least(F.greatest(F.floor((getattr(mid, c) - low[i]) / size * parts), F.lit(0)), F.lit(parts - 1)) for i, c in enumerate("xyz")]
+    # no cell is shorter than twice the faces on an axis: it would not part tall ones, but mix neighbours' and leave their edges open
+    tall = [next((k for k in range(depth) if size / parts * 2**k >= 2 * (ends[7 + i] or 0.0)), depth) for i in range(3)]
+    at = [F.shiftright(a.cast("long"), k) for a, k in zip(at, tall, strict=True)]
     tri = saved(tri.withColumn("cell", F.shiftleft(at[0].cast("long"), 42).bitwiseOR(F.shiftleft(at[1].cast("long"), 21)).bitwiseOR(at[2].cast("long"))))
-    lo, hi = G.box(*corners())
     boxes = saved(tri.select("cell", *lo.named("lo"), *hi.named("hi")).groupBy("cell").agg(*[F.min(f"lo{c}").alias(f"lo{c}") for c in "xyz"], *[F.max(f"hi{c}").alias(f"hi{c}") for c in "xyz"]))
     side = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.when(F.col(a) < F.col(b), 1).otherwise(-1).alias("n"))
     edges = tri.select("cell", F.explode(F.array(side("i0", "i1"), side("i1", "i2"), side("i2", "i0"))).alias("e")).select("cell", "e.*").where("u <> v")
