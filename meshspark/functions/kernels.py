@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .geometry import COPLANAR
 from .vec import EPS
 
 
@@ -32,23 +33,73 @@ def edge_crosses(p, q, a, b, c, eps: float = 0.0) -> np.ndarray:
     return (u > eps) & (v > eps) & (u + v < 1 - eps) & (t > eps) & (t < 1 - eps)
 
 
-def penetrating(eps: float = 0.0):
-    """Of pairs with corners ``a_ax..b_cz``, ``fa, fb`` of those where an edge of either crosses the other's inside."""
+def penetrates(one, two, eps: float = 0.0) -> np.ndarray:
+    """Whether an edge of either triangle crosses the other's inside."""
+    hit = np.zeros(len(one[0][0]), bool)
+    for edge, tri in ((one, two), (two, one)):
+        for i in range(3):
+            hit |= edge_crosses(edge[i], edge[(i + 1) % 3], *tri, eps)
+    return hit
+
+
+def _span(di, line, tri):
+    """The ends of a triangle's part on the line of two planes, where ``di`` are its corners' distances to the other's plane; NaN for none."""
+    along = [_dot(line, v) for v in tri]
+    lo = hi = np.full(len(along[0]), np.nan)
+    for i in range(3):
+        j = (i + 1) % 3
+        cut = np.where(di[i] * di[j] < 0, along[i] + (along[j] - along[i]) * (di[i] / (di[i] - di[j])), np.nan)
+        on = np.where(np.abs(di[i]) <= EPS, along[i], np.nan)
+        lo, hi = np.fmin(np.fmin(lo, cut), on), np.fmax(np.fmax(hi, cut), on)
+    return lo, hi
+
+
+def meets(one, two, eps: float = 0.0) -> np.ndarray:
+    """As :func:`geometry.with_intersection`: nearly coplanar pairs meet if their distance is (almost) zero."""
+    n1, n2 = _cross(_minus(one[1], one[0]), _minus(one[2], one[0])), _cross(_minus(two[1], two[0]), _minus(two[2], two[0]))
+    b, a = [_dot(n1, _minus(v, one[0])) for v in two], [_dot(n2, _minus(v, two[0])) for v in one]
+    line = _cross(n1, n2)
+    (alo, ahi), (blo, bhi) = _span(a, line, one), _span(b, line, two)
+    hit = np.maximum(alo, blo) <= np.minimum(ahi, bhi)  # a NaN is no overlap
+    for d in (a, b):
+        hit &= ~((d[0] > EPS) & (d[1] > EPS) & (d[2] > EPS) | (d[0] < -EPS) & (d[1] < -EPS) & (d[2] < -EPS))
+    flat = np.flatnonzero(_dot(line, line) < COPLANAR)
+    if len(flat):
+        at = lambda tri: [tuple(x[flat] for x in v) for v in tri]
+        hit[flat] = triangle_distance2(at(one), at(two)) <= COPLANAR
+    return hit
+
+
+TESTS = {"penetrate": penetrates, "moller": meets}
+
+
+def _verdicts(rows, kinds, eps: float = 0.0) -> list[np.ndarray]:
+    one, two = ([tuple(rows.column(f"{s}{k}{c}").to_numpy(zero_copy_only=False) for c in "xyz") for k in "abc"] for s in ("a_", "b_"))
+    with np.errstate(all="ignore"):
+        return [TESTS[k](one, two, eps) for k in kinds]
+
+
+def passing(kind: str, eps: float = 0.0):
+    """Of pairs with corners ``a_ax..b_cz``, ``fa, fb`` of those that pass a test."""
 
     def run(batches):
         for rows in batches:
-            one, two = ([tuple(rows.column(f"{s}{k}{c}").to_numpy(zero_copy_only=False) for c in "xyz") for k in "abc"] for s in ("a_", "b_"))
-            hit = np.zeros(rows.num_rows, bool)
-            with np.errstate(all="ignore"):
-                for edge, tri in ((one, two), (two, one)):
-                    for i in range(3):
-                        hit |= edge_crosses(edge[i], edge[(i + 1) % 3], *tri, eps)
-            keep = pa.array(hit)
+            keep = pa.array(_verdicts(rows, [kind], eps)[0])
             yield pa.RecordBatch.from_arrays([rows.column("a_fid").filter(keep), rows.column("b_fid").filter(keep)], ["fa", "fb"])
 
     return run
 
 
+def passed(kinds: tuple[str, ...]):
+    """The numbers of pairs that pass each test, a row a batch."""
+
+    def run(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(v.sum())], pa.int64()) for v in _verdicts(rows, kinds)], list(kinds))
+
+    return run
+
+
 def _plus(a, b):
     return a[0] + b[0], a[1] + b[1], a[2] + b[2]
 
@@ -74,6 +125,31 @@ def closest_on_triangle(p, a, b, c):
     return at, _dot(gap, gap)
 
 
+def segment_distance2(p1, q1, p2, q2) -> np.ndarray:
+    """As :func:`geometry.segment_distance2`."""
+    clamp = lambda x: np.minimum(np.maximum(x, 0.0), 1.0)
+    d1, d2, r = _minus(q1, p1), _minus(q2, p2), _minus(p1, p2)
+    a, e, f, c, b = _dot(d1, d1), _dot(d2, d2), _dot(d2, r), _dot(d1, r), _dot(d1, d2)
+    denom = a * e - b * b
+    s = np.where(denom > EPS, clamp((b * f - c * e) / (denom + EPS)), 0.0)
+    t = clamp((b * s + f) / (e + EPS))
+    s = clamp((b * t - c) / (a + EPS))
+    gap = _minus(_plus(p1, _times(d1, s)), _plus(p2, _times(d2, t)))
+    return _dot(gap, gap)
+
+
+def triangle_distance2(one, two) -> np.ndarray:
+    """As :func:`geometry.with_triangle_distance2`."""
+    near = np.full(len(one[0][0]), np.nan)
+    for tri, points in ((two, one), (one, two)):
+        for p in points:
+            near = np.fmin(near, closest_on_triangle(p, *tri)[1])
+    for i in range(3):
+        for j in range(3):
+            near = np.fmin(near, segment_distance2(one[i], one[(i + 1) % 3], two[j], two[(j + 1) % 3]))
+    return near
+
+
 def closest():
     """Of queries ``qid, p`` beside triangles ``fid, a, b, c``: ``qid, fid, d2``, the closest point and the triangle's normal."""
 

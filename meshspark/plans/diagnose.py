@@ -25,9 +25,7 @@ def crossings_by_window(hits: DataFrame, windows: tuple[float, ...] = WINDOWS) -
 
 def predicates(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """One row: pairs by the interval test and by strict penetration among the same candidates."""
-    found = spatial.face_pairs(vertices, faces)
-    n = lambda kind: spatial.detect(found, kind).agg(F.count("*").alias(kind))
-    return n("moller").crossJoin(n("penetrate"))  # one row each
+    return spatial.detected(spatial.face_pairs(vertices, faces), ("moller", "penetrate"))
 
 
 def partner_pierced(pairs: DataFrame, before: DataFrame, after: DataFrame, faces: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshspark.functions import geometry
 from meshspark.operators import spatial
-from meshspark.operators.topology import triangles
+from meshspark.operators.topology import corners, triangles
+from meshspark.plans import diagnose
 
 
 def steep(spark, w, seed=1, tall=0.3):
@@ -49,3 +51,20 @@ def test_rays_in_stretches_find_the_first_walls_of_whole_rays(spark, monkeypatch
     assert len(parts) > 1
     monkeypatch.setattr(spatial, "_pierced", lambda *a, part=(0.0, 1.0), **o: whole(*a, **o))
     assert got == {r.fid: (r.side, r.partner, round(r.thickness, 9)) for r in spatial.wall_hits(*m, 3.0).collect()}
+
+
+def test_interval_test_by_numpy_is_that_of_the_expressions(spark):
+    v, f = steep(spark, 6)
+    two = v.selectExpr("vid + 36", "x", "y", "z * 0.7 + 0.05"), f.selectExpr("fid + 50", "i0 + 36", "i1 + 36", "i2 + 36")
+    flat = spark.createDataFrame([(80 + i, float(x), float(y), 0.0) for i, (x, y) in enumerate([(5, 5), (6, 5), (5, 6), (5.1, 5.1), (6.1, 5.1), (5.1, 6.1)])], "vid long, x double, y double, z double")
+    of = spark.createDataFrame([(200, 80, 81, 82), (201, 83, 84, 85)], "fid long, i0 long, i1 long, i2 long")
+    m = v.union(two[0]).union(flat), f.union(two[1]).union(of)
+    pairs = spatial.face_pairs(*m, 0.02).localCheckpoint()
+    tested = geometry.with_intersection(pairs, corners("a_"), corners("b_"), "hit", coplanar=False)
+    apart = spatial.pair_distances(tested.where("hit IS NULL")).where(F.col("d2") <= geometry.COPLANAR)
+    expected = {tuple(r) for r in tested.where("hit").select("a_fid", "b_fid").union(apart.select("fa", "fb")).collect()}
+    assert {tuple(r) for r in spatial.detect(pairs, "moller").collect()} == expected
+    assert (200, 201) in expected and 10 < len(expected) < pairs.count()
+    counts = diagnose.predicates(*m)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # candidates are made and read once
+    assert counts.first().moller >= counts.first().penetrate == spatial.detect(spatial.face_pairs(*m)).count()
