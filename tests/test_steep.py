@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions import geometry
-from meshspark.operators import spatial
-from meshspark.operators.topology import corners, triangles
+from meshspark.operators import guard, metrics, spatial
+from meshspark.operators.topology import corners, triangles, unique_edges
 from meshspark.plans import diagnose
 
 
@@ -68,3 +68,46 @@ def test_interval_test_by_numpy_is_that_of_the_expressions(spark):
     counts = diagnose.predicates(*m)
     assert counts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # candidates are made and read once
     assert counts.first().moller >= counts.first().penetrate == spatial.detect(spatial.face_pairs(*m)).count()
+
+
+def test_pairs_of_active_faces_are_made_once_and_in_order(spark):
+    m = steep(spark, 7)
+    every = spatial.face_pairs(*m, 0.02).select("a_fid", "b_fid", "a_az", "b_az").collect()
+    active = spark.createDataFrame([(i,) for i in (3, 4, 5, 30, 31, 31)], "fid long")
+    got = spatial.face_pairs(*m, 0.02, active=active)
+    assert "a_fid, b_fid" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(got.select("a_fid", "b_fid", "a_az", "b_az").collect()) == sorted(r for r in every if {r[0], r[1]} & {3, 4, 5, 30, 31})
+
+
+def test_scans_of_a_gate_after_the_first_are_of_the_faces_it_moved(spark, monkeypatch):
+    v, f = steep(spark, 8)
+    w = v.count()
+    rest = v.withColumn("z", F.lit(0.0)).union(v.selectExpr("vid + 64", "x", "y", "0.4D"))
+    now = v.union(v.selectExpr("vid + 64", "x", "y", "0.5D - z"))
+    both = f.union(f.selectExpr("fid + 98", "i0 + 64", "i1 + 64", "i2 + 64"))
+    base, edges = metrics.self_intersections(rest, both), unique_edges(both)
+    asked, plain = [], metrics.self_intersections
+    monkeypatch.setattr(metrics, "self_intersections", lambda *a, query=None, **o: asked.append(query) or plain(*a, query=query, **o))
+    held = guard.pin_gate(rest, now, both, edges, base, rings=0)
+    assert w == 64 and len(asked) > 2 and asked[0] is None and all(0 < q.count() < 196 for q in asked[1:])
+    monkeypatch.setattr(metrics, "self_intersections", lambda *a, query=None, **o: plain(*a, **o))
+    whole = guard.pin_gate(rest, now, both, edges, base, rings=0)
+    assert all(sorted(a.collect()) == sorted(b.collect()) for a, b in zip(held, whole, strict=True))
+
+
+def test_reports_read_their_pairs_once(spark):
+    m = steep(spark, 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(0, 9), (1, 9), (2, 11)], "fa long, fb long").mapInArrow(counted, "fa long, fb long")
+    assert metrics.intersection_report(pairs, m[1]).first()[:2] == (3, 5) and read.value == 3
+    assert metrics.compared_to_baseline(pairs, pairs.limit(0)).first()[:4] == (3, 5, 3, 5) and read.value <= 6
+    gap = guard.centroid_gap(pairs, *m, 0.1)
+    assert "percentile" not in gap._jdf.queryExecution().executedPlan().toString()
+    d = sorted(guard.centroid_gap(pairs.where(f"fa = {i}"), *m, 0.1).first().median for i in range(3))
+    assert abs(gap.first().median - d[1]) < 1e-12 and guard.centroid_gap(pairs.where("fa > 5"), *m, 0.1).first().median is None
