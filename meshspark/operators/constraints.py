@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions.vec import Vec
 from ..schema import require
 from . import spatial
-from .topology import corners, group_ids
+from .topology import corners, group_ids, shuffled
 
 
 class TargetPoints:
@@ -80,7 +80,7 @@ def identity_groups(groups: DataFrame) -> DataFrame:
 
 def deform(vertices: DataFrame, vertex_groups: DataFrame, groups: DataFrame) -> DataFrame:
     """``R x + t`` of each vertex by its group (``vid, g``)."""
-    both = vertices.join(vertex_groups, "vid").join(groups, "g")
+    both = vertices.join(shuffled(vertex_groups), "vid").join(groups, "g")
     r, t = (lambda i: F.get("r", F.lit(i))), (lambda i: F.get("t", F.lit(i)))
     return both.select("vid", *[(r(3 * i) * F.col("x") + r(3 * i + 1) * F.col("y") + r(3 * i + 2) * F.col("z") + t(i)).alias(c) for i, c in enumerate("xyz")])
 
@@ -88,7 +88,7 @@ def deform(vertices: DataFrame, vertex_groups: DataFrame, groups: DataFrame) ->
 def snap_landmarks(vertices: DataFrame, vertex_groups: DataFrame, groups: DataFrame, fixed: DataFrame) -> DataFrame:
     """Groups moved so that their fixed vertex (the largest id of several) lands on its position."""
     now = deform(vertices, vertex_groups, groups)
-    off = now.select("vid", *Vec.of().named("p")).join(fixed.select("vid", *Vec.of().named("q")), "vid").join(vertex_groups, "vid")
+    off = now.select("vid", *Vec.of().named("p")).join(fixed.select("vid", *Vec.of().named("q")), "vid").join(shuffled(vertex_groups), "vid")
     d = Vec.of("q") - Vec.of("p")
     step = off.select("g", "vid", F.array(d.x, d.y, d.z).alias("d")).groupBy("g").agg(F.max_by("d", "vid").alias("d"))
     return groups.join(step, "g", "left").select("g", "r", F.when(F.col("d").isNull(), F.col("t")).otherwise(F.zip_with("t", "d", lambda a, b: a + b)).alias("t"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.vec import Vec
 from . import spatial
-from .topology import both_ways, corners, directed_laplacian, triangles
+from .topology import both_ways, corners, directed_laplacian, shuffled, triangles
 
 def masked_sum(pairs: DataFrame, most: float = 0.04) -> DataFrame:
     """Sum of squared distances (columns p*, q*) where they are under ``most``."""
@@ -30,7 +30,7 @@ def matched(source: DataFrame, target: DataFrame, columns: tuple[str, ...] = ())
     near = spatial.nearest(source, target)
     s = source.select(F.col("pid").alias("qid"), *Vec.of().named("p"))
     t = target.select(F.col("pid").alias("rid"), *Vec.of().named("q"), *columns)
-    return near.join(s, "qid").join(t, "rid")
+    return near.join(shuffled(s), "qid").join(shuffled(t), "rid")
 
 def point_to_plane(source: DataFrame, target: DataFrame, most: float | None = None) -> DataFrame:
     """Mean squared distance to the target's tangent planes (normals ``nx..``)."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import Vec
 from ..operators import constraints, gradients, metrics, objective
-from ..operators.topology import both_ways, directed_laplacian, saved, unique_edges
+from ..operators.topology import both_ways, directed_laplacian, saved, shuffled, unique_edges
 from .evaluate import Mesh, as_points
 
 SIZE = 12
@@ -49,7 +49,7 @@ def initial(groups: DataFrame) -> DataFrame:
 
 def group_links(vertex_groups: DataFrame, edges: DataFrame) -> DataFrame:
     """``u, v, n``: neighbouring groups, both ways, and the vertex edges between them."""
-    side = lambda e, g: vertex_groups.select(F.col("vid").alias(e), F.col("g").alias(g))
+    side = lambda e, g: shuffled(vertex_groups.select(F.col("vid").alias(e), F.col("g").alias(g)))
     between = edges.join(side("e0", "u"), "e0").join(side("e1", "v"), "e1").where("u <> v")
     return both_ways(between, "u", "v").groupBy("u", "v").agg(F.count("*").alias("n"))
 
@@ -64,29 +64,29 @@ def stiffness_gradient(params: DataFrame, links: DataFrame, weight: float) -> Da
 
 def laplacian_gradient(vertices: DataFrame, faces: DataFrame, source: DataFrame, n: int, weight: float) -> DataFrame:
     """``vid, gx, gy, gz``: of ``weight`` times the mean squared difference of the directed Laplacian to ``source``, over ``n`` vertices."""
-    now = saved(directed_laplacian(vertices, faces).join(source.select("vid", *Vec.of("l").named("s")), "vid").select("vid", "degree", *((Vec.of("l") - Vec.of("s")) * (2.0 * weight / (3.0 * max(n, 1)))).named("g")))
+    now = saved(directed_laplacian(vertices, faces).join(shuffled(source.select("vid", *Vec.of("l").named("s"))), "vid").select("vid", "degree", *((Vec.of("l") - Vec.of("s")) * (2.0 * weight / (3.0 * max(n, 1)))).named("g")))
     pairs = [("i0", "i1"), ("i1", "i2"), ("i2", "i0"), ("i0", "i2"), ("i1", "i0")]
     entries = faces.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")).select("e.*")
-    other = entries.join(now.withColumnRenamed("vid", "u"), "u").select(F.col("v").alias("vid"), *[(-F.col(f"g{c}")).alias(f"g{c}") for c in "xyz"])
+    other = entries.join(shuffled(now.withColumnRenamed("vid", "u")), "u").select(F.col("v").alias("vid"), *[(-F.col(f"g{c}")).alias(f"g{c}") for c in "xyz"])
     return now.select("vid", *[(F.col("degree") * F.col(f"g{c}")).alias(f"g{c}") for c in "xyz"]).unionByName(other)
 
 
 def target_gradient(vertices: DataFrame, targets: DataFrame, n: int, weight: float) -> DataFrame:
     """``vid, gx, gy, gz``: of ``weight`` times the mean absolute coordinate difference to ``n`` targets (vid, x, y, z)."""
-    both = vertices.select("vid", *Vec.of().named("p")).join(targets.select("vid", *Vec.of().named("q")), "vid")
+    both = vertices.select("vid", *Vec.of().named("p")).join(shuffled(targets.select("vid", *Vec.of().named("q"))), "vid")
     return both.select("vid", *[(F.signum(F.col(f"p{c}") - F.col(f"q{c}")) * (weight / (3.0 * max(n, 1)))).alias(f"g{c}") for c in "xyz"])
 
 
 def distance_gradient(vertices: DataFrame, matches: DataFrame, most: float, weight: float) -> DataFrame:
     """``vid, gx, gy, gz``: of ``weight`` times the sum of squared distances to matches (vid, qx, qy, qz) nearer than ``most``."""
-    both = vertices.select("vid", *Vec.of().named("p")).join(matches, "vid")
+    both = vertices.select("vid", *Vec.of().named("p")).join(shuffled(matches), "vid")
     off = Vec.of("p") - Vec.of("q")
     return both.where(off.norm2() < most * most).select("vid", *(off * (2.0 * weight)).named("g"))
 
 
 def to_groups(vertex_gradient: DataFrame, vertices: DataFrame, vertex_groups: DataFrame) -> DataFrame:
     """``g, d``: a vertex gradient carried to its group's parameters."""
-    rows = vertex_gradient.join(vertices.select("vid", *Vec.of().named("s")), "vid").join(vertex_groups, "vid")
+    rows = vertex_gradient.join(shuffled(vertices.select("vid", *Vec.of().named("s"))), "vid").join(shuffled(vertex_groups), "vid")
     d = F.array(*[F.col(f"g{a}") * F.col(f"s{b}") for a in "xyz" for b in "xyz"], *[F.col(f"g{a}") for a in "xyz"])
     return rows.select("g", d.alias("d")).groupBy("g").agg(_sums(F.col("d")).alias("d"))
 
@@ -124,7 +124,7 @@ class AffineMapper:
         out = {"distance": 0.0, "rotation": 0.0, "translation": 0.0, "laplacian": 0.0, "target": 0.0}
         if matches is not None:
             off = (Vec.of("p") - Vec.of("q")).norm2()
-            both = now.select("vid", *Vec.of().named("p")).join(matches, "vid")
+            both = now.select("vid", *Vec.of().named("p")).join(shuffled(matches), "vid")
             out["distance"] = self.distance * (both.agg(F.sum(F.when(off < self.most * self.most, off))).first()[0] or 0.0)
         if stiffness:
             x = state.select("g", "x")

@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from meshspark.operators import constraints, objective, spatial
+from meshspark.operators.topology import directed_laplacian
 from meshspark.plans import affine, fit
 from test_nonrigid import grid, tables
 
@@ -86,3 +88,22 @@ def test_mapper_without_terms_and_with_targets_alone(spark):
     mapper = fit.GroupMapper(mesh).add_group(1, mesh[0].select("vid")).add_targets(up)
     out = mapper.map(outer=2, inner=4, lr=0.05, decay=0.0)
     assert all(r.z > p[r.vid][2] for r in out.collect()) and mapper.log[-1]["target"] < mapper.log[0]["target"]
+
+
+def test_steps_gather_no_table_of_vertices_at_the_driver(spark, monkeypatch):
+    v = spark.range(400).selectExpr("id AS vid", "floor(id / 20) / 19.0D AS x", "id % 20 / 19.0D AS y", "sin(id) AS z")
+    f = spark.range(379).selectExpr("id AS fid", "id AS i0", "id + 1 AS i1", "id + 20 AS i2")
+    of, points = v.selectExpr("vid", "vid % 7 AS g"), v.withColumnRenamed("vid", "pid")
+    monkeypatch.setattr(spatial, "nearest", lambda s, t: s.selectExpr("pid AS qid", "pid AS rid", "0.0D AS d2"))
+    matches = objective.matched(points, points)
+    flat = directed_laplacian(v, f)
+    made = {
+        "matches": matches, "laplacian": flat, "links": affine.group_links(of, f.selectExpr("i0 AS e0", "i1 AS e1")),
+        "gradient": affine.to_groups(affine.laplacian_gradient(v, f, flat, 400, 1.0), v, of),
+        "distance": affine.distance_gradient(v, matches.selectExpr("qid AS vid", "qx", "qy", "qz"), 1.0, 1.0),
+        "target": affine.target_gradient(v, v, 400, 1.0),
+    }
+    sent = {k for k, d in made.items() if "Broadcast" in d._jdf.queryExecution().executedPlan().toString()}
+    assert not sent, sent
+    posed = constraints.deform(v, of, constraints.identity_groups(of.select("g").distinct()))
+    assert posed._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 1  # groups may be
