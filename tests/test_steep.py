@@ -111,3 +111,20 @@ def test_reports_read_their_pairs_once(spark):
     assert "percentile" not in gap._jdf.queryExecution().executedPlan().toString()
     d = sorted(guard.centroid_gap(pairs.where(f"fa = {i}"), *m, 0.1).first().median for i in range(3))
     assert abs(gap.first().median - d[1]) < 1e-12 and guard.centroid_gap(pairs.where("fa > 5"), *m, 0.1).first().median is None
+
+
+def test_moves_on_finer_grids_meet_no_more_faces_and_cross_none(spark):
+    met = []
+    for w in (10, 30):
+        v, f = steep(spark, w)
+        to = v.select("vid", "x", "y", (F.col("z") * 0.5 + 0.1).alias("z"))
+        boxes = spatial.triangle_boxes(triangles(to, f))
+        size = spatial.cell_sizes(boxes)
+        known = spatial.levels(boxes, size)
+        walked = spatial._segments_in_cells(metrics.trajectories(v, to), size, known, 0.0)
+        met.append(walked.select(*spatial.CELL).join(spatial.in_cells(boxes, size, known).select(*spatial.CELL), list(spatial.CELL)).count() / w**2)
+    assert met[1] <= 1.5 * met[0], met
+    v, f = steep(spark, 6)
+    to = v.select("vid", "x", "y", (F.col("z") * 0.5 + 0.1).alias("z"))
+    now, taken = guard.settled(v, v, to, f)
+    assert taken == 0 and sorted(map(tuple, now.collect())) == sorted(map(tuple, to.collect()))
