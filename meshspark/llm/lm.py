@@ -210,6 +210,8 @@ class Attention:
         shapes = {"emb": (bins, DIM), "pos": (width, DIM), "match": (DIM, DIM), "value": (DIM, DIM), "out": (DIM, classes + shares), "bias": (classes + shares,)}
         self.p = {k: (rng.standard_normal(s) * (0.0 if k == "bias" else 0.2)).astype(np.float32) for k, s in shapes.items()}
         self.classes = classes
+        self.past = np.tril(np.ones((width, width), np.float32))
+        self.ones = np.ones((width, 1), np.float32)
         self.sums = np.zeros((classes + shares, 2), np.float32)
         self.sums[:classes, 0] = self.sums[classes:, 1] = 1
 
@@ -230,8 +232,8 @@ class Attention:
         q = (x.reshape(-1, DIM) @ p["match"]).reshape(x.shape)
         a = q @ x.transpose(0, 2, 1)
         np.exp(np.minimum(a, 60, out=a), out=a)
-        a *= np.tril(np.ones((t, t), a.dtype))
-        a /= a.sum(axis=2, keepdims=True)
+        a *= self.past[:t, :t]
+        a *= 1 / (a @ self.ones[:t])
         c = a @ x
         h = c.reshape(-1, DIM) @ p["value"]
         h += x.reshape(-1, DIM)
@@ -247,7 +249,7 @@ class Attention:
         dh = dz @ p["out"].T
         dc = (dh @ p["value"].T).reshape(x.shape)
         da = dc @ x.transpose(0, 2, 1)
-        da -= (dc * c).sum(axis=2, keepdims=True)
+        da -= np.einsum("ijk,ijk->ij", dc, c)[:, :, None]
         da *= a
         dq = da @ x
         dx = a.transpose(0, 2, 1) @ dc
@@ -255,12 +257,15 @@ class Attention:
         dx += (flat(dq) @ p["match"].T + dh).reshape(x.shape)
         pos = np.zeros_like(p["pos"])
         pos[: x.shape[1]] = dx.sum(axis=0)
-        return {"out": h.T @ dz, "bias": dz.sum(axis=0), "value": flat(c).T @ dh, "match": flat(x).T @ flat(dq), "pos": pos}, dx
+        return {"out": h.T @ dz, "bias": np.ones(len(dz), dz.dtype) @ dz, "value": flat(c).T @ dh, "match": flat(x).T @ flat(dq), "pos": pos}, dx
 
     def logits(self, e: np.ndarray, sums: np.ndarray, target: np.ndarray, weight: np.ndarray, chances: np.ndarray | None = None) -> np.ndarray:
         """Gradient, in the logits, of the weighted mean log chance of the ``target`` classes, and of the
         mixture that takes the ``chances`` of all but one distribution and the model's own chance."""
-        dz = e / (-np.maximum(sums, 1e-30) @ self.sums.T)
+        scale = -1 / np.maximum(sums, 1e-30)
+        dz = np.empty_like(e)
+        np.multiply(e[:, : self.classes], scale[:, :1], out=dz[:, : self.classes])
+        np.multiply(e[:, self.classes :], scale[:, 1:], out=dz[:, self.classes :])
         dz[np.arange(len(dz)), target] += 1
         if chances is not None:
             post = e[:, self.classes :] * chances
@@ -271,8 +276,9 @@ class Attention:
 
     def by_bin(self, bins: np.ndarray, dx: np.ndarray) -> np.ndarray:
         """Gradient of the embeddings from that of vectors of these classes."""
-        bins, dx = bins.reshape(-1), np.ascontiguousarray(dx.reshape(-1, DIM).T)
-        return np.stack([np.bincount(bins, d, len(self.p["emb"])) for d in dx], axis=1).astype(dx.dtype)
+        bins, kind = bins.reshape(-1).astype(np.intp), dx.dtype
+        dx = np.ascontiguousarray(dx.reshape(-1, DIM).T, np.float64)
+        return np.stack([np.bincount(bins, d, len(self.p["emb"])) for d in dx], axis=1).astype(kind)
 
 
 class Ascent:
@@ -297,17 +303,26 @@ class Outer(Attention):
     def __init__(self, words: Lexicon, seed: int = 5) -> None:
         super().__init__(words.n_bins, WIDTH, words.n_classes[0], SLOTS + 1, seed)
         self.words = words
+        # of first subwords: their chances in each slot, and their shares of their classes
+        self.table = np.column_stack([words.first, np.exp(words.share[0]).astype(np.float32)])
 
     def vectors(self, bins: np.ndarray, size: np.ndarray) -> np.ndarray:
         """A vector of each token; the last row is what stands before a text."""
         emb, first = self.p["emb"], np.cumsum(size) - size
         out = np.empty((len(size) + 1, DIM), emb.dtype)
-        out[:-1], out[-1] = emb[bins[first]], emb[-1]
-        left = np.flatnonzero(size > 1)
-        for k in range(1, int(size.max(initial=0))):  # the next subword of all tokens that have one
-            left = left[size[left] > k]
-            out[left] += emb[bins[first[left] + k]]
-        out[:-1] /= size[:, None]
+        out[-1] = emb[-1]
+        if len(size):
+            order = np.argsort(-np.minimum(size, 32767).astype(np.int16), kind="stable")  # longest first, so those with a next subword come first
+            if size.max() > 32767:
+                order = np.argsort(-size, kind="stable")
+            first, size = first[order], size[order]
+            shorter = -size
+            sums = emb.take(bins[first], axis=0)
+            for k in range(1, int(size[0])):  # the next subword of all tokens that have one
+                n = int(np.searchsorted(shorter, -k))
+                sums[:n] += emb.take(bins[first[:n] + k], axis=0)
+            sums /= size[:, None].astype(emb.dtype)
+            out[order] = sums
         return out
 
     def places(self, n: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,8 +336,9 @@ class Outer(Attention):
 
     def chances(self, first: np.ndarray, e: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """Chances of first subwords by each slot's counts and by the model."""
-        own = e[np.arange(len(first)), self.words.classes[0][first]] / sums[:, 0] * np.exp(self.words.share[0][first]).astype(np.float32)
-        return np.column_stack([self.words.first[first], own])
+        out = self.table.take(first, axis=0)
+        out[:, SLOTS] *= e[np.arange(len(first)), self.words.classes[0][first]] / sums[:, 0]
+        return out
 
     def learn(self, ids: np.ndarray, size: np.ndarray, n: np.ndarray, up: Ascent) -> int:
         """Steps over all windows of the texts."""
@@ -341,7 +357,7 @@ class Outer(Attention):
                 part, ok = before_[j : j + STEP], scored_[j : j + STEP]
                 own = np.where(part < 0, len(sizes), part - low)
                 heads = first[token_[j : j + STEP].reshape(-1)]
-                e, sums, known = self.forward(vectors[own])
+                e, sums, known = self.forward(vectors.take(own, axis=0))
                 weight = (ok.reshape(-1) / max(1, ok.sum())).astype(e.dtype)
                 grad, dx = self.backward(known, self.logits(e, sums, self.words.classes[0][heads], weight, self.chances(heads, e, sums)))
                 begins = part < 0
@@ -360,10 +376,13 @@ class Outer(Attention):
         token, before, scored = self.places(n, STRIDE)
         out = np.empty((len(size), SLOTS + 1), np.float32)
         for i in range(0, len(token), BATCH):
-            e, sums, _ = self.forward(vectors[before[i : i + BATCH]])
+            e, sums, _ = self.forward(vectors.take(before[i : i + BATCH], axis=0, mode="wrap"))
             ok = scored[i : i + BATCH].reshape(-1)
             e, sums, own = e[ok], sums[ok], token[i : i + BATCH].reshape(-1)[ok]
-            out[own] = self.chances(first[own], e, sums) * (e[:, self.classes :] / sums[:, 1:])
+            part = self.chances(first[own], e, sums)
+            part *= e[:, self.classes :]
+            part *= 1 / sums[:, 1:]
+            out[own] = part
         return out
 
 
@@ -540,7 +559,10 @@ def score(
 
         def out():
             h, slot, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, n = np.unique(h ^ mixed(slot.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+            same = h ^ mixed(slot.astype(np.uint64) + np.uint64(1))
+            order = np.argsort(same)
+            begin = np.flatnonzero(np.diff(same[order], prepend=~same[order[:1]]))
+            at, n = order[begin], np.diff(begin, append=len(order))
             n[slot[at] == SLOTS] = 0  # words of held-out texts are listed, not counted
             raw, width = ids.tobytes(), ids.dtype.itemsize
             last = np.cumsum(size, dtype=np.int64)[at]

@@ -552,3 +552,20 @@ def test_chunks_do_not_depend_on_batches():
         want = want or got
         assert got == want
     assert [(c, len(x)) for c, x in want] == [(0, 4), (0, 1), (3, 1), (4, 4), (4, 4), (4, 1), (6, 4)]
+
+
+def test_lm_vectors_of_tokens_are_means_of_their_subwords():
+    import types
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    size = np.r_[rng.integers(1, 5, 40), 300, 1]
+    bins = rng.integers(0, 9, int(size.sum()))
+    model = types.SimpleNamespace(p={"emb": rng.normal(size=(10, lm.DIM)).astype(np.float32)})
+    for sizes in (size, size[:0], np.array([40_000, 2])):  # beyond 16 bits too
+        own = np.resize(bins, int(sizes.sum()))
+        want = [model.p["emb"][part].mean(axis=0) for part in np.split(own, np.cumsum(sizes)[:-1]) if len(part)]
+        got = lm.Outer.vectors(model, own, sizes)
+        assert got.shape == (len(sizes) + 1, lm.DIM) and np.allclose(got[-1], model.p["emb"][-1])
+        assert not len(sizes) or np.allclose(got[:-1], want, atol=2e-4)
