@@ -21,6 +21,7 @@ Long texts are scored in overlapping windows of tokens: each token once, with at
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _MARKS, _Numbers, _Ragged, _sums, byte_alphabet, encoder, vocabulary_path
+from .bpe import _MARKS, _Ragged, _sums, byte_alphabet, encoder, vocabulary_path
 from .common import ready, text_or_empty, written
-from .words import mixed, utf8
+from .words import _LOWER, _SPACE, mixed, utf8
 
 #: Tokens of a window, tokens from one to the next, and the size of a vector.
 WIDTH, STRIDE, DIM = 24, 18, 16
@@ -40,12 +41,32 @@ INNER_WIDTH, INNER_STRIDE = 8, 6
 #: Classes of subwords with a vector of their own, that are told apart in an output, and language slots.
 BINS, CLASSES, SLOTS = 2048, 32, 8
 #: Windows of a training step and of a scoring step, and steps between updates of the outer embeddings.
-STEP, BATCH, TURN = 128, 256, 8
+STEP, BATCH, TURN = 128, 128, 8
 
 _SALT = np.random.default_rng(20250301).integers(1, 2**63, 1 << 17, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _numbers(known: dict, keys: list) -> tuple[np.ndarray, list]:
+    """Numbers of keys, of which new ones get the next numbers and are returned."""
+    at = np.fromiter(map(known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+    new = np.flatnonzero(at < 0)
+    if not len(new):
+        return at, []
+    own = [keys[i] for i in new.tolist()]
+    fresh = list(dict.fromkeys(own))
+    known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+    at[new] = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+    return at, fresh
+
+
+def _binary(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes that follow each other in an array, by where each ends in it."""
+    offsets = np.concatenate([[0], ends * raw.itemsize]).astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+    return whole.cast(pa.binary())
+
+
 class Coder:
     """All subword ids of the tokens of texts; those of words that were seen before are kept, at most ``limit``."""
 
@@ -62,16 +83,16 @@ class Coder:
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.of_word = _Numbers(), _Ragged()
-        self.parts, self.of_part = _Numbers(), _Ragged()
+        self.words, self.of_word = {b"": 0}, _Ragged()  # no word is empty: the first is a text's end
+        self.of_word.append(np.array([self.end], np.uint32), np.ones(1, np.int64))
+        self.parts, self.of_part = {}, _Ragged()
 
     def _learn(self, fresh: list[bytes]) -> None:
         """Words as the tokenizer has them after a space; those that it might not give back are bytes."""
         whole = encoder(self.path)  # read where new words come up, not where ids are read back
         keys: list[str] = []
         counts, odd = np.ones(len(fresh), np.int64), {}
-        for i, raw in enumerate(fresh):
-            w = raw.decode("utf-8", "replace")
+        for i, w in enumerate(b"\n".join(fresh).decode("utf-8", "replace").split("\n")):  # no word holds a line feed
             if w.isalpha():  # most words
                 keys.append(" " + w)
             elif w[-1] in _MARKS and w[:-1].isalpha():
@@ -82,9 +103,9 @@ class Coder:
                 keys += own
                 counts[i] = len(own)
             else:
-                odd[i] = self.of_byte[np.frombuffer(b" " + raw, np.uint8)]
+                odd[i] = self.of_byte[np.frombuffer(b" " + fresh[i], np.uint8)]
                 keys.append("!")
-        at, unseen = self.parts.of(keys)
+        at, unseen = _numbers(self.parts, keys)
         if unseen:
             self.of_part.append(*whole.pretokens(unseen))
         ids, lengths = self.of_part.take(at)
@@ -101,24 +122,26 @@ class Coder:
         if len(self.words) > self.limit:
             self.reset()
         raw, offsets = utf8(column)
-        data = raw.tobytes().lower()
-        keys: list[bytes] = []
-        n = np.empty(len(column), np.int64)
-        for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            own = data[a:z].split()
-            n[i] = len(own) + 1
-            keys += own
-        at, fresh = self.words.of(keys)
+        low = _LOWER[raw]
+        inside = ~_SPACE[low]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edges = offsets[:-1][np.diff(offsets) > 0]
+        begins[edges] = inside[edges]
+        n = np.diff(np.searchsorted(np.flatnonzero(begins), offsets)) + 1
+        start = np.flatnonzero(begins[inside])
+        low = low[inside]
+        # words that occur again in the batch are looked up once
+        each = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(low))), pa.py_buffer(low)]).dictionary_encode()
+        at, fresh = _numbers(self.words, each.dictionary.to_numpy(zero_copy_only=False).tolist())
         if fresh:
             self._learn(fresh)
-        ids, lengths = self.of_word.take(at)
-        size = np.ones(len(keys) + len(n), np.int64)
-        word = np.ones(len(size), bool)
+        token = np.zeros(int(n.sum()), np.int64)
+        word = np.ones(len(token), bool)
         word[np.cumsum(n) - 1] = False
-        size[word] = lengths
-        out = np.full(int(size.sum()), self.end, np.int64)
-        out[np.repeat(word, size)] = ids
-        return out, size, n
+        token[word] = at[each.indices.to_numpy()]
+        ids, size = self.of_word.take(token)
+        return ids, size, n
 
 
 @functools.lru_cache(maxsize=1)
@@ -225,18 +248,20 @@ class Attention:
             at += v.size
         return self
 
-    def forward(self, x: np.ndarray) -> tuple:
-        """From vectors (windows, places, DIM): raw weights of classes and shares, their sums, and what ``backward`` needs."""
+    def forward(self, x: np.ndarray, skip: int = 0) -> tuple:
+        """From vectors (windows, places, DIM): raw weights of classes and shares at places from ``skip`` on,
+        their sums, and what ``backward`` needs."""
         p, t = self.p, x.shape[1]
         x = x + p["pos"][:t]
-        q = (x.reshape(-1, DIM) @ p["match"]).reshape(x.shape)
+        y = x[:, skip:].reshape(-1, DIM)
+        q = (y @ p["match"]).reshape(len(x), t - skip, DIM)
         a = q @ x.transpose(0, 2, 1)
         np.exp(np.minimum(a, 60, out=a), out=a)
-        a *= self.past[:t, :t]
+        a *= self.past[skip:t, :t]
         a *= 1 / (a @ self.ones[:t])
         c = a @ x
         h = c.reshape(-1, DIM) @ p["value"]
-        h += x.reshape(-1, DIM)
+        h += y
         e = h @ p["out"]
         e += p["bias"]
         np.exp(np.minimum(e, 60, out=e), out=e)
@@ -262,23 +287,21 @@ class Attention:
     def logits(self, e: np.ndarray, sums: np.ndarray, target: np.ndarray, weight: np.ndarray, chances: np.ndarray | None = None) -> np.ndarray:
         """Gradient, in the logits, of the weighted mean log chance of the ``target`` classes, and of the
         mixture that takes the ``chances`` of all but one distribution and the model's own chance."""
-        scale = -1 / np.maximum(sums, 1e-30)
-        dz = np.empty_like(e)
-        np.multiply(e[:, : self.classes], scale[:, :1], out=dz[:, : self.classes])
-        np.multiply(e[:, self.classes :], scale[:, 1:], out=dz[:, self.classes :])
-        dz[np.arange(len(dz)), target] += 1
+        weight = weight.astype(e.dtype, copy=False)
+        dz = (-weight[:, None] / np.maximum(sums, 1e-30)) @ self.sums.T.astype(e.dtype, copy=False)
+        dz *= e
+        dz[np.arange(len(dz)), target] += weight
         if chances is not None:
             post = e[:, self.classes :] * chances
-            dz[:, self.classes :] += post / (post.sum(axis=1, keepdims=True) + 1e-30)
-        dz *= weight[:, None]
+            post *= (weight / (post @ np.ones(post.shape[1], post.dtype) + 1e-30))[:, None]
+            dz[:, self.classes :] += post
         return dz
 
-
-    def by_bin(self, bins: np.ndarray, dx: np.ndarray) -> np.ndarray:
-        """Gradient of the embeddings from that of vectors of these classes."""
+    def by_bin(self, bins: np.ndarray, dx: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """Gradient of the embeddings from that of vectors of these classes, or of runs of ``size`` of them."""
         bins, kind = bins.reshape(-1).astype(np.intp), dx.dtype
         dx = np.ascontiguousarray(dx.reshape(-1, DIM).T, np.float64)
-        return np.stack([np.bincount(bins, d, len(self.p["emb"])) for d in dx], axis=1).astype(kind)
+        return np.stack([np.bincount(bins, d if size is None else np.repeat(d, size), len(self.p["emb"])) for d in dx], axis=1).astype(kind)
 
 
 class Ascent:
@@ -365,24 +388,34 @@ class Outer(Attention):
                 inside = ok & ~begins
                 grads[own[inside]] = dx[inside]
                 up.step(grad)
-            spread = np.repeat(grads[:-1] / sizes[:, None].astype(grads.dtype), sizes, axis=0)
-            up.step({"emb": self.by_bin(np.append(flat, self.words.n_bins - 1), np.concatenate([spread, grads[-1:]]))})
+            sizes = np.append(sizes, 1)
+            grads /= sizes[:, None].astype(grads.dtype)
+            up.step({"emb": self.by_bin(np.append(flat, self.words.n_bins - 1), grads, sizes)})
         return int(scored.sum())
 
     def score(self, ids: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Of each token the shares times the chances of its first subword: in each slot, and by the model."""
         vectors = self.vectors(self.words.bins[ids], size)
-        first = ids[np.cumsum(size) - size]
-        token, before, scored = self.places(n, STRIDE)
+        heads = ids[np.cumsum(size) - size]
+        # what stands before each token; places beyond a text's end tell nothing of those before
+        before = np.concatenate([vectors[-1:], vectors[:-2], np.zeros((WIDTH, DIM), vectors.dtype)])
+        before[np.cumsum(n) - n] = vectors[-1]
+        runs = np.lib.stride_tricks.as_strided(before, (len(size), WIDTH * DIM), (before.strides[0], before.itemsize), writeable=False)
+        first, length, skips = windows(n, WIDTH, STRIDE)
         out = np.empty((len(size), SLOTS + 1), np.float32)
-        for i in range(0, len(token), BATCH):
-            e, sums, _ = self.forward(vectors.take(before[i : i + BATCH], axis=0, mode="wrap"))
-            ok = scored[i : i + BATCH].reshape(-1)
-            e, sums, own = e[ok], sums[ok], token[i : i + BATCH].reshape(-1)[ok]
-            part = self.chances(first[own], e, sums)
-            part *= e[:, self.classes :]
-            part *= 1 / sums[:, 1:]
-            out[own] = part
+        for skip in (0, WIDTH - STRIDE):
+            own = np.flatnonzero(skips == skip)
+            at = np.arange(skip, WIDTH)
+            for i in range(0, len(own), BATCH):
+                start = first[own[i : i + BATCH]]
+                e, sums, _ = self.forward(runs[start].reshape(-1, WIDTH, DIM), skip)
+                token, ok = (start[:, None] + at).reshape(-1), (at < length[own[i : i + BATCH], None]).reshape(-1)
+                if not ok.all():
+                    e, sums, token = e[ok], sums[ok], token[ok]
+                part = self.chances(heads[token], e, sums)
+                part *= e[:, self.classes :]
+                part *= 1 / sums[:, 1:]
+                out[token] = part
         return out
 
 
@@ -429,9 +462,30 @@ class Inner(Attention):
         return np.add.reduceat(logs, np.cumsum(size) - size)
 
 
+class Found:
+    """Where 64-bit numbers stand in a sorted array of them: most by their first bits alone."""
+
+    def __init__(self, known: np.ndarray, bits: int = 20) -> None:
+        self.known, self.shift = known, np.int64(64 - bits)
+        self.start = np.searchsorted(known >> self.shift, np.arange(-(1 << bits - 1), 1 << bits - 1)).astype(np.int32)
+        self.half = 1 << bits - 1
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each number, and whether it is there."""
+        if not len(self.known):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        last = len(self.known) - 1
+        at = np.minimum(self.start[(h >> self.shift) + self.half], last)
+        got = self.known[at]
+        further = np.flatnonzero(got < h)
+        at[further] = np.minimum(np.searchsorted(self.known, h[further]), last)
+        got[further] = self.known[at[further]]
+        return at, got == h
+
+
 def rounded(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slots' chances as a largest one and 255ths of it: all tokens are scored by these."""
-    top = np.maximum(shares[:, :SLOTS].max(axis=1), np.float32(1e-30))
+    top = functools.reduce(np.maximum, shares.T[:SLOTS], np.float32(1e-30))
     return top, np.rint(shares[:, :SLOTS] * (255 / top)[:, None])
 
 
@@ -440,6 +494,20 @@ def packed(parts: np.ndarray) -> np.ndarray:
     return (parts.astype(np.uint64) << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _joined(batches, size: int = 4 << 20):
+    """The rows of batches in batches of about ``size`` bytes."""
+    held, total = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            total += b.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _runs(batches, rows: int):
     """(chunk, rows of it) from batches that start with their chunk, in order: ``rows`` at once, and what
     is left of each chunk, wherever batches end."""
@@ -542,14 +610,10 @@ def score(
 
     def cut_up(batches):
         own = coder(path)
-        for b in batches:
-            if b.num_rows:
-                ids, size, n = own(b.column(5))
-                ends = np.cumsum(size)[np.cumsum(n) - 1]
-                raw = ids.astype(own.kind).tobytes()
-                width = np.dtype(own.kind).itemsize
-                packed_ids = [raw[a * width : z * width] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n), pa.array(packed_ids, pa.binary())], [*b.schema.names[:5], "n", "ids"])
+        for b in _joined(batches):
+            ids, size, n = own(b.column(5))
+            ends = np.cumsum(size)[np.cumsum(n) - 1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n), _binary(ids.astype(own.kind), ends)], [*b.schema.names[:5], "n", "ids"])
 
     pieces = written(rows.mapInArrow(cut_up, "row long, doc_id long, held_out boolean, slot int, key long, n long, ids binary"), "pieces")
 
@@ -564,10 +628,10 @@ def score(
             begin = np.flatnonzero(np.diff(same[order], prepend=~same[order[:1]]))
             at, n = order[begin], np.diff(begin, append=len(order))
             n[slot[at] == SLOTS] = 0  # words of held-out texts are listed, not counted
-            raw, width = ids.tobytes(), ids.dtype.itemsize
-            last = np.cumsum(size, dtype=np.int64)[at]
-            spelt = [raw[a * width : z * width] for a, z in zip((last - size[at]).tolist(), last.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(spelt, pa.binary()), pa.array(np.minimum(slot[at], SLOTS - 1).astype(np.int32)), pa.array(n)], ["w", "slot", "n"])
+            first, lengths = (np.cumsum(size, dtype=np.int64) - size)[at], size[at].astype(np.int64)
+            ends = np.cumsum(lengths)
+            spelt = ids[np.repeat(first - (ends - lengths), lengths) + np.arange(lengths.sum())]
+            return pa.RecordBatch.from_arrays([_binary(spelt, ends), pa.array(np.minimum(slot[at], SLOTS - 1).astype(np.int32)), pa.array(n)], ["w", "slot", "n"])
 
         total = 0
         for b in batches:
@@ -656,7 +720,7 @@ def score(
     def rate_texts(batches):
         table, _, flat = share.value
         hashes, c, r, rs = common.value
-        own, model = coder(path), Outer(table).load(flat)
+        own, model, find = coder(path), Outer(table).load(flat), Found(hashes)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -664,8 +728,7 @@ def score(
             h = token_hashes(ids, size).view(np.int64)
             shares = model.score(ids, size, n)
             most, parts = rounded(shares)
-            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-            known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+            at, known = find(h)
             base, logs = np.zeros(len(h)), np.zeros(len(h))
             at = at[known]
             base[known] = np.log10(c[at] + 0.5)

@@ -569,3 +569,47 @@ def test_lm_vectors_of_tokens_are_means_of_their_subwords():
         got = lm.Outer.vectors(model, own, sizes)
         assert got.shape == (len(sizes) + 1, lm.DIM) and np.allclose(got[-1], model.p["emb"][-1])
         assert not len(sizes) or np.allclose(got[:-1], want, atol=2e-4)
+
+
+def test_lm_computes_only_the_places_it_scores(monkeypatch):
+    import numpy as np
+
+    words_, begins = small_lexicon()
+    ids, size = some_tokens(begins, 24 + 18 * 9)
+    made, forward = [], lm.Outer.forward
+
+    def counted(self, x, *more):
+        e, *rest = forward(self, x, *more)
+        made.append(len(e))
+        return e, *rest
+
+    monkeypatch.setattr(lm.Outer, "forward", counted)
+    assert len(lm.Outer(words_).score(ids, size, np.array([len(size)]))) == sum(made) == len(size)
+
+
+def test_lm_finds_common_words_by_their_first_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    spread = rng.integers(low, high, 500)
+    for known in (spread[:0], spread, np.r_[low, np.arange(-3, 90), high], np.array([7])):
+        known = np.unique(known)
+        asked = np.r_[known, known[known < high] + 1, spread, low, 0, high]
+        at, there = lm.Found(known, bits=6)(asked)
+        assert (there == np.isin(asked, known)).all() and (known[at[there]] == asked[there]).all()
+
+
+def test_lm_encodes_alike_in_batches_of_any_size():
+    import pyarrow as pa
+
+    made = lm.Coder(lm.vocabulary_path())
+    texts = ["One two,\tone", None, "", " TWO  one\n", "été one\x0btwo, x\x01y"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    want = [[x.tolist() for x in made(pa.array([t], pa.string()))] for t in texts]
+    for step, most in ((1, 1 << 20), (2, 1), (15, 1 << 20)):
+        ids, size, n = [], [], []
+        for b in lm._joined((batch.slice(i, step) for i in range(0, len(texts), step)), most):
+            for kept, x in zip((ids, size, n), made(b.column(0)), strict=True):
+                kept += x.tolist()
+        assert [ids, size, n] == [sum((w[k] for w in want), []) for k in range(3)]
