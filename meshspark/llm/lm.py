@@ -225,6 +225,13 @@ class Lexicon:
         return (counts + fresh * np.where(seen, np.exp(inner), 1.0)[:, None]) / (self.tokens[first] + fresh)
 
 
+def _exp(a: np.ndarray) -> None:
+    """Exponentials in place, bounded."""
+    if a.size and a.max() > 60:  # seldom
+        np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
+
+
 class Attention:
     """One layer of causal self-attention with a distribution over classes, and shares of a mixture, at each place."""
 
@@ -256,7 +263,7 @@ class Attention:
         y = x[:, skip:].reshape(-1, DIM)
         q = (y @ p["match"]).reshape(len(x), t - skip, DIM)
         a = q @ x.transpose(0, 2, 1)
-        np.exp(np.minimum(a, 60, out=a), out=a)
+        _exp(a)
         a *= self.past[skip:t, :t]
         a *= 1 / (a @ self.ones[:t])
         c = a @ x
@@ -264,7 +271,7 @@ class Attention:
         h += y
         e = h @ p["out"]
         e += p["bias"]
-        np.exp(np.minimum(e, 60, out=e), out=e)
+        _exp(e)
         return e, e @ self.sums, (x, q, a, c, h)
 
     def backward(self, known: tuple, dz: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -378,15 +385,15 @@ class Outer(Attention):
             grads = np.zeros_like(vectors)
             for j in range(0, len(token_), STEP):
                 part, ok = before_[j : j + STEP], scored_[j : j + STEP]
-                own = np.where(part < 0, len(sizes), part - low)
+                begins = part < 0
+                own = np.where(begins, len(sizes), part - low)
                 heads = first[token_[j : j + STEP].reshape(-1)]
                 e, sums, known = self.forward(vectors.take(own, axis=0))
                 weight = (ok.reshape(-1) / max(1, ok.sum())).astype(e.dtype)
                 grad, dx = self.backward(known, self.logits(e, sums, self.words.classes[0][heads], weight, self.chances(heads, e, sums)))
-                begins = part < 0
                 grads[-1] += dx[begins].sum(axis=0)
-                inside = ok & ~begins
-                grads[own[inside]] = dx[inside]
+                inside = np.flatnonzero(ok & ~begins)
+                grads[own.take(inside)] = dx.reshape(-1, DIM).take(inside, axis=0)
                 up.step(grad)
             sizes = np.append(sizes, 1)
             grads /= sizes[:, None].astype(grads.dtype)
@@ -730,13 +737,14 @@ def score(
             most, parts = rounded(shares)
             at, known = find(h)
             base, logs = np.zeros(len(h)), np.zeros(len(h))
-            at = at[known]
-            base[known] = np.log10(c[at] + 0.5)
-            logs[known] = np.log10(np.einsum("ij,ij->i", parts[known], rs[at]) * (most[known] / np.float32(255)) + shares[known, SLOTS] * r[at])
-            begin, rare = np.cumsum(n) - n, ~known
-            n_rare = np.add.reduceat(rare.astype(np.int64), begin)
+            there, rare = np.flatnonzero(known), np.flatnonzero(~known)
+            at = at[there]
+            base[there] = np.log10(c[at] + 0.5)
+            logs[there] = np.log10(np.einsum("ij,ij->i", parts.take(there, axis=0), rs.take(at, axis=0)) * (most[there] / np.float32(255)) + shares[there, SLOTS] * r[at])
+            begin = np.cumsum(n) - n
+            n_rare = np.add.reduceat((~known).astype(np.int64), begin)
             offsets = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
-            left = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(packed(parts[rare])), pa.array(most[rare]), pa.array(shares[rare, SLOTS])], ["h", "p", "t", "z"])
+            left = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(packed(parts.take(rare, axis=0))), pa.array(most[rare]), pa.array(shares[rare, SLOTS])], ["h", "p", "t", "z"])
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array(n - n_rare), pa.array(np.add.reduceat(base, begin) - n * whole), pa.array(np.add.reduceat(logs, begin)), pa.ListArray.from_arrays(pa.array(offsets), left)],
                 ["row", "doc_id", "held_out", "n", "n_known", "base", "logs", "rare"],
