@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import tiles
 from ..functions.vec import Vec
 from ..schema import require
 from . import spatial
@@ -96,6 +97,11 @@ def snap_landmarks(vertices: DataFrame, vertex_groups: DataFrame, groups: DataFr
 
 def sheet_pairs(vertices: DataFrame, faces: DataFrame, gap: float, *, opposite: bool = False, cosine: float = -0.3, max_pairs: int | None = None) -> DataFrame:
     """``fa, fb, ux, uy, uz``: faces within ``gap`` (opposite normals only, if asked) and the unit axis between their centroids."""
+    if max_pairs is None:
+        boxes = spatial.face_boxes(vertices, faces, gap)
+        if opposite:
+            boxes = boxes.withColumns(G.face_normal(*corners()).columns("n"))
+        return spatial.visited(boxes, tiles.Axes(cosine if opposite else None))
     found = spatial.collision_candidates(vertices, faces, gap, max_pairs=max_pairs)
     both = spatial.gathered(found, vertices, faces)
     a, b = corners("a_"), corners("b_")
