@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import tiles
 from ..functions.vec import Vec
 from ..session import ship
 from . import spatial
@@ -59,6 +60,42 @@ def sheet(pairs: DataFrame, vertices: DataFrame, faces: DataFrame, weight: float
     return _given(both, *[(f"a_{c}", push) for c in CORNERS], *[(f"b_{c}", push * -1.0) for c in CORNERS])
 
 
+class _SheetSums(tiles.Visit):
+    """By face, what its pairs fall short of ``margin`` along ``axis``: added as the first of a pair, taken off as the second; ``pairs`` short as the first."""
+
+    columns = ("mx", "my", "mz")
+    schema = "i0 long, i1 long, i2 long, short double, pairs long"
+
+    def __init__(self, axis: tuple[float, float, float], margin: float):
+        self.axis, self.margin = axis, margin
+
+    def begin(self, rows):
+        self.rows, self.short = rows, np.zeros(rows.n)
+        self.first, self.second = np.zeros(rows.n, np.int64), np.zeros(rows.n, np.int64)
+
+    def take(self, i, j):
+        at = self.rows.extra
+        short = self.margin - sum((at[k][j] - at[k][i]) * u for k, u in enumerate(self.axis))
+        keep = ~((short <= 0) | self.rows.null[i] | self.rows.null[j])  # as in columns, NaN is more than 0 and null is not
+        i, j, short = i[keep], j[keep], short[keep]
+        self.short += np.bincount(i, short, self.rows.n) - np.bincount(j, short, self.rows.n)
+        self.first += np.bincount(i, minlength=self.rows.n)
+        self.second += np.bincount(j, minlength=self.rows.n)
+
+    def end(self):
+        some = np.flatnonzero(self.first + self.second)
+        return self.batch([*[c[some] for c in self.rows.corners], self.short[some], self.first[some]])
+
+
+def sheet_between(vertices: DataFrame, faces: DataFrame, gap: float, axis: tuple[float, float, float], margin: float, weight: float = 1.0) -> DataFrame:
+    """:func:`sheet` of all faces within ``gap``, with one axis and margin: sums by face are made where pairs are found, so what
+    is written and shuffled grows with the faces."""
+    sums = saved(spatial.visited(spatial.face_boxes(vertices, faces, gap), _SheetSums(axis, margin)))
+    n = sums.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]  # pairs that are too near
+    push = Vec.lit(*axis) * (F.col("short") * (2.0 * weight / 3.0 / max(n, 1)))
+    return _given(sums, *[(c, push) for c in CORNERS])
+
+
 def inversion(vertices: DataFrame, faces: DataFrame, reference: DataFrame, n_faces: int, *, flip: float = 0.0, part: float = 0.1, weight: float = 1.0) -> DataFrame:
     """Of ``weight`` times both inversion barriers; the reference is ``fid, nx, ny, nz, area2``."""
     a, b, c = corners()
@@ -129,6 +166,54 @@ def closest_features(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, weights
 
 
+def _barrier(x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of triangles (n, 6, 3): which are nearer than ``margin``, and the gradients (6, 3) of the squared shortfall of those."""
+    d2, w = closest_features(x)
+    far = np.sqrt(d2 + 1e-18)
+    at = np.flatnonzero(far < margin)
+    return at, -2.0 * (margin - far[at])[:, None, None] * w[at][:, :, None] * (np.einsum("nk,nki->ni", w[at], x[at]) / far[at][:, None])[:, None, :]
+
+
+class _BarrierSums(tiles.Visit):
+    """By corner of a face, the gradients of its pairs nearer than ``margin``; ``pairs`` of which it is the first, at one corner."""
+
+    columns = tuple(f"{k}{c}" for k in "abc" for c in "xyz")
+    schema = "pairs long, vid long, gx double, gy double, gz double"
+
+    def __init__(self, margin: float):
+        self.margin = margin
+
+    def begin(self, rows):
+        self.rows, self.tri = rows, np.ascontiguousarray(rows.extra.T).reshape(rows.n, 3, 3)
+        self.low, self.high = self.tri.min(axis=1), self.tri.max(axis=1)
+        self.sums, self.first, self.met = np.zeros((3, 3 * rows.n)), np.zeros(rows.n, np.int64), np.zeros(rows.n, bool)
+
+    def take(self, i, j):
+        off = np.maximum(np.maximum(self.low[j] - self.high[i], self.low[i] - self.high[j]), 0.0)
+        near = np.einsum("nk,nk->n", off, off) <= self.margin**2 * (1 + 1e-9)  # boxes farther apart hold nothing nearer
+        i, j = i[near], j[near]
+        at, g = _barrier(np.concatenate([self.tri[i], self.tri[j]], axis=1), self.margin)
+        i, j = i[at], j[at]
+        corner = np.concatenate([3 * i[:, None] + np.arange(3), 3 * j[:, None] + np.arange(3)], axis=1).reshape(-1)
+        for k in range(3):
+            self.sums[k] += np.bincount(corner, g[:, :, k].reshape(-1), 3 * self.rows.n)
+        self.first += np.bincount(i, minlength=self.rows.n)
+        self.met[i] = self.met[j] = True
+
+    def end(self):
+        some = np.flatnonzero(self.met)
+        pairs = np.zeros((len(some), 3), np.int64)
+        pairs[:, 0] = self.first[some]
+        return self.batch([pairs.reshape(-1), self.rows.corners.T[some].reshape(-1), *[s.reshape(-1, 3)[some].reshape(-1) for s in self.sums]])
+
+
+def _shared_out(sums: DataFrame, weight: float) -> DataFrame:
+    """Sums ``vid, gx, gy, gz`` over the number of their ``pairs``."""
+    sums = saved(sums)
+    n = sums.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    return sums.select("vid", *[(F.col(f"g{c}") * (weight / max(n, 1))).alias(f"g{c}") for c in "xyz"])
+
+
 def collision(pairs: DataFrame, vertices: DataFrame, faces: DataFrame, margin: float, weight: float = 1.0) -> DataFrame:
     """Of ``weight`` times the collision barrier of ``pairs`` (fa, fb): the closest points of two faces nearer than
     ``margin`` push the corners that they lie between. Distances are found on Arrow batches."""
@@ -140,16 +225,18 @@ def collision(pairs: DataFrame, vertices: DataFrame, faces: DataFrame, margin: f
     def run(batches):
         for batch in batches:
             x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in places], axis=1).reshape(-1, 6, 3)
-            d2, w = closest_features(x)
-            far = np.sqrt(d2 + 1e-18)
-            at = np.flatnonzero(far < margin)
-            g = -2.0 * (margin - far[at])[:, None, None] * w[at][:, :, None] * (np.einsum("nk,nki->ni", w[at], x[at]) / far[at][:, None])[:, None, :]
+            at, g = _barrier(x, margin)
             own = np.stack([batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ids], axis=1) if len(at) else np.zeros((0, 6), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(6 * len(at)) % 6 == 0), pa.array(own.reshape(-1).astype(np.int64)), *[pa.array(g[:, :, k].reshape(-1)) for k in range(3)]], ["first", "vid", "gx", "gy", "gz"])
+            first = (np.arange(6 * len(at)) % 6 == 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(own.reshape(-1).astype(np.int64)), *[pa.array(g[:, :, k].reshape(-1)) for k in range(3)]], ["pairs", "vid", "gx", "gy", "gz"])
+
+    return _shared_out(both.select(*ids, *places).mapInArrow(run, _BarrierSums.schema), weight)
+
 
-    found = saved(both.select(*ids, *places).mapInArrow(run, "first boolean, vid long, gx double, gy double, gz double"))
-    n = found.where("first").count()  # pairs that are too near
-    return found.select("vid", *[(F.col(f"g{c}") * (weight / max(n, 1))).alias(f"g{c}") for c in "xyz"])
+def collision_within(vertices: DataFrame, faces: DataFrame, margin: float, weight: float = 1.0) -> DataFrame:
+    """:func:`collision` of all faces whose boxes, inflated by ``margin``, overlap: sums by corner are made where pairs are found, so
+    what is written and shuffled grows with the faces."""
+    return _shared_out(spatial.visited(spatial.face_boxes(vertices, faces, margin), _BarrierSums(margin)), weight)
 
 
 def _zeroed(value: str) -> Column:

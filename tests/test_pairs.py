@@ -1,12 +1,13 @@
 """Pairs of near faces found by numpy within cells: the same as all pairs, and rows only where they are the result."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_steep import steep
 
 from meshspark.functions import geometry as G
 from meshspark.functions import tiles
-from meshspark.operators import constraints, spatial
+from meshspark.operators import constraints, gradients, spatial
 from meshspark.operators.topology import corners
 
 
@@ -45,3 +46,38 @@ def test_sheet_pairs_are_not_shuffled(spark):
         key = lambda r: r[:2]
         assert sorted(map(tuple, made.collect()), key=key) == sorted(map(tuple, expected.collect()), key=key)
         assert opposite or made.where("ux IS NULL").count() > 0
+
+
+def written(monkeypatch):
+    rows, save = [], gradients.saved
+    monkeypatch.setattr(gradients, "saved", lambda df: rows.append(save(df)) or rows[-1])
+    return rows
+
+
+def summed(parts):
+    return {r.vid: np.array(r[1:]) for r in gradients.total(parts).collect()}
+
+
+def same(got, expected):
+    assert got.keys() == expected.keys() and got
+    assert max(np.abs(got[k] - expected[k]).max() for k in got) < 1e-14
+
+
+def test_sheet_gradient_is_that_of_its_pairs_and_writes_rows_of_faces(spark, monkeypatch):
+    m = sheets(spark, 12)
+    near = spatial.collision_candidates(*m, 0.2)
+    pairs = near.withColumns({"ux": F.lit(0.0), "uy": F.lit(0.6), "uz": F.lit(0.8), "margin": F.lit(0.3)})
+    expected = summed(gradients.sheet(pairs, *m, 2.0))
+    rows = written(monkeypatch)
+    same(summed(gradients.sheet_between(*m, 0.2, (0.0, 0.6, 0.8), 0.3, 2.0)), expected)
+    assert len(rows) == 1 and rows[0].count() < 20 * m[1].count() < near.count()
+
+
+@pytest.mark.parametrize("margin", [0.02, 0.2])
+def test_collision_gradient_is_that_of_its_pairs_and_writes_rows_of_faces(spark, monkeypatch, margin):
+    v, f = sheets(spark, 12)
+    m = v.where("z IS NOT NULL"), f
+    expected = summed(gradients.collision(spatial.collision_candidates(*m, margin), *m, margin, 2.0))
+    rows = written(monkeypatch)
+    same(summed(gradients.collision_within(*m, margin, 2.0)), expected)
+    assert len(rows) == 1 and rows[0].count() < 60 * f.count()
