@@ -81,3 +81,14 @@ def test_collision_gradient_is_that_of_its_pairs_and_writes_rows_of_faces(spark,
     rows = written(monkeypatch)
     same(summed(gradients.collision_within(*m, margin, 2.0)), expected)
     assert len(rows) == 1 and rows[0].count() < 60 * f.count()
+
+
+def test_closest_pairs_are_the_first_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CROWDED", 100)
+    m = sheets(spark, 12)
+    d = (G.centroid(*corners("a_")) - G.centroid(*corners("b_"))).norm2()
+    every = sorted(plain(m, 0.1).select(F.coalesce(d, F.lit(float("inf"))), "a_fid", "b_fid").collect())
+    assert every[-1][0] == float("inf")
+    for k in (0, 1, 50, len(every) - 1, len(every) + 5):
+        got = spatial.collision_candidates(*m, 0.1, max_pairs=k)
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r[1:]) for r in every[:k])
