@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from meshspark import queries_fit
 from meshspark.operators import guard, metrics, spatial
 from meshspark.plans import fit
+from meshspark.sources import fixtures
 from test_nonrigid import grid, tables
 
 
@@ -74,3 +76,18 @@ def test_empty_and_single_faces(spark):
     assert caps.count() == 32 and caps.where("cap <> 0.2").isEmpty()
     now, taken = guard.settled(v, v, v, f)
     assert taken == 0 and now.count() == 32
+
+
+def test_moves_of_the_query_are_taken_back_before_the_field_that_stands(spark):
+    sf = "/root/testdata/sf0.001"
+    fields = [{r.vid: r.z for r in fixtures.height_field(spark, sf, k)[0].collect()} for k in range(3)]
+    taken = 0
+    got = {r.vid: r.z for r in queries_fit.opt7_settled_moves(spark, sf).collect()}
+    assert got.keys() == fields[0].keys()
+    for i, z in got.items():
+        a, way = fields[0][i], 0.2 * (fields[1][i] - fields[0][i])
+        t = (fields[2][i] - a) / way  # the fields' vertices are above each other
+        part = max(np.ceil(t * 128) - 1, 0) / 128 if 0 <= t <= 1 else 1.0
+        taken += part < 1
+        assert abs(z - (a + way * part)) < 1e-6
+    assert taken > 5
